@@ -1,9 +1,14 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from . import topk
 from .sharding import op6_minimax_sharding
+from .topk import op3_pivot_top_k
 
 QUERIES = {
+    "op3_pivot_top_k": op3_pivot_top_k,
     "op6_minimax_sharding": op6_minimax_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_pivot_top_k": topk.ORACLE,
+}
