@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from . import topk
+from .gif import op4_gif_media
 from .sharding import op6_minimax_sharding
 from .topk import op3_pivot_top_k
 
 QUERIES = {
     "op3_pivot_top_k": op3_pivot_top_k,
+    "op4_gif_media": op4_gif_media,
     "op6_minimax_sharding": op6_minimax_sharding,
 }
 
