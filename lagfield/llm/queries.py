@@ -3,12 +3,14 @@
 from . import topk
 from .gif import op4_gif_media
 from .sharding import op6_minimax_sharding
+from .simhash import op8_simhash
 from .topk import op3_pivot_top_k
 
 QUERIES = {
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_gif_media": op4_gif_media,
     "op6_minimax_sharding": op6_minimax_sharding,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {
