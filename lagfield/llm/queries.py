@@ -2,6 +2,8 @@
 
 from . import topk
 from .gif import op4_gif_media
+from .langid import op9_compression_language
+from .quality import op7_ordinal_quality
 from .sharding import op6_minimax_sharding
 from .simhash import op8_simhash
 from .topk import op3_pivot_top_k
@@ -10,7 +12,9 @@ QUERIES = {
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_gif_media": op4_gif_media,
     "op6_minimax_sharding": op6_minimax_sharding,
+    "op7_ordinal_quality": op7_ordinal_quality,
     "op8_simhash": op8_simhash,
+    "op9_compression_language": op9_compression_language,
 }
 
 ORACLES: dict[str, str] = {
