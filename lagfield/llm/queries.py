@@ -3,6 +3,7 @@
 from . import topk
 from .gif import op4_gif_media
 from .langid import op9_compression_language
+from .packing import op10_vector_best_fit
 from .quality import op7_ordinal_quality
 from .sharding import op6_minimax_sharding
 from .simhash import op8_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_simhash": op8_simhash,
     "op9_compression_language": op9_compression_language,
+    "op10_vector_best_fit": op10_vector_best_fit,
 }
 
 ORACLES: dict[str, str] = {
