@@ -3,6 +3,7 @@
 from . import topk
 from .gif import op4_gif_media
 from .langid import op9_compression_language
+from .mixing import op2_block_mixing
 from .packing import op10_vector_best_fit
 from .quality import op7_ordinal_quality
 from .sharding import op6_minimax_sharding
@@ -10,6 +11,7 @@ from .simhash import op8_simhash
 from .topk import op3_pivot_top_k
 
 QUERIES = {
+    "op2_block_mixing": op2_block_mixing,
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_gif_media": op4_gif_media,
     "op6_minimax_sharding": op6_minimax_sharding,
