@@ -2,6 +2,7 @@
 
 from . import topk
 from .gif import op4_gif_media
+from .html_text import op1_main_text
 from .langid import op9_compression_language
 from .mixing import op2_block_mixing
 from .packing import op10_vector_best_fit
@@ -11,6 +12,7 @@ from .simhash import op8_simhash
 from .topk import op3_pivot_top_k
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_block_mixing": op2_block_mixing,
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_gif_media": op4_gif_media,
