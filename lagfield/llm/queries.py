@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import topk
+from . import licenses, topk
 from .gif import op4_gif_media
 from .html_text import op1_main_text
 from .langid import op9_compression_language
+from .licenses import op5_license_scan
 from .mixing import op2_block_mixing
 from .packing import op10_vector_best_fit
 from .quality import op7_ordinal_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_block_mixing": op2_block_mixing,
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_gif_media": op4_gif_media,
+    "op5_license_scan": op5_license_scan,
     "op6_minimax_sharding": op6_minimax_sharding,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_simhash": op8_simhash,
@@ -25,4 +27,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_pivot_top_k": topk.ORACLE,
+    "op5_license_scan": licenses.ORACLE,
 }
