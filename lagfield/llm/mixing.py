@@ -129,15 +129,16 @@ def block_pieces(docs: DataFrame, block: int = BLOCK, cells: int = CELLS) -> tup
     return begun, sums.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source), and its documents.
 
     Returns (uid, shard, slot, block, first_word, n_words), the words of each document that each slot takes, and (uid, doc_id, source,
-    size, source_size, target). uid numbers the rows of ``docs``, so repeated and null ids stay apart. A null text has no words
+    size, source_size, target). uid is the long column ``row_id`` of ``docs``, or else numbers its rows, so repeated and null ids stay apart. A null text has no words
     and is never taken; null sources are one source; no documents give empty results. Reruns with one seed agree for distinct ids.
     """
     spark = docs.sparkSession
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    uid = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), uid.alias("uid")), "sizes")
     laid, sizes = block_pieces(sized, block)
     laid = materialise(laid, "laid")
     goals = materialise(targets(sizes, weights, share, most), "targets")
@@ -170,6 +171,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return taken, docs_of.select("uid", "doc_id", "source", "size", "source_size", "target")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with all their columns, each whole document as often as the mix takes it: its taken words over its size, rounded up or down by a hash of the id so that sources come near their targets in whole documents too. Documents without words go."""
+    row = "row_of_mix"
+    while row in docs.columns:
+        row += "_"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken, sized = mix(rows, row_id=row, **options)
+    sums = taken.groupBy("uid").agg(F.sum("n_words").alias("taken")).join(sized.select("uid", "doc_id", "size"), "uid")
+    chance = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1_000_003)) / 1_000_003
+    times = sums.select(F.col("uid").alias(row), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("times_of_mix")).where("times_of_mix > 0")
+    back = rows.join(times, row)
+    return back.withColumn("times_of_mix", F.explode(F.sequence(F.lit(1), "times_of_mix"))).select(*docs.columns)
+
+
 def op2_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, docs = mix(table(spark, sf_dir, "documents"))
     sums = taken.groupBy("uid").agg(F.sum("n_words").alias("taken"))
