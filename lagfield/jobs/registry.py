@@ -1,4 +1,5 @@
 """The registered queries on the driver tables and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
