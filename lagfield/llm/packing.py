@@ -25,15 +25,16 @@ TOKENS, END = 2048, 0
 #: Documents and attention cost (sum of squared lengths) that a sequence may hold; the defaults never bind before the tokens do.
 DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 #: Pieces packed together by one task.
-GROUP = 8192
+GROUP = 4096
 #: Words that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 1_200_000, 40
 
 #: The split pattern of this vocabulary file, fixed by it.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters for which Unicode tables of any version agree; texts beyond take the library's own way.
+#: Characters for which Unicode tables of any version agree; words with others take the library's own way.
 _LATIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]*")
-_ODD = regex.compile(r"[\x00-\x08\x0e-\x1f]|<\|")
+#: Separators to Python that are none to the library, and its special tokens: texts that hold them take its own way.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
 
 def _byte_letters() -> list[str]:
@@ -49,20 +50,27 @@ class Words:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize("".join(self.letters[b] for b in part.encode()))], "<u4").tobytes()
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            of = self.id_bytes
+            ids = b"".join([of[t.id] for t in self.model.tokenize(letters)])
             if len(part) <= LONGEST:
                 self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if _LATIN.fullmatch(word):
+        if word.isascii() and word.isalpha():
+            ids = self._part(word.lower())
+        elif word[-1] in ",." and word.isascii() and word[:-1].isalpha():
+            ids = self._part(word[:-1].lower()) + self._part(word[-1])
+        elif _LATIN.fullmatch(word):
             ids = b"".join(map(self._part, _PARTS.findall(unicodedata.normalize("NFC", word).lower())))
         else:
             ids = self._library(word)
@@ -78,7 +86,7 @@ class Words:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _ODD.search(text):  # control characters and special tokens
+        if any(x in text for x in _ODD):
             return self._library(text)
         known = self.words
         out = [known[w] if w in known else self._word(w) for w in text.split()]
