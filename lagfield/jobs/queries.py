@@ -11,8 +11,12 @@ from lagfield.functions import transcript as tr
 from lagfield.operators import expand as ex
 from lagfield.operators import scores as sc
 from lagfield.operators import stats as st
+from lagfield.operators.envelope import high_gamma as envelope_of
+from lagfield.operators.gram import gram_tiles as build_tiles
 
 from . import data
+from .encode import Config
+from .encode import run_encoding as encode
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -512,3 +516,45 @@ def best_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_A} SELECT target, round(1 - sum(r2), 6) AS unexplained FROM a GROUP BY 1")
 def unexplained_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.unexplained_share(_summary(spark, sf_dir)).withColumn("unexplained", F.round("unexplained", 6))
+
+
+# --- model jobs: beyond SQL, tested against dense numpy ---------------------------------------------------------------------
+
+
+def _order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = data.orders(spark, sf_dir)
+    price = o.withColumns({"feature": F.lit("price"), "vec": F.slice("vec", 1, 1)})
+    return price.unionByName(o.withColumns({"feature": F.lit("count"), "vec": F.slice("vec", 2, 1)}))
+
+
+def order_config(optimizer: str = "adam") -> Config:
+    taps = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=6)
+    window = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, prediction_end=3.0, nb_buffer=3, buffer_duration=3.0)
+    return Config("orders", {"price": ("sym_tap", taps), "count": ("sym_buffer", window)}, alphas=tuple(10.0**k for k in range(-3, 7)), n_iter=10, lr=0.1, optimizer=optimizer, chunk_size=10)
+
+
+@query()
+def gram_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = order_config()
+    design = ex.expand(_order_elements(spark, sf_dir), config.bands)
+    chunk_of = ch.assign_chunk(_mask(spark, sf_dir), config.chunk_size)
+    y = ch.keep_targets(data.signal(spark, sf_dir), _mask(spark, sf_dir))
+    tiles = build_tiles(design, y, config.layout(), _BORDERS, chunk_of)
+    return tiles.select("segment_id", "ti", "tj", F.posexplode("g").alias("pos", "value"))
+
+
+@query()
+def run_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), order_config())
+
+
+@query()
+def run_encoding_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), order_config("lbfgs"))
+
+
+@query()
+def high_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily revenue as if sampled 1,000 times a second, in blocks of a second."""
+    y = data.signal(spark, sf_dir).select("recording", F.concat(F.lit("n"), "target").alias("channel"), "t_idx", "value")
+    return envelope_of(y, 1000, block_s=1)
