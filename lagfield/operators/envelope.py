@@ -30,13 +30,13 @@ def high_gamma(signal: DataFrame, fs_in: int, fs_out: int = 20, notch: float = 6
         lo = int(key[2]) * size
         own = rows.loc[(rows["t_idx"] >= lo) & (rows["t_idx"] < lo + size), "t_idx"]
         if not len(own):
-            return pd.DataFrame({"recording": [], "channel": [], "t_idx": [], "value": []})
+            return rows.iloc[:0][["recording", "channel", "t_idx", "value"]]
         start, end = max(0, lo - edge), int(rows["t_idx"].max()) + 1
         x = np.zeros(end - start)
         x[rows["t_idx"].to_numpy() - start] = rows["value"].to_numpy()
         y = envelope(x, fs_in, notch, band)[lo - start : int(own.max()) + 1 - start]
         n = -(-len(y) // step)
         mean = np.add.reduceat(y, np.arange(0, len(y), step)) / np.diff(np.append(np.arange(0, len(y), step), len(y)))
-        return pd.DataFrame({"recording": [key[0]] * n, "channel": [key[1]] * n, "t_idx": lo // step + np.arange(n), "value": mean})
+        return pd.DataFrame({"recording": [int(key[0])] * n, "channel": [rows["channel"].iloc[0]] * n, "t_idx": lo // step + np.arange(n), "value": mean})
 
     return blocks.groupBy("recording", "channel", "block").applyInPandas(each, "recording int, channel string, t_idx long, value double")
