@@ -68,7 +68,7 @@ def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 20) -> tupl
     vectors = np.random.default_rng(seed).permutation(np.arange(bits) % (1 << radius + 1))
     out = []
     for v in range(1, 1 << radius + 1):
-        kept = [int(m & v).bit_count() % 2 == 1 for m in vectors]
+        kept = [int(m & v).bit_count() % 2 == 1 for m in vectors] + [False] * (64 - bits)
         out.append(int(np.packbits(kept, bitorder="little").view(np.int64)[0]))
     return tuple(out)
 
