@@ -23,6 +23,9 @@ from .components import components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingle words, seed of their hash and radius in bits.
 WORDS, SEED, RADIUS = 4, 42, 4
+#: What keep_one compares: the set of a text's words, each counting once, within six bits. On the check tables that finds 95 to 100
+#: of 100 pairs of texts with at least 0.8 of their five-word shingles in common, where four-word shingles within four bits find 20.
+KEEP_WORDS, KEEP_RADIUS = 1, 6
 #: Fingerprints that one task compares at a time; larger buckets are cut into pairs of such chunks.
 CHUNK = 2048
 
@@ -40,9 +43,10 @@ def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]
     return [h(line[s:e], seed) for s, e in zip(starts, ends[words - 1 :], strict=True)]
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Bits set in over half of the shingle hashes, as a signed 64-bit integer; zero for a text without words."""
-    hashes = np.array(shingle_hashes(text or "", words, seed), np.uint64)
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+    """Bits set in over half of the shingle hashes, as a signed 64-bit integer; zero for a text without words. ``distinct`` counts repeated shingles once."""
+    found = shingle_hashes(text or "", words, seed)
+    hashes = np.array(list(set(found)) if distinct else found, np.uint64)
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         total += np.unpackbits(hashes[i : i + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
@@ -50,12 +54,12 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
+def fingerprints(text: Column, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> Column:
     def all_of(texts: pd.Series) -> pd.Series:
         known: dict = {}
         for x in texts:
             if x not in known:
-                known[x] = fingerprint(x, words, seed)
+                known[x] = fingerprint(x, words, seed, distinct)
         return pd.Series([known[x] for x in texts], dtype="int64")
 
     all_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
@@ -181,11 +185,11 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     return rows.join(_labels(rows, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, radius: int = KEEP_RADIUS, seed: int = SEED, distinct: bool = True) -> DataFrame:
     """The rows of ``docs`` with one kept of each component, that of the smallest doc_id; all columns stay as they are."""
-    rows = materialise(docs.select("doc_id", fingerprints(F.col("text"), words, seed).alias("fp")), "fingerprints")
+    rows = materialise(docs.select("doc_id", fingerprints(F.col("text"), words, seed, distinct).alias("fp")), "fingerprints")
     labels = _labels(rows, radius).withColumnRenamed("fp", "label_fp")
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), fingerprints(F.col("text"), words, seed).alias("fp"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), fingerprints(F.col("text"), words, seed, distinct).alias("fp"))
     lead = marked.join(labels, (F.col("fp") == F.col("label_fp")) & F.col("id").eqNullSafe(F.col("component_id")))  # a hot fingerprint is dealt by id as well
     nth = F.row_number().over(Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("id"))
     return lead.withColumn("nth", nth).where("nth = 1").select("row.*")
