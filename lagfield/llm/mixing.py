@@ -161,13 +161,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
                     total, last = ends[k]
                     yield pd.DataFrame({"shard": np.int32(h), "nth": np.int32(k), "slot": j, "block": at, "most": np.where(j == total - 1, last, block)})
 
-    made = spark.createDataFrame(drawn, "shard int, nth int, first long, n long").repartition("shard", "nth").mapInPandas(slots, "shard int, nth int, slot long, block long, most long")
+    made = spark.createDataFrame(drawn, "shard int, nth int, first long, n long").repartition(shards, "shard", "nth").mapInPandas(slots, "shard int, nth int, slot long, block long, most long")
     docs_of = laid.join(F.broadcast(goals.withColumnRenamed("source", "goal_source")), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     spans = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))
     parts = docs_of.where("size > 0").select("uid", "nth", "begin", "size", F.explode(spans).alias("block"))
     lo = F.greatest(F.col("begin"), F.col("block") * block)
     hi = F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("most"))
-    taken = made.join(parts, ["nth", "block"]).withColumns({"first_word": lo - F.col("begin"), "n_words": hi - lo}).where("n_words > 0").select("uid", "shard", "slot", "block", "first_word", "n_words")
+    # a few drawn rows become very many slots, which the planner cannot see: it would broadcast them
+    taken = made.hint("merge").join(parts, ["nth", "block"]).withColumns({"first_word": lo - F.col("begin"), "n_words": hi - lo}).where("n_words > 0").select("uid", "shard", "slot", "block", "first_word", "n_words")
     return taken, docs_of.select("uid", "doc_id", "source", "size", "source_size", "target")
 
 
