@@ -174,16 +174,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all their columns, each whole document as often as the mix takes it: its taken words over its size, rounded up or down by a hash of the id so that sources come near their targets in whole documents too. Documents without words go."""
-    row = "row_of_mix"
-    while row in docs.columns:
-        row += "_"
+    row, copies = "row_of_mix", "times_of_mix"
+    while {row, copies} & set(docs.columns):
+        row, copies = f"{row}_", f"{copies}_"
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     taken, sized = mix(rows, row_id=row, **options)
     sums = taken.groupBy("uid").agg(F.sum("n_words").alias("taken")).join(sized.select("uid", "doc_id", "size"), "uid")
     chance = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1_000_003)) / 1_000_003
-    times = sums.select(F.col("uid").alias(row), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("times_of_mix")).where("times_of_mix > 0")
+    times = sums.select(F.col("uid").alias(row), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias(copies)).where(F.col(copies) > 0)
     back = rows.join(times, row)
-    return back.withColumn("times_of_mix", F.explode(F.sequence(F.lit(1), "times_of_mix"))).select(*docs.columns)
+    return back.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def op2_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
