@@ -2,7 +2,8 @@
 
 Atomic groups are hash buckets of the text, so equal texts never part. The buckets, in hash order, are an ordered list of
 sizes of a fixed length at most; over it a binary search finds the smallest capacity with which a greedy walk needs no more
-than ``n_shards`` shards, and the walk's ends are the cuts. A group larger than the capacity stands alone in its shard, so
+than ``n_shards`` shards. The cuts then keep to that capacity and, within what it leaves free, to equal parts of what remains. A
+group larger than the capacity stands alone in its shard, so
 one giant group of copies does not let the others grow to its size.
 """
 
@@ -25,22 +26,33 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> DataFrame:
     cums = groups.where("size > 0").withColumn("cum", F.sum("size").over(Window.orderBy("bucket")))
     one = cums.agg(F.array_sort(F.collect_list(F.struct("cum", "bucket"))).alias("atoms")).select("atoms", F.expr("transform(atoms, a -> a.cum)").alias("ends"))
 
-    def fit(end: str) -> str:
-        """How many leading groups end at or before ``end``: a bit-wise descent in the sorted ends."""
-        return f"aggregate(array({steps}), 0L, (k, b) -> CASE WHEN k + b > size(ends) THEN k WHEN element_at(ends, CAST(k + b AS INT)) <= {end} THEN k + b ELSE k END)"
+    def fit(limit: str) -> str:
+        """How many leading groups end at or before ``limit``: a bit-wise descent in the sorted ends."""
+        return f"aggregate(array({steps}), 0L, (held, step) -> CASE WHEN held + step > size(ends) THEN held WHEN element_at(ends, CAST(held + step AS INT)) <= {limit} THEN held + step ELSE held END)"
+
+    def end(pos: str) -> str:
+        return f"(CASE WHEN {pos} = 0 THEN 0L ELSE element_at(ends, CAST({pos} AS INT)) END)"
 
     def walk_on(pos: str, cap: str) -> str:
-        begin = f"(CASE WHEN {pos} = 0 THEN 0L ELSE element_at(ends, CAST({pos} AS INT)) END)"
-        return f"least(CAST(size(ends) AS BIGINT), greatest({pos} + 1, {fit(f'{begin} + {cap}')}))"
+        return f"least(CAST(size(ends) AS BIGINT), greatest({pos} + 1, {fit(f'{end(pos)} + {cap}')}))"
+
+    def walk_back(pos: str, cap: str) -> str:
+        return f"CASE WHEN {end(pos)} <= {cap} THEN 0L ELSE least({pos} - 1, {fit(f'{end(pos)} - {cap} - 1')} + 1) END"
 
     reach = f"aggregate(sequence(1, {n_shards}), 0L, (at, i) -> {walk_on('at', 'cap')})"
     search = f"""aggregate(sequence(1, 63), struct(1L AS lo, coalesce(element_at(ends, -1), 1L) AS hi),
         (s, j) -> CASE WHEN s.lo >= s.hi THEN s ELSE element_at(transform(array((s.lo + s.hi) div 2), cap ->
             CASE WHEN {reach} >= size(ends) THEN struct(s.lo AS lo, cap AS hi) ELSE struct(cap + 1 AS lo, s.hi AS hi) END), 1) END)"""
-    cuts = f"aggregate(sequence(1, {n_shards}), array(0L), (c, i) -> concat(c, array({walk_on('element_at(c, -1)', 'capacity')})))"
+    # backs[j]: where j shards must begin at the earliest to hold the rest
+    backs = f"aggregate(sequence(1, {n_shards}), array(CAST(size(ends) AS BIGINT)), (b, i) -> concat(b, array({walk_back('element_at(b, -1)', 'capacity')})))"
+    here = "element_at(c, -1)"
+    part = fit(f"{end(here)} + CAST(ceil((element_at(ends, -1) - {end(here)}) / ({n_shards} - i + 1)) AS BIGINT)")
+    following = f"least({walk_on(here, 'capacity')}, greatest({here} + 1, {part}, element_at(backs, {n_shards} - i + 1)))"
+    cuts = f"aggregate(sequence(1, {n_shards}), array(0L), (c, i) -> concat(c, array({following})))"
     return (
         one.where("size(ends) > 0")
         .withColumn("capacity", F.expr(f"{search}.hi"))
+        .withColumn("backs", F.expr(backs))
         .withColumn("cuts", F.expr(cuts))
         .select("cuts", F.posexplode("atoms").alias("nth", "atom"))
         .select("atom.bucket", F.expr("CAST(size(filter(cuts, c -> c > 0 AND c <= nth)) AS INT)").alias("shard"))
