@@ -165,9 +165,11 @@ class Weights:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Weights:
-    """Weights from a bounded sample: the first ``sample`` pages, by a hash, of those up to ``chars`` long with an article or main element. Without any, the weights of what is new hold for all."""
+    """Weights from a bounded sample: the first ``sample`` different pages, by a hash, of those up to ``chars`` long with an article or main element. Without any, the weights of what is new hold for all."""
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= chars))
-    rows = marked.select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(sample).collect()
+    h = F.xxhash64("html")
+    last = [r.h for r in marked.select(h.alias("h")).distinct().orderBy("h").limit(sample).collect()]  # hashes alone, so that a task sends little
+    rows = marked.where(h <= last[-1]).select("html").distinct().collect() if last else []
     words, tags = Counter(), Counter()
     for r in rows:
         for block, name, link, n, inside in parse(r.html).items:
