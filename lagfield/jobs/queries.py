@@ -256,7 +256,7 @@ def union_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {data.EVENTS}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY recording, sentence_id ORDER BY t, element_id) < 0.15 THEN 0 ELSE 1 END AS apart FROM e),
 s AS (SELECT *, sum(apart) OVER (PARTITION BY recording, sentence_id ORDER BY t, element_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT CAST(recording AS BIGINT) AS recording, element_id, CAST(row_number() OVER (PARTITION BY recording, sentence_id, session ORDER BY t, element_id) - 1 AS INTEGER) AS level, round((row_number() OVER (PARTITION BY recording, sentence_id, session ORDER BY t, element_id) - 1) * 0.3, 6) AS "offset" FROM s"""
+SELECT CAST(recording AS BIGINT) AS recording, element_id, CAST(row_number() OVER (PARTITION BY recording, sentence_id, session ORDER BY t, element_id) - 1 AS INTEGER) AS level, round((row_number() OVER (PARTITION BY recording, sentence_id, session ORDER BY t, element_id) - 1) * CAST(0.3 AS DOUBLE), 6) AS "offset" FROM s"""
 )
 def label_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = data.events(spark, sf_dir).withColumnsRenamed({"t": "start", "element_id": "row_id"})
