@@ -48,7 +48,7 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS)
     return [(k, b" ".join(sample[k])[:DICTIONARY]) for k in sorted(sample, key=lambda k: (-counts[k], k))]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _encoders(model: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompressor]:
     found = []
     for _, content in model:

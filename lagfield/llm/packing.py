@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,8 @@ TOKENS, END = 2048, 0
 DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 #: Pieces packed together by one task.
 GROUP = 4096
-#: Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_200_000, 40
+#: Words that a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 800_000, 40
 
 #: The split pattern of this vocabulary file, fixed by it.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -93,24 +93,20 @@ class Words:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> Words:
-    return Words(path)
-
-
 def pieces(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone."""
     name = path or TOKENIZER
 
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        words = _words(name if "/" in name else public_tokenizers.path(name))
-        out = []
-        for text in texts:
-            ids = words.ids(text or "") + END.to_bytes(4, "little")
-            out.append((len(ids) // 4, [zlib.crc32(ids[i : i + 4 * tokens]) for i in range(0, len(ids), 4 * tokens)]))
-        return pd.DataFrame(out, columns=["n", "crc"])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = Words(name if "/" in name else public_tokenizers.path(name))  # a task's own, so that no worker keeps it
+        for texts in batches:
+            out = []
+            for text in texts:
+                ids = words.ids(text or "") + END.to_bytes(4, "little")
+                out.append((len(ids) // 4, [zlib.crc32(ids[i : i + 4 * tokens]) for i in range(0, len(ids), 4 * tokens)]))
+            yield pd.DataFrame(out, columns=["n", "crc"])
 
-    cut.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     made = docs.select(*keep, F.pandas_udf(cut, "n long, crc array<long>")(F.col("text")).alias("t"))
     each = made.select(*keep, F.col("t.n").alias("n"), F.posexplode("t.crc").alias("piece", "ids_crc32"))
     start = F.col("piece").cast("long") * tokens

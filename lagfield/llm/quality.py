@@ -26,7 +26,7 @@ SUPPORT, SUPPORT_ROWS = 1 / 400, 3
 #: Weights of the shape shares and of the words, and the tail probability from which a text is selected.
 SHAPES, WORDS, SELECT = 4.0, 0.3, 0.5
 #: Words whose features a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 SCHEMA = "expected_grade double, tail_probability double, selected boolean"
 _LETTERS = re.compile(r"[\W\d_]+")
