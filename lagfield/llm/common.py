@@ -33,3 +33,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/lagfield-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python by ``rows`` at a time, so that a worker's memory does not follow the default of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
