@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ TOKENS, END = 2048, 0
 DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 #: Pieces packed together by one task.
 GROUP = 4096
-#: Words that a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 800_000, 40
+#: Words that a worker or a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 1_200_000, 40
 
 #: The split pattern of this vocabulary file, fixed by it.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -93,12 +94,17 @@ class Words:
         return b"".join(out)
 
 
-def pieces(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone."""
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    return Words(path)
+
+
+def pieces(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), by_task: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone. ``by_task`` forgets words after a task, which takes more time and leaves workers less to hold."""
     name = path or TOKENIZER
 
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = Words(name if "/" in name else public_tokenizers.path(name))  # a task's own, so that no worker keeps it
+        words = (Words if by_task else _words)(name if "/" in name else public_tokenizers.path(name))
         for texts in batches:
             out = []
             for text in texts:
