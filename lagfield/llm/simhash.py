@@ -23,9 +23,10 @@ from .components import components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingle words, seed of their hash and radius in bits.
 WORDS, SEED, RADIUS = 4, 42, 4
-#: What keep_one compares: the set of a text's words, each counting once, within six bits. On the check tables that finds 95 to 100
-#: of 100 pairs of texts with at least 0.8 of their five-word shingles in common, where four-word shingles within four bits find 20.
-KEEP_WORDS, KEEP_RADIUS = 1, 6
+#: What keep_one compares: the sets of five-word shingles, which share at least this part (in hundredths) of their union.
+KEEP_WORDS, KEEP_PERCENT = 5, 80
+#: Minima of a shingle set, and how many of them make one band: a pair at 0.8 has no band in common with a chance of (1 - 0.8^4)^32, 5e-8.
+BANDS, ROWS = 32, 4
 #: Fingerprints that one task compares at a time; larger buckets are cut into pairs of such chunks.
 CHUNK = 2048
 
@@ -185,13 +186,107 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     return rows.join(_labels(rows, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = KEEP_WORDS, radius: int = KEEP_RADIUS, seed: int = SEED, distinct: bool = True) -> DataFrame:
-    """The rows of ``docs`` with one kept of each component, that of the smallest doc_id; all columns stay as they are."""
-    rows = materialise(docs.select("doc_id", fingerprints(F.col("text"), words, seed, distinct).alias("fp")), "fingerprints")
-    labels = _labels(rows, radius).withColumnRenamed("fp", "label_fp")
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), fingerprints(F.col("text"), words, seed, distinct).alias("fp"))
-    lead = marked.join(labels, (F.col("fp") == F.col("label_fp")) & F.col("id").eqNullSafe(F.col("component_id")))  # a hot fingerprint is dealt by id as well
-    nth = F.row_number().over(Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("id"))
+def shingle_set(text: str | None, words: int = KEEP_WORDS, seed: int = SEED) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(np.array(shingle_hashes(text or "", words, seed), np.uint64))
+
+
+@lru_cache
+def _minima_of(seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    draws = np.random.default_rng(seed).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    return draws[0] | np.uint64(1), draws[1]
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit key for each band: the hash of its ROWS minima over ``hashes``."""
+    factor, add = _minima_of()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[i : i + 1024, None] * factor + add).min(0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64).tolist()
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def _sketches(text: Column, words: int, seed: int) -> Column:
+    """Struct (node, bands): the hash of a text's shingle set and its band keys."""
+
+    def all_of(texts: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        for x in texts:
+            if x not in known:
+                hashes = shingle_set(x, words, seed)
+                known[x] = (_set_id(hashes), bands(hashes))
+        return pd.DataFrame({"node": pd.Series([known[x][0] for x in texts], dtype="int64"), "bands": [known[x][1] for x in texts]})
+
+    all_of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(all_of, "node long, bands array<long>")(text)
+
+
+def _sets(text: Column, words: int, seed: int) -> Column:
+    def all_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, words, seed).view(np.int64) for x in texts])
+
+    all_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(all_of, "array<long>")(text)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (node, shingles) share ``percent`` hundredths of their union or more: exact, in whole numbers."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _links(rows: DataFrame, docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """``rows``: (doc_id, key, node, bands). Links (a, b) of shingle sets within ``percent`` that connect what all links between sets with a band in common connect.
+
+    A bucket is what has a band key in common. Its sets are first compared with the one that meets most others, so that a large
+    group of copies costs as many comparisons as it has members; then all its pairs are compared that are not connected by then.
+    """
+    once = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "bands")).alias("r"))
+    buckets = once.select("node", F.posexplode("r.bands").alias("t", "band"))
+    sizes = buckets.groupBy("t", "band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(buckets.join(sizes, ["t", "band"]), "buckets")
+    met = materialise(buckets.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    places = rows.join(met, "node").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("own_key"))
+    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text").alias("d")
+    found = keyed.join(places.alias("p"), (F.col("key") == F.col("own_key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))  # a hot text is dealt by id as well
+    texts = found.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("key"))).where("nth = 1")
+    sets = materialise(texts.select("node", _sets(F.col("text"), words, seed).alias("shingles")), "sets")
+    of = buckets.join(met, "node").select("t", "band", "node", "met")
+    best = of.groupBy("t", "band").agg(F.max(F.struct("met", "node")).alias("best")).select("t", "band", F.col("best.node").alias("best"))
+    stars = of.join(best, ["t", "band"]).where("node <> best").select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b")).distinct()
+    first = materialise(_linked(stars, sets, percent), "links")
+    roots = components(first)
+    labelled = materialise(buckets.join(roots, "node", "left").select("t", "band", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    several = labelled.groupBy("t", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t", "band")
+    open_ = labelled.join(several, ["t", "band"])
+    left, right = (open_.select("t", "band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    rest = left.join(right, ["t", "band"]).where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return first.unionByName(_linked(rest, sets, percent))
+
+
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` with one kept of each group, that of the smallest doc_id; all columns stay as they are.
+
+    Texts are linked if they share ``percent`` hundredths of their distinct shingles or more, and groups are what links connect. Texts
+    without words are one group.
+    """
+    text_key = F.md5(F.coalesce("text", F.lit("")))
+    sketched = docs.select("doc_id", text_key.alias("key"), _sketches(F.col("text"), words, seed).alias("s"))
+    rows = materialise(sketched.select("doc_id", "key", "s.node", "s.bands"), "sketches")
+    roots = components(_links(rows, docs, words, percent, seed))
+    rooted = rows.select("doc_id", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root", "key").agg(F.min("doc_id").alias("first"))
+    least = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("kept"))
+    kept = materialise(least.select(F.col("kept.key").alias("kept_key"), F.col("kept.first").alias("kept_id")), "kept")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key.alias("key"))
+    lead = marked.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))  # a hot text is dealt by id as well
+    nth = F.row_number().over(Window.partitionBy("kept_key", "kept_id").orderBy("id"))
     return lead.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 

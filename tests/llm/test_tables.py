@@ -158,6 +158,16 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def kept(spark, texts):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+
+
+def test_texts_of_the_same_words_in_another_order_stay(spark):
+    words = [f"w{i}" for i in range(60)]
+    mixed = random.Random(1).sample(words, 60)
+    assert kept(spark, [" ".join(words), " ".join(mixed), " ".join(w for w in words for _ in range(2))]) == [0, 1, 2]
+
+
 # --- licences
 
 
