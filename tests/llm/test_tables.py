@@ -158,16 +158,58 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def kept_by_hand(texts):
+    """The least index of each group that links of 0.8 of the five-word shingles connect."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
 def kept(spark, texts):
     return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
 
 
+def test_a_new_word_in_a_repetitive_text_is_a_near_copy(spark):
+    base = " ".join(f"w{i % 37}" for i in range(400))
+    assert kept(spark, [base, base + " tail"]) == [0]
+
+
 def test_texts_of_the_same_words_in_another_order_stay(spark):
     words = [f"w{i}" for i in range(60)]
     mixed = random.Random(1).sample(words, 60)
     assert kept(spark, [" ".join(words), " ".join(mixed), " ".join(w for w in words for _ in range(2))]) == [0, 1, 2]
 
 
+def test_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    texts = [None, "", " "]
+    for size in (3, 8, 30, 120, 120, 500):
+        base = [f"v{rng.randrange(5000)}" for _ in range(size)]
+        texts.append(" ".join(base))
+        step = list(base)
+        for n in range(30):
+            own = list(base)
+            for at in rng.sample(range(size), rng.randint(0, max(1, size // 30))):
+                own[at] = f"x{rng.randrange(10**9)}"
+            texts += [" ".join(own), " ".join(own).upper()]
+            step[rng.randrange(size)] = f"y{n}"  # a chain, whose ends are unlike
+            texts.append(" ".join(step))
+    rng.shuffle(texts)
+    want = kept_by_hand(texts)
+    assert 20 < len(want) < len(texts) // 2 and kept(spark, texts) == want
+
+
 # --- licences
 
 
