@@ -44,6 +44,8 @@ P_CLOSERS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Names that tell what a wrapper has or lacks, not what it is.
+_STATE = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[-_]\S*")
 
 
 def _out(name: str, attributes: str, labelled: bool) -> bool:
@@ -55,7 +57,7 @@ def _out(name: str, attributes: str, labelled: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id") and (not HINTS.isdisjoint(words := _SPLIT.split(value)) or not labelled and not HINT_HEADER.isdisjoint(words)):
+        if key in ("class", "id") and (not HINTS.isdisjoint(words := _SPLIT.split(_STATE.sub(" ", value))) or not labelled and not HINT_HEADER.isdisjoint(words)):
             return True
     return False
 

@@ -41,6 +41,12 @@ def test_main_text(spark):
     assert html_text.learn(pages.limit(0)).words == {}
 
 
+@pytest.mark.parametrize("named", ["class='content has-sidebar'", "id='page' class='no-sidebar'", "class=with-right-sidebar"])
+def test_a_wrapper_is_not_what_it_has_or_lacks(named):
+    source = page(f"<div {named}><article><p>one two three</p></article><div class='sidebar no-print'>side</div></div>")
+    assert html_text.main_text(source, html_text.Weights({}, {})) == "one two three"
+
+
 def test_best_region_against_all_pairs():
     rng = random.Random(0)
     for _ in range(200):
