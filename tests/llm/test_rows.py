@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -38,13 +39,37 @@ def test_main_text(spark):
     assert html_text.main_text(whole, w) == "A & B\none two three four\nfive é\nsix"
     assert html_text.main_text("bare <i>text</i> &lt;kept&gt;", w) == "bare text <kept>"
     assert html_text.main_text("<p>cut <!-- off", w) == "cut"
-    assert html_text.learn(pages.limit(0)).words == {}
-
-
-@pytest.mark.parametrize("named", ["class='content has-sidebar'", "id='page' class='no-sidebar'", "class=with-right-sidebar"])
-def test_a_wrapper_is_not_what_it_has_or_lacks(named):
-    source = page(f"<div {named}><article><p>one two three</p></article><div class='sidebar no-print'>side</div></div>")
-    assert html_text.main_text(source, html_text.Weights({}, {})) == "one two three"
+    assert html_text.learn(pages.limit(0)) == html_text.NO_WEIGHTS
+    assert html_text.learn(pages).features["n ad"] < 0
+    long = page("<div class='box9'>" + "buy " * 30 + "</div><article><p>" + "word " * 40000 + "</p></article>")
+    one = spark.createDataFrame([(long,), (long,)], "html string")
+    assert html_text.learn(one).features["n box9"] < 0  # a long page teaches like any other
+
+
+@pytest.mark.parametrize("named", ["class='content has-sidebar'", "id='main' class='no-comments'", "class=with-right-sidebar", "class='social-science'", "class='related-work'"])
+@pytest.mark.parametrize("inner", ["<h1>T</h1><p>one two three</p>", "<article><h1>T</h1><p>one two three</p></article>"])
+def test_a_wrapper_is_not_what_it_has_or_lacks(named, inner):
+    source = page(f"<div {named}>{inner}</div><div class='sidebar no-print'><p>side words here</p></div>")
+    assert html_text.main_text(source) == "T\none two three"
+
+
+def test_content_keeps_its_parts_and_loses_what_stands_for_something_else():
+    inner = "<h1>T</h1><section class='related-work'><p>one two</p></section><div class='tags-intro'>three</div><ul><li>four</li><li><a href=x>five</a></li></ul>"
+    other = "<aside><p>side</p></aside><div class='ad-slot'>buy now</div><form><p>join us</p></form><div class='readerComments'><p>great post</p></div><div hidden>no</div>"
+    want = "T\none two\nthree\nfour\nfive\nlast words"
+    assert html_text.main_text(page(f"<main>{inner}{other}<p>last words</p></main><section class='related'><article><h3>teaser text</h3></article></section>")) == want
+    story = "<p>" + "plain words of a story " * 20 + "</p>"
+    assert html_text.main_text(page(f"<div class='cookie-notice'>we use</div><div>{story}</div><div class='reader-feedback'><p>great post</p></div>")) == " ".join(story[3:-4].split())
+    menu = "<div>" + "<a href=x>menu words</a> " * 9 + "</div>"  # without a name that tells: the scan leaves links outside
+    assert html_text.main_text(f"{menu}<div>{story}</div>{menu}") == " ".join(story[3:-4].split())
+    assert html_text.main_text("<div class='sidebar'><p>all there is</p></div>") == "all there is"
+
+
+@pytest.mark.parametrize("source", ["<b>" * 12000 + "</i>" * 12000, "<div>" * 60000 + "x" + "</span>" * 60000, "<div class=a>" * 60000 + "x" + "</div>" * 60000, "<p>" * 200000, "<a>x" * 100000, "<li>" * 100000, "<!--" * 9999, "<a b='" * 9999])
+def test_nested_and_broken_pages_take_linear_time(source):
+    began = time.process_time()
+    html_text.main_text(source)
+    assert time.process_time() - began < 6
 
 
 def test_best_region_against_all_pairs():
