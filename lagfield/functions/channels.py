@@ -36,6 +36,11 @@ def keep_targets(df: DataFrame, targets: DataFrame) -> DataFrame:
     return df.join(targets.where("keep").select("target"), "target", "left_semi")
 
 
+def joint_targets(signal: DataFrame) -> DataFrame:
+    """Signals (recording, channel, t_idx, value) of several recordings under one stimulus as one: each channel of each recording is a target of its own, ``recording/channel``."""
+    return signal.select(F.lit("all").alias("recording"), "t_idx", F.concat_ws("/", F.col("recording").cast("string"), "channel").alias("target"), "value")
+
+
 def bipolar(signal: DataFrame, channels: DataFrame) -> DataFrame:
     """Each channel less the next contact of its shaft, the letters that its name begins with. ``channels``: (recording, name, ord); ``signal``: (recording, channel, t_idx, value)."""
     shaft = F.regexp_extract("name", "^[^0-9]*", 0)

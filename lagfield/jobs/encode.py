@@ -1,7 +1,12 @@
-"""Encoding models: nested cross-validated banded ridge on the Gram statistics, one task to an outer fold and a chunk of targets."""
+"""Encoding models: nested cross-validated banded ridge on the Gram statistics.
+
+The sums of every outer fold's test and inner validation parts are formed once. The alpha search is a task to an outer and an inner fold,
+for all targets, and Spark adds and compares its losses; penalties are then tuned by a task to an outer fold and a chunk of targets.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagfield.functions.channels import assign_chunk
+from lagfield.functions.grid import decimate as every_kth
 from lagfield.functions.grid import nested_folds
 from lagfield.operators.expand import Buffer, expand
-from lagfield.operators.gram import Layout, Sums, gram_tiles
-from lagfield.operators.solve import banded_ridge, r2_parts, ridge_cv_init
+from lagfield.operators.gram import Layout, Sums, fold_sums, gram_tiles
+from lagfield.operators.scores import best_alpha
+from lagfield.operators.solve import Stats, banded_ridge, r2_parts, ridge_cv_init
+from lagfield.sources.tables import finished, write_results, written_once
 
 
 @dataclass(frozen=True)
@@ -32,55 +39,119 @@ class Config:
     freeze_forward: bool = False
     chunk_size: int = 100
     rows: int = 1024
+    shared_reg: bool = True
+    decimate: int = 1
+    decimation: Callable[[DataFrame, int], DataFrame] = every_kth
 
     def layout(self) -> Layout:
+        """Without shared_reg each slot is a band of its own."""
         if len({b.frequency for _, b in self.bands.values()}) != 1:
             raise ValueError("all bands share one frequency")
         sides = lambda name: 2 if name.startswith(("sym", "lazy")) else 1
-        return Layout(tuple((f, 1 if name == "identity" else sides(name) * b.nb_buffer, b.dim) for f, (name, b) in self.bands.items()))
+        bands = [(f, 1 if name == "identity" else sides(name) * b.nb_buffer, b.dim) for f, (name, b) in self.bands.items()]
+        return Layout(tuple(bands if self.shared_reg else [(f"{f}/{k}", 1, d) for f, n, d in bands for k in range(n)]))
+
+    def folds(self) -> tuple[list[int], list[tuple[int, int, str, int]]]:
+        """Borders and roles of the samples that decimation leaves."""
+        return nested_folds(-(-next(iter(self.bands.values()))[1].n // self.decimate), self.outer, self.inner)
 
 
 RESULT = "fold int, chunk int, kind string, target int, band string, slot int, dim int, iter int, value double"
 
 
-def run_encoding(elements: DataFrame, signal: DataFrame, targets: DataFrame, config: Config) -> DataFrame:
-    """Fit and score all kept targets. Long rows (model, fold, chunk, kind, target, band, slot, dim, iter, value): kinds are weight, r2, log_lambda and loss.
+def run_encoding(elements: DataFrame, signal: DataFrame, targets: DataFrame, config: Config, path: str | None = None) -> DataFrame:
+    """Fit and score all kept targets. Long rows (fold, chunk, kind, target, band, slot, dim, iter, value, model): kinds are weight, r2, log_lambda and loss.
 
-    ``elements``: as for expand, with feature; ``signal``: (recording, t_idx, target, value); ``targets``: (target, keep).
+    ``elements``: as for expand, with feature; ``signal``: (recording, t_idx, target, value); ``targets``: (target, keep). Recordings and targets
+    keep their types; if ``targets`` has time_id, each (time_id, target) is fitted as a target of its own, and all three tables' rows carry it.
+    With ``path`` results are written there by fold, what is there already is not fitted again, and all that is there of the model is returned.
     """
-    layout = config.layout()
-    n = next(iter(config.bands.values()))[1].n
-    borders, roles = nested_folds(n, config.outer, config.inner)
-    chunk_of = assign_chunk(targets, config.chunk_size)
-    chunks: dict[int, list[int]] = {}
-    for r in chunk_of.orderBy("target").collect():  # the dimension table of targets
-        chunks.setdefault(r.chunk, []).append(r.target)
-    design = expand(elements, config.bands)
-    kept = signal.join(chunk_of.select("target"), "target", "left_semi")
-    tiles = gram_tiles(design, kept, layout, borders, chunk_of, config.rows)
-    jobs = [(o, c) for o in range(config.outer) for c in chunks]
-    keyed = tiles.withColumn("job", F.explode(F.array(*(F.struct(F.lit(o).alias("fold"), F.lit(c).alias("chunk")) for o, c in jobs))))
-    own = keyed.select("job.fold", "job.chunk", "segment_id", "ti", "tj", "g").where("tj >= 0 OR tj = -1 - 2 * chunk OR tj = -2 - 2 * chunk")
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    spark, layout = signal.sparkSession, config.layout()
+    borders, roles = config.folds()
+    keys = [c for c in ("time_id", "target") if c in targets.columns]
+    kept = targets.where("keep").select(*keys).distinct().orderBy(*keys).collect()  # the dimension table of targets
+    size = config.chunk_size if config.chunk_size > 0 else max(len(kept), 1)
+    kinds = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
+    index = spark.createDataFrame([(*r, i, i // size) for i, r in enumerate(kept)], f"{kinds}, nth int, chunk int")
+    chunks = {c: min(size, len(kept) - c * size) for c in range(-(-len(kept) // size))}
+    done = finished(spark, path, config.model) if path else set()
+    jobs = [(o, c) for o in range(config.outer) for c in chunks if (o, c) not in done]
+
+    if jobs:
+        thin = (lambda df: config.decimation(df, config.decimate)) if config.decimate > 1 else lambda df: df
+        design = thin(expand(elements, config.bands, config.shared_reg))
+        own = thin(signal.join(index, keys).select("recording", "t_idx", F.col("nth").alias("target"), "value"))
+        recordings = elements.select("recording").distinct().count()
+        tiles = gram_tiles(design, own, layout, borders, index.select(F.col("nth").alias("target"), "chunk"), config.rows, recordings)
+        sums = written_once(fold_sums(tiles, roles), "fold-sums")
+        alphas = _alphas(sums, layout, chunks, size, config)
+
+        def result(some: list[tuple[int, int]]) -> DataFrame:
+            named = _fit(sums, alphas, layout, chunks, some, size, config).withColumnRenamed("target", "nth").join(index.drop("chunk"), "nth", "left")
+            return named.select("fold", "chunk", "kind", *keys, "band", "slot", "dim", "iter", "value", F.lit(config.model).alias("model"))
+
+        if not path:
+            return result(jobs)
+        alphas = written_once(alphas, "alphas")
+        for o in sorted({o for o, _ in jobs}):
+            write_results(result([x for x in jobs if x[0] == o]), path)
+    elif not path:
+        return spark.createDataFrame([], RESULT + ", model string")
+    return spark.read.parquet(path).where(F.col("model") == config.model)
+
+
+def _alphas(sums: DataFrame, layout: Layout, chunks: dict[int, int], size: int, config: Config) -> DataFrame:
+    """(fold, chunk, nth, alpha): the alpha of the least validation loss over the inner folds, by chunk (nth null) or by target."""
+    by_target = config.alpha_scope == "target"
+    keyed = sums.where("part >= 0").withColumn("inner", F.explode(F.sequence(F.lit(0), F.lit(config.inner - 1))))
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        folds = _inner(Sums(rows, layout, chunks), config.inner, int(key[1]))
+        losses = ridge_cv_init([folds], 1, np.array(config.alphas), "target")[1] * folds[1].n
+        nth = np.arange(losses.shape[1])
+        long = pd.DataFrame({"nth": np.tile(nth, len(losses)), "alpha": np.repeat(config.alphas, len(nth)), "loss": losses.ravel()})
+        long["chunk"] = long["nth"] // size
+        if not by_target:
+            long = long.groupby(["chunk", "alpha"], as_index=False)["loss"].sum().assign(nth=None)
+        return long.assign(fold=key[0])[["fold", "chunk", "nth", "alpha", "loss"]].astype({"nth": "Int32"})
+
+    losses = keyed.groupBy("fold", "inner").applyInPandas(search, "fold int, chunk int, nth int, alpha double, loss double")
+    total = losses.groupBy("fold", "chunk", "nth", "alpha").agg(F.sum("loss").alias("loss"))
+    return best_alpha(total, ["fold", "chunk", "nth"])
+
+
+def _inner(sums: Sums, inner: int, i: int) -> tuple[Stats, Stats]:
+    parts = list(range(inner))
+    rest = [p for p in parts if p != i]
+    scaling = sums.scaling(parts)
+    _, _, var = sums.moments(parts)
+    sd = np.where(var > 0, np.sqrt(var), 1.0)
+    count, mean, inner_var = sums.moments(rest)
+    scale = np.maximum(np.sqrt(inner_var * count / max(count - 1, 1)) / sd, 1e-8) * sd
+    return sums.stats(rest, scaling, mean, scale), sums.stats([i], scaling, mean, scale)
+
+
+def _fit(sums: DataFrame, alphas: DataFrame, layout: Layout, chunks: dict[int, int], jobs: list[tuple[int, int]], size: int, config: Config) -> DataFrame:
+    """Weights, scores and penalties by (fold, chunk); a target is its number."""
+    spark = sums.sparkSession
+    wanted = spark.createDataFrame(jobs, "fold int, chunk int")  # folds times chunks of targets
+    of = F.when(F.col("tj") >= 0, F.array(*map(F.lit, chunks))).otherwise(F.array(F.expr("CAST((-1 - tj) DIV 2 AS INT)")))
+    own = sums.withColumn("chunk", F.explode(of)).join(F.broadcast(wanted), ["fold", "chunk"], "left_semi")
+
+    def fit(key: tuple, rows: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         fold, chunk = int(key[0]), int(key[1])
-        names = chunks[chunk]
-        sums = Sums(rows, layout, chunk, len(names))
-        of = lambda inner, role: [s for o, i, r, s in roles if (o, i, r) == (fold, inner, role)]
-        train, test = of(-1, "train"), of(-1, "test")
-        scaling = sums.scaling(train)
-        _, mean, var = sums.moments(train)
+        names = [chunk * size + j for j in range(chunks[chunk])]
+        of = Sums(rows, layout, {chunk: len(names)})
+        folds = [_inner(of, config.inner, i) for i in range(config.inner)]
+        parts = list(range(config.inner))
+        scaling = of.scaling(parts)
+        _, mean, var = of.moments(parts)
         sd = np.where(var > 0, np.sqrt(var), 1.0)
-        folds = []
-        for i in range(config.inner):
-            a, v = of(i, "train"), of(i, "validation")
-            count, inner_mean, inner_var = sums.moments(a)
-            scale = np.maximum(np.sqrt(inner_var * count / max(count - 1, 1)) / sd, 1e-8) * sd
-            folds.append((sums.stats(a, scaling, inner_mean, scale), sums.stats(v, scaling, inner_mean, scale)))
-        start, _ = ridge_cv_init(folds, len(layout.bands), np.array(config.alphas), config.alpha_scope)
-        whole = sums.stats(train, scaling, mean, sd)
+        alpha = np.full(len(names), best["alpha"].iloc[0]) if best["nth"].isna().all() else best.set_index("nth")["alpha"].reindex(names).to_numpy()
+        start = np.repeat(np.log(alpha)[None, :], len(layout.bands), 0)
+        whole = of.stats(parts, scaling, mean, sd)
         w, delta, losses = banded_ridge(folds, layout.band_of, start, config.n_iter, config.lr, config.optimizer, whole, config.freeze_forward)
-        held = sums.stats(test, scaling, sums.moments(test)[1], sd)
+        held = of.stats([-1], scaling, of.moments([-1])[1], sd)
         r2 = r2_parts(held, w, layout.slot_of)
         out = [(fold, chunk, "weight", t, b, s, d, None, w[i, j]) for i, (b, s, d) in enumerate(layout.columns) for j, t in enumerate(names)]
         out += [(fold, chunk, "r2", t, b, s, None, None, r2[i, j]) for i, (b, s, _) in enumerate(layout.slots) for j, t in enumerate(names)]
@@ -89,7 +160,7 @@ def run_encoding(elements: DataFrame, signal: DataFrame, targets: DataFrame, con
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
         return frame.astype({c: "Int32" for c in ("target", "slot", "dim", "iter")})
 
-    return own.groupBy("fold", "chunk").applyInPandas(fit, RESULT).withColumn("model", F.lit(config.model))
+    return own.groupBy("fold", "chunk").cogroup(alphas.join(F.broadcast(wanted), ["fold", "chunk"], "left_semi").groupBy("fold", "chunk")).applyInPandas(fit, RESULT)
 
 
 def model_suite(features: dict[str, Buffer], trees: tuple[str, ...], phonemes: tuple[str, ...]) -> dict[str, Config]:

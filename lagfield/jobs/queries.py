@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagfield.functions import channels as ch
@@ -12,10 +14,14 @@ from lagfield.operators import expand as ex
 from lagfield.operators import scores as sc
 from lagfield.operators import stats as st
 from lagfield.operators.envelope import high_gamma as envelope_of
+from lagfield.operators.gram import Layout
 from lagfield.operators.gram import gram_tiles as build_tiles
+from lagfield.operators.gram import predict_dense as dense_predictions
+from lagfield.sources import tables as tb
 
 from . import data
 from .encode import Config
+from .encode import model_suite as suite_of
 from .encode import run_encoding as encode
 
 QUERIES: dict = {}
@@ -54,8 +60,8 @@ def active_sql(name: str, b: ex.Buffer, shift: float = 0.0, source: str = "e") -
 {name} AS (SELECT *, unnest(range(lo, hi)) AS t_idx FROM {name}_w WHERE hi > lo)"""
 
 
-def buffer_sql(name: str, b: ex.Buffer, order: str, shift: float = 0.0) -> str:
-    return f"""{active_sql(name + "_a", b, shift)},
+def buffer_sql(name: str, b: ex.Buffer, order: str, shift: float = 0.0, source: str = "e") -> str:
+    return f"""{active_sql(name + "_a", b, shift, source)},
 {name}_r AS (SELECT *, least(row_number() OVER (PARTITION BY recording, t_idx ORDER BY element_id {order}) - 1, {b.nb_buffer - 1}) AS slot FROM {name}_a),
 {name} AS (SELECT recording, t_idx, slot, sum(v0) AS v0, sum(v1) AS v1 FROM {name}_r GROUP BY 1, 2, 3)"""
 
@@ -127,10 +133,10 @@ def sym_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose sentence is the hour, with vectors in ten contexts."""
+    """Events whose sentence is the hour, with vectors in as many contexts as the sentence has elements."""
     e = data.events(spark, sf_dir).withColumn("sentence_id", F.floor("t").cast("int"))
-    e = gr.position_in_sentence(e, "element_id").withColumn("position", F.least("position", F.lit(9)))
-    return e.withColumn("vec", F.expr("transform(sequence(0, 9), c -> array(vec[0] * (c + 1), vec[1] + c))"))
+    e = gr.position_in_sentence(e, "element_id").withColumn("last", F.max("position").over(Window.partitionBy("recording", "sentence_id")))
+    return e.withColumn("vec", F.expr("transform(sequence(0, last), c -> array(vec[0] * (c + 1), vec[1] + c))")).drop("last")
 
 
 def parse_sql(name: str, order: str, shift: float = 0.0, legacy: bool = False) -> str:
@@ -143,10 +149,10 @@ def parse_sql(name: str, order: str, shift: float = 0.0, legacy: bool = False) -
 {name}_c AS (SELECT *, max(position) OVER (PARTITION BY recording, t_idx) AS context, count(*) OVER (PARTITION BY recording, t_idx) AS held, row_number() OVER (PARTITION BY recording, t_idx ORDER BY element_id) - 1 AS age,
     least(row_number() OVER (PARTITION BY recording, t_idx ORDER BY element_id {order}) - 1, {b.nb_buffer - 1}) AS slot FROM {name}_k WHERE run = last),
 {name}_x AS (SELECT *, {context} AS c FROM {name}_c),
-{name} AS (SELECT recording, t_idx, slot, sum(v0 * (c + 1)) AS v0, sum(v1 + c) AS v1 FROM {name}_x WHERE c < 10 GROUP BY 1, 2, 3)"""
+{name} AS (SELECT recording, t_idx, slot, sum(v0 * (c + 1)) AS v0, sum(v1 + c) AS v1 FROM {name}_x GROUP BY 1, 2, 3)"""
 
 
-_HOURS = "h AS (SELECT recording, element_id, t, v0, v1, CAST(floor(t) AS INTEGER) AS sentence_id, least(row_number() OVER (PARTITION BY recording, CAST(floor(t) AS INTEGER) ORDER BY element_id) - 1, 9) AS position FROM ev)"
+_HOURS = "h AS (SELECT recording, element_id, t, v0, v1, CAST(floor(t) AS INTEGER) AS sentence_id, row_number() OVER (PARTITION BY recording, CAST(floor(t) AS INTEGER) ORDER BY element_id) - 1 AS position FROM ev)"
 
 
 @query(f"WITH {data.EVENTS}, {_HOURS}, {parse_sql('d', 'DESC')} {long_sql('d')}")
@@ -169,46 +175,67 @@ def sym_parse_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(ex.sym_parse_reset(_parsed(spark, sf_dir), data.WINDOW))
 
 
-_SERIES = "s AS (SELECT 0 AS recording, CAST(vec_id AS INTEGER) AS t_idx, CAST(embedding[1] AS DOUBLE) AS v0, CAST(embedding[2] AS DOUBLE) AS v1 FROM embeddings)"
+_SERIES = "s AS (SELECT 0 AS recording, CAST(vec_id AS INTEGER) AS t_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), n AS (SELECT max(t_idx) + 1 AS n, max(len(vec)) AS dim FROM s)"
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("embedding")
-    return data.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("recording"), F.col("vec_id").cast("int").alias("t_idx"), F.array(x[0].cast("double"), x[1].cast("double")).alias("vec"))
+    """The embeddings as a series, one to a sample."""
+    return data.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("recording"), F.col("vec_id").cast("int").alias("t_idx"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _shifts(series: DataFrame) -> ex.Buffer:
+    """Two-sample lags over the whole series, three on each side."""
+    n, dim = series.agg(F.max("t_idx") + 1, F.max(F.size("vec"))).first()
+    return ex.Buffer(frequency=10, duration=(n - 0.5) / 10, dim=dim, **_LAGS)
 
 
-#: Two-sample lags over 500 rows, three on each side.
-SHIFTS = ex.Buffer(frequency=10, duration=50, dim=2, prediction_start=0.1, period=0.2, nb_buffer=3)
+_LAGS = {"prediction_start": 0.1, "period": 0.2, "nb_buffer": 3}
+_FUTURE = [int((_LAGS["prediction_start"] + i * _LAGS["period"]) * 10) for i in range(3)]
+_PAST = [int((_LAGS["prediction_start"] - i * _LAGS["period"]) * 10) for i in range(3)]
 
 
 def _lags_sql(past: list[int]) -> str:
-    future = [int((SHIFTS.prediction_start + i * SHIFTS.period) * SHIFTS.frequency) for i in range(SHIFTS.nb_buffer)]
-    rows = ", ".join(f"({i}, {s})" for i, s in enumerate(past + future))
-    return f"z(slot, shift) AS (VALUES {rows}), d AS (SELECT recording, t_idx + shift AS t_idx, slot, v0, v1 FROM s, z WHERE t_idx + shift BETWEEN 0 AND {SHIFTS.n - 1})"
+    rows = ", ".join(f"({i}, {s})" for i, s in enumerate(past + _FUTURE))
+    return f"z(slot, shift) AS (VALUES {rows}), d AS (SELECT recording, t_idx + shift AS t_idx, slot, vec FROM s, z, n WHERE t_idx + shift BETWEEN 0 AND n - 1)"
 
 
-_PAST = [int((SHIFTS.prediction_start - i * SHIFTS.period) * SHIFTS.frequency) for i in range(SHIFTS.nb_buffer)]
+def _vectors_sql(source: str) -> str:
+    return f"SELECT CAST(recording AS BIGINT) AS recording, CAST(t_idx AS INTEGER) AS t_idx, CAST(slot AS INTEGER) AS slot, CAST(unnest(range(len(vec))) AS INTEGER) AS dim, unnest(list_transform(vec, lambda x: round(x, 6))) AS value FROM {source}"
 
 
-@query(f"WITH {_SERIES}, {_lags_sql(_PAST)} {long_sql('d')}")
+@query(f"WITH {_SERIES}, {_lags_sql(_PAST)} {_vectors_sql('d')}")
 def timeshift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(ex.sym_timeshift(_series(spark, sf_dir), SHIFTS))
+    series = _series(spark, sf_dir)
+    return long(ex.sym_timeshift(series, _shifts(series)))
 
 
 @query(
-    f"""WITH {_SERIES}, {_lags_sql([-int((SHIFTS.prediction_start + i * SHIFTS.period) * SHIFTS.frequency) for i in range(SHIFTS.nb_buffer)])},
-q AS (SELECT r.recording, g.t_idx, k.slot, coalesce(d.v0, 0.0) AS v0, coalesce(d.v1, 0.0) AS v1 FROM (SELECT DISTINCT recording FROM s) r CROSS JOIN range({SHIFTS.n}) g(t_idx) CROSS JOIN range({2 * SHIFTS.nb_buffer}) k(slot) LEFT JOIN d ON d.recording = r.recording AND d.t_idx = g.t_idx AND d.slot = k.slot)
-{long_sql('q')}"""
+    f"""WITH {_SERIES}, {_lags_sql([-x for x in _FUTURE])},
+q AS (SELECT r.recording, g.t_idx, k.slot, coalesce(d.vec, list_transform(range(n.dim), lambda x: 0.0::DOUBLE)) AS vec FROM (SELECT DISTINCT recording FROM s) r CROSS JOIN n CROSS JOIN (SELECT unnest(range(n)) AS t_idx FROM n) g CROSS JOIN range(6) k(slot) LEFT JOIN d ON d.recording = r.recording AND d.t_idx = g.t_idx AND d.slot = k.slot)
+{_vectors_sql('q')}"""
 )
 def lazy_timeshift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(ex.BUFFERS["lazy_timeshift"](_series(spark, sf_dir), SHIFTS))
+    series = _series(spark, sf_dir)
+    return long(ex.BUFFERS["lazy_timeshift"](series, _shifts(series)))
 
 
-@query(f"WITH {_SERIES} {long_sql('(SELECT recording, t_idx // 3 AS t_idx, 0 AS slot, v0, v1 FROM s WHERE t_idx % 3 = 0)')}")
+@query(f"WITH {_SERIES} {_vectors_sql('(SELECT recording, t_idx // 3 AS t_idx, 0 AS slot, vec FROM s WHERE t_idx % 3 = 0)')}")
 def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(gr.decimate(_series(spark, sf_dir), 3).withColumn("slot", F.lit(0)))
 
 
+@query(f"WITH {_SERIES} {_vectors_sql('(SELECT recording, t_idx, 0 AS slot, vec FROM s WHERE t_idx >= 0)')}")
+def identity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = _series(spark, sf_dir)
+    return long(ex.BUFFERS["identity"](series, _shifts(series)))
+
+
+@query(f"WITH {data.EVENTS}, g AS (SELECT recording, CAST(ceil(max(t) * {data.EVENT_RATE}) AS INTEGER) AS n FROM ev GROUP BY 1) SELECT recording, CAST(unnest(range(n)) AS INTEGER) AS t_idx FROM g")
+def time_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample up to a recording's last event."""
+    return gr.time_grid(data.events(spark, sf_dir).groupBy("recording").agg(F.max("t").alias("duration")), data.EVENT_RATE)
+
+
 _BORDERS, _ROLES = gr.nested_folds(data.N_DAYS)
 
 
@@ -378,15 +405,15 @@ ALPHAS = [10.0**k for k in range(-3, 7)]
     f"""WITH {_FEW}, {data.SIGNAL}, g AS ({_GRAM} WHERE l.{TRAIN} GROUP BY 1, 2), v AS ({_GRAM} WHERE NOT l.{TRAIN} GROUP BY 1, 2), a(alpha) AS (VALUES {", ".join(f"(CAST({x} AS DOUBLE))" for x in ALPHAS)}),
 w AS (SELECT g.col, g.target, alpha, g.sxy / (g.sxx + alpha) AS w FROM g, a),
 s AS (SELECT w.col, w.target, alpha, (v.syy - 2 * w.w * v.sxy + w.w * w.w * v.sxx) / (2 * v.n) AS loss FROM w JOIN v ON v.col = w.col AND v.target = w.target)
-SELECT CAST(col AS INTEGER) AS col, target, round(loss, 6) AS loss FROM s QUALIFY row_number() OVER (PARTITION BY col, target ORDER BY loss, alpha) = 1"""
+SELECT CAST(col AS INTEGER) AS col, target, alpha, round(loss, 6) AS loss FROM s QUALIFY row_number() OVER (PARTITION BY col, target ORDER BY loss, alpha) = 1"""
 )
 def ridge_1col(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed-form ridge on one column at a time: the least validation loss over the alphas."""
+    """Closed-form ridge on one column at a time: the alpha of the least validation loss, and that loss."""
     train, test = _gram(spark, sf_dir, TRAIN), _gram(spark, sf_dir, f"NOT ({TRAIN})")
     w = train.withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS)))).select("col", "target", "alpha", (F.col("sxy") / (F.col("sxx") + F.col("alpha"))).alias("w"))
     loss = (F.col("syy") - 2 * F.col("w") * F.col("sxy") + F.col("w") * F.col("w") * F.col("sxx")) / (2 * F.col("n"))
     best = sc.best_alpha(w.join(test, ["col", "target"]).select("col", "target", "alpha", loss.alias("loss")), ["col", "target"])
-    return best.select(F.col("col").cast("int").alias("col"), "target", F.round("loss", 6).alias("loss"))
+    return best.select(F.col("col").cast("int").alias("col"), "target", "alpha", F.round("loss", 6).alias("loss"))
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------------
@@ -492,9 +519,16 @@ def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.paired_t(_totals(spark, sf_dir, 5), _totals(spark, sf_dir, 2)).select("n", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"))
 
 
-@query()
+@query(
+    f"""{_MODELS}, pairs AS (SELECT ta.r2 - tb.r2 AS v FROM ta JOIN tb USING (target)), s AS (SELECT count(v) AS n, avg(v) AS mean, avg(v) / (stddev_samp(v) / sqrt(count(v))) AS t FROM pairs),
+i AS (SELECT g.i, s.t * g.i / 4000 AS x, n - 1 AS v, CASE WHEN g.i IN (0, 4000) THEN 1 WHEN g.i % 2 = 1 THEN 4 ELSE 2 END AS w FROM s, range(4001) g(i)),
+p AS (SELECT 0.5 - sum(w * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * pow(1 + x * x / v, -(v + 1) / 2.0)) * any_value(t) / 12000 AS p FROM i, s)
+SELECT n, round(mean, 6) AS mean, round(t, 6) AS t, round(p, 8) AS p, p < 0.001 AS star FROM s, p"""
+)
 def paired_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.paired_ttest(_totals(spark, sf_dir, 5), _totals(spark, sf_dir, 2), "greater")
+    """The oracle integrates the density of t by Simpson's rule."""
+    rows = sc.paired_ttest(_totals(spark, sf_dir, 5), _totals(spark, sf_dir, 2), "greater")
+    return rows.select("n", *(F.round(c, k).alias(c) for c, k in (("mean", 6), ("t", 6), ("p", 8))), "star")
 
 
 @query(f"{_MODELS} SELECT model, round(avg(r2), 6) AS mean, round(stddev_pop(r2) / sqrt(count(r2)), 6) AS error FROM (SELECT 'five' AS model, r2 FROM ta UNION ALL SELECT 'two', r2 FROM tb) GROUP BY 1")
@@ -518,7 +552,7 @@ def unexplained_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.unexplained_share(_summary(spark, sf_dir)).withColumn("unexplained", F.round("unexplained", 6))
 
 
-# --- model jobs: beyond SQL, tested against dense numpy ---------------------------------------------------------------------
+# --- model jobs: dense work in tasks; the fits of many columns are beyond SQL and tested against dense numpy -----------------
 
 
 def _order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,19 +562,66 @@ def _order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_config(optimizer: str = "adam") -> Config:
-    taps = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=6)
-    window = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, prediction_end=3.0, nb_buffer=3, buffer_duration=3.0)
-    return Config("orders", {"price": ("sym_tap", taps), "count": ("sym_buffer", window)}, alphas=tuple(10.0**k for k in range(-3, 7)), n_iter=10, lr=0.1, optimizer=optimizer, chunk_size=10)
+    """The default penalties and steps, with 40 taps and 30 slots to a side."""
+    taps = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=40)
+    window = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, prediction_end=3.0, nb_buffer=30, buffer_duration=3.0)
+    return Config("orders", {"price": ("sym_tap", taps), "count": ("sym_buffer", window)}, optimizer=optimizer, chunk_size=10)
 
 
-@query()
+_SMALL_TAPS = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=3)
+_SMALL_WINDOW = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, prediction_end=3.0, nb_buffer=2, buffer_duration=3.0)
+_SMALL = Config("small", {"price": ("sym_tap", _SMALL_TAPS), "count": ("sym_buffer", _SMALL_WINDOW)}, chunk_size=10)
+_SEGMENT = " + ".join(f"CAST(t_idx >= {b} AS INTEGER)" for b in _BORDERS[1:-1])
+_KEPT = "kt AS (SELECT n_nationkey AS target, (row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS chunk, (row_number() OVER (ORDER BY n_nationkey) - 1) % 10 AS nth FROM nation WHERE n_regionkey IN (0, 1, 2)), kc AS (SELECT chunk, count(*) AS size FROM kt GROUP BY 1)"
+
+
+@query(
+    f"""WITH {data.ORDERS}, {data.SIGNAL}, {_KEPT}, {taps_sql('tp', _SMALL_TAPS, True, 'o')}, {taps_sql('tf', _SMALL_TAPS, False, 'o')}, {buffer_sql('bp', _SMALL_WINDOW, 'ASC', -3.0, 'o')}, {buffer_sql('bf', _SMALL_WINDOW, 'DESC', 0.0, 'o')},
+x AS (SELECT t_idx, slot AS col, v0 AS v FROM tp UNION ALL SELECT t_idx, slot + 3, v0 FROM tf UNION ALL SELECT t_idx, slot + 6, v1 FROM bp UNION ALL SELECT t_idx, slot + 8, v1 FROM bf),
+days AS (SELECT unnest(range({data.N_DAYS})) AS t_idx), a AS (SELECT t_idx, col, v FROM x UNION ALL SELECT t_idx, col + 10, 1.0 FROM x UNION ALL SELECT t_idx, 20, 1.0 FROM days),
+s AS (SELECT *, {_SEGMENT} AS segment_id FROM a),
+ys AS (SELECT t_idx, chunk, nth, value FROM y JOIN kt USING (target)),
+seg AS (SELECT unnest(range({len(_BORDERS) - 1})) AS segment_id),
+g AS (SELECT p.segment_id, p.col * 21 + q.col AS pos, sum(p.v * q.v) AS value FROM s p JOIN s q ON q.t_idx = p.t_idx GROUP BY 1, 2),
+c AS (SELECT p.segment_id, chunk, p.col, nth, sum(p.v * value) AS value FROM s p JOIN ys ON ys.t_idx = p.t_idx GROUP BY 1, 2, 3, 4),
+e AS (SELECT {_SEGMENT} AS segment_id, chunk, nth AS pos, sum(value * value) AS value FROM ys GROUP BY 1, 2, 3),
+o1 AS (SELECT segment_id, 0 AS tj, pos, coalesce(value, 0) AS value FROM seg CROSS JOIN (SELECT unnest(range(441)) AS pos) LEFT JOIN g USING (segment_id, pos)),
+o2 AS (SELECT h.segment_id, -1 - 2 * h.chunk AS tj, h.col * size + h.nth AS pos, coalesce(value, 0) AS value FROM (SELECT * FROM seg CROSS JOIN (SELECT unnest(range(21)) AS col) CROSS JOIN (SELECT chunk, nth FROM kt)) h JOIN kc ON kc.chunk = h.chunk LEFT JOIN c ON c.segment_id = h.segment_id AND c.chunk = h.chunk AND c.col = h.col AND c.nth = h.nth),
+o3 AS (SELECT segment_id, -2 - 2 * chunk AS tj, pos, value FROM e)
+SELECT CAST(segment_id AS INTEGER) AS segment_id, 0 AS ti, CAST(tj AS INTEGER) AS tj, CAST(pos AS INTEGER) AS pos, round(value, 4) AS value FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o3)"""
+)
 def gram_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = order_config()
-    design = ex.expand(_order_elements(spark, sf_dir), config.bands)
-    chunk_of = ch.assign_chunk(_mask(spark, sf_dir), config.chunk_size)
+    """Sums of products by segment of ten columns, their presence and ones, and with every chunk of targets."""
+    design = ex.expand(_order_elements(spark, sf_dir), _SMALL.bands)
+    chunk_of = ch.assign_chunk(_mask(spark, sf_dir), _SMALL.chunk_size)
     y = ch.keep_targets(data.signal(spark, sf_dir), _mask(spark, sf_dir))
-    tiles = build_tiles(design, y, config.layout(), _BORDERS, chunk_of)
-    return tiles.select("segment_id", "ti", "tj", F.posexplode("g").alias("pos", "value"))
+    tiles = build_tiles(design, y, _SMALL.layout(), _BORDERS, chunk_of)
+    return tiles.select("segment_id", "ti", "tj", F.posexplode("g").alias("pos", "value")).withColumn("value", F.round("value", 4) + 0.0)
+
+
+_ONE_TAP = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=1)
+_ONE = Config("one", {"price": ("tap", _ONE_TAP)}, alphas=tuple(ALPHAS), n_iter=0, chunk_size=-1)
+
+
+@query(
+    f"""WITH {data.ORDERS}, {data.SIGNAL}, {_KEPT}, {taps_sql('d', _ONE_TAP, False, 'o')}, al(alpha) AS (VALUES {", ".join(f"(CAST({x} AS DOUBLE))" for x in ALPHAS)}), f(o, i, role, segment_id) AS (VALUES {", ".join(map(str, _ROLES))}),
+s AS (SELECT t_idx, target, value, {_SEGMENT} AS segment_id FROM y SEMI JOIN kt USING (target)),
+r AS (SELECT s.t_idx, target, value, o, i, role, v0 AS x FROM s JOIN f USING (segment_id) LEFT JOIN d ON d.t_idx = s.t_idx),
+k AS (SELECT o, avg(x) AS xm, stddev_pop(x) AS xs FROM (SELECT DISTINCT o, t_idx, x FROM r WHERE i = -1 AND role = 'train') GROUP BY 1),
+z AS (SELECT r.*, CASE WHEN x IS NULL THEN 0 ELSE (x - xm) / xs END AS z FROM r JOIN k USING (o)),
+a AS (SELECT o, i, target, avg(value) AS im, stddev_samp(value) AS sd FROM r WHERE i >= 0 AND role = 'train' GROUP BY 1, 2, 3),
+b AS (SELECT o, i, target, sum(z * z) FILTER (role = 'train') AS sxx, sum(z * (value - im) / sd) FILTER (role = 'train') AS sxy, sum(z * z) FILTER (role = 'validation') AS vxx, sum(z * (value - im) / sd) FILTER (role = 'validation') AS vxy, sum(((value - im) / sd) ** 2) FILTER (role = 'validation') AS vyy FROM z JOIN a USING (o, i, target) GROUP BY 1, 2, 3),
+best AS (SELECT o, alpha FROM (SELECT o, alpha, sum(vyy - 2 * sxy / (sxx + alpha) * vxy + (sxy / (sxx + alpha)) ** 2 * vxx) AS loss FROM b, al GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY o ORDER BY loss, alpha) = 1),
+m AS (SELECT o, target, avg(value) FILTER (role = 'train') AS ym, stddev_pop(value) FILTER (role = 'train') AS ys, avg(value) FILTER (role = 'test') AS tm FROM r WHERE i = -1 GROUP BY 1, 2),
+h AS (SELECT o, target, sum(z * z) FILTER (role = 'train') AS sxx, sum(z * (value - ym) / ys) FILTER (role = 'train') AS sxy, sum(z * z) FILTER (role = 'test') AS txx, sum(z * (value - tm) / ys) FILTER (role = 'test') AS txy, sum(((value - tm) / ys) ** 2) FILTER (role = 'test') AS tyy FROM z JOIN m USING (o, target) WHERE i = -1 GROUP BY 1, 2),
+w AS (SELECT h.*, alpha, sxy / (sxx + alpha) AS w FROM h JOIN best USING (o))
+SELECT CAST(o AS INTEGER) AS fold, target, round(alpha, 6) AS alpha, round(w, 6) + 0.0 AS weight, round((2 * w * txy - w * w * txx) / tyy, 6) + 0.0 AS r2 FROM w"""
+)
+def run_encoding_1col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with one column, which SQL can say: nested folds, scaling by training rows, the alpha search, the fit and its score."""
+    out = encode(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), _ONE)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    return out.where("target IS NOT NULL").groupBy("fold", "target").agg(F.round(F.exp(of("log_lambda")), 6).alias("alpha"), (F.round(of("weight"), 6) + 0.0).alias("weight"), (F.round(of("r2"), 6) + 0.0).alias("r2"))
 
 
 @query()
@@ -554,7 +635,118 @@ def run_encoding_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def model_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four models, written and gathered: total scores by model, band and target."""
+    suite = suite_of({"price": _SMALL_TAPS, "count": _SMALL_WINDOW}, ("count",), ("price",))
+    path = tb.scratch(spark, "suite")
+    for config in suite.values():
+        encode(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), replace(config, n_iter=5), path)
+    r2 = spark.read.parquet(path).where("kind = 'r2'").withColumnRenamed("value", "r2")
+    return r2.groupBy("model", "band", "target", "fold").agg(F.sum("r2").alias("r2")).groupBy("model", "band", "target").agg(F.avg("r2").alias("r2"))
+
+
+_DENSE = Layout((("price", 5, 1), ("count", 5, 1)))
+
+
+@query(
+    f"""WITH {_FEW}, {data.SIGNAL}, w AS ({_weights_sql(5)}), p AS (SELECT t_idx, target, sum(x * w) AS yhat FROM l JOIN w ON w.slot = l.slot AND w.dim = l.dim GROUP BY 1, 2)
+SELECT y.t_idx, y.target, round(value, 9) AS value, round(coalesce(yhat, 0), 6) + 0.0 AS yhat FROM y LEFT JOIN p ON p.t_idx = y.t_idx AND p.target = y.target"""
+)
+def predict_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions beside the signal, a block of samples at a time."""
+    both = ex.tap_add(data.orders(spark, sf_dir), FEW)
+    design = both.select("recording", "t_idx", "slot", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.array(F.col("vec")[i]).alias("vec")) for i, b in enumerate(("price", "count"))))).alias("of")).select("recording", "t_idx", "of.band", "slot", "of.vec")
+    weights = _weights(spark, sf_dir, 5).select("target", "band", "slot", F.lit(0).alias("dim"), F.col("w").alias("value"))
+    return dense_predictions(design, data.signal(spark, sf_dir), weights, _DENSE).select("t_idx", "target", F.round("value", 9).alias("value"), (F.round("yhat", 6) + 0.0).alias("yhat"))
+
+
+def _sampled_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily revenue as if sampled 1,000 times a second."""
+    return data.signal(spark, sf_dir).select("recording", F.concat(F.lit("n"), "target").alias("channel"), "t_idx", "value")
+
+
+@query(
+    f"""WITH {data.SIGNAL}, b AS (SELECT k.b, greatest(0, k.b * 1000 - 1000) AS start, least({data.N_DAYS}, k.b * 1000 + 2000) AS stop FROM range(3) k(b)),
+q AS (SELECT b, start, stop - start AS len, unnest(range(0, (stop - start) // 2)) AS k FROM b), f AS (SELECT *, k * 1000.0 / len AS hz FROM q),
+h AS (SELECT * FROM f WHERE hz BETWEEN 70 AND 200 AND abs(hz - 60 * round(hz / 60)) > 2),
+u AS (SELECT h.b, h.k, h.len, start, target, sum(value * cos(2 * pi() * k * (t_idx - start) / len)) AS re, -sum(value * sin(2 * pi() * k * (t_idx - start) / len)) AS im FROM h JOIN y ON y.t_idx >= start AND y.t_idx < start + len GROUP BY 1, 2, 3, 4, 5),
+t AS (SELECT g.t_idx, target, b, 2.0 / any_value(len) * sqrt(sum(re * cos(2 * pi() * k * (g.t_idx - start) / len) - im * sin(2 * pi() * k * (g.t_idx - start) / len)) ** 2 + sum(re * sin(2 * pi() * k * (g.t_idx - start) / len) + im * cos(2 * pi() * k * (g.t_idx - start) / len)) ** 2) AS v
+    FROM u JOIN (SELECT unnest(range({data.N_DAYS})) AS t_idx) g ON g.t_idx // 1000 = b GROUP BY 1, 2, 3)
+SELECT 0 AS recording, 'n' || target AS channel, CAST(t_idx // 50 AS BIGINT) AS t_idx, round(avg(v), 6) AS value FROM t GROUP BY target, t_idx // 50"""
+)
 def high_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily revenue as if sampled 1,000 times a second, in blocks of a second."""
-    y = data.signal(spark, sf_dir).select("recording", F.concat(F.lit("n"), "target").alias("channel"), "t_idx", "value")
-    return envelope_of(y, 1000, block_s=1)
+    """The envelope in blocks of a second; the oracle sums the Fourier series term by term."""
+    return envelope_of(_sampled_second(spark, sf_dir), 1000, block_s=1).withColumn("value", F.round("value", 6))
+
+
+# --- readers and writers: what is written reads back ------------------------------------------------------------------------
+
+
+@query(f"WITH {data.CHANNELS} SELECT DISTINCT CAST(regexp_extract(name, '^G([0-9]+)$', 1) AS INTEGER) AS time_id FROM c WHERE regexp_matches(name, '^G[0-9]+$')")
+def latency_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.latency_ids(data.channels(spark, sf_dir).select("name"), "G").distinct()
+
+
+@query(
+    f"""WITH {data.SIGNAL}, k AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 1, 2) ORDER BY 1 LIMIT 6 OFFSET 2)
+SELECT 'sub-' || (target % 2) AS recording, target % 3 AS time_id, target, t_idx, round(value, 9) AS value FROM y WHERE target % 3 IN (0, 2) AND target IN (SELECT * FROM k)"""
+)
+def signal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written signal read by latency ids, kept targets and a chunk of these."""
+    y = data.signal(spark, sf_dir).select(F.concat(F.lit("sub-"), F.col("target") % 2).alias("recording"), (F.col("target") % 3).alias("time_id"), "target", "t_idx", "value")
+    path = tb.scratch(spark, "signal")
+    tb.write_signal(y, path)
+    return tb.read_signal(spark, path, [0, 2], _mask(spark, sf_dir), 6, 2).select("recording", "time_id", "target", "t_idx", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {data.SIGNAL} SELECT 'm' AS model, CAST(t_idx // 625 AS INTEGER) AS fold, CAST(target // 10 AS INTEGER) AS chunk, 'sum' AS kind, target, round(sum(value) * CASE WHEN t_idx // 625 = 2 THEN 2 ELSE 1 END, 6) AS value FROM y GROUP BY target, t_idx // 625")
+def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by model, fold and chunk; a second write of one fold replaces that fold alone."""
+    fold, chunk = F.expr("CAST(t_idx DIV 625 AS INT)").alias("fold"), F.expr("CAST(target DIV 10 AS INT)").alias("chunk")
+    sums = data.signal(spark, sf_dir).groupBy(F.lit("m").alias("model"), fold, chunk, F.lit("sum").alias("kind"), "target").agg(F.sum("value").alias("value"))
+    path = tb.scratch(spark, "results")
+    tb.write_results(sums, path)
+    tb.write_results(sums.where("fold = 2").withColumn("value", 2 * F.col("value")), path)
+    return tb.gather_results(spark, path, "m", "sum").select("model", "fold", "chunk", "kind", "target", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {data.WORDS} SELECT row_id, regexp_replace(word, '\\s', '_', 'g') AS word, round(start, 6) AS start, round(stop, 6) AS \"end\", pos, CAST(sentence_id AS INTEGER) AS sentence_id FROM w WHERE word <> ''")
+def read_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcript written as text, a word to a line, and read by its schema."""
+    path = tb.scratch(spark, "transcript")
+    data.words(spark, sf_dir).where("word <> ''").select("row_id", F.regexp_replace("word", "\\s", "_").alias("word"), "start", "end", "pos", "sentence_id").write.option("header", True).option("sep", "\t").csv(path)
+    return tb.read_transcript(spark, path).select("row_id", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "pos", "sentence_id")
+
+
+@query(f"WITH {data.EVENTS} SELECT element_id AS row_id, feature AS type, round(t, 6) AS start, 0.25::DOUBLE AS duration, CAST(NULL AS VARCHAR) AS text, sentence_id, 'user-' || recording AS filepath, 'english' AS language FROM e")
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = data.events(spark, sf_dir)
+    rows = e.select(F.col("element_id").alias("row_id"), F.col("feature").alias("type"), F.col("t").alias("start"), F.lit(0.25).alias("duration"), F.lit(None).cast("string").alias("text"), "sentence_id", F.concat(F.lit("user-"), "recording").alias("filepath"), F.lit("english").alias("language"))
+    path = tb.scratch(spark, "events")
+    rows.write.option("header", True).csv(path)
+    return tb.read_events(spark, path).withColumn("start", F.round("start", 6))
+
+
+@query(f"WITH {data.CHANNELS}, x AS (SELECT 'sub-0' AS recording, n_name AS name, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y, 0.5::DOUBLE AS z FROM nation) SELECT 'channel' AS kind, 'sub-0' AS recording, name, status, CAST(ord AS INTEGER) AS ord, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS z FROM c UNION ALL SELECT 'electrode', recording, name, NULL, NULL, x, y, z FROM x")
+def read_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel and electrode tables, written as text and read by their schemas."""
+    a, b = tb.scratch(spark, "channels"), tb.scratch(spark, "electrodes")
+    data.channels(spark, sf_dir).select(F.lit("sub-0").alias("recording"), "name", "status", "ord").write.option("header", True).option("sep", "\t").csv(a)
+    nation = data.table(spark, sf_dir, "nation")
+    nation.select(F.lit("sub-0").alias("recording"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"), F.lit(0.5).alias("z")).write.option("header", True).option("sep", "\t").csv(b)
+    both = tb.read_channels(spark, a).withColumn("kind", F.lit("channel")).unionByName(tb.read_electrodes(spark, b).withColumn("kind", F.lit("electrode")), allowMissingColumns=True)
+    return both.select("kind", "recording", "name", "status", "ord", "x", "y", "z")
+
+
+@query(f"WITH {data.EVENTS} SELECT recording, element_id, round(t, 6) AS t, round(v0, 6) AS v0, round(v1, 6) AS v1 FROM e WHERE feature = 'click'")
+def read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements stored by feature, of which one is read."""
+    path = tb.scratch(spark, "features")
+    data.events(spark, sf_dir).write.partitionBy("feature").parquet(path)
+    return tb.read_features(spark, path, "click").select("recording", "element_id", F.round("t", 6).alias("t"), F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[1], 6).alias("v1"))
+
+
+@query(f"WITH {data.SIGNAL} SELECT 'all' AS recording, t_idx, (target % 2) || '/n' || target AS target, round(value, 9) AS value FROM y")
+def joint_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = data.signal(spark, sf_dir).select((F.col("target") % 2).alias("recording"), F.concat(F.lit("n"), "target").alias("channel"), "t_idx", "value")
+    return ch.joint_targets(y).withColumn("value", F.round("value", 9))

@@ -37,6 +37,7 @@ def high_gamma(signal: DataFrame, fs_in: int, fs_out: int = 20, notch: float = 6
         y = envelope(x, fs_in, notch, band)[lo - start : int(own.max()) + 1 - start]
         n = -(-len(y) // step)
         mean = np.add.reduceat(y, np.arange(0, len(y), step)) / np.diff(np.append(np.arange(0, len(y), step), len(y)))
-        return pd.DataFrame({"recording": [int(key[0])] * n, "channel": [rows["channel"].iloc[0]] * n, "t_idx": lo // step + np.arange(n), "value": mean})
+        return pd.DataFrame({"recording": [key[0]] * n, "channel": [rows["channel"].iloc[0]] * n, "t_idx": lo // step + np.arange(n), "value": mean})
 
-    return blocks.groupBy("recording", "channel", "block").applyInPandas(each, "recording int, channel string, t_idx long, value double")
+    kind = signal.schema["recording"].dataType.simpleString()
+    return blocks.groupBy("recording", "channel", "block").applyInPandas(each, f"recording {kind}, channel string, t_idx long, value double")

@@ -181,11 +181,14 @@ BUFFERS = {
 
 
 def expand(elements: DataFrame, bands: dict[str, tuple[str, Buffer]], shared_reg: bool = True) -> DataFrame:
-    """(recording, t_idx, band, slot, vec) of all features: ``bands`` maps a feature to its buffer's name and window. Without shared_reg each slot is a band of its own."""
+    """(recording, t_idx, band, slot, vec) of all features: ``bands`` maps a feature to its buffer's name and window. Without shared_reg each slot is a band of its own, whose slot is 0.
+
+    Each band filters ``elements`` by its feature, which prunes partitions where they are stored by feature, as read_features expects; other layouts are read once a band.
+    """
     out = None
     for feature, (name, b) in bands.items():
         own = BUFFERS[name](elements.where(F.col("feature") == feature).drop("feature"), b)
         band = F.lit(feature) if shared_reg else F.concat_ws("/", F.lit(feature), "slot")
-        own = own.select("recording", "t_idx", band.alias("band"), "slot", "vec")
+        own = own.select("recording", "t_idx", band.alias("band"), (F.col("slot") if shared_reg else F.lit(0)).alias("slot"), "vec")
         out = own if out is None else out.unionByName(own)
     return out

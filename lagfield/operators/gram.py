@@ -50,35 +50,37 @@ class Layout:
         p, s = len(self.columns), len(self.slots)
         out = np.zeros((len(times), p + s + 1))
         out[:, -1] = 1
-        place = {(b, k): i for i, (b, k, _) in enumerate(self.slots)}
         first = np.concatenate([[0], np.cumsum([d for _, _, d in self.slots])])
         row = np.searchsorted(times, design["t_idx"].to_numpy())
-        for at, band, slot, vec in zip(row, design["band"], design["slot"], design["vec"], strict=True):
-            i = place.get((band, slot))
+        place = {(b, k): i for i, (b, k, _) in enumerate(self.slots)}
+        vecs = design["vec"].to_numpy()
+        for key, own in design.groupby(["band", "slot"]).indices.items():
+            i = place.get(key)
             if i is not None:
-                out[at, first[i] : first[i + 1]] += vec
-                out[at, p + i] = 1
+                np.add.at(out, (row[own], slice(first[i], first[i + 1])), np.stack(vecs[own]))
+                out[row[own], p + i] = 1
         return out
 
 
-def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS) -> DataFrame:
+def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS, recordings: int | None = None) -> DataFrame:
     """Tiles of the Gram (tj from 0) and of the products with each chunk's targets (tj = -1 - 2 * chunk; the squares of its targets in tj = -2 - 2 * chunk), summed by segment.
 
     ``design``: (recording, t_idx, band, slot, vec); ``signal``: (recording, t_idx, target, value); ``chunk_of``: (target, chunk). Samples
     count where there is a signal. A task holds one block of ``rows`` samples of a recording; partial tiles are added in rounds
-    of a bounded number.
+    of a bounded number, which follows from how many ``recordings`` there are; if that is not given, they are counted.
     """
     targets = [(r.target, r.chunk) for r in chunk_of.select("target", "chunk").orderBy("chunk", "target").collect()]  # the dimension table
     chunks = {c: [t for t, k in targets if k == c] for c in sorted({k for _, k in targets})}
     block = F.expr(f"CAST(t_idx DIV {rows} AS INT)").alias("block")
     left = design.select("recording", block, "t_idx", "band", "slot", "vec")
-    right = with_segment(signal, borders).select("recording", block, "t_idx", "segment_id", "target", "value")
+    part = F.pmod(F.xxhash64("recording", block), F.lit(1 << 40)).alias("part")
+    right = with_segment(signal, borders).select("recording", block, part, "t_idx", "segment_id", "target", "value")
 
     def partial(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not len(y):
             return pd.DataFrame(out, columns=["segment_id", "ti", "tj", "part", "g"])
-        part = abs(hash((int(key[0]), int(key[1])))) % (1 << 40)
+        part = int(y["part"].iloc[0])
         for segment, own in y.groupby("segment_id"):
             wide = own.pivot_table(index="t_idx", columns="target", values="value", aggfunc="sum", fill_value=0.0)
             times = wide.index.to_numpy()
@@ -96,7 +98,8 @@ def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: li
         return pd.DataFrame({"segment_id": [key[0]], "ti": [key[1]], "tj": [key[2]], "part": [key[3]], "g": [np.sum(np.stack(g["g"].to_numpy()), 0)]})
 
     tiles = left.groupBy("recording", "block").cogroup(right.groupBy("recording", "block")).applyInPandas(partial, TILES)
-    n_parts = max(1, signal.agg(F.count_distinct("recording")).first()[0] * -(-borders[-1] // rows))
+    recordings = recordings or signal.select("recording").distinct().count()
+    n_parts = max(1, recordings * -(-borders[-1] // rows))
     groups = n_parts
     while True:
         groups = -(-groups // FAN_IN)
@@ -105,27 +108,70 @@ def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: li
             return tiles.drop("part")
 
 
+def fold_sums(tiles: DataFrame, roles: list[tuple[int, int, str, int]]) -> DataFrame:
+    """``tiles`` by segment to (fold, part, ti, tj, g): part -1 is the outer fold's test, part i its inner validation i. Parts are disjoint, so every training set is a sum of parts."""
+    spark = tiles.sparkSession
+    parts = spark.createDataFrame([(o, -1 if r == "test" else i, s) for o, i, r, s in roles if r in ("test", "validation")], "fold int, part int, segment_id int")
+
+    def added(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fold": [key[0]], "part": [key[1]], "ti": [key[2]], "tj": [key[3]], "g": [np.sum(np.stack(g["g"].to_numpy()), 0)]})
+
+    return tiles.join(F.broadcast(parts), "segment_id").groupBy("fold", "part", "ti", "tj").applyInPandas(added, "fold int, part int, ti int, tj int, g array<double>")  # a few dozen parts
+
+
+def predict_dense(design: DataFrame, signal: DataFrame, weights: DataFrame, layout: Layout, rows: int = ROWS, most: int = 1 << 26) -> DataFrame:
+    """(recording, t_idx, target, value, yhat): predictions beside the observed ``signal`` of the targets that ``weights`` (target, band, slot, dim, value) have.
+
+    ``design`` holds standardised columns. The weights go to every task, so columns times targets may not exceed ``most``; they do not grow with the rows. A task holds
+    one block of ``rows`` samples of a recording.
+    """
+    at = {c: i for i, c in enumerate(layout.columns)}
+    held = weights.select("target", "band", "slot", "dim", "value").limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} weights: predict by chunks of targets")
+    names = sorted({r.target for r in held})
+    place = {t: j for j, t in enumerate(names)}
+    w = np.zeros((len(at), len(names)))
+    for r in held:
+        w[at[r.band, r.slot, r.dim], place[r.target]] = r.value
+    block = F.expr(f"CAST(t_idx DIV {rows} AS INT)").alias("block")
+
+    def each(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y[y["target"].isin(place)]
+        times = np.unique(y["t_idx"].to_numpy())
+        yhat = layout.dense(x[x["t_idx"].isin(times)], times)[:, : len(at)] @ w
+        own = yhat[np.searchsorted(times, y["t_idx"].to_numpy()), y["target"].map(place).to_numpy(int)] if len(y) else np.zeros(0)
+        return y[["recording", "t_idx", "target", "value"]].assign(yhat=own)
+
+    schema = ", ".join(f"{c} {signal.schema[c].dataType.simpleString()}" for c in ("recording", "t_idx", "target", "value")) + ", yhat double"
+    left = design.select("recording", block, "t_idx", "band", "slot", "vec").groupBy("recording", "block")
+    return left.cogroup(signal.select("recording", block, "t_idx", "target", "value").groupBy("recording", "block")).applyInPandas(each, schema)
+
+
 class Sums:
-    """The assembled sums of one target chunk by segment, and what standardisation makes of them."""
+    """The assembled sums of one or more chunks' targets by segment or part, and what standardisation makes of them. ``chunks``: how many targets each has."""
 
-    def __init__(self, tiles: pd.DataFrame, layout: Layout, chunk: int, targets: int):
-        self.layout, self.m = layout, targets
+    def __init__(self, tiles: pd.DataFrame, layout: Layout, chunks: dict[int, int], by: str = "part"):
+        self.layout = layout
+        targets, at = sum(chunks.values()), dict(zip(chunks, np.cumsum([0, *chunks.values()]).tolist(), strict=False))
         size = len(layout.columns) + len(layout.slots) + 1
-        segments = sorted(tiles["segment_id"].unique())
+        segments = sorted(tiles[by].unique())
         self.g = {s: np.zeros((size, size)) for s in segments}
         self.c = {s: np.zeros((size, targets)) for s in segments}
         self.yy = {s: np.zeros(targets) for s in segments}
-        for s, ti, tj, g in tiles[["segment_id", "ti", "tj", "g"]].itertuples(index=False):
+        for s, ti, tj, g in tiles[[by, "ti", "tj", "g"]].itertuples(index=False):
             rows = slice(ti * TILE, min((ti + 1) * TILE, size))
             if tj >= 0:
                 cols = slice(tj * TILE, min((tj + 1) * TILE, size))
                 part = np.asarray(g).reshape(rows.stop - rows.start, -1)
                 self.g[s][rows, cols] = part
                 self.g[s][cols, rows] = part.T
-            elif tj == -1 - 2 * chunk:
-                self.c[s][rows] = np.asarray(g).reshape(-1, targets)
-            elif tj == -2 - 2 * chunk:
-                self.yy[s] = np.asarray(g)
+            elif (chunk := (-1 - tj) // 2) in chunks:
+                own = slice(at[chunk], at[chunk] + chunks[chunk])
+                if tj == -1 - 2 * chunk:
+                    self.c[s][rows, own] = np.asarray(g).reshape(-1, chunks[chunk])
+                else:
+                    self.yy[s][own] = np.asarray(g)
 
     def total(self, segments: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held = [s for s in segments if s in self.g]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,5 +67,33 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "fold", "chunk").parquet(path)
 
 
+def finished(spark: SparkSession, path: str, model: str) -> set[tuple[int, int]]:
+    """The (fold, chunk) of ``model`` that :func:`write_results` has written; none where nothing was."""
+    try:
+        rows = spark.read.parquet(path).where(F.col("model") == model).select("fold", "chunk").distinct().collect()  # a row to a partition
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+    return {(r.fold, r.chunk) for r in rows}
+
+
 def gather_results(spark: SparkSession, path: str, model: str, kind: str) -> DataFrame:
     return spark.read.parquet(path).where((F.col("model") == model) & (F.col("kind") == kind))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared ``spark.checkpoint.dir``; where that is unset and Spark runs on one machine, in a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/lagfield-{name}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back, so that it is computed once and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

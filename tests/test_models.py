@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 
 from lagfield.functions.grid import fold_cuts, nested_folds
-from lagfield.jobs.encode import Config, run_encoding
+from lagfield.jobs.encode import Config, model_suite, run_encoding
 from lagfield.operators import scores, solve
 from lagfield.operators.envelope import envelope, high_gamma
 from lagfield.operators.expand import Buffer, expand
+from lagfield.operators.gram import Layout, predict_dense
 
 
 @pytest.mark.parametrize("n", [10, 203])
@@ -148,3 +149,78 @@ def test_run_encoding_equals_dense_numpy(spark):
     again = run_encoding(elements.repartition(7), signal.repartition(3), targets, Config(**{**config.__dict__, "rows": 50})).where("fold = 0 AND kind = 'r2'")
     first = {(r.target, r.band, r.slot): r.value for r in out if r.kind == "r2"}
     assert all(abs(first[r.target, r.band, r.slot] - r.value) < 1e-8 for r in again.collect())
+
+
+def test_string_keys_latencies_decimation_and_a_band_per_slot(spark, tmp_path):
+    """Two recordings and two latency ids under names, every second sample, each slot with a penalty of its own: the written table equals dense numpy."""
+    rng = np.random.default_rng(6)
+    n, names = 84, [(k, t) for k in (2, 10) for t in ("x", "y")]
+    rows = [(f"sub-{i % 2}", i, float(rng.uniform(0, n)), "a", [float(rng.normal())]) for i in range(60)]
+    elements = spark.createDataFrame(rows, "recording string, element_id long, t double, feature string, vec array<double>")
+    raw = {(r, k, c, t): float(rng.normal()) for r in ("sub-0", "sub-1") for k, c in names for t in range(n)}
+    signal = spark.createDataFrame([(r, k, c, t, v) for (r, k, c, t), v in raw.items()], "recording string, time_id int, target string, t_idx int, value double")
+    targets = spark.createDataFrame([(*x, True) for x in names] + [(2, "z", False)], "time_id int, target string, keep boolean")
+    b = Buffer(frequency=1, duration=n, dim=1, period=1.0, nb_buffer=2)
+    config = Config("slots", {"a": ("sym_tap", b)}, alphas=(0.1, 10.0), n_iter=2, lr=0.1, chunk_size=3, rows=16, shared_reg=False, decimate=2)
+    path = str(tmp_path / "results")
+    out = run_encoding(elements, signal, targets, config, path).collect()
+    assert {(r.fold, r.chunk) for r in out} == {(o, c) for o in range(4) for c in range(2)} and {r.model for r in out} == {"slots"}
+    assert {(r.time_id, r.target) for r in out if r.kind == "weight"} == set(names)
+    layout = config.layout()
+    assert [x[0] for x in layout.columns] == ["a/0", "a/1", "a/2", "a/3"]
+    at = {c[0]: i for i, c in enumerate(layout.columns)}
+    x = {r: np.full((n // 2, 4), np.nan) for r in ("sub-0", "sub-1")}
+    for r in expand(elements, config.bands, False).where("t_idx % 2 = 0").collect():
+        x[r.recording][r.t_idx // 2, at[r.band]] = r.vec[0]
+    test = np.arange(n // 2) < fold_cuts(n // 2, 4)[1]
+    both = np.concatenate([x["sub-0"][~test], x["sub-1"][~test]])
+    mean, sd = np.nanmean(both, 0), np.nanstd(both, 0)
+    z = {r: np.nan_to_num((v - mean) / sd) for r, v in x.items()}
+    for k, c in names:
+        y = {r: np.array([raw[r, k, c, t] for t in range(0, n, 2)]) for r in x}
+        train, held = np.concatenate([y[r][~test] for r in x]), np.concatenate([y[r][test] for r in x])
+        own = {r.band: r.value for r in out if (r.fold, r.kind, r.time_id, r.target) == (0, "weight", k, c)}
+        lam = {r.band: np.exp(r.value) for r in out if (r.fold, r.kind, r.time_id, r.target) == (0, "log_lambda", k, c)}
+        a = np.concatenate([z[r][~test] for r in x])
+        dense = np.linalg.solve(a.T @ a + np.diag([lam[f"a/{i}"] for i in range(4)]), a.T @ ((train - train.mean()) / train.std()))
+        assert np.allclose([own[f"a/{i}"] for i in range(4)], dense, atol=1e-8)
+        yt = (held - held.mean()) / train.std()
+        joint = 1 - ((yt - np.concatenate([z[r][test] for r in x]) @ dense) ** 2).sum() / (yt**2).sum()
+        assert abs(joint - sum(r.value for r in out if (r.fold, r.kind, r.time_id, r.target) == (0, "r2", k, c))) < 1e-8
+    again = run_encoding(elements.limit(0), signal, targets, config, path)  # all is there: nothing is fitted, nothing changes
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, out))
+
+
+def test_dense_prediction_beside_the_signal(spark):
+    rng = np.random.default_rng(7)
+    layout = Layout((("a", 2, 1), ("b", 1, 2)))
+    design = [("r", t, b, s, [float(v) for v in rng.normal(size=d)]) for t in range(50) for b, s, d in layout.slots if rng.random() < 0.8]
+    weights = [(c, b, s, d, float(rng.normal())) for c in ("x", "y") for b, s, d in layout.columns]
+    signal = [("r", t, c, float(t)) for t in range(50) for c in ("x", "y", "z")]
+    got = predict_dense(
+        spark.createDataFrame(design, "recording string, t_idx int, band string, slot int, vec array<double>"),
+        spark.createDataFrame(signal, "recording string, t_idx int, target string, value double"),
+        spark.createDataFrame(weights, "target string, band string, slot int, dim int, value double"),
+        layout,
+        rows=16,
+    ).collect()
+    w = {x[:4]: x[4] for x in weights}
+    want = {(t, c): sum(v * w[c, b, s, k] for _, u, b, s, vec in design if u == t for k, v in enumerate(vec)) for t in range(50) for c in ("x", "y")}
+    assert len(got) == 100 and all(r.value == r.t_idx and abs(r.yhat - want[r.t_idx, r.target]) < 1e-9 for r in got)
+
+
+def test_envelope_keeps_the_recording_s_type(spark):
+    raw = spark.createDataFrame([("sub-01", "a", i, float(i % 7)) for i in range(300)], "recording string, channel string, t_idx long, value double")
+    rows = high_gamma(raw, 1000, 20, block_s=1).collect()
+    assert {r.recording for r in rows} == {"sub-01"} and len(rows) == 6
+
+
+def test_model_suite():
+    b = Buffer(frequency=1, duration=9, dim=1)
+    suite = model_suite({"word": b, "tree": b, "phone": b}, ("tree",), ("phone",))
+    assert {k: {f: n for f, (n, _) in c.bands.items()} for k, c in suite.items()} == {
+        "taps": {"word": "sym_tap", "tree": "sym_tap", "phone": "sym_tap"},
+        "taps_without_trees": {"word": "sym_tap", "phone": "sym_tap"},
+        "buffer": {"word": "sym_buffer", "tree": "sym_buffer", "phone": "sym_buffer"},
+        "mixed": {"phone": "sym_tap", "word": "sym_buffer", "tree": "sym_buffer"},
+    }
