@@ -65,7 +65,7 @@ def test_shards_keep_equal_texts_and_number_slots(spark):
 def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "FIRST_ANNULI", 1)
+    monkeypatch.setattr(topk, "HOME", 1)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(5, 6))
     x = [list(map(float, centres[i % 5] + 0.2 * rng.normal(size=6))) for i in range(300)] + [[0.5] * 6] * 150 + [None, [float("nan")] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("inf")] * 6]
@@ -82,6 +82,26 @@ def test_top_k_is_exact(spark, monkeypatch):
     few = table.where("vec_id < 3")
     assert topk.top_k(topk.quantise(few)).count() == 2
     assert topk.top_k(topk.quantise(table.limit(0))).count() == 0
+    nought = spark.createDataFrame([(i, [0.0] * 6) for i in range(4)], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(topk.quantise(nought), k=2).collect()] == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def test_bounds_rule_out_most_of_clustered_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + 0.01 * rng.normal(size=(50, 16)) for c in centres])
+    table = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, share = topk.search(topk.quantise(table))
+    q = np.floor(256 * x).astype(int)
+    best = {}
+    for r in found.collect():
+        best.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i in range(0, 2000, 50):
+        s = q @ q[i]
+        want = sorted((-int(s[j]), j) for j in range(2000) if j != i)[:5]
+        assert [(-v, j) for _, j, v in sorted(best[i])] == want
+    assert share > 0.8
 
 
 # --- near-duplicates
@@ -176,8 +196,8 @@ def kept_by_hand(texts):
     return [i for i in range(len(texts)) if find(i) == i]
 
 
-def kept(spark, texts):
-    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+def kept(spark, texts, **options):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **options).collect())
 
 
 def test_a_new_word_in_a_repetitive_text_is_a_near_copy(spark):
@@ -208,6 +228,7 @@ def test_groups_are_those_of_all_pairs(spark):
     rng.shuffle(texts)
     want = kept_by_hand(texts)
     assert 20 < len(want) < len(texts) // 2 and kept(spark, texts) == want
+    assert kept(spark, texts, most=(7, 2000)) == want  # groups that no task holds whole
 
 
 # --- licences
