@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key that holds more than one in so many rows is hot: there are fewer than this many such keys, whatever the table.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +23,11 @@ _own: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, one of our own."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it is unset and Spark runs on one machine, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="spark-")
@@ -35,6 +43,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python by ``rows`` at a time, so that a worker's memory does not follow the default of 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Hand texts to Python by ``rows`` at a time within, so that a worker's memory does not follow the session's default; what runs within must be written within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with what ``keyed`` holds, one row to a ``key`` that is never null, with ``count`` rows of ``rows`` each; ``count`` is left out.
+
+    Hot keys are broadcast, fewer than :data:`HOT` of them, so that no task receives the rows of one; the others are joined by key.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT > total
+    hot = F.broadcast(keyed.where(is_hot).drop(count))
+    cold = rows.join(F.broadcast(keyed.where(is_hot).select(key)), key, "left_anti").join(keyed.where(~is_hot).drop(count), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 MOST_ROUNDS = 60
 
@@ -18,13 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
-        # every edge is (b, a) with b > a
-        both = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # every edge is (b, a) with b > a; a star's centre may hold a third of all edges, so what it learns is broadcast to them
+        both = now.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("n")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("n")))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.sum("n").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        large = join_hot(now.select(F.col("a").alias("u"), F.col("b").alias("v")), low.where("n > 0"), "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.b", "e.a").where("b <> a").distinct()
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(large, least, "u", "n").select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.b", "e.a").where("b <> a").distinct()
         small = materialise(small, "small")
         same = now.agg(F.count("*"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first() == small.agg(F.count("*"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         now = small

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, join_hot, materialise, table
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -25,9 +25,11 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS, SEED, RADIUS = 4, 42, 4
 #: What keep_one compares: the sets of five-word shingles, which share at least this part (in hundredths) of their union.
 KEEP_WORDS, KEEP_PERCENT = 5, 80
-#: Minima of a shingle set, and how many of them make one band: a pair at 0.8 has no band in common with a chance of (1 - 0.8^4)^32, 5e-8.
-BANDS, ROWS = 32, 4
-#: Fingerprints that one task compares at a time; larger buckets are cut into pairs of such chunks.
+#: Minima of a shingle set, keys made of them, and minima to a key: by drawing, a pair at exactly 0.8 shares none with a chance of 1e-4, one at 0.82 of 3e-5, one at 0.85 of less than 1e-5.
+MINIMA, KEYS, OF_KEY = 256, 64, 8
+#: Sets, and shingles in all of them, that one task compares with one another; larger groups are cut.
+MOST_COMPARED = 4096, 1_000_000
+#: Fingerprints that are compared with one another; larger buckets are dealt anew.
 CHUNK = 2048
 
 
@@ -78,102 +80,93 @@ def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 20) -> tupl
     return tuple(out)
 
 
-def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[list[int], list[int]]:
-    """Edges that connect, within the radius, what is connected in ``left`` (or between ``left`` and ``right``): fewer than there are fingerprints."""
+def _forest(rest: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Edges within the radius that connect whatever pairs within it connect: fewer than there are fingerprints."""
     a, b = [], []
-    if right is None:
-        rest = left
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                x = queue.pop()
-                near = np.bitwise_count((rest ^ x).view(np.uint64)) <= radius
-                if near.any():
-                    queue += list(rest[near])
-                    a += [int(x)] * int(near.sum())
-                    b += rest[near].tolist()
-                    rest = rest[~near]
-        return a, b
-    rest_l, rest_r = left, right
-    while len(rest_l) and len(rest_r):
-        queue, rest_l = [(rest_l[0], True)], rest_l[1:]
-        while queue:
-            x, from_left = queue.pop()
-            rest = rest_r if from_left else rest_l
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
             near = np.bitwise_count((rest ^ x).view(np.uint64)) <= radius
             if near.any():
-                queue += [(y, not from_left) for y in rest[near]]
+                queue += list(rest[near])
                 a += [int(x)] * int(near.sum())
                 b += rest[near].tolist()
-                if from_left:
-                    rest_r = rest[~near]
-                else:
-                    rest_l = rest[~near]
+                rest = rest[~near]
     return a, b
 
 
+def _finer(mask: int, radius: int, bits: int = 64) -> list[int]:
+    """The signed ``mask`` with each of radius + 1 parts of the bits it leaves free: fingerprints within the radius agree on one of the parts."""
+    free = [b for b in range(bits) if not mask >> b & 1]
+    parts = [sum(1 << b for b in free[i :: radius + 1]) | mask % (1 << 64) for i in range(min(radius + 1, len(free)))]
+    return [p - (1 << 64) if p >> 63 else p for p in parts]
+
+
 def near_edges(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Distinct ``prints`` (fp long) to edges (a, b), each within the radius, that connect whatever pairs within the radius connect.
 
-    A bucket of up to ``chunk`` fingerprints is searched at once. A larger one is dealt to chunks by hash, and every pair of its
-    chunks is searched by a group of its own: no group holds more than two chunks, no pair of fingerprints goes unseen, and a
-    group returns a spanning forest, not its pairs.
+    A bucket is what agrees on a mask. One of up to ``chunk`` fingerprints is searched at once, and gives a spanning forest, not its
+    pairs. A larger one is dealt anew by the bits its mask leaves free: cut into radius + 1 parts, a pair agrees on one of them, so
+    each fingerprint goes to as many smaller buckets, and no pair is lost. A bucket whose mask leaves few bits free cannot be large,
+    as fingerprints differ, so this ends.
     """
-    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)))
-    tables = prints.select("fp", F.posexplode(keys).alias("t", "key"))
-    sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    large = materialise(sizes.where(F.col("n") > chunk).select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "large-buckets")
-    tables = tables.join(large, ["t", "key"], "left")
+    spark = prints.sparkSession
     schema = "a long, b long"
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows: a bucket, of ``chunk`` rows at most, is a run of one key."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows (mask, key, fp): a bucket, of ``chunk`` rows at most, is a run of one mask and key."""
 
         def done(held: list[np.ndarray]) -> tuple[list[int], list[int]]:
             x = np.concatenate(held) if len(held) > 1 else held[0]
-            return _forest(x, None, radius) if len(x) > 1 else ([], [])
+            return _forest(x, radius) if len(x) > 1 else ([], [])
 
         key, held = None, []
         for batch in batches:
-            t, k, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            m, k, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(fp):
                 continue
-            borders = np.concatenate([[0], np.flatnonzero((np.diff(t) != 0) | (np.diff(k) != 0)) + 1, [len(fp)]])
+            borders = np.concatenate([[0], np.flatnonzero((np.diff(m) != 0) | (np.diff(k) != 0)) + 1, [len(fp)]])
             a, b = [], []
             for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                if key == (t[lo], k[lo]):
+                if key == (m[lo], k[lo]):
                     held.append(fp[lo:hi])
                     continue
                 if held:
                     x, y = done(held)
                     a += x
                     b += y
-                key, held = (t[lo], k[lo]), [fp[lo:hi]]
+                key, held = (m[lo], k[lo]), [fp[lo:hi]]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if held:
             a, b = done(held)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = (rows.loc[rows["side"] == s, "fp"].to_numpy(np.int64) for s in (0, 1))
-        a, b = _forest(left, None if rows["i"].iloc[0] == rows["j"].iloc[0] else right, radius)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    found = tables.where("parts IS NULL").repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp").mapInArrow(small, schema)
-    dealt = tables.where("parts IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # chunk `own` is the left side of pairs (own, j >= own) and the right side of pairs (i < own, own)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = dealt.withColumn("other", other).select("t", "key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return found.unionByName(pairs.groupBy("t", "key", "i", "j").applyInPandas(pair, schema))
+    masks = covering_masks(radius)
+    dealt = prints.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    edges = None
+    while True:
+        sizes = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        large = materialise(sizes.where(F.col("n") > chunk).select("mask", "key"), "large-buckets")
+        here = dealt.join(large, ["mask", "key"], "left_anti")
+        found = here.repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "key", "fp").mapInArrow(search, schema)
+        edges = found if edges is None else edges.unionByName(found)
+        over = [r.mask for r in large.select("mask").distinct().collect()]  # at most 2^(radius + 1) (radius + 1)^level masks
+        if not over:
+            return edges
+        finer = spark.createDataFrame([(m, _finer(m, radius)) for m in over], "mask long, finer array<long>")
+        again = dealt.join(large, ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask"))
+        # the parts of two tables can be one mask
+        dealt = materialise(again.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "dealt")
 
 
 def _labels(rows: DataFrame, radius: int) -> DataFrame:
-    """``rows``: (doc_id, fp). Returns (fp, component_id), one row for each fingerprint."""
-    firsts = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    """``rows``: (doc_id, fp). Returns (fp, n, component_id), one row for each fingerprint, with n rows."""
+    firsts = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
     roots = components(near_edges(firsts.select("fp"), radius))
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return materialise(rooted.join(least, "root").select("fp", "component_id"), "labels")
+    rooted = materialise(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")), "least")
+    return materialise(join_hot(rooted, least, "root", "prints").select("fp", "n", "component_id"), "labels")
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -183,7 +176,7 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     component_id, which is null where a component holds no other; repeated rows stay; other columns are ignored.
     """
     rows = materialise(docs.select("doc_id", fingerprints(F.col("text"), words, seed).alias("fp")), "fingerprints")
-    return rows.join(_labels(rows, radius), "fp").select("doc_id", "fp", "component_id")
+    return join_hot(rows, _labels(rows, radius), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, words: int = KEEP_WORDS, seed: int = SEED) -> np.ndarray:
@@ -192,18 +185,22 @@ def shingle_set(text: str | None, words: int = KEEP_WORDS, seed: int = SEED) ->
 
 
 @lru_cache
-def _minima_of(seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    draws = np.random.default_rng(seed).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-    return draws[0] | np.uint64(1), draws[1]
+def _draws(seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and summands of the hashes whose minima are taken, and the minima of each key."""
+    rng = np.random.default_rng(seed)
+    parts = rng.integers(0, 1 << 32, (2, MINIMA), np.uint32)
+    return parts[0] | np.uint32(1), parts[1], np.stack([rng.choice(MINIMA, OF_KEY, replace=False) for _ in range(KEYS)])
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit key for each band: the hash of its ROWS minima over ``hashes``."""
-    factor, add = _minima_of()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, (hashes[i : i + 1024, None] * factor + add).min(0))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64).tolist()
+def min_keys(hashes: np.ndarray) -> list[int]:
+    """Signed 64-bit keys: hashes of a key's number and its OF_KEY minima over ``hashes``."""
+    factor, add, chosen = _draws()
+    low = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(low), 1024):
+        mixed = low[i : i + 1024, None] * factor + add
+        least = np.minimum(least, (mixed ^ mixed >> np.uint32(15)).min(0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least[chosen])], np.uint64).view(np.int64).tolist()
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -211,77 +208,135 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _sketches(text: Column, words: int, seed: int) -> Column:
-    """Struct (node, bands): the hash of a text's shingle set and its band keys."""
+    """Struct (node, size, keys): the hash of a text's shingle set, how many shingles it has, and its keys."""
 
     def all_of(texts: pd.Series) -> pd.DataFrame:
         known: dict = {}
         for x in texts:
             if x not in known:
                 hashes = shingle_set(x, words, seed)
-                known[x] = (_set_id(hashes), bands(hashes))
-        return pd.DataFrame({"node": pd.Series([known[x][0] for x in texts], dtype="int64"), "bands": [known[x][1] for x in texts]})
+                known[x] = (_set_id(hashes), len(hashes), min_keys(hashes))
+        return pd.DataFrame([known[x] for x in texts], columns=["node", "size", "keys"])
 
     all_of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(all_of, "node long, bands array<long>")(text)
+    return F.pandas_udf(all_of, "node long, size long, keys array<long>")(text)
 
 
 def _sets(text: Column, words: int, seed: int) -> Column:
     def all_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(x, words, seed).view(np.int64) for x in texts])
+        return pd.Series([shingle_set(x, words, seed).tobytes() for x in texts])
 
     all_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(all_of, "array<long>")(text)
+    return F.pandas_udf(all_of, "binary")(text)
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A label for each set, equal where links of ``percent`` hundredths of the union or more connect them: exact, in whole numbers.
+
+    A set is compared with all others at once by its shingles' postings. That is left out for the largest group at the end, whose links to
+    the others have been seen from the others' side.
+    """
+    m = len(sets)
+    label, size = np.arange(m), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), size)
+    shingles, ids = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    post, ends = owner[order], np.cumsum(np.bincount(ids, minlength=len(shingles)))
+    own = np.split(ids, np.cumsum(size)[:-1]) if m else []
+    spread = np.bincount(ids, minlength=len(shingles))
+    weight = np.array([spread[x].sum() for x in own])
+    turn, seen = np.argsort(-weight, kind="stable"), np.zeros(m, bool)
+    while True:
+        largest = np.bincount(label, minlength=m).argmax() if seen.any() else -1
+        open_ = turn[~seen[turn] & (label[turn] != largest)]
+        if not len(open_):
+            return label
+        for x in open_[: 1 + len(open_) // 8].tolist():
+            if label[x] == largest:
+                continue
+            seen[x] = True
+            if not size[x]:
+                continue
+            lists = [post[e - n : e] for e, n in zip(ends[own[x]].tolist(), spread[own[x]].tolist(), strict=True)]
+            both = np.bincount(np.concatenate(lists), minlength=m)
+            near = (100 + percent) * both >= percent * (size + size[x])
+            for other in np.unique(label[near]).tolist():
+                if other != label[x]:
+                    label[label == other] = label[x]
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``sets`` (node, shingles) share ``percent`` hundredths of their union or more: exact, in whole numbers."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+def _candidates(once: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``once``: (node, keys), a row to a node. Returns (key, node, n) of the keys that n > 1 nodes have, and (node, root) of what shared keys connect."""
+    keys = once.select("node", F.explode("keys").alias("key"))
+    shared = materialise(keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("held", F.col("n")), "shared")
+    buckets = materialise(join_hot(keys, shared, "key", "held"), "buckets")
+    return buckets.select("key", "node", "n"), components(buckets.select(F.col("node").alias("a"), F.col("first").alias("b")))
 
 
-def _links(rows: DataFrame, docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """``rows``: (doc_id, key, node, bands). Links (a, b) of shingle sets within ``percent`` that connect what all links between sets with a band in common connect.
+def _labels_of_sets(sets: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int, most: tuple[int, int]) -> DataFrame:
+    """(node, root) of what links connect. ``sets``: (node, size, shingles); ``groups``: (node, root) of candidates.
 
-    A bucket is what has a band key in common. Its sets are first compared with the one that meets most others, so that a large
-    group of copies costs as many comparisons as it has members; then all its pairs are compared that are not connected by then.
+    A group within ``most`` sets and shingles is compared by one task. A larger one is cut into its buckets, and a bucket that is too large into
+    pairs of chunks: links of all tasks are then connected.
     """
-    once = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "bands")).alias("r"))
-    buckets = once.select("node", F.posexplode("r.bands").alias("t", "band"))
-    sizes = buckets.groupBy("t", "band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialise(buckets.join(sizes, ["t", "band"]), "buckets")
-    met = materialise(buckets.groupBy("node").agg(F.sum("n").alias("met")), "met")
-    places = rows.join(met, "node").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("own_key"))
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text").alias("d")
-    found = keyed.join(places.alias("p"), (F.col("key") == F.col("own_key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))  # a hot text is dealt by id as well
-    texts = found.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("key"))).where("nth = 1")
-    sets = materialise(texts.select("node", _sets(F.col("text"), words, seed).alias("shingles")), "sets")
-    of = buckets.join(met, "node").select("t", "band", "node", "met")
-    best = of.groupBy("t", "band").agg(F.max(F.struct("met", "node")).alias("best")).select("t", "band", F.col("best.node").alias("best"))
-    stars = of.join(best, ["t", "band"]).where("node <> best").select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b")).distinct()
-    first = materialise(_linked(stars, sets, percent), "links")
-    roots = components(first)
-    labelled = materialise(buckets.join(roots, "node", "left").select("t", "band", "node", F.coalesce("root", "node").alias("root")), "labelled")
-    several = labelled.groupBy("t", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t", "band")
-    open_ = labelled.join(several, ["t", "band"])
-    left, right = (open_.select("t", "band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    rest = left.join(right, ["t", "band"]).where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(_linked(rest, sets, percent))
-
-
-def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, seed: int = SEED) -> DataFrame:
+    sized = groups.join(sets.select("node", "size"), "node")
+    sums = materialise(sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("total")), "groups")
+    fits = (F.col("sets") <= most[0]) & (F.col("total") <= most[1])
+    total, too_large = sums.agg(F.sum(F.when(fits, F.col("total"))), F.count(F.when(~fits, 1))).first()
+    dealt = sets.join(groups.join(sums.where(fits).select("root"), "root"), "node").withColumn("g", F.pmod(F.xxhash64("root"), F.lit(1 + (total or 0) // most[1])))
+
+    def labels(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby("root", sort=False):
+            names = own["node"].to_numpy(np.int64)
+            label = linked([np.frombuffer(x, np.uint64) for x in own["shingles"]], percent)
+            out.append(pd.DataFrame({"node": names, "root": names[label]}))
+        return pd.concat(out)
+
+    found = dealt.groupBy("g").applyInPandas(labels, "node long, root long")
+    if not too_large:
+        return found
+    large = join_hot(groups, sums.where(~fits).select("root", "sets"), "root", "sets").select("node")
+    of = buckets.join(large, "node").join(sets.select("node", "size"), "node")
+    cells = of.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("sets") / most[0]), F.ceil(F.col("total") / most[1])).cast("int")
+    parted = join_hot(of.select("key", "node"), materialise(cells.select("key", parts.alias("parts"), "n"), "cells"), "key", "n")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    paired = parted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = paired.where("parts = 1 OR own <> other").select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def edges(rows: pd.DataFrame) -> pd.DataFrame:
+        names = rows["node"].to_numpy(np.int64)
+        label = linked([np.frombuffer(x, np.uint64) for x in rows["shingles"]], percent)
+        return pd.DataFrame({"a": names, "b": names[label]})[names != names[label]]
+
+    links = components(paired.join(sets.select("node", "shingles"), "node").groupBy("key", "i", "j").applyInPandas(edges, "a long, b long"))
+    return found.unionByName(links)
+
+
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, seed: int = SEED, most: tuple[int, int] = MOST_COMPARED) -> DataFrame:
     """The rows of ``docs`` with one kept of each group, that of the smallest doc_id; all columns stay as they are.
 
     Texts are linked if they share ``percent`` hundredths of their distinct shingles or more, and groups are what links connect. Texts
-    without words are one group.
+    without words are one group; of equal rows one stays; a null id is kept only where a group holds no other.
     """
+    spark = docs.sparkSession
     text_key = F.md5(F.coalesce("text", F.lit("")))
     sketched = docs.select("doc_id", text_key.alias("key"), _sketches(F.col("text"), words, seed).alias("s"))
-    rows = materialise(sketched.select("doc_id", "key", "s.node", "s.bands"), "sketches")
-    roots = components(_links(rows, docs, words, percent, seed))
-    rooted = rows.select("doc_id", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = rooted.groupBy("root", "key").agg(F.min("doc_id").alias("first"))
+    with bounded_batches(spark):
+        rows = materialise(sketched.select("doc_id", "key", "s.node", "s.size", "s.keys"), "sketches")
+        once = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "keys")).alias("r"))
+        buckets, groups = _candidates(once.select("node", "r.keys"))
+        groups = materialise(groups, "candidates")
+        places = groups.select("node").join(once, "node").select("node", F.col("r.doc_id").alias("own_id"), F.col("r.key").alias("own_key"))
+        keyed = docs.select("doc_id", text_key.alias("key"), "text")
+        found = keyed.join(places, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))  # a hot text is dealt by id as well
+        texts = found.groupBy("node").agg(F.max("text").alias("text"))  # repeated rows, and texts whose sets are equal
+        with_sets = texts.select("node", _sets(F.col("text"), words, seed).alias("shingles"))
+        sets = materialise(with_sets.withColumn("size", F.expr("octet_length(shingles) DIV 8")), "sets")
+        roots = materialise(_labels_of_sets(sets, buckets, groups, percent, most), "roots")
+    texts = rows.groupBy("node", "key").agg(F.min("doc_id").alias("first"))  # copies are few rows before they meet
+    firsts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("kept"))
     kept = materialise(least.select(F.col("kept.key").alias("kept_key"), F.col("kept.first").alias("kept_id")), "kept")
     marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key.alias("key"))
