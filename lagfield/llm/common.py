@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than one in so many rows is hot: there are fewer than this many such keys, whatever the table.
@@ -43,6 +43,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def window(text: str, by: Column, chars: int) -> Column:
+    """All of a text of up to ``chars`` characters, and as many of a longer one, from a place that the hash ``by`` chooses: what a bounded sample to learn from holds of it."""
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(F.col(text), F.pmod(by, room).cast("int") + 1, F.lit(chars))
+
+
 @contextmanager
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Hand texts to Python by ``rows`` at a time within, so that a worker's memory does not follow the session's default; what runs within must be written within."""
