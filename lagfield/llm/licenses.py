@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index, in DataFrame and SQL functions only.
 
-Templates are word sequences with a mandatory key phrase. Of every text only the licence words are kept, with their positions.
-Each template is looked up by the word of its key phrase that the fewest texts hold (its highest inverse document frequency, counted
-over all texts): a hit places the template's start, the postings of its other words are intersected at their relative
-positions, and a place counts when the whole key phrase stands there. As every place holds that word, none is missed.
+Templates are notices and whole licence headers as word sequences, each with a mandatory key phrase. Of every text only the licence
+words are kept, with their positions. A text's licence words are ranked by inverse document frequency, counted over all texts, and each
+template whose key words the text all holds is looked up by the rarest of them: a hit places the template's start, the postings of
+its other words are intersected at their relative positions, and a place counts when the whole key phrase stands there; its share is that of
+the template's words that stand in place. As every place holds the word that is looked up, none is missed.
 """
 
 from __future__ import annotations
@@ -13,14 +14,22 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: (label, template, whether it is a base phrase): the key phrase stands in brackets, * is any word.
+#: Words that the headers below pass over, as common prose is full of them.
+COMMON = frozenset("0 2 3 v a an and any are as at be by can for has have if in is it may not of on one or see so that the this to use was will with you".split())
+
+
+def passing(text: str) -> str:
+    """A header with * for each common word; the key phrase's brackets stand at other words."""
+    return " ".join("*" if w in COMMON else w for w in text.split())
+
+
+#: Fixed values: (label, template, whether it is a base phrase). The key phrase stands in brackets, * is any word.
 TEMPLATES = [
     ("cc-by", "[cc by]", True),
     ("gpl", "[general public license]", True),
     ("reserved", "[all rights reserved]", True),
     ("agpl", "gnu [affero general public license] version", False),
     ("apache", "licensed under * [apache license] version", False),
-    ("bsd", "[redistribution * use * source * binary forms]", False),
     ("bsd", "released under * [bsd license]", False),
     ("cc-by-nc", "licensed under [cc by nc]", False),
     ("cc-by-nd", "licensed under [cc by nd]", False),
@@ -28,9 +37,17 @@ TEMPLATES = [
     ("gpl", "work * licensed under * [gnu general public license] version", False),
     ("lgpl", "gnu [lesser general public license] version", False),
     ("mit", "released under * [mit license]", False),
-    ("mit", "[permission * hereby granted free * charge]", False),
-    ("mpl", "subject * * terms * * [mozilla public license] version", False),
     ("public-domain", "released * * [public domain]", False),
+    ("mit", passing("[permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"), False),
+    ("isc", passing("permission to use copy modify and or distribute this software for any purpose with or [without fee is hereby granted] provided that the above copyright notice and this permission notice appear in all copies"), False),
+    ("bsd", passing("[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"), False),
+    ("apache", passing("licensed under the apache license version 2 0 the license you may not use this [file except in compliance with the license] you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"), False),
+    ("gpl", passing("this program is free software you can [redistribute it and or modify it under the terms of the gnu general public license] as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"), False),
+    ("lgpl", passing("this library is free software you can [redistribute it and or modify it under the terms of the gnu lesser general public license] as published by the free software foundation either version 3 of the license or at your option any later version"), False),
+    ("agpl", passing("this program is free software you can [redistribute it and or modify it under the terms of the gnu affero general public license] as published by the free software foundation either version 3 of the license or at your option any later version"), False),
+    ("mpl", passing("this source code form is [subject to the terms of the mozilla public license] v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"), False),
+    ("unlicense", passing("this is [free and unencumbered software] released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"), False),
+    ("cc0", passing("to the extent possible under law the author has [dedicated all copyright and related and neighboring rights] to this software to the public domain worldwide this software is distributed without any warranty"), False),
 ]
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +69,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] = TEMPLATES) ->
 
     Returns (uid, template, label, base, start, share) with the key phrase's first word from 0 and the share of the template's words
     that stand in place, and (uid, doc_id, n_words). uid numbers the rows, so repeated and null ids stay apart; a null text has
-    no words; other columns are ignored.
+    no words; places of several templates may overlap and all count; an empty table gives empty results; other columns are ignored.
     """
     spark = docs.sparkSession
     posts = postings(templates)
@@ -61,13 +78,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] = TEMPLATES) ->
     held = docs.select("doc_id", F.array_remove(words, "").alias("w"))
     at = f"filter(sequence(1, size(w)), i -> element_at(w, i) IN ({vocabulary}))"
     rows = held.select("doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"CASE WHEN size(w) = 0 THEN array() ELSE transform({at}, i -> struct(element_at(w, i) AS word, CAST(i - 1 AS BIGINT) AS at)) END").alias("hits"))
-    rows = materialise(rows, "licence-words").withColumn("uid", F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "licence-words")
 
     hits = rows.select("uid", F.explode("hits").alias("h")).select("uid", "h.word", "h.at")
     index = spark.createDataFrame(posts, "template int, label string, base boolean, word string, pos int, mandatory boolean")
-    texts = rows.select(F.explode(F.expr("array_distinct(hits.word)")).alias("word")).groupBy("word").agg(F.count("*").alias("texts"))  # a row to a licence word
-    rarest = index.where("mandatory").join(F.broadcast(texts), "word", "left").groupBy("template").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)), "word", "pos")).alias("r")).select("template", "r.word", "r.pos")
-    candidates = hits.join(F.broadcast(rarest), "word").select("uid", "template", (F.col("at") - F.col("pos")).alias("start"))
+    own = rows.select("uid", F.explode(F.expr("array_distinct(hits.word)")).alias("word"))
+    texts = own.groupBy("word").agg(F.count("*").alias("texts"))  # a row to a licence word
+    key = index.where("mandatory")
+    needed = key.groupBy("template").agg(F.count_distinct("word").alias("needed"))
+    # each text's words in the order of their rarity; a template is looked up if none of its key words is lacking
+    ranked = own.join(F.broadcast(texts), "word").join(F.broadcast(key.groupBy("template", "word").agg(F.min("pos").alias("pos"))), "word")
+    lookups = ranked.groupBy("uid", "template").agg(F.count("*").alias("held"), F.min(F.struct("texts", "word", "pos")).alias("r")).join(F.broadcast(needed), "template").where("held = needed")
+    candidates = hits.join(lookups.select("uid", "template", "r.word", "r.pos"), ["uid", "word"]).select("uid", "template", (F.col("at") - F.col("pos")).alias("start"))
     expected = candidates.join(F.broadcast(index), "template").withColumn("at", F.col("start") + F.col("pos"))
     found = expected.join(hits.withColumn("here", F.lit(1)), ["uid", "at", "word"], "left")
     places = found.groupBy("uid", "template", "label", "base", "start").agg(F.avg(F.coalesce("here", F.lit(0))).alias("share"), F.min(F.when(F.col("mandatory"), F.coalesce("here", F.lit(0)))).alias("whole"))
