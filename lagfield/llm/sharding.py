@@ -1,30 +1,32 @@
 """Sharding by minimax contiguous partition, in DataFrame and SQL functions only.
 
-Atomic groups are hash buckets of the text, so equal texts never part. The buckets, in hash order, are an ordered list of
-sizes of a fixed length at most; over it a binary search finds the smallest capacity with which a greedy walk needs no more
-than ``n_shards`` shards. The cuts then keep to that capacity and, within what it leaves free, to equal parts of what remains. A
-group larger than the capacity stands alone in its shard, so
-one giant group of copies does not let the others grow to its size.
+Atomic groups are equal texts, in the order of their hash. Buckets of that order are a list of sizes of bounded length; over it a
+binary search finds the smallest capacity with which a greedy walk needs no more than ``n_shards`` shards. Buckets in which a cut of
+some feasible capacity could fall are then split by further bits of the hash, and the search is run again, until such buckets are
+single groups: the capacity is then that of the groups themselves. The cuts keep to that capacity and, within what it leaves
+free, to equal parts of what remains. A group larger than the capacity stands alone in its shard, so one giant group of copies does
+not let the others grow to its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
-#: Buckets are a fixed-size summary of the corpus whatever its size: a shard of 24 is cut to 1/680 of its size.
-N_BUCKETS = 16384
+#: Bits of the hash that make a bucket, and by how many more one is split where a cut may fall in it.
+BITS, MORE_BITS = 14, 4
 #: Slots are numbered within (shard, salt) cells, so that a shard holding a third of all rows is still dealt to many tasks.
 SLOT_SALTS = 1024
 
 
-def minimax_cuts(groups: DataFrame, n_shards: int) -> DataFrame:
-    """``groups``: (bucket, size), at most a few ten thousand rows. Returns (bucket, shard), shards contiguous in bucket order."""
-    steps = ", ".join(f"{1 << b}L" for b in reversed(range(20)))
+def _searched(groups: DataFrame, n_shards: int) -> DataFrame:
+    """One row of ``groups`` (bucket, size, single): atoms in order, their ends, the capacity, the cuts (places after which a shard ends) and lows and highs, between which the j-th cut of any capacity that single groups allow must lie."""
+    steps = ", ".join(f"{1 << b}L" for b in reversed(range(22)))
     cums = groups.where("size > 0").withColumn("cum", F.sum("size").over(Window.orderBy("bucket")))
-    one = cums.agg(F.array_sort(F.collect_list(F.struct("cum", "bucket"))).alias("atoms")).select("atoms", F.expr("transform(atoms, a -> a.cum)").alias("ends"))
+    one = cums.agg(F.array_sort(F.collect_list(F.struct("cum", "bucket", "single"))).alias("atoms"), F.max(F.when(F.col("single"), 0).otherwise(F.col("size"))).alias("widest"))
+    one = one.withColumn("ends", F.expr("transform(atoms, a -> a.cum)"))  # a bounded list of buckets
 
     def fit(limit: str) -> str:
         """How many leading groups end at or before ``limit``: a bit-wise descent in the sorted ends."""
@@ -49,17 +51,28 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> DataFrame:
     part = fit(f"{end(here)} + CAST(ceil((element_at(ends, -1) - {end(here)}) / ({n_shards} - i + 1)) AS BIGINT)")
     following = f"least({walk_on(here, 'capacity')}, greatest({here} + 1, {part}, element_at(backs, {n_shards} - i + 1)))"
     cuts = f"aggregate(sequence(1, {n_shards}), array(0L), (c, i) -> concat(c, array({following})))"
-    return (
-        one.where("size(ends) > 0")
-        .withColumn("capacity", F.expr(f"{search}.hi"))
-        .withColumn("backs", F.expr(backs))
-        .withColumn("cuts", F.expr(cuts))
-        .select("cuts", F.posexplode("atoms").alias("nth", "atom"))
-        .select("atom.bucket", F.expr("CAST(size(filter(cuts, c -> c > 0 AND c <= nth)) AS INT)").alias("shard"))
-    )
+    low = f"aggregate(sequence(1, {n_shards}), array(0L), (c, i) -> concat(c, array({fit(f'{end(here)} + greatest(capacity - widest, 1L)')})))"
+    above = f"least(CAST(size(ends) AS BIGINT), greatest({here}, {fit(f'{end(here)} + capacity - 1')}) + 1)"
+    high = f"aggregate(sequence(1, {n_shards}), array(0L), (c, i) -> concat(c, array({above})))"
+    searched = one.where("size(ends) > 0").withColumn("capacity", F.expr(f"{search}.hi")).withColumn("backs", F.expr(backs))
+    return searched.withColumns({"cuts": F.expr(cuts), "lows": F.expr(low), "highs": F.expr(high)})
+
+
+def minimax_cuts(groups: DataFrame, n_shards: int) -> DataFrame:
+    """``groups``: (bucket, size), a list of bounded length. Returns (bucket, shard), shards contiguous in bucket order."""
+    return _shards_of(_searched(groups.withColumn("single", F.lit(True)), n_shards))
+
+
+def _shards_of(searched: DataFrame) -> DataFrame:
+    return searched.select("cuts", F.posexplode("atoms").alias("nth", "atom")).select("atom.bucket", F.expr("CAST(size(filter(cuts, c -> c > 0 AND c <= nth)) AS INT)").alias("shard"))
+
+
+def _floor(bits: int) -> Column:
+    """The first place of a bucket of so many bits that ``place`` lies in."""
+    return F.shiftleft(F.shiftright("place", 63 - bits), 63 - bits)
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 24, n_buckets: int = N_BUCKETS, salts: int = SLOT_SALTS) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 24, bits: int = BITS, more_bits: int = MORE_BITS, salts: int = SLOT_SALTS) -> DataFrame:
     """Deal ``docs`` (doc_id, text) to shards of nearly equal bytes; equal texts share a shard.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard, slot (gapless from 0 in each shard). A null text
@@ -67,12 +80,21 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, n_buckets: int = N_BUCKE
     other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(n_buckets)).cast("int").alias("bucket"))
-    where = minimax_cuts(rows.groupBy("bucket").agg(F.sum("size").alias("size")), n_shards)
-    dealt = rows.join(F.broadcast(where), "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(salts)).cast("int"))  # at most n_buckets rows are broadcast
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("place"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows, "sizes").withColumn("bucket", _floor(bits))
+    while True:
+        groups = rows.groupBy("bucket").agg(F.sum("size").alias("size"), (F.min("place") == F.max("place")).alias("single"))
+        searched = materialise(_searched(groups, n_shards), "cuts")
+        cut = searched.select("lows", "highs", F.posexplode("atoms").alias("nth", "atom")).where("NOT atom.single AND exists(zip_with(lows, highs, (a, b) -> nth >= a AND nth < b), x -> x)")
+        open_ = materialise(cut.select("atom.bucket", F.lit(True).alias("open")), "open")
+        if not open_.count():
+            break
+        bits += more_bits
+        rows = rows.join(F.broadcast(open_), "bucket", "left").withColumn("bucket", F.when(F.col("open"), _floor(min(bits, 63))).otherwise(F.col("bucket"))).drop("open")  # buckets near the cuts
+    dealt = rows.join(F.broadcast(_shards_of(searched)), "bucket").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))  # the list of buckets
     cells = dealt.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     before = cells.select("shard", "salt", (F.sum("n").over(Window.partitionBy("shard").orderBy("salt")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "size")) - 1
+    rank = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     return dealt.withColumn("rank", rank).join(F.broadcast(before), ["shard", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).alias("slot"))  # n_shards * salts rows at most
 
 
