@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -142,7 +143,7 @@ def encode_gif(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS,
 
 
 def read_frames(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas width and height, and the frames as stored. Raises ValueError for what is not a GIF; a cut file gives its whole frames."""
+    """Canvas width and height, and the frames as stored. Raises ValueError for what is not a GIF; a cut or damaged file gives the whole frames before the damage."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -153,6 +154,8 @@ def read_frames(data: bytes) -> tuple[int, int, list[Frame]]:
 
     shared = np.zeros((256, 3), np.uint8)
     if flags & 0x80:
+        if 13 + (3 << (flags & 7) + 1) > len(data):
+            return width, height, frames
         shared = colours((flags & 7) + 1)
         at += 3 << (flags & 7) + 1
     transparent, disposal, delay = None, 0, 0
@@ -175,12 +178,18 @@ def read_frames(data: bytes) -> tuple[int, int, list[Frame]]:
             at += 10
             palette = shared
             if local & 0x80:
+                if at + (3 << (local & 7) + 1) > len(data):
+                    break
                 palette = colours((local & 7) + 1)
                 at += 3 << (local & 7) + 1
-            root = data[at]
+            root = data[at] if at < len(data) else 0
+            if not 1 <= root <= 8:
+                break
             body, at = blocks(at + 1)
             samples = lzw_decode(body, root, w * h)
-            index = np.frombuffer(samples + bytes(w * h - len(samples)), np.uint8).reshape(h, w)
+            if len(samples) < w * h:
+                break
+            index = np.frombuffer(samples, np.uint8).reshape(h, w)
             if local & 0x40:
                 order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
                 whole = np.empty_like(index)
@@ -193,11 +202,11 @@ def read_frames(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def render(width: int, height: int, frames: list[Frame]) -> list[tuple[int, np.ndarray]]:
-    """The canvas (height, width, RGBA) at each frame with its start in hundredths of a second, under palette, transparency and disposal rules."""
-    canvas, now, out = np.zeros((height, width, 4), np.uint8), 0, []
+def render(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, np.ndarray]]:
+    """The canvas (height, width, RGBA) at each frame with its start in hundredths of a second, under palette, transparency and disposal rules; one canvas at a time."""
+    canvas, now = np.zeros((height, width, 4), np.uint8), 0
     for f in frames:
-        saved = canvas.copy()
+        saved = canvas.copy() if f.disposal == 3 else canvas
         h, w = (max(0, min(n, most - first)) for n, most, first in ((f.index.shape[0], height, f.top), (f.index.shape[1], width, f.left)))
         index = f.index[:h, :w]
         place = canvas[f.top : f.top + h, f.left : f.left + w]
@@ -205,19 +214,18 @@ def render(width: int, height: int, frames: list[Frame]) -> list[tuple[int, np.n
         rgb = f.palette[np.minimum(index, len(f.palette) - 1)]
         place[..., :3][shown] = rgb[shown]
         place[..., 3][shown] = 255
-        out.append((now, canvas.copy()))
+        yield now, canvas.copy()
         now += f.delay_cs
         if f.disposal == 2:
             place[:] = 0
         elif f.disposal == 3:
             canvas = saved
-    return out
 
 
 MEDIA = "n_bytes long, media binary"
 FRAMES = "n_frames int, width int, height int, duration_cs long, starts_cs array<long>, samples binary, histogram array<long>, frame_histograms array<array<long>>"
-#: Grey levels to a histogram cell.
-CELL = 16
+#: Grey levels to a histogram cell, and the largest canvas that is drawn; what claims a larger one counts as damaged.
+CELL, MOST_PIXELS = 16, 1 << 26
 
 
 def _stored(texts: pd.Series) -> pd.DataFrame:
@@ -243,9 +251,12 @@ def _read(media: pd.Series) -> pd.DataFrame:
 
 def _timed(data: bytes | None) -> tuple:
     """One GIF's row of FRAMES. ``samples`` are the red levels of each rendered frame's own area, in time order."""
-    if data is None:
-        return (0, 0, 0, 0, [], b"", [0] * (256 // CELL), [])
+    none = (0, 0, 0, 0, [], b"", [0] * (256 // CELL), [])
+    if data is None or data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+        return none
     width, height, frames = read_frames(data)
+    if width * height > MOST_PIXELS:
+        return none
     samples, cells = [], []
     for f, (_, canvas) in zip(frames, render(width, height, frames), strict=True):
         area = canvas[f.top : f.top + f.index.shape[0], f.left : f.left + f.index.shape[1], 0]
@@ -262,7 +273,7 @@ def store_gif(text: Column) -> Column:
 
 
 def read_gif(media: Column) -> Column:
-    """Struct FRAMES of a binary column of GIFs: timed frames, colour histograms and the samples read back. Null media give no frames; bytes that are not a GIF raise."""
+    """Struct FRAMES of a binary column of GIFs: timed frames, colour histograms and the samples read back. Null media, and bytes that are not a GIF, give a row without frames; a cut or damaged GIF gives the whole frames before the damage."""
     return F.pandas_udf(_read, FRAMES)(media)
 
 
