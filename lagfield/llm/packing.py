@@ -6,6 +6,7 @@ each the pieces, longest first, go to the open sequence that they fit best under
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,14 @@ _LATIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]*")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
 
+def _settings(path: str) -> dict:
+    """What a tokenizer file says besides its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    held["model"] = {k: v for k, v in held["model"].items() if k not in ("vocab", "merges")}
+    return held
+
+
 def _byte_letters() -> list[str]:
     """Byte-level BPE writes printable Latin-1 bytes as themselves and the others, in order, as the characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,13 +55,17 @@ def _byte_letters() -> list[str]:
 
 
 class Words:
-    """Token ids of texts, remembered by white-space word: ids do not depend on what stands across white space."""
+    """Token ids of texts, remembered by white-space word: ids do not depend on what stands across white space.
+
+    That holds for a file that normalises, splits and decodes as the default one does; texts go whole to the library for any other.
+    """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.by_word = _settings(path) == _settings(public_tokenizers.path(TOKENIZER))
         self.letters = dict(enumerate(_byte_letters()))
-        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.whole.get_vocab().values()) + 1)]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -87,7 +100,7 @@ class Words:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(x in text for x in _ODD):
+        if not self.by_word or any(x in text for x in _ODD):
             return self._library(text)
         known = self.words
         out = [known[w] if w in known else self._word(w) for w in text.split()]
@@ -100,7 +113,7 @@ def _words(path: str) -> Words:
 
 
 def pieces(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), by_task: bool = False) -> DataFrame:
-    """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone. ``by_task`` forgets words after a task, which takes more time and leaves workers less to hold."""
+    """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone; repeated rows and null ids stay. ``path`` names another tokenizer file. ``by_task`` forgets words after a task, which takes more time and leaves workers less to hold."""
     name = path or TOKENIZER
 
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -156,22 +169,28 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], weights: tup
 def pack(cut: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, group: int = GROUP, rule: str = "norm") -> DataFrame:
     """``cut`` (with length) with sequence_id and offset for every row: sequences hold at most ``tokens`` tokens, ``documents`` pieces and ``attention`` squared lengths.
 
-    Groups hold about ``group`` pieces whatever the input's size, dealt by row and not by key, so equal rows spread evenly. An empty table gives an empty result.
+    Groups hold about ``group`` pieces whatever the input's size, dealt by row and not by key, so equal rows spread evenly. A row's other columns stay, of any name but sequence_id and offset. A piece of ``tokens`` tokens stands alone
+    and must fit the other capacities too; a piece that fits no empty sequence raises. An empty table gives an empty result.
     """
-    rows = materialise(cut, "pieces").withColumn("uid", F.monotonically_increasing_id())
+    row, of = "row_of_pack", "group_of_pack"
+    while {row, of} & set(cut.columns):
+        row, of = f"{row}_", f"{of}_"
+    rows = materialise(cut.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    names = cut.columns
     loose = rows.where(F.col("length") < tokens)
     n_groups = max(1, -(-loose.count() // group))
-    names = rows.columns
 
     def packed(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
+        g = g.sort_values(["length", row], ascending=[False, True], kind="stable")
         bins, offsets = best_fit(g["length"].to_numpy(np.int64), (tokens, documents, attention), rule=rule)
-        return g.assign(sequence_id=g["g"].to_numpy(np.int64) * (1 << 24) + bins, offset=offsets)[[*names, "sequence_id", "offset"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    dealt = loose.withColumn("g", F.pmod(F.xxhash64("uid"), F.lit(n_groups))).groupBy("g").applyInPandas(packed, schema)
-    full = rows.where(F.col("length") >= tokens).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
-    return dealt.unionByName(full).drop("uid")
+        return g.assign(sequence_id=g[of].to_numpy(np.int64) * (1 << 24) + bins, offset=offsets)[[*names, "sequence_id", "offset"]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    dealt = loose.withColumn(of, F.pmod(F.xxhash64(row), F.lit(n_groups))).groupBy(of).applyInPandas(packed, schema)
+    if documents < 1 or attention < tokens * tokens and rows.where(F.col("length") >= tokens).limit(1).count():
+        raise ValueError(f"a piece of {tokens} tokens exceeds a capacity")
+    full = rows.where(F.col("length") >= tokens).select(*names, (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt.unionByName(full)
 
 
 def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
