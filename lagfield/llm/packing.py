@@ -39,12 +39,13 @@ _LATIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]*")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
 
-def _settings(path: str) -> dict:
+@lru_cache
+def _settings(path: str) -> str:
     """What a tokenizer file says besides its vocabulary."""
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
     held["model"] = {k: v for k, v in held["model"].items() if k not in ("vocab", "merges")}
-    return held
+    return json.dumps(held, sort_keys=True)
 
 
 def _byte_letters() -> list[str]:
