@@ -121,11 +121,21 @@ def test_palettes_transparency_disposal_and_interlace():
     red, green = [255, 0, 0, 255], [0, 255, 0, 255]
     assert shown[1][1, 1].tolist() == green and shown[1][1, 2].tolist() == red  # a transparent sample leaves what is below
     assert shown[2][1, 1].tolist() == [0, 0, 0, 0] and shown[2][0, 0].tolist() == [7, 7, 7, 255]  # cleared; the frame's own palette
-    assert frames[3].index[0].tolist() == [0, 1, 2, 3] and (gif.render(w, h, frames[:3] + [frame_of(frames[1], 3)])[3][1][0, 0] == red).all()  # restored
+    assert frames[3].index[0].tolist() == [0, 1, 2, 3] and (list(gif.render(w, h, frames[:3] + [frame_of(frames[1], 3)]))[3][1][0, 0] == red).all()  # restored
     with pytest.raises(ValueError):
         gif.read_frames(b"PNG")
 
 
+def test_damaged_media_give_a_defined_row(spark):
+    whole = gif.encode_gif(bytes(range(192)) * 130)
+    first = 13 + 768 + 8
+    root = whole.index(b"\x08", first + 10)
+    bad = [b"", b"GIF89a", b"PNG" * 9, None, whole[:40], whole[: first + 5], whole[: len(whole) * 9 // 10], *(whole[:root] + bytes([r]) + whole[root + 1 :] for r in (0, 12, 40, 255)), whole[:6] + b"\xff\xff\xff\xff" + whole[10:], whole[:13]]
+    rows = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate([*bad, whole])], "i int, m binary").select("i", gif.read_gif(F.col("m")).alias("f")).orderBy("i").collect()
+    assert [r.f.n_frames for r in rows] == [0] * 6 + [rows[6].f.n_frames] + [0] * 6 + [3] and rows[6].f.n_frames in (1, 2)
+    assert all(len(r.f.samples) == sum(r.f.histogram) for r in rows)
+
+
 def frame_of(f, top):
     return gif.Frame(f.index, 1, top, f.palette, 3, 0, 1)
 

@@ -59,6 +59,21 @@ def test_shards_keep_equal_texts_and_number_slots(spark):
     assert sharding.shard_by_bytes(docs.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_the_capacity_is_that_of_single_groups(spark, seed):
+    """With few bits a bucket holds many groups; the shards still keep to the least capacity of the groups in their order."""
+    rng = random.Random(seed)
+    texts = ["x" * rng.randint(0, 90) + str(i % 60) for i in range(60)] * 2 + ["giant " * 900] * seed
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sharding.shard_by_bytes(docs, 7, bits=2, more_bits=1).join(docs.select("doc_id", "text"), "doc_id").select("shard", "size", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("place")).collect()
+    places = sorted({r.place for r in rows})
+    sizes = [sum(r["size"] for r in rows if r.place == p) for p in places]
+    shards = [next(r.shard for r in rows if r.place == p) for p in places]
+    assert shards == sorted(shards) and all(len({r.shard for r in rows if r.place == p}) == 1 for p in places)
+    cap = best_cuts(sizes, 7)
+    assert all(sum(s for s, k in zip(sizes, shards) if k == x) <= cap or shards.count(x) == 1 for x in set(shards))
+
+
 # --- top-k
 
 
@@ -243,6 +258,15 @@ def test_license_places(spark):
     assert {r.doc_id: r.n_words for r in rows.collect()} == {0: 10, 1: 0, 2: 0, 3: 5, 4: 5, 5: 3, 6: 2, 7: 3}
 
 
+def test_whole_licence_headers(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software"
+    texts = ["cc by the public license mit. " + grant + " with no more", grant.replace("granted", "given"), grant.replace("free of charge", "free for charge"), None]
+    places, rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {(r.doc_id, r.label, r.base, r.start): r.share for r in places.join(rows, "uid").collect()}
+    assert set(found) == {(0, "cc-by", True, 0), (0, "mit", False, 6), (2, "mit", False, 0)} and found[0, "cc-by", True, 0] == 1 and 0.2 < found[0, "mit", False, 6] < 1
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+
+
 # --- mixing
 
 
