@@ -570,6 +570,8 @@ def order_config(optimizer: str = "adam") -> Config:
 
 _SMALL_TAPS = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=3)
 _SMALL_WINDOW = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, prediction_end=3.0, nb_buffer=2, buffer_duration=3.0)
+#: Sums of prices have seven decimals: moved by this, none lies half-way between two rounded values.
+_NO_TIE = 0.0000012345
 _SMALL = Config("small", {"price": ("sym_tap", _SMALL_TAPS), "count": ("sym_buffer", _SMALL_WINDOW)}, chunk_size=10)
 _SEGMENT = " + ".join(f"CAST(t_idx >= {b} AS INTEGER)" for b in _BORDERS[1:-1])
 _KEPT = "kt AS (SELECT n_nationkey AS target, (row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS chunk, (row_number() OVER (ORDER BY n_nationkey) - 1) % 10 AS nth FROM nation WHERE n_regionkey IN (0, 1, 2)), kc AS (SELECT chunk, count(*) AS size FROM kt GROUP BY 1)"
@@ -587,8 +589,8 @@ c AS (SELECT p.segment_id, chunk, p.col, nth, sum(p.v * value) AS value FROM s p
 e AS (SELECT {_SEGMENT} AS segment_id, chunk, nth AS pos, sum(value * value) AS value FROM ys GROUP BY 1, 2, 3),
 o1 AS (SELECT segment_id, 0 AS tj, pos, coalesce(value, 0) AS value FROM seg CROSS JOIN (SELECT unnest(range(441)) AS pos) LEFT JOIN g USING (segment_id, pos)),
 o2 AS (SELECT h.segment_id, -1 - 2 * h.chunk AS tj, h.col * size + h.nth AS pos, coalesce(value, 0) AS value FROM (SELECT * FROM seg CROSS JOIN (SELECT unnest(range(21)) AS col) CROSS JOIN (SELECT chunk, nth FROM kt)) h JOIN kc ON kc.chunk = h.chunk LEFT JOIN c ON c.segment_id = h.segment_id AND c.chunk = h.chunk AND c.col = h.col AND c.nth = h.nth),
-o3 AS (SELECT segment_id, -2 - 2 * chunk AS tj, pos, value FROM e)
-SELECT CAST(segment_id AS INTEGER) AS segment_id, 0 AS ti, CAST(tj AS INTEGER) AS tj, CAST(pos AS INTEGER) AS pos, round(value, 4) AS value FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o3)"""
+o3 AS (SELECT h.segment_id, -2 - 2 * h.chunk AS tj, h.pos, coalesce(value, 0) AS value FROM (SELECT segment_id, chunk, nth AS pos FROM seg CROSS JOIN kt) h LEFT JOIN e ON e.segment_id = h.segment_id AND e.chunk = h.chunk AND e.pos = h.pos)
+SELECT CAST(segment_id AS INTEGER) AS segment_id, 0 AS ti, CAST(tj AS INTEGER) AS tj, CAST(pos AS INTEGER) AS pos, round(value + {_NO_TIE}, 4) AS value FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o3)"""
 )
 def gram_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of products by segment of ten columns, their presence and ones, and with every chunk of targets."""
@@ -596,7 +598,7 @@ def gram_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk_of = ch.assign_chunk(_mask(spark, sf_dir), _SMALL.chunk_size)
     y = ch.keep_targets(data.signal(spark, sf_dir), _mask(spark, sf_dir))
     tiles = build_tiles(design, y, _SMALL.layout(), _BORDERS, chunk_of)
-    return tiles.select("segment_id", "ti", "tj", F.posexplode("g").alias("pos", "value")).withColumn("value", F.round("value", 4) + 0.0)
+    return tiles.select("segment_id", "ti", "tj", F.posexplode("g").alias("pos", "value")).withColumn("value", F.round(F.col("value") + _NO_TIE, 4))
 
 
 _ONE_TAP = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=1)
@@ -618,10 +620,10 @@ w AS (SELECT h.*, alpha, sxy / (sxx + alpha) AS w FROM h JOIN best USING (o))
 SELECT CAST(o AS INTEGER) AS fold, target, round(alpha, 6) AS alpha, round(w, 6) + 0.0 AS weight, round((2 * w * txy - w * w * txx) / tyy, 6) + 0.0 AS r2 FROM w"""
 )
 def run_encoding_1col(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job with one column, which SQL can say: nested folds, scaling by training rows, the alpha search, the fit and its score."""
+    """The whole job with one column, which SQL can say: nested folds, scaling by training rows, the alpha search, the fit and its score. Targets without a signal have none."""
     out = encode(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), _ONE)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
-    return out.where("target IS NOT NULL").groupBy("fold", "target").agg(F.round(F.exp(of("log_lambda")), 6).alias("alpha"), (F.round(of("weight"), 6) + 0.0).alias("weight"), (F.round(of("r2"), 6) + 0.0).alias("r2"))
+    return out.where("target IS NOT NULL").groupBy("fold", "target").agg(F.round(F.exp(of("log_lambda")), 6).alias("alpha"), (F.round(of("weight"), 6) + 0.0).alias("weight"), (F.round(of("r2"), 6) + 0.0).alias("r2")).where("r2 IS NOT NULL AND NOT isnan(r2)")
 
 
 @query()
