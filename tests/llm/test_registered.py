@@ -222,7 +222,8 @@ def test_stages(spark, folder):
     of = {}
     for d in DOCS:
         of.setdefault(d[0], []).append(d[1])
-    check_packed(packed(spark, docs, folder).collect(), of)
+    sequences = check_packed(packed(spark, docs, folder).collect(), of)
+    assert max(map(len, sequences.values())) <= corpus_pipeline.DOCUMENTS
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
