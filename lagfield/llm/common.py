@@ -49,25 +49,33 @@ def window(text: str, by: Column, chars: int) -> Column:
     return F.substring(F.col(text), F.pmod(by, room).cast("int") + 1, F.lit(chars))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python by ``rows`` at a time from now on, for what is returned before it runs."""
+    spark.conf.set(BATCH, rows)
+
+
 @contextmanager
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Hand texts to Python by ``rows`` at a time within, so that a worker's memory does not follow the session's default; what runs within must be written within."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH, before)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, merge: bool = False) -> DataFrame:
     """``rows`` with what ``keyed`` holds, one row to a ``key`` that is never null, with ``count`` rows of ``rows`` each; ``count`` is left out.
 
-    Hot keys are broadcast, fewer than :data:`HOT` of them, so that no task receives the rows of one; the others are joined by key.
+    Hot keys are broadcast, fewer than :data:`HOT` of them, so that no task receives the rows of one; the others are joined by key, with ``merge`` at any size by sorting.
     """
     total = keyed.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) * HOT > total
     hot = F.broadcast(keyed.where(is_hot).drop(count))
-    cold = rows.join(F.broadcast(keyed.where(is_hot).select(key)), key, "left_anti").join(keyed.where(~is_hot).drop(count), key)
+    others = keyed.where(~is_hot).drop(count)
+    cold = rows.join(F.broadcast(keyed.where(is_hot).select(key)), key, "left_anti").join(others.hint("merge") if merge else others, key)
     return rows.join(hot, key).unionByName(cold)

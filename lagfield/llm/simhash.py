@@ -269,7 +269,7 @@ def _candidates(once: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``once``: (node, keys), a row to a node. Returns (key, node, n) of the keys that n > 1 nodes have, and (node, root) of what shared keys connect."""
     keys = once.select("node", F.explode("keys").alias("key"))
     shared = materialise(keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("held", F.col("n")), "shared")
-    buckets = materialise(join_hot(keys, shared, "key", "held"), "buckets")
+    buckets = materialise(join_hot(keys, shared, "key", "held", merge=True), "buckets")
     return buckets.select("key", "node", "n"), components(buckets.select(F.col("node").alias("a"), F.col("first").alias("b")))
 
 
@@ -328,9 +328,10 @@ def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCE
         once = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "keys")).alias("r"))
         buckets, groups = _candidates(once.select("node", "r.keys"))
         groups = materialise(groups, "candidates")
-        places = groups.select("node").join(once, "node").select("node", F.col("r.doc_id").alias("own_id"), F.col("r.key").alias("own_key"))
         keyed = docs.select("doc_id", text_key.alias("key"), "text")
-        found = keyed.join(places, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))  # a hot text is dealt by id as well
+        # written, so that their size is known: texts move only if these are too many to broadcast
+        places = groups.select("node").join(once, "node").select("node", F.col("r.doc_id").alias("own_id"), F.col("r.key").alias("own_key"))
+        found = keyed.join(materialise(places, "places"), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))  # a hot text is dealt by id as well
         texts = found.groupBy("node").agg(F.max("text").alias("text"))  # repeated rows, and texts whose sets are equal
         with_sets = texts.select("node", _sets(F.col("text"), words, seed).alias("shingles"))
         sets = materialise(with_sets.withColumn("size", F.expr("octet_length(shingles) DIV 8")), "sets")
@@ -338,11 +339,18 @@ def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCE
     texts = rows.groupBy("node", "key").agg(F.min("doc_id").alias("first"))  # copies are few rows before they meet
     firsts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("kept"))
-    kept = materialise(least.select(F.col("kept.key").alias("kept_key"), F.col("kept.first").alias("kept_id")), "kept")
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key.alias("key"))
-    lead = marked.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))  # a hot text is dealt by id as well
-    nth = F.row_number().over(Window.partitionBy("kept_key", "kept_id").orderBy("id"))
-    return lead.withColumn("nth", nth).where("nth = 1").select("row.*")
+    kept = materialise(least.select(F.col("kept.key").alias("own_key"), F.col("kept.first").alias("own_id")), "kept")
+    same = (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    pairs = materialise(rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")), "pairs")
+    # out goes what is not kept, and what is kept and repeated, of which one row comes back
+    out = pairs.join(kept, same, "left").where("own_key IS NULL OR n > 1")
+    out = materialise(out.select(F.col("key").alias("own_key"), F.col("doc_id").alias("own_id"), F.col("own_key").isNotNull().alias("repeated")), "out")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key.alias("key"))
+    once_each = marked.join(out, same, "left_anti").select("row.*")
+    if not out.where("repeated").limit(1).count():
+        return once_each
+    nth = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy("key"))
+    return once_each.unionByName(marked.join(out.where("repeated"), same, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
