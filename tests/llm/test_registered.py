@@ -226,8 +226,9 @@ def test_stages(spark, folder):
     assert max(map(len, sequences.values())) <= corpus_pipeline.DOCUMENTS
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert corpus_pipeline.run(spark, folder).count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_empty_tables(spark, tmp_path):
