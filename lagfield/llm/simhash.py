@@ -329,9 +329,9 @@ def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCE
         buckets, groups = _candidates(once.select("node", "r.keys"))
         groups = materialise(groups, "candidates")
         keyed = docs.select("doc_id", text_key.alias("key"), "text")
-        # written, so that their size is known: texts move only if these are too many to broadcast
+        # by sorting at any size, so that work grows alike from small tables to large ones
         places = groups.select("node").join(once, "node").select("node", F.col("r.doc_id").alias("own_id"), F.col("r.key").alias("own_key"))
-        found = keyed.join(materialise(places, "places"), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))  # a hot text is dealt by id as well
+        found = keyed.join(materialise(places, "places").hint("merge"), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))  # a hot text is dealt by id as well
         texts = found.groupBy("node").agg(F.max("text").alias("text"))  # repeated rows, and texts whose sets are equal
         with_sets = texts.select("node", _sets(F.col("text"), words, seed).alias("shingles"))
         sets = materialise(with_sets.withColumn("size", F.expr("octet_length(shingles) DIV 8")), "sets")
@@ -346,11 +346,11 @@ def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCE
     out = pairs.join(kept, same, "left").where("own_key IS NULL OR n > 1")
     out = materialise(out.select(F.col("key").alias("own_key"), F.col("doc_id").alias("own_id"), F.col("own_key").isNotNull().alias("repeated")), "out")
     marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key.alias("key"))
-    once_each = marked.join(out, same, "left_anti").select("row.*")
+    once_each = marked.join(out.hint("merge"), same, "left_anti").select("row.*")
     if not out.where("repeated").limit(1).count():
         return once_each
     nth = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy("key"))
-    return once_each.unionByName(marked.join(out.where("repeated"), same, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*"))
+    return once_each.unionByName(marked.join(out.where("repeated").hint("merge"), same, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
