@@ -117,7 +117,8 @@ def block_pieces(docs: DataFrame, block: int = BLOCK, cells: int = CELLS) -> tup
     Order within a source is by a hash cell and then by doc_id and size.
     """
     same = lambda *names: [F.coalesce(F.col(c), F.lit("")) if c == "source" else F.col(c) for c in names]
-    rows = docs.withColumns({"cell": F.pmod(F.xxhash64("doc_id", "size"), F.lit(cells)).cast("int"), "no_source": F.col("source").isNull()})
+    spread = F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("uid")))  # rows without an id do not share a cell
+    rows = docs.withColumns({"cell": F.pmod(spread, F.lit(cells)).cast("int"), "no_source": F.col("source").isNull()})
     key = [*same("source"), F.col("no_source")]
     sums = rows.groupBy("source", "no_source", "cell").agg(F.sum("size").alias("cell_size"))
     before = sums.withColumn("cell_begin", F.sum("cell_size").over(Window.partitionBy(*key).orderBy("cell")) - F.col("cell_size"))
