@@ -6,7 +6,6 @@ local palettes, interlacing, transparency and the disposal rules, and returns ti
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
