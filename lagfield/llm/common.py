@@ -35,12 +35,60 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Who writes tables now, and by application and owner the tables that were written and not discarded.
+_owner: list[str] = []
+_held: dict[tuple[str, str], list[str]] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once to the shared checkpoint folder and read it back: cuts lineage and survives lost executors. :func:`discard` removes it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lagfield-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if _owner:
+        _held.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialise` that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "written_to", None) if "written_to" in vars(df) else None
+        if path:
+            _delete(df.sparkSession, path)
+            for held in _held.values():
+                if path in held:
+                    held.remove(path)
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that are written within belong to ``owner``, for :func:`sweep`."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def sweep(spark: SparkSession, owner: str, still: DataFrame) -> None:
+    """Remove what ``owner`` has written and not discarded, but for the tables that ``still`` reads."""
+    key = (spark.sparkContext.applicationId, owner)
+    if not _held.get(key):
+        return
+    read = "\n".join(still.inputFiles())
+    for path in _held.pop(key):
+        if path.rsplit("/", 1)[1] in read:
+            _held.setdefault(key, []).append(path)
+        else:
+            _delete(spark, path)
 
 
 def window(text: str, by: Column, chars: int) -> Column:

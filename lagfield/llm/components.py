@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise
+from .common import discard, join_hot, materialise
 
 MOST_ROUNDS = 60
 
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long), any direction, repeats and loops allowed. Returns (node, root) for every node with an edge to another: root is the component's smallest node.
 
     Each round links every node's larger neighbours, then its smaller ones and itself, to its smallest neighbour; stars remain.
-    Each round's edges are written to the shared checkpoint folder.
+    Each round's edges are written to the shared checkpoint folder, and what they were made of is removed. Nodes that are null have no
+    edges; a graph that has not settled after MOST_ROUNDS rounds raises: rounds grow with the logarithm of the longest path.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
@@ -27,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = join_hot(large, least, "u", "n").select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.b", "e.a").where("b <> a").distinct()
         small = materialise(small, "small")
         same = now.agg(F.count("*"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first() == small.agg(F.count("*"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+        discard(now, low, large, least)
         now = small
         if same:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
