@@ -23,8 +23,8 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Shingles to a fragment while they are counted, about, and fragments of a pair's sets while it is compared.
-FRAGMENT, PARTS = 2_000_000, 8
+#: Shingles to a fragment while they are counted, about, the least number of fragments, and those of a pair's sets while it is compared.
+FRAGMENT, FRAGMENTS, PARTS = 2_000_000, 64, 8
 #: Rounds of leaders, and sets and shingles that one block compares after them.
 ROUNDS, BLOCK = 2, (1024, 500_000)
 #: Times an index has been counted anew among the sets that are left.
@@ -188,9 +188,8 @@ def connected(sets: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, perc
 
 def _viable(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, size, shingles, prefix, central) of the sets that can have a partner: at least ``percent`` hundredths of their shingles are in another such set."""
-    spark = docs.sparkSession
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FRAGMENT + 1)
+    fragments = max(FRAGMENTS, total // FRAGMENT + 1)  # rows of a set and fragment follow the data, not how many partitions there are
     packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _packed(b, fragments, words), "f int, nodes binary, counts binary, tokens binary")
     found = materialise(packed.repartition(fragments, "f").groupBy("f").applyInPandas(_shared, SHARED), "shared")
     for peel in range(PEELS):
