@@ -740,6 +740,24 @@ def read_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", "recording", "name", "status", "ord", "x", "y", "z")
 
 
+@query(
+    f"""WITH {data.WORDS}, f AS (SELECT *, row_number() OVER (ORDER BY recording, row_id) - 1 AS nth FROM w WHERE word <> '')
+SELECT nth AS row_id, regexp_replace(lower(regexp_replace(word, '\\s', '_', 'g')), '[^a-zA-Z]', '', 'g') AS text, round(start, 6) AS start, round(stop - start, 6) AS duration, CAST(sentence_id AS INTEGER) AS sentence_id, row_id % 7 = 3 AS malformed
+FROM f WHERE pos IS DISTINCT FROM 'punct'"""
+)
+def read_transcript_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcript as its users have it: no row numbers, columns in another order and one more, rows with a cell too many; read by name, numbered by the file, normalised."""
+    path = tb.scratch(spark, "named")
+    cell = F.regexp_replace("word", "\\s", "_")
+    w = data.words(spark, sf_dir).where("word <> ''").repartitionByRange(4, "recording", "row_id").sortWithinPartitions("recording", "row_id")
+    line = F.concat_ws("\t", F.coalesce("pos", F.lit("")), F.col("sentence_id").cast("string"), cell, F.lit("u"), F.col("end").cast("string"), F.col("start").cast("string"), F.when(F.col("row_id") % 7 == 3, "more"))
+    header = "pos\tsentence_id\tword\tspeaker\tend\tstart"
+    # one column of whole lines is written, so that a row may have a cell too many
+    w.select(line.alias(header)).write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = tb.read_transcript(spark, path, malformed=True)
+    return tr.normalize_transcript(read).select("row_id", "text", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"), "sentence_id", F.col("malformed").isNotNull().alias("malformed"))
+
+
 @query(f"WITH {data.EVENTS} SELECT recording, element_id, round(t, 6) AS t, round(v0, 6) AS v0, round(v1, 6) AS v1 FROM e WHERE feature = 'click'")
 def read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements stored by feature, of which one is read."""

@@ -1,5 +1,7 @@
 """Readers, writers, transcripts and channels on small files."""
 
+import pytest
+
 from lagfield.functions import channels, transcript
 from lagfield.functions.grid import position_in_sentence, time_grid
 from lagfield.sources import tables
@@ -20,6 +22,32 @@ def test_transcript(spark, tmp_path):
     assert both.count() == 5 and both.where("word IS NULL").first().filepath == "a.wav"
 
 
+def test_readers_find_columns_by_name(spark, tmp_path):
+    """The columns of transcripts and electrodes as they are published: no row numbers, another order, cells missing, and rows that do not fit kept apart."""
+    folder = tmp_path / "words"
+    folder.mkdir()
+    (folder / "a.tsv").write_text("start\tword\tend\tspeaker\tpos\tsentence_id\n0.5\tDon't\t0.75\tu\tv\t0\nx\tbad\t1\tu\tv\t0\n1\tfew\n1.0\tGo\t1.5\tu\t\tn/a\n1.0\tmore\t1.5\tu\tv\t0\tz\n")
+    (folder / "b.tsv").write_text("start\tword\tend\tspeaker\tpos\tsentence_id\n9\tlast\t9.5\tu\tv\t3\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")  # a file in several blocks
+    try:
+        found = tables.read_transcript(spark, str(folder), malformed=True).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.row_id, r.word, r.malformed is None) for r in found] == [(0, "Don't", True), (1, "bad", False), (2, "few", False), (3, "Go", True), (4, "more", False), (5, "last", True)]
+    assert found[1].malformed == "x\tbad\t1\tu\tv\t0" and (found[3].start, found[3].end, found[3].pos, found[3].sentence_id) == (1.0, 1.5, None, None)
+    assert [tuple(r) for r in tables.read_transcript(spark, str(folder)).orderBy("row_id").collect()] == [(0, "Don't", 0.5, 0.75, "v", 0), (3, "Go", 1.0, 1.5, None, None), (5, "last", 9.0, 9.5, "v", 3)]
+    (tmp_path / "e.tsv").write_text("name\tx\ty\tz\nG1\t1\t2\t3\nG2\tn/a\tn/a\tn/a\n")
+    assert [tuple(r) for r in tables.read_electrodes(spark, str(tmp_path / "e.tsv")).collect()] == [(None, "G1", 1.0, 2.0, 3.0), (None, "G2", None, None, None)]
+    (tmp_path / "c.tsv").write_text("status\tname\nbad\tG2\ngood\tG1\n")
+    assert [tuple(r) for r in tables.read_channels(spark, str(tmp_path / "c.tsv")).orderBy("ord").collect()] == [(None, "G2", "bad", 0), (None, "G1", "good", 1)]
+    (tmp_path / "v.csv").write_text("text,type,start,duration\nhi,Word,1,0.5\n")
+    assert tables.read_events(spark, str(tmp_path / "v.csv")).first().asDict() == {"row_id": 0, "type": "Word", "start": 1.0, "duration": 0.5, "text": "hi", "sentence_id": None, "filepath": None, "language": None}
+    (folder / "c.tsv").write_text("word\tstart\tend\tspeaker\tpos\tsentence_id\nlast\t9\t9.5\tu\tv\t3\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|header"):
+        tables.read_transcript(spark, str(folder)).collect()
+
+
 def test_channels(spark):
     rows = [("DC1", "good", 0), ("Pulse Rate", "good", 1), ("EKG1", "good", 2), ("G1", "bad", 3), ("G2", None, 4)]
     table = channels.classify_channels(spark.createDataFrame(rows, "name string, status string, ord int"))
