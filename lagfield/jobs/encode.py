@@ -1,12 +1,13 @@
 """Encoding models: nested cross-validated banded ridge on the Gram statistics.
 
-The sums of every outer fold's test and inner validation parts are formed once. The alpha search is a task to an outer and an inner fold,
-for all targets, and Spark adds and compares its losses; penalties are then tuned by a task to an outer fold and a chunk of targets.
+The sums of every outer fold's test and inner validation parts are formed once. A task to an outer and an inner fold standardises them, makes their one eigendecomposition,
+which serves the alpha search of all targets, and writes all of it to a factor store; Spark adds and compares the losses. Penalties are then tuned chunk of targets by chunk of
+targets, by tasks that read the store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from lagfield.functions.grid import decimate as every_kth
 from lagfield.functions.grid import nested_folds
-from lagfield.operators.expand import Buffer, expand
+from lagfield.operators.expand import BUFFERS, Buffer, expand
 from lagfield.operators.gram import Layout, Sums, fold_sums, gram_tiles
 from lagfield.operators.scores import best_alpha
-from lagfield.operators.solve import Stats, banded_ridge, r2_parts, ridge_cv_init
+from lagfield.operators.solve import DIRECT, Stats, banded_ridge, r2_parts, ridge_cv_init
 from lagfield.sources.tables import finished, write_results, written_once
 
 
@@ -47,8 +48,7 @@ class Config:
         """Without shared_reg each slot is a band of its own."""
         if len({b.frequency for _, b in self.bands.values()}) != 1:
             raise ValueError("all bands share one frequency")
-        sides = lambda name: 2 if name.startswith(("sym", "lazy")) else 1
-        bands = [(f, 1 if name == "identity" else sides(name) * b.nb_buffer, b.dim) for f, (name, b) in self.bands.items()]
+        bands = [(f, BUFFERS[name].slots(b), b.dim) for f, (name, b) in self.bands.items()]
         return Layout(tuple(bands if self.shared_reg else [(f"{f}/{k}", 1, d) for f, n, d in bands for k in range(n)]))
 
     def folds(self) -> tuple[list[int], list[tuple[int, int, str, int]]]:
@@ -59,10 +59,10 @@ class Config:
 RESULT = "fold int, chunk int, kind string, target int, band string, slot int, dim int, iter int, value double"
 
 
-def run_encoding(elements: DataFrame, signal: DataFrame, targets: DataFrame, config: Config, path: str | None = None) -> DataFrame:
+def run_encoding(elements: DataFrame | Mapping[str, DataFrame], signal: DataFrame, targets: DataFrame, config: Config, path: str | None = None) -> DataFrame:
     """Fit and score all kept targets. Long rows (fold, chunk, kind, target, band, slot, dim, iter, value, model): kinds are weight, r2, log_lambda and loss.
 
-    ``elements``: as for expand, with feature; ``signal``: (recording, t_idx, target, value); ``targets``: (target, keep). Recordings and targets
+    ``elements``: as for expand, one table with feature or one for each feature; ``signal``: (recording, t_idx, target, value); ``targets``: (target, keep). Recordings and targets
     keep their types; if ``targets`` has time_id, each (time_id, target) is fitted as a target of its own, and all three tables' rows carry it.
     With ``path`` results are written there by fold, what is there already is not fitted again, and all that is there of the model is returned.
     """
@@ -81,13 +81,13 @@ def run_encoding(elements: DataFrame, signal: DataFrame, targets: DataFrame, con
         thin = (lambda df: config.decimation(df, config.decimate)) if config.decimate > 1 else lambda df: df
         design = thin(expand(elements, config.bands, config.shared_reg))
         own = thin(signal.join(index, keys).select("recording", "t_idx", F.col("nth").alias("target"), "value"))
-        recordings = elements.select("recording").distinct().count()
-        tiles = gram_tiles(design, own, layout, borders, index.select(F.col("nth").alias("target"), "chunk"), config.rows, recordings)
+        tiles = gram_tiles(design, own, layout, borders, index.select(F.col("nth").alias("target"), "chunk"), config.rows)
         sums = written_once(fold_sums(tiles, roles), "fold-sums")
-        alphas = _alphas(sums, layout, chunks, size, config)
+        factors = written_once(_factors(sums, layout, chunks, config), "factors")
+        alphas = _alphas(factors, config.alpha_scope == "target")
 
         def result(some: list[tuple[int, int]]) -> DataFrame:
-            named = _fit(sums, alphas, layout, chunks, some, size, config).withColumnRenamed("target", "nth").join(index.drop("chunk"), "nth", "left")
+            named = _fit(factors, alphas, layout, chunks, some, size, config).withColumnRenamed("target", "nth").join(index.drop("chunk"), "nth", "left")
             return named.select("fold", "chunk", "kind", *keys, "band", "slot", "dim", "iter", "value", F.lit(config.model).alias("model"))
 
         if not path:
@@ -100,24 +100,61 @@ def run_encoding(elements: DataFrame, signal: DataFrame, targets: DataFrame, con
     return spark.read.parquet(path).where(F.col("model") == config.model)
 
 
-def _alphas(sums: DataFrame, layout: Layout, chunks: dict[int, int], size: int, config: Config) -> DataFrame:
-    """(fold, chunk, nth, alpha): the alpha of the least validation loss over the inner folds, by chunk (nth null) or by target."""
-    by_target = config.alpha_scope == "target"
-    keyed = sums.where("part >= 0").withColumn("inner", F.explode(F.sequence(F.lit(0), F.lit(config.inner - 1))))
+#: Rows of the factor store: matrices in binary blocks of BLOCK rows, those of all targets (chunk -1) and those of a chunk, and the losses of the alpha search.
+FACTORS, BLOCK = "fold int, inner int, chunk int, name string, block int, width int, data binary, nth int, alpha double, loss double", 256
+
+
+def _rows(fold: int, inner: int, chunk: int, **matrices: np.ndarray) -> list[tuple]:
+    wide = {n: m.reshape(len(m), -1) for n, m in matrices.items()}
+    return [(fold, inner, chunk, n, i, m.shape[1], np.ascontiguousarray(m[i * BLOCK : (i + 1) * BLOCK]).tobytes(), None, None, None) for n, m in wide.items() for i in range(-(-len(m) // BLOCK))]
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    own = rows.sort_values("block")
+    return np.frombuffer(b"".join(own["data"]), np.float64).reshape(-1, int(own["width"].iloc[0]))
+
+
+def factored(fold: int, inner: int, rows: pd.DataFrame, layout: Layout, chunks: dict[int, int], folds: int, alphas: tuple[float, ...]) -> list[tuple]:
+    """Rows of the store for an inner fold: its training Gram with the one eigendecomposition that is made of it, its validation Gram, products with the targets by chunk,
+    and the losses of all alphas. ``inner`` -1 is the last fit: all training rows, and those held out."""
+    sums, size = Sums(rows, layout, chunks), max(chunks.values())
+    if inner >= 0:
+        train, val = _inner(sums, folds, inner)
+    else:
+        parts = list(range(folds))
+        scaling = sums.scaling(parts)
+        _, mean, var = sums.moments(parts)
+        sd = np.where(var > 0, np.sqrt(var), 1.0)
+        train, val = sums.stats(parts, scaling, mean, sd), sums.stats([-1], scaling, sums.moments([-1])[1], sd)
+    out = _rows(fold, inner, -1, train=train.xtx, val=val.xtx, n=np.array([train.n, val.n]))
+    if inner >= 0 or len(layout.columns) > DIRECT:
+        values, vectors = np.linalg.eigh(train.xtx)
+        out += _rows(fold, inner, -1, values=values, vectors=vectors)
+    for chunk, m in chunks.items():
+        own = slice(chunk * size, chunk * size + m)
+        out += _rows(fold, inner, chunk, train_y=train.xty[:, own], val_y=val.xty[:, own], train_yy=train.yty[own], val_yy=val.yty[own])
+    if inner >= 0:
+        losses = ridge_cv_init([(train, val)], 1, np.array(alphas), "target", [(values, vectors)])[1] * val.n
+        out += [(fold, inner, t // size, "loss", 0, 1, None, t, float(a), float(losses[k, t])) for k, a in enumerate(alphas) for t in range(losses.shape[1])]
+    return out
+
+
+def _factors(sums: DataFrame, layout: Layout, chunks: dict[int, int], config: Config) -> DataFrame:
+    """The factor store: one task to an outer and an inner fold, and one to an outer fold for the last fit. No more than this reads the Gram."""
+    folds, alphas = config.inner, config.alphas
+    keyed = sums.withColumn("inner", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1)))).where("part >= 0 OR inner = -1")
+    names = [c.split()[0] for c in FACTORS.split(", ")]
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        folds = _inner(Sums(rows, layout, chunks), config.inner, int(key[1]))
-        losses = ridge_cv_init([folds], 1, np.array(config.alphas), "target")[1] * folds[1].n
-        nth = np.arange(losses.shape[1])
-        long = pd.DataFrame({"nth": np.tile(nth, len(losses)), "alpha": np.repeat(config.alphas, len(nth)), "loss": losses.ravel()})
-        long["chunk"] = long["nth"] // size
-        if not by_target:
-            long = long.groupby(["chunk", "alpha"], as_index=False)["loss"].sum().assign(nth=None)
-        return long.assign(fold=key[0])[["fold", "chunk", "nth", "alpha", "loss"]].astype({"nth": "Int32"})
+    def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(factored(int(key[0]), int(key[1]), rows, layout, chunks, folds, alphas), columns=names).astype({"nth": "Int32"})
 
-    losses = keyed.groupBy("fold", "inner").applyInPandas(search, "fold int, chunk int, nth int, alpha double, loss double")
-    total = losses.groupBy("fold", "chunk", "nth", "alpha").agg(F.sum("loss").alias("loss"))
-    return best_alpha(total, ["fold", "chunk", "nth"])
+    return keyed.groupBy("fold", "inner").applyInPandas(each, FACTORS)
+
+
+def _alphas(factors: DataFrame, by_target: bool) -> DataFrame:
+    """(fold, chunk, nth, alpha): the alpha of the least validation loss over the inner folds, by chunk (nth null) or by target."""
+    losses = factors.where("name = 'loss'").select("fold", "chunk", F.col("nth") if by_target else F.lit(None).cast("int").alias("nth"), "alpha", "loss")
+    return best_alpha(losses.groupBy("fold", "chunk", "nth", "alpha").agg(F.sum("loss").alias("loss")), ["fold", "chunk", "nth"])
 
 
 def _inner(sums: Sums, inner: int, i: int) -> tuple[Stats, Stats]:
@@ -131,36 +168,56 @@ def _inner(sums: Sums, inner: int, i: int) -> tuple[Stats, Stats]:
     return sums.stats(rest, scaling, mean, scale), sums.stats([i], scaling, mean, scale)
 
 
-def _fit(sums: DataFrame, alphas: DataFrame, layout: Layout, chunks: dict[int, int], jobs: list[tuple[int, int]], size: int, config: Config) -> DataFrame:
-    """Weights, scores and penalties by (fold, chunk); a target is its number."""
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame(jobs, "fold int, chunk int")  # folds times chunks of targets
-    of = F.when(F.col("tj") >= 0, F.array(*map(F.lit, chunks))).otherwise(F.array(F.expr("CAST((-1 - tj) DIV 2 AS INT)")))
-    own = sums.withColumn("chunk", F.explode(of)).join(F.broadcast(wanted), ["fold", "chunk"], "left_semi")
+class Fold:
+    """An outer fold out of the factor store: what all chunks share, read once by a task."""
+
+    def __init__(self, shared: pd.DataFrame, inner: int):
+        held = {(int(i), n): _matrix(own) for (i, n), own in shared.groupby(["inner", "name"])}
+        self.held, self.inner = held, inner
+        self.bases = [(held[i, "values"][:, 0], held[i, "vectors"]) for i in range(inner)]
+        self.full_basis = (held[-1, "values"][:, 0], held[-1, "vectors"]) if (-1, "values") in held else None
+
+    def chunk(self, own: pd.DataFrame) -> list[tuple[Stats, Stats]]:
+        """Training and validation sums of the inner folds, and last those of the whole fit and of what is held out."""
+        y = {(int(i), n): _matrix(rows) for (i, n), rows in own.groupby(["inner", "name"])}
+        of = lambda i, role, at: Stats(self.held[i, role], y[i, f"{role}_y"], y[i, f"{role}_yy"][:, 0], float(self.held[i, "n"][at, 0]))
+        return [(of(i, "train", 0), of(i, "val", 1)) for i in [*range(self.inner), -1]]
+
+
+def _fit(factors: DataFrame, alphas: DataFrame, layout: Layout, chunks: dict[int, int], jobs: list[tuple[int, int]], size: int, config: Config) -> DataFrame:
+    """Weights, scores and penalties by (fold, chunk); a target is its number.
+
+    Chunks are dealt to lanes, no more than run at a time: a lane reads what they share once, so that it is copied by lane and not by chunk.
+    """
+    spark = factors.sparkSession
+    lanes = max(1, min(len(chunks), -(-spark.sparkContext.defaultParallelism // max(1, config.outer))))
+    wanted = lambda: F.broadcast(spark.createDataFrame(jobs, "fold int, chunk int").withColumn("lane", F.col("chunk") % lanes))  # noqa: E731  folds times chunks of targets
+    own = factors.where("chunk >= 0 AND name <> 'loss'").join(wanted(), ["fold", "chunk"])
+    shared = factors.where("chunk = -1").join(F.broadcast(wanted().select("fold", "lane").distinct()), "fold")
+    some = shared.unionByName(own).drop("nth", "alpha", "loss")
+    inner, optimizer = config.inner, (config.n_iter, config.lr, config.optimizer)
+    frozen = config.freeze_forward
 
     def fit(key: tuple, rows: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
-        fold, chunk = int(key[0]), int(key[1])
-        names = [chunk * size + j for j in range(chunks[chunk])]
-        of = Sums(rows, layout, {chunk: len(names)})
-        folds = [_inner(of, config.inner, i) for i in range(config.inner)]
-        parts = list(range(config.inner))
-        scaling = of.scaling(parts)
-        _, mean, var = of.moments(parts)
-        sd = np.where(var > 0, np.sqrt(var), 1.0)
-        alpha = np.full(len(names), best["alpha"].iloc[0]) if best["nth"].isna().all() else best.set_index("nth")["alpha"].reindex(names).to_numpy()
-        start = np.repeat(np.log(alpha)[None, :], len(layout.bands), 0)
-        whole = of.stats(parts, scaling, mean, sd)
-        w, delta, losses = banded_ridge(folds, layout.band_of, start, config.n_iter, config.lr, config.optimizer, whole, config.freeze_forward)
-        held = of.stats([-1], scaling, of.moments([-1])[1], sd)
-        r2 = r2_parts(held, w, layout.slot_of)
-        out = [(fold, chunk, "weight", t, b, s, d, None, w[i, j]) for i, (b, s, d) in enumerate(layout.columns) for j, t in enumerate(names)]
-        out += [(fold, chunk, "r2", t, b, s, None, None, r2[i, j]) for i, (b, s, _) in enumerate(layout.slots) for j, t in enumerate(names)]
-        out += [(fold, chunk, "log_lambda", t, b, None, None, None, delta[i, j]) for i, (b, _, _) in enumerate(layout.bands) for j, t in enumerate(names)]
-        out += [(fold, chunk, "loss", None, None, None, None, i, x) for i, x in enumerate(losses)]
+        fold, out = Fold(rows[rows["chunk"] == -1], inner), []
+        for chunk, mine in rows[rows["chunk"] >= 0].groupby("chunk"):
+            *folds, (whole, held) = fold.chunk(mine)
+            names = [int(chunk) * size + j for j in range(chunks[int(chunk)])]
+            found = best[best["chunk"] == chunk]
+            alpha = np.full(len(names), found["alpha"].iloc[0]) if found["nth"].isna().all() else found.set_index("nth")["alpha"].reindex(names).to_numpy()
+            start = np.repeat(np.log(alpha)[None, :], len(layout.bands), 0)
+            w, delta, losses = banded_ridge(folds, layout.band_of, start, *optimizer, whole, frozen, fold.bases, fold.full_basis)
+            r2, at = r2_parts(held, w, layout.slot_of), (int(key[0]), int(chunk))
+            out += [(*at, "weight", t, b, s, d, None, w[i, j]) for i, (b, s, d) in enumerate(layout.columns) for j, t in enumerate(names)]
+            out += [(*at, "r2", t, b, s, None, None, r2[i, j]) for i, (b, s, _) in enumerate(layout.slots) for j, t in enumerate(names)]
+            out += [(*at, "log_lambda", t, b, None, None, None, delta[i, j]) for i, (b, _, _) in enumerate(layout.bands) for j, t in enumerate(names)]
+            out += [(*at, "loss", None, None, None, None, i, x) for i, x in enumerate(losses)]
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
         return frame.astype({c: "Int32" for c in ("target", "slot", "dim", "iter")})
 
-    return own.groupBy("fold", "chunk").cogroup(alphas.join(F.broadcast(wanted), ["fold", "chunk"], "left_semi").groupBy("fold", "chunk")).applyInPandas(fit, RESULT)
+    best_of = alphas.select(*(F.col(c).alias(c) for c in alphas.columns))  # columns of their own beside those of the store
+    found = best_of.join(wanted(), ["fold", "chunk"]).groupBy("fold", "lane")
+    return some.groupBy("fold", "lane").cogroup(found).applyInPandas(fit, RESULT)
 
 
 def model_suite(features: dict[str, Buffer], trees: tuple[str, ...], phonemes: tuple[str, ...]) -> dict[str, Config]:

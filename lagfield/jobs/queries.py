@@ -175,6 +175,25 @@ def sym_parse_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(ex.sym_parse_reset(_parsed(spark, sf_dir), data.WINDOW))
 
 
+_HOURLY = "hs AS (SELECT recording, CAST(floor(t * 4) AS INTEGER) AS t_idx, sum(v0) AS v0, sum(v1) AS v1 FROM ev GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH {data.EVENTS}, {_HOURS}, {_HOURLY}, {taps_sql('tp', data.TAP, True)}, {taps_sql('tf', data.TAP, False)}, {parse_sql('d', 'DESC')},
+m AS (SELECT 'taps' AS band, recording, t_idx, slot, v0, v1 FROM tp UNION ALL SELECT 'taps', recording, t_idx, slot + {data.TAP.nb_buffer}, v0, v1 FROM tf
+UNION ALL SELECT 'parsed', recording, t_idx, slot, v0, v1 FROM d UNION ALL SELECT 'load', recording, t_idx, 0, v0, v1 FROM hs WHERE t_idx BETWEEN 0 AND {data.N_EVENTS - 1})
+SELECT band, CAST(recording AS BIGINT) AS recording, CAST(slot AS INTEGER) AS slot, count(*) AS n, round(sum(v0), 4) AS v0, round(sum(v1), 4) AS v1, sum(CAST(t_idx AS BIGINT)) AS t FROM m GROUP BY 1, 2, 3"""
+)
+def mixed_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One design out of vectors, vectors by context and a series on the grid, each from a table of its own: what each slot of each band holds."""
+    e = data.events(spark, sf_dir)
+    load = e.groupBy("recording", F.floor(F.col("t") * 4).cast("int").alias("t_idx")).agg(ex.vec_sum(2).alias("vec"))
+    tables = {"taps": e, "parsed": _parsed(spark, sf_dir), "load": load}
+    design = ex.expand(tables, {"taps": ("sym_tap", data.TAP), "parsed": ("stack_parse_reset", data.WINDOW), "load": ("identity", data.TAP)})
+    held = (F.count("*").alias("n"), *(F.round(F.sum(F.col("vec")[i]), 4).alias(f"v{i}") for i in (0, 1)), F.sum("t_idx").alias("t"))
+    return design.groupBy("band", F.col("recording").cast("long").alias("recording"), F.col("slot").cast("int").alias("slot")).agg(*held)
+
+
 _SERIES = "s AS (SELECT 0 AS recording, CAST(vec_id AS INTEGER) AS t_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), n AS (SELECT max(t_idx) + 1 AS n, max(len(vec)) AS dim FROM s)"
 
 

@@ -7,6 +7,7 @@ design (recording, t_idx, slot, vec): an absent row is a slot that was not writt
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from math import ceil
 
@@ -163,31 +164,84 @@ def checked_tap(elements: DataFrame, b: Buffer) -> DataFrame:
     return tap_add(elements, b)
 
 
-#: Buffers by name: a user's own goes in beside these as a function (elements, Buffer) -> design.
+@dataclass(frozen=True)
+class Kind:
+    """What a buffer is: everything that a model has to know of it.
+
+    ``expand`` turns its input and a window into a design (recording, t_idx, slot, vec); ``slots`` says how many slots that window has, counted from 0, and ``parameters``
+    the class of its windows, which may hold more than :class:`Buffer` does. ``takes`` is its input: elements, elements with ``contexts``, or a ``series`` on the grid.
+    """
+
+    expand: Callable[[DataFrame, Buffer], DataFrame]
+    slots: Callable[[Buffer], int]
+    takes: str = "elements"
+    parameters: type = Buffer
+
+    def __call__(self, rows: DataFrame, b: Buffer) -> DataFrame:
+        if not isinstance(b, self.parameters):
+            raise TypeError(f"this buffer takes a {self.parameters.__name__}, not a {type(b).__name__}")
+        lacking = sorted(set(INPUTS[self.takes]) - set(rows.columns))
+        if lacking:
+            raise ValueError(f"{self.takes} lack {', '.join(lacking)}")
+        return self.expand(rows, b)
+
+
+#: The columns of each kind of input.
+INPUTS = {
+    "elements": ("recording", "element_id", "t", "vec"),
+    "contexts": ("recording", "element_id", "t", "sentence_id", "position", "vec"),
+    "series": ("recording", "t_idx", "vec"),
+}
+
+
+def one_side(b: Buffer) -> int:
+    return b.nb_buffer
+
+
+def two_sides(b: Buffer) -> int:
+    return 2 * b.nb_buffer
+
+
+def _lazy(series: DataFrame, b: Buffer) -> DataFrame:
+    return sym_timeshift(series, b, missing_as_zero=True, negated_past=True)
+
+
+#: Buffers by name: :func:`register` puts a user's own beside these.
 BUFFERS = {
-    "tap": checked_tap,
-    "reverse_tap": reverse_tap_add,
-    "stack": stack_buffer,
-    "queue": queue_buffer,
-    "stack_parse_reset": stack_parse_reset,
-    "queue_parse_reset": queue_parse_reset,
-    "sym_tap": sym_tap,
-    "sym_buffer": sym_buffer,
-    "sym_parse_reset": sym_parse_reset,
-    "sym_timeshift": sym_timeshift,
-    "lazy_timeshift": lambda s, b: sym_timeshift(s, b, missing_as_zero=True, negated_past=True),
-    "identity": identity_band,
+    "tap": Kind(checked_tap, one_side),
+    "reverse_tap": Kind(reverse_tap_add, one_side),
+    "stack": Kind(stack_buffer, one_side),
+    "queue": Kind(queue_buffer, one_side),
+    "stack_parse_reset": Kind(stack_parse_reset, one_side, "contexts"),
+    "queue_parse_reset": Kind(queue_parse_reset, one_side, "contexts"),
+    "sym_tap": Kind(sym_tap, two_sides),
+    "sym_buffer": Kind(sym_buffer, two_sides),
+    "sym_parse_reset": Kind(sym_parse_reset, two_sides, "contexts"),
+    "sym_timeshift": Kind(sym_timeshift, two_sides, "series"),
+    "lazy_timeshift": Kind(_lazy, two_sides, "series"),
+    "identity": Kind(identity_band, lambda b: 1, "series"),
 }
 
 
-def expand(elements: DataFrame, bands: dict[str, tuple[str, Buffer]], shared_reg: bool = True) -> DataFrame:
+def register(name: str, expand: Callable[[DataFrame, Buffer], DataFrame], slots: Callable[[Buffer], int], takes: str = "elements", parameters: type = Buffer) -> None:
+    """A buffer of a user's own, by a new name."""
+    if name in BUFFERS:
+        raise ValueError(f"there is a buffer {name!r}")
+    if takes not in INPUTS:
+        raise ValueError(f"unknown input {takes!r}")
+    BUFFERS[name] = Kind(expand, slots, takes, parameters)
+
+
+def expand(elements: DataFrame | Mapping[str, DataFrame], bands: dict[str, tuple[str, Buffer]], shared_reg: bool = True) -> DataFrame:
     """(recording, t_idx, band, slot, vec) of all features: ``bands`` maps a feature to its buffer's name and window. Without shared_reg each slot is a band of its own, whose slot is 0.
 
-    Each band filters ``elements`` by its feature, which prunes partitions where they are stored by feature, as read_features expects; other layouts are read once a band.
+    ``elements``: a table for each feature, of the columns that its buffer takes; so vectors, vectors by context and series on the grid meet in one model. Or one table with
+    feature, which each band filters; that prunes partitions where it is stored by feature, as read_features expects, and reads other layouts once a band.
     """
     out = None
     for feature, (name, b) in bands.items():
-        own = BUFFERS[name](elements.where(F.col("feature") == feature).drop("feature"), b)
+        rows = elements.where(F.col("feature") == feature).drop("feature") if isinstance(elements, DataFrame) else elements[feature]
+        own = BUFFERS[name](rows, b)
         band = F.lit(feature) if shared_reg else F.concat_ws("/", F.lit(feature), "slot")
         own = own.select("recording", "t_idx", band.alias("band"), (F.col("slot") if shared_reg else F.lit(0)).alias("slot"), "vec")
         out = own if out is None else out.unionByName(own)

@@ -6,6 +6,7 @@ segment, give means, deviations and the Gram of the standardised design for any
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,52 +56,90 @@ class Layout:
         place = {(b, k): i for i, (b, k, _) in enumerate(self.slots)}
         vecs = design["vec"].to_numpy()
         for key, own in design.groupby(["band", "slot"]).indices.items():
-            i = place.get(key)
-            if i is not None:
-                np.add.at(out, (row[own], slice(first[i], first[i + 1])), np.stack(vecs[own]))
-                out[row[own], p + i] = 1
+            if key not in place:
+                raise ValueError(f"band {key[0]!r} has no slot {int(key[1])} in the layout: a buffer wrote more than it declares")
+            i = place[key]
+            np.add.at(out, (row[own], slice(first[i], first[i + 1])), np.stack(vecs[own]))
+            out[row[own], p + i] = 1
         return out
 
 
-def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS, recordings: int | None = None) -> DataFrame:
-    """Tiles of the Gram (tj from 0) and of the products with each chunk's targets (tj = -1 - 2 * chunk; the squares of its targets in tj = -2 - 2 * chunk), summed by segment.
+def partial_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS, parts: int | None = None) -> tuple[DataFrame, int]:
+    """(segment_id, ti, tj, part, g) for :func:`gram_tiles`, and how many parts a segment has.
 
-    ``design``: (recording, t_idx, band, slot, vec); ``signal``: (recording, t_idx, target, value); ``chunk_of``: (target, chunk). Samples
-    count where there is a signal. A task holds one block of ``rows`` samples of a recording; partial tiles are added in rounds
-    of a bounded number, which follows from how many ``recordings`` there are; if that is not given, they are counted.
+    Samples are dealt by segment and by blocks of ``rows`` of a recording into ``parts`` parts, as many as there are shuffle partitions if not given. A task reads its
+    blocks in order, holds one of them and one sum, and hands on the sum once for each part: what is handed on grows with the parts and not with the samples.
     """
     targets = [(r.target, r.chunk) for r in chunk_of.select("target", "chunk").orderBy("chunk", "target").collect()]  # the dimension table
     chunks = {c: [t for t, k in targets if k == c] for c in sorted({k for _, k in targets})}
-    block = F.expr(f"CAST(t_idx DIV {rows} AS INT)").alias("block")
-    left = design.select("recording", block, "t_idx", "band", "slot", "vec")
-    part = F.pmod(F.xxhash64("recording", block), F.lit(1 << 40)).alias("part")
-    right = with_segment(signal, borders).select("recording", block, part, "t_idx", "segment_id", "target", "value")
-
-    def partial(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if not len(y):
-            return pd.DataFrame(out, columns=["segment_id", "ti", "tj", "part", "g"])
-        part = int(y["part"].iloc[0])
-        for segment, own in y.groupby("segment_id"):
-            wide = own.pivot_table(index="t_idx", columns="target", values="value", aggfunc="sum", fill_value=0.0)
+    names, ends = [t for own in chunks.values() for t in own], np.cumsum([0, *(len(own) for own in chunks.values())]).tolist()
+    parts = parts or int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_segment = max(1, -(-parts // max(len(borders) - 1, 1)))
+    size = len(layout.columns) + len(layout.slots) + 1
+    key = ["segment_id", "part", "recording", "block"]
+    placed = lambda df: with_segment(df, borders).withColumn("block", F.expr(f"CAST(t_idx DIV {rows} AS INT)")).withColumn("part", F.pmod(F.xxhash64("recording", "block"), F.lit(of_segment)))
+    both = placed(design).select(*key, "t_idx", "band", "slot", "vec").unionByName(placed(signal).select(*key, "t_idx", "target", "value"), allowMissingColumns=True)
+
+    def accumulated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by ``key``: blocks are added to the sums of their segment and part."""
+        at, unit, held = None, None, []
+        g, c, yy = np.zeros((size, size)), np.zeros((size, len(names))), np.zeros(len(names))
+
+        def add() -> None:
+            own = pd.concat(held)
+            y = own[own["target"].notna()]
+            if not len(y):
+                return
+            wide = y.pivot_table(index="t_idx", columns="target", values="value", aggfunc="sum", fill_value=0.0)
             times = wide.index.to_numpy()
-            a = layout.dense(x[x["t_idx"].isin(times)], times)
-            for i in range(0, a.shape[1], TILE):
-                for j in range(i, a.shape[1], TILE):
-                    out.append((int(segment), i // TILE, j // TILE, part, (a[:, i : i + TILE].T @ a[:, j : j + TILE]).ravel()))
-                for c, names in chunks.items():
-                    out.append((int(segment), i // TILE, -1 - 2 * c, part, (a[:, i : i + TILE].T @ wide.reindex(columns=names, fill_value=0.0).to_numpy()).ravel()))
-            for c, names in chunks.items():
-                out.append((int(segment), 0, -2 - 2 * c, part, (wide.reindex(columns=names, fill_value=0.0).to_numpy() ** 2).sum(0)))
-        return pd.DataFrame(out, columns=["segment_id", "ti", "tj", "part", "g"])
+            x = own[own["band"].notna()]
+            a, v = layout.dense(x[x["t_idx"].isin(times)], times), wide.reindex(columns=names, fill_value=0.0).to_numpy()
+            g.__iadd__(a.T @ a)
+            c.__iadd__(a.T @ v)
+            yy.__iadd__((v * v).sum(0))
+
+        def handed_on() -> pd.DataFrame:
+            out = []
+            for i in range(0, size, TILE):
+                out += [(*at, i // TILE, j // TILE, g[i : i + TILE, j : j + TILE].flatten()) for j in range(i, size, TILE)]
+                out += [(*at, i // TILE, -1 - 2 * k, c[i : i + TILE, lo:hi].flatten()) for k, lo, hi in zip(chunks, ends, ends[1:], strict=False)]
+            out += [(*at, 0, -2 - 2 * k, yy[lo:hi].copy()) for k, lo, hi in zip(chunks, ends, ends[1:], strict=False)]
+            frame = pd.DataFrame(out, columns=["segment_id", "part", "ti", "tj", "g"])[["segment_id", "ti", "tj", "part", "g"]]
+            for sums in (g, c, yy):
+                sums.fill(0)
+            return frame
+
+        for batch in batches:
+            keys = batch[key]
+            borders_of = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy()).tolist()
+            for lo, hi in zip(borders_of, [*borders_of[1:], len(batch)], strict=True):
+                here = tuple(keys.iloc[lo])
+                if here != unit:
+                    if held:
+                        add()
+                    if at is not None and here[:2] != at and g[-1, -1]:
+                        yield handed_on()
+                    unit, at, held = here, (int(here[0]), int(here[1])), []
+                held.append(batch.iloc[lo:hi])
+        if held:
+            add()
+            if g[-1, -1]:
+                yield handed_on()
+
+    return both.repartition("segment_id", "part").sortWithinPartitions(*key).mapInPandas(accumulated, TILES), of_segment
+
+
+def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS, parts: int | None = None) -> DataFrame:
+    """Tiles of the Gram (tj from 0) and of the products with each chunk's targets (tj = -1 - 2 * chunk; the squares of its targets in tj = -2 - 2 * chunk), summed by segment.
+
+    ``design``: (recording, t_idx, band, slot, vec); ``signal``: (recording, t_idx, target, value); ``chunk_of``: (target, chunk). Samples
+    count where there is a signal. The sums of all parts are added in rounds of a bounded number; ``rows`` and ``parts`` as for :func:`partial_tiles`.
+    """
 
     def added(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"segment_id": [key[0]], "ti": [key[1]], "tj": [key[2]], "part": [key[3]], "g": [np.sum(np.stack(g["g"].to_numpy()), 0)]})
 
-    tiles = left.groupBy("recording", "block").cogroup(right.groupBy("recording", "block")).applyInPandas(partial, TILES)
-    recordings = recordings or signal.select("recording").distinct().count()
-    n_parts = max(1, recordings * -(-borders[-1] // rows))
-    groups = n_parts
+    tiles, groups = partial_tiles(design, signal, layout, borders, chunk_of, rows, parts)
     while True:
         groups = -(-groups // FAN_IN)
         tiles = tiles.groupBy("segment_id", "ti", "tj", F.pmod("part", F.lit(groups)).alias("part")).applyInPandas(added, TILES)

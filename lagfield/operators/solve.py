@@ -6,7 +6,7 @@ half |Xw - y|^2 plus half the sum over bands of exp(log_lambda) |w_band|^2.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -29,7 +29,15 @@ def spread(log_lambda: np.ndarray, band_of: np.ndarray, targets: int) -> np.ndar
     return np.exp(d[band_of])
 
 
-def _cg(xtx: np.ndarray, penalty: np.ndarray, rhs: np.ndarray, start: np.ndarray | None, basis: tuple[np.ndarray, np.ndarray], tol: float = 1e-12, most: int = 2000) -> np.ndarray:
+@dataclass
+class Warm:
+    """What one solve leaves for the next one of nearly the same system: its solutions by role, and how many steps all of them took."""
+
+    solutions: dict[str, np.ndarray] = field(default_factory=dict)
+    steps: int = 0
+
+
+def _cg(xtx: np.ndarray, penalty: np.ndarray, rhs: np.ndarray, start: np.ndarray | None, basis: tuple[np.ndarray, np.ndarray], warm: Warm | None = None, tol: float = 1e-12, most: int = 2000) -> np.ndarray:
     """Conjugate gradients for all targets at once, preconditioned in the eigenbasis of xtx under each target's mean penalty."""
     values, vectors = basis
     shift = np.maximum(values, 0)[:, None] + penalty.mean(0)[None, :]
@@ -43,6 +51,8 @@ def _cg(xtx: np.ndarray, penalty: np.ndarray, rhs: np.ndarray, start: np.ndarray
         live = (r * r).sum(0) > tol * tol * size
         if not live.any():
             break
+        if warm is not None:
+            warm.steps += 1
         hp = xtx @ p + penalty * p
         step = np.where(live, rz / np.maximum((p * hp).sum(0), 1e-300), 0)
         w += step * p
@@ -54,19 +64,28 @@ def _cg(xtx: np.ndarray, penalty: np.ndarray, rhs: np.ndarray, start: np.ndarray
     return w
 
 
-def solve_ridge(stats: Stats, log_lambda: np.ndarray, band_of: np.ndarray, start: np.ndarray | None = None, basis: tuple[np.ndarray, np.ndarray] | None = None, direct: int = 300) -> np.ndarray:
-    """Weights (P, M). Shared penalties take one factorisation; penalties by target one each up to ``direct`` columns, and conjugate gradients beyond."""
+#: Columns up to which each target's system is factorised.
+DIRECT = 300
+
+
+def solve_ridge(
+    stats: Stats, log_lambda: np.ndarray, band_of: np.ndarray, warm: Warm | None = None, basis: tuple[np.ndarray, np.ndarray] | None = None, direct: int = DIRECT, role: str = "weights"
+) -> np.ndarray:
+    """Weights (P, M). Shared penalties take one factorisation; penalties by target one each up to ``direct`` columns, and beyond conjugate gradients, which start from what ``warm`` holds for the ``role``."""
     m = stats.xty.shape[1]
     penalty = spread(log_lambda, band_of, m)
     if (penalty == penalty[:, :1]).all():
         return np.linalg.solve(stats.xtx + np.diag(penalty[:, 0]), stats.xty)
     if len(band_of) <= direct:
         return np.column_stack([np.linalg.solve(stats.xtx + np.diag(penalty[:, t]), stats.xty[:, t]) for t in range(m)])
-    return _cg(stats.xtx, penalty, stats.xty, start, basis or np.linalg.eigh(stats.xtx))
+    w = _cg(stats.xtx, penalty, stats.xty, warm.solutions.get(role) if warm else None, basis or np.linalg.eigh(stats.xtx), warm)
+    if warm is not None:
+        warm.solutions[role] = w
+    return w
 
 
-def adjoint(stats: Stats, log_lambda: np.ndarray, band_of: np.ndarray, rhs: np.ndarray, basis: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    return solve_ridge(Stats(stats.xtx, rhs, stats.yty, stats.n), log_lambda, band_of, None, basis)
+def adjoint(stats: Stats, log_lambda: np.ndarray, band_of: np.ndarray, rhs: np.ndarray, basis: tuple[np.ndarray, np.ndarray] | None = None, warm: Warm | None = None) -> np.ndarray:
+    return solve_ridge(Stats(stats.xtx, rhs, stats.yty, stats.n), log_lambda, band_of, warm, basis, role="adjoint")
 
 
 def holdout_loss(val: Stats, w: np.ndarray) -> float:
@@ -75,11 +94,11 @@ def holdout_loss(val: Stats, w: np.ndarray) -> float:
     return float((sse / np.square(val.s)).sum() / (2 * val.n))
 
 
-def holdout_gradient(train: Stats, val: Stats, log_lambda: np.ndarray, band_of: np.ndarray, w: np.ndarray | None = None, basis: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+def holdout_gradient(train: Stats, val: Stats, log_lambda: np.ndarray, band_of: np.ndarray, w: np.ndarray | None = None, basis: tuple[np.ndarray, np.ndarray] | None = None, warm: Warm | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Loss, its gradient in the log penalties (their shape), and the weights; ``w`` given is taken as the solution."""
-    w = solve_ridge(train, log_lambda, band_of, None, basis) if w is None else w
+    w = solve_ridge(train, log_lambda, band_of, warm, basis) if w is None else w
     slope = (val.xtx @ w - val.xty) / np.square(val.s) / val.n
-    mu = adjoint(train, log_lambda, band_of, slope, basis)
+    mu = adjoint(train, log_lambda, band_of, slope, basis, warm)
     k = int(band_of.max()) + 1
     grad = np.zeros((k, w.shape[1]))
     np.add.at(grad, band_of, w * mu)
@@ -88,7 +107,7 @@ def holdout_gradient(train: Stats, val: Stats, log_lambda: np.ndarray, band_of:
     return holdout_loss(val, w), grad.sum(1) if d.ndim == 1 else grad, w
 
 
-def ridge_cv_init(folds: list[tuple[Stats, Stats]], bands: int, alphas: np.ndarray, scope: str = "chunk") -> tuple[np.ndarray, np.ndarray]:
+def ridge_cv_init(folds: list[tuple[Stats, Stats]], bands: int, alphas: np.ndarray, scope: str = "chunk", bases: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log penalties (bands, M) of the best uniform alpha, and the losses (alphas, M); the first of equals. One eigendecomposition of each fold serves all alphas.
 
     ``scope`` "chunk" picks one alpha for all targets, "target" one each.
@@ -96,8 +115,7 @@ def ridge_cv_init(folds: list[tuple[Stats, Stats]], bands: int, alphas: np.ndarr
     total = sum(v.n for _, v in folds)
     m = folds[0][0].xty.shape[1]
     losses = np.zeros((len(alphas), m))
-    for train, val in folds:
-        values, vectors = np.linalg.eigh(train.xtx)
+    for (train, val), (values, vectors) in zip(folds, bases or [np.linalg.eigh(t.xtx) for t, _ in folds], strict=True):
         rhs, vty, vtv = vectors.T @ train.xty, vectors.T @ val.xty, vectors.T @ val.xtx @ vectors
         for i, a in enumerate(alphas):
             w = rhs / (np.maximum(values, 0) + a)[:, None]
@@ -147,11 +165,15 @@ def banded_ridge(
     optimizer: str = "adam",
     full: Stats | None = None,
     freeze_forward: bool = False,
+    bases: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    full_basis: tuple[np.ndarray, np.ndarray] | None = None,
+    warm: list[Warm] | None = None,
 ) -> tuple[np.ndarray | None, np.ndarray, list[float]]:
     """Tune log penalties by the mean inner hold-out loss; returns weights of a last fit on ``full``, the penalties and a loss for each step.
 
     Adam works on (phi, log_alpha) with log_lambda = log_alpha - log_softmax(phi), started so that it reproduces ``start``; L-BFGS with
-    a history of ten takes fixed steps on the log penalties. ``freeze_forward`` keeps the first solutions while penalties move.
+    a history of ten takes fixed steps on the log penalties. ``freeze_forward`` keeps the first solutions while penalties move. ``bases`` are the
+    eigendecompositions of the folds' training Grams, which are made here if not given; each step starts from the solutions of the one before.
     """
     if optimizer not in ("adam", "lbfgs"):
         raise ValueError(f"unknown optimizer {optimizer!r}")
@@ -159,13 +181,14 @@ def banded_ridge(
     delta = np.array(start, float)
     delta = np.repeat(delta[:, None], m, 1) if delta.ndim == 1 else delta
     total = sum(v.n for _, v in folds)
-    bases = [np.linalg.eigh(t.xtx) for t, _ in folds]
+    bases = bases or [np.linalg.eigh(t.xtx) for t, _ in folds]
+    warm = warm or [Warm() for _ in folds]
     frozen: list[np.ndarray | None] = [None] * len(folds)
 
     def evaluate(d: np.ndarray) -> tuple[float, np.ndarray]:
         loss, grad = 0.0, np.zeros_like(d)
         for i, (train, val) in enumerate(folds):
-            one, g, w = holdout_gradient(train, val, d, band_of, frozen[i], bases[i])
+            one, g, w = holdout_gradient(train, val, d, band_of, frozen[i], bases[i], warm[i])
             if freeze_forward:
                 frozen[i] = w
             loss += one * val.n / total
@@ -196,7 +219,7 @@ def banded_ridge(
                     pairs = [*pairs, (s, y)][-10:]
             last = delta.copy(), g
             delta = delta + lr * _lbfgs_direction(g.ravel(), pairs).reshape(delta.shape)
-    return None if full is None else solve_ridge(full, delta, band_of), delta, losses
+    return None if full is None else solve_ridge(full, delta, band_of, None, full_basis), delta, losses
 
 
 def tune(train: Stats, val: Stats, band_of: np.ndarray, bands: int, n_iter: int = 100, lr: float = 0.1, optimizer: str = "adam") -> tuple[np.ndarray, list[float]]:

@@ -1,14 +1,20 @@
 """Folds, statistics, ridge and scores against dense numpy."""
 
+from dataclasses import dataclass, replace
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lagfield.functions.grid import fold_cuts, nested_folds
+from lagfield.jobs import encode
 from lagfield.jobs.encode import Config, model_suite, run_encoding
+from lagfield.operators import expand as ex
 from lagfield.operators import scores, solve
 from lagfield.operators.envelope import envelope, high_gamma
-from lagfield.operators.expand import Buffer, expand
-from lagfield.operators.gram import Layout, predict_dense
+from lagfield.operators.expand import Buffer, expand, tap_add
+from lagfield.operators.gram import Layout, gram_tiles, partial_tiles, predict_dense
 
 
 @pytest.mark.parametrize("n", [10, 203])
@@ -123,6 +129,144 @@ def dense_model(spark, elements, signal, config):
     return z, (y - ym) / ys, (y[test] - y[test].mean(0)) / ys, test, layout
 
 
+@dataclass(frozen=True)
+class Lopsided(Buffer):
+    """A window with more slots before an element than after it."""
+
+    before: int = 3
+    after: int = 1
+
+
+def lopsided(elements, b):
+    past = tap_add(elements, replace(b, prediction_start=-b.before * b.period, nb_buffer=b.before))
+    return past.unionByName(tap_add(elements, replace(b, nb_buffer=b.after)).withColumn("slot", F.col("slot") + b.before))
+
+
+def check_first_fold(out, z, y, ytest, test, layout, bands):
+    """Weights are the ridge solution for the penalties found, and the scores add up to the joint one."""
+    at = {c: i for i, c in enumerate(layout.columns)}
+    for t in (0, 1):
+        w, d = np.zeros(len(at)), np.zeros(len(bands))
+        for r in out:
+            if r.target == t and r.kind == "weight":
+                w[at[r.band, r.slot, r.dim]] = r.value
+            if r.target == t and r.kind == "log_lambda":
+                d[bands.index(r.band)] = r.value
+        ridge = np.linalg.solve(z[~test].T @ z[~test] + np.diag(np.exp(d[layout.band_of])), z[~test].T @ y[~test, t])
+        assert np.allclose(w, ridge, atol=1e-7) and np.abs(w).max() > 0
+        joint = 1 - ((ytest[:, t] - z[test] @ w) ** 2).sum() / (ytest[:, t] ** 2).sum()
+        assert abs(joint - sum(r.value for r in out if r.kind == "r2" and r.target == t)) < 1e-7
+
+
+def test_features_of_different_shapes_and_a_user_s_buffer_in_one_model(spark, monkeypatch):
+    """Taps, sentence-aware vectors by context, a series on the grid and a registered two-sided buffer are fitted together, each from its own table."""
+    rng = np.random.default_rng(8)
+    n = 83
+    rows = [(0, i, float(rng.uniform(0, n)), [float(v) for v in rng.normal(size=2)]) for i in range(40)]
+    elements = spark.createDataFrame(rows, "recording int, element_id long, t double, vec array<double>")
+    parsed = [(0, i, 2.0 * i, i // 4, i % 4, [[float(v)] for v in rng.normal(size=4)]) for i in range(40)]
+    contexts = spark.createDataFrame(parsed, "recording int, element_id long, t double, sentence_id int, position int, vec array<array<double>>")
+    series = spark.createDataFrame([(0, t, [float(v) for v in rng.normal(size=3)]) for t in range(n)], "recording int, t_idx int, vec array<double>")
+    signal = spark.createDataFrame([(0, t, k, float(rng.normal())) for t in range(n) for k in range(2)], "recording int, t_idx int, target int, value double")
+    targets = spark.createDataFrame([(0, True), (1, True)], "target int, keep boolean")
+    monkeypatch.setattr(ex, "BUFFERS", dict(ex.BUFFERS))
+    monkeypatch.setattr(encode, "BUFFERS", ex.BUFFERS)
+    ex.register("lopsided", lopsided, lambda b: b.before + b.after, parameters=Lopsided)
+    b = Buffer(frequency=1, duration=n, dim=2, period=1.0, nb_buffer=2, prediction_end=6.0, buffer_duration=3.0)
+    bands = {"tap": ("sym_tap", b), "parse": ("stack_parse_reset", replace(b, dim=1)), "lag": ("sym_timeshift", replace(b, dim=3)), "own": ("lopsided", Lopsided(frequency=1, duration=n, dim=2, period=1.0))}
+    tables = {"tap": elements, "parse": contexts, "lag": series, "own": elements}
+    config = Config("m", bands, alphas=(0.1, 10.0), n_iter=2, lr=0.1, chunk_size=1, rows=16)
+    assert [s for _, s, _ in config.layout().bands] == [4, 2, 4, 4]
+    out = run_encoding(tables, signal, targets, config).where("fold = 0").collect()
+    check_first_fold(out, *dense_model(spark, tables, signal, config), list(bands))
+    with pytest.raises(TypeError):
+        expand(tables, {"own": ("lopsided", b)})
+    with pytest.raises(ValueError, match="position"):
+        expand(tables, {"tap": ("stack_parse_reset", b)})
+    with pytest.raises(ValueError):
+        ex.register("tap", lopsided, lambda b: 1)
+    ex.register("short", lopsided, lambda b: b.after, parameters=Lopsided)  # declares fewer slots than it writes
+    with pytest.raises(Exception, match="has no slot"):
+        run_encoding(tables, signal, targets, replace(config, bands={"own": ("short", bands["own"][1])})).count()
+
+
+def test_what_gram_tasks_hand_on_follows_the_parts(spark):
+    """Ten times the samples: the same sums by plain arrays, and no more tiles."""
+    layout, handed = Layout((("a", 2, 1), ("b", 1, 2))), []
+    for n in (60, 600):
+        rng = np.random.default_rng(n)
+        design = [("r", t, b, s, [float(v) for v in rng.normal(size=d)]) for t in range(n) for b, s, d in layout.slots if rng.random() < 0.8]
+        values = {(t, c): float(rng.normal()) for t in range(n) for c in ("x", "y", "z") if rng.random() < 0.9}
+        borders = [0, n // 3, n]
+        args = (
+            spark.createDataFrame(design, "recording string, t_idx int, band string, slot int, vec array<double>"),
+            spark.createDataFrame([("r", t, c, v) for (t, c), v in values.items()], "recording string, t_idx int, target string, value double"),
+            layout,
+            borders,
+            spark.createDataFrame([("z", 1), ("x", 0), ("y", 0)], "target string, chunk int"),
+        )
+        handed.append(partial_tiles(*args, rows=4, parts=6)[0].count())
+        a, at = np.zeros((n, 8)), {b: i for i, b in enumerate([("a", 0), ("a", 1), ("b", 0)])}
+        a[:, 7] = 1
+        for _, t, b, s, v in design:
+            a[t, {("a", 0): [0], ("a", 1): [1], ("b", 0): [2, 3]}[b, s]] = v
+            a[t, 4 + at[b, s]] = 1
+        y = np.array([[values.get((t, c), 0.0) for c in ("x", "y", "z")] for t in range(n)])
+        held = np.array([any((t, c) in values for c in ("x", "y", "z")) for t in range(n)])
+        for parts in (1, 6, 200):
+            got = {(r.segment_id, r.ti, r.tj): np.array(r.g) for r in gram_tiles(*args, rows=4, parts=parts).collect()}
+            assert len(got) == 2 * 5
+            for k in (0, 1):
+                own = np.arange(n)[held & (np.arange(n) >= borders[k]) & (np.arange(n) < borders[k + 1])]
+                assert np.allclose(got[k, 0, 0], (a[own].T @ a[own]).ravel())
+                assert np.allclose(got[k, 0, -1], (a[own].T @ y[own, :2]).ravel()) and np.allclose(got[k, 0, -3], a[own].T @ y[own, 2])
+                assert np.allclose(got[k, 0, -2], (y[own, :2] ** 2).sum(0)) and np.allclose(got[k, 0, -4], (y[own, 2] ** 2).sum())
+    assert max(handed) <= 6 * 5
+
+
+def test_each_fold_is_decomposed_once_and_chunks_read_it(monkeypatch):
+    """The store of one outer fold, by hand: three decompositions for three inner folds, none for the chunks, and the same fits as without it."""
+    rng = np.random.default_rng(4)
+    layout, chunks = Layout((("a", 2, 2), ("b", 1, 1))), {0: 2, 1: 1}
+    size, rows = len(layout.columns) + len(layout.slots) + 1, []
+    for part in (-1, 0, 1, 2):
+        a, y = np.column_stack([rng.normal(size=(30, 5)), np.ones((30, 4))]), rng.normal(size=(30, 3))
+        rows += [(part, 0, 0, (a.T @ a).ravel()), (part, 0, -1, (a.T @ y[:, :2]).ravel()), (part, 0, -2, (y[:, :2] ** 2).sum(0)), (part, 0, -3, (a.T @ y[:, 2:]).ravel()), (part, 0, -4, (y[:, 2:] ** 2).sum(0))]
+    tiles = pd.DataFrame(rows, columns=["part", "ti", "tj", "g"])
+    assert size == 9
+    plain, calls = np.linalg.eigh, []
+    monkeypatch.setattr(np.linalg, "eigh", lambda x: calls.append(1) or plain(x))
+    names = [c.split()[0] for c in encode.FACTORS.split(", ")]
+    monkeypatch.setattr(encode, "BLOCK", 2)
+    store = pd.DataFrame([r for i in (-1, 0, 1, 2) for r in encode.factored(0, i, tiles, layout, chunks, 3, (0.1, 1.0))], columns=names)
+    assert len(calls) == 3 and (store["name"] == "loss").sum() == 3 * 2 * 3
+    fold = encode.Fold(store[(store["chunk"] == -1)], 3)
+    for chunk, m in chunks.items():
+        *folds, (whole, held) = fold.chunk(store[(store["chunk"] == chunk) & (store["name"] != "loss")])
+        start = np.zeros((2, m))
+        w, delta, losses = solve.banded_ridge(folds, layout.band_of, start, 3, 0.1, "adam", whole, False, fold.bases, fold.full_basis)
+        assert w.shape == (5, m) and losses[-1] < losses[0] and held.n == 30
+        assert len(calls) == 3
+        again = solve.banded_ridge([encode._inner(encode.Sums(tiles, layout, chunks), 3, i) for i in range(3)], layout.band_of, np.zeros((2, 3)), 3, 0.1)[1]
+        assert np.allclose(delta, again[:, 2 * chunk : 2 * chunk + m])
+        calls[:] = calls[:3]
+
+
+def test_warm_starts_take_fewer_steps(monkeypatch):
+    """Beyond DIRECT columns each optimiser step starts from the last one's solutions: the same minimum in fewer conjugate-gradient steps."""
+    x, y, band = problem(5, n=900, targets=2, sizes=(180, 150))
+    folds = [(stats(x[:600], y[:600]), stats(x[600:], y[600:]))]
+    start = np.array([[1.0, 2.0], [3.0, 1.5]])
+    taken = {}
+    for name in ("warm", "cold"):
+        warm = [solve.Warm()]
+        if name == "cold":
+            plain = solve._cg
+            monkeypatch.setattr(solve, "_cg", lambda *a, **k: plain(*a[:3], None, *a[4:], **k))
+        taken[name] = (solve.banded_ridge(folds, band, start, 12, 0.05, warm=warm)[1], warm[0].steps)
+    assert np.allclose(taken["warm"][0], taken["cold"][0], atol=1e-8) and taken["warm"][1] < 0.9 * taken["cold"][1]
+
+
 def test_run_encoding_equals_dense_numpy(spark):
     rng = np.random.default_rng(5)
     n = 83
