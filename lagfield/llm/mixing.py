@@ -112,17 +112,17 @@ def draw(slots: dict[int, int], shards: int = SHARDS, seed: int = SEED) -> np.nd
 
 
 def block_pieces(docs: DataFrame, block: int = BLOCK, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """``docs``: (doc_id, source, size). Returns (uid, doc_id, source, size, begin), begin the document's first word in its source, and (source, source_size).
+    """``docs``: (uid, doc_id, source, size, print), print a hash of the text. Returns (uid, doc_id, source, size, begin), begin the document's first word in its source, and (source, source_size).
 
-    Order within a source is by a hash cell and then by doc_id and size.
+    Order within a source is by a hash cell and then by doc_id, size and print, so that it is the same however the rows are split; rows alike in all of these are interchangeable.
     """
     same = lambda *names: [F.coalesce(F.col(c), F.lit("")) if c == "source" else F.col(c) for c in names]
-    spread = F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("uid")))  # rows without an id do not share a cell
+    spread = F.xxhash64("doc_id", "size", "print")  # rows without an id, or under one id, do not share a cell
     rows = docs.withColumns({"cell": F.pmod(spread, F.lit(cells)).cast("int"), "no_source": F.col("source").isNull()})
     key = [*same("source"), F.col("no_source")]
     sums = rows.groupBy("source", "no_source", "cell").agg(F.sum("size").alias("cell_size"))
     before = sums.withColumn("cell_begin", F.sum("cell_size").over(Window.partitionBy(*key).orderBy("cell")) - F.col("cell_size"))
-    within = Window.partitionBy(*key, "cell").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*key, "cell").orderBy("doc_id", "size", "print", "uid").rowsBetween(Window.unboundedPreceding, 0)
     laid = rows.withColumn("in_cell", F.sum("size").over(within) - F.col("size"))
     a, b = laid.alias("a"), before.alias("b")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.cell") == F.col("b.cell")))
@@ -135,11 +135,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     Returns (uid, shard, slot, block, first_word, n_words), the words of each document that each slot takes, and (uid, doc_id, source,
     size, source_size, target). uid is the long column ``row_id`` of ``docs``, or else numbers its rows, so repeated and null ids stay apart. A null text has no words
-    and is never taken; null sources are one source; no documents give empty results. Reruns with one seed agree for distinct ids.
+    and is never taken; null sources are one source; no documents give empty results. Reruns with one seed agree, with or without ids; rows of one id and text may change places.
     """
     spark = docs.sparkSession
     uid = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), uid.alias("uid")), "sizes")
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("print"), uid.alias("uid")), "sizes")
     laid, sizes = block_pieces(sized, block)
     laid = materialise(laid, "laid")
     goals = materialise(targets(sizes, weights, share, most), "targets")
