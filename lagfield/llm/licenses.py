@@ -9,6 +9,8 @@ the template's words that stand in place. As every place holds the word that is
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ COMMON = frozenset("0 2 3 v a an and any are as at be by can for has have if in
 
 
 def passing(text: str) -> str:
-    """A header with * for each common word; the key phrase's brackets stand at other words."""
-    return " ".join("*" if w in COMMON else w for w in text.split())
+    """A header with * for each common word outside of its key phrase, every word of which counts."""
+    before, phrase, after = re.split(r"[\[\]]", text)
+    passed = lambda part: " ".join("*" if w in COMMON else w for w in part.split())
+    return f"{passed(before)} [{phrase}] {passed(after)}".strip()
 
 
 #: Fixed values: (label, template, whether it is a base phrase). The key phrase stands in brackets, * is any word.
@@ -69,14 +73,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] = TEMPLATES) ->
 
     Returns (uid, template, label, base, start, share) with the key phrase's first word from 0 and the share of the template's words
     that stand in place, and (uid, doc_id, n_words). uid numbers the rows, so repeated and null ids stay apart; a null text has
-    no words; places of several templates may overlap and all count; an empty table gives empty results; other columns are ignored.
+    no words; places of several templates may overlap and all count; an empty table gives empty results; other columns are ignored. Of words of equal
+    rarity the lesser is looked up, which changes no place. A text of any length is one row of its licence words.
+
+    Common words belong to key phrases only, where a rarer licence word stands within two words of each: elsewhere they are not kept.
     """
     spark = docs.sparkSession
     posts = postings(templates)
-    vocabulary = ", ".join(f"'{w}'" for w in sorted({p[3] for p in posts}))
+    listed = lambda words: ", ".join(f"'{w}'" for w in sorted(words)) or "''"
+    rare, common = listed({p[3] for p in posts} - COMMON), listed({p[3] for p in posts} & COMMON)
     words = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), SEPARATORS)
     held = docs.select("doc_id", F.array_remove(words, "").alias("w"))
-    at = f"filter(sequence(1, size(w)), i -> element_at(w, i) IN ({vocabulary}))"
+    near = f"exists(slice(w, greatest(i - 2, 1), 5), x -> x IN ({rare}))"
+    at = f"filter(sequence(1, size(w)), i -> element_at(w, i) IN ({rare}) OR (element_at(w, i) IN ({common}) AND {near}))"
     rows = held.select("doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"CASE WHEN size(w) = 0 THEN array() ELSE transform({at}, i -> struct(element_at(w, i) AS word, CAST(i - 1 AS BIGINT) AS at)) END").alias("hits"))
     rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "licence-words")
 
@@ -112,16 +121,44 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(sums, "uid", "left").select("doc_id", "n_words", F.coalesce("n_base", zero.cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", zero.cast("double")).alias("score"))
 
 
+#: The key phrases of TEMPLATES in their order, written out for the SQL below, which looks for each as it stands.
+PHRASES = [
+    "cc by",
+    "general public license",
+    "all rights reserved",
+    "affero general public license",
+    "apache license",
+    "bsd license",
+    "cc by nc",
+    "cc by nd",
+    "cc by sa",
+    "gnu general public license",
+    "lesser general public license",
+    "mit license",
+    "public domain",
+    "permission is hereby granted free of charge",
+    "without fee is hereby granted",
+    "redistribution and use in source and binary forms",
+    "file except in compliance with the license",
+    "redistribute it and or modify it under the terms of the gnu general public license",
+    "redistribute it and or modify it under the terms of the gnu lesser general public license",
+    "redistribute it and or modify it under the terms of the gnu affero general public license",
+    "subject to the terms of the mozilla public license",
+    "free and unencumbered software",
+    "dedicated all copyright and related and neighboring rights",
+]
+
 ORACLE = f"""
-WITH post(template, label, base, word, pos, mandatory) AS (VALUES {", ".join(f"({k}, '{a}', {b}, '{w}', {p}, {m})" for k, a, b, w, p, m in postings())}),
+WITH phrase(template, said) AS (VALUES {", ".join(f"({k}, '{x}')" for k, x in enumerate(PHRASES))}),
+post(template, label, base, word, pos, mandatory) AS (VALUES {", ".join(f"({k}, '{a}', {b}, '{w}', {p}, {m})" for k, a, b, w, p, m in postings())}),
 d AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 h AS (SELECT uid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM d),
 k AS (SELECT * FROM h WHERE word IN (SELECT word FROM post)),
-c AS (SELECT uid, template, place AS start FROM k JOIN post USING (word) WHERE pos = 0),
-m AS (SELECT c.uid, c.template, c.start, any_value(label) AS label, any_value(base) AS base, avg(CASE WHEN k.uid IS NULL THEN 0.0 ELSE 1.0 END) AS share, min(CASE WHEN mandatory AND k.uid IS NULL THEN 0 ELSE 1 END) AS whole
+c AS (SELECT uid, template, place AS start FROM k JOIN post USING (word) JOIN phrase USING (template) JOIN d USING (uid) WHERE pos = 0 AND array_to_string(w[place + 1:place + len(string_split(said, ' '))], ' ') = said),
+m AS (SELECT c.uid, c.template, c.start, any_value(label) AS label, any_value(base) AS base, avg(CASE WHEN k.uid IS NULL THEN 0.0 ELSE 1.0 END) AS share
     FROM c JOIN post USING (template) LEFT JOIN k ON k.uid = c.uid AND k.place = c.start + post.pos AND k.word = post.word GROUP BY c.uid, c.template, c.start),
 s AS (SELECT uid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
-    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m WHERE whole = 1 GROUP BY uid)
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY uid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM d LEFT JOIN s USING (uid)
 """
