@@ -245,8 +245,9 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             near = summed.where((100 + percent) * F.col("both") >= percent * (F.col("size") + F.col("leader_size"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
             found = materialise(near if links is None else near.unionByName(links), "links")
             discard(pairs, of, *([links] if links is not None else []))
-            links, roots = found, components(found)
-            roots = materialise(roots, "roots")
+            links, before = found, roots
+            roots = materialise(components(found), "roots")
+            discard(*([before] if before is not None else []))
             # a leader has met all of its bucket; a bucket whose others have one label is done
             rest = _labelled(join_hot(open_, led, "key", "n").where(F.col("node") != F.col("leader")).select("key", "node", "size", "central"), roots)
             several = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
@@ -256,7 +257,9 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
         last = _open_pairs(open_, sets, roots, percent, block)
         if last is not None:
             both = materialise(links.unionByName(last), "links")
-            roots = components(both)
+            discard(links, roots)
+            roots = materialise(components(both), "roots")
+            links = both
         discard(links, open_, sets, parts)
     return roots
 

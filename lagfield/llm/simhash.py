@@ -17,18 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_hot, materialise, table
+from .common import bounded_batches, discard, join_hot, materialise, table
 from .components import components
+from .jaccard import BLOCK, ROUNDS, set_of, similar_sets
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingle words, seed of their hash and radius in bits.
 WORDS, SEED, RADIUS = 4, 42, 4
 #: What keep_one compares: the sets of five-word shingles, which share at least this part (in hundredths) of their union.
 KEEP_WORDS, KEEP_PERCENT = 5, 80
-#: Minima of a shingle set, keys made of them, and minima to a key: by drawing, a pair at exactly 0.8 shares none with a chance of 1e-4, one at 0.82 of 3e-5, one at 0.85 of less than 1e-5.
-MINIMA, KEYS, OF_KEY = 256, 64, 8
-#: Sets, and shingles in all of them, that one task compares with one another; larger groups are cut.
-MOST_COMPARED = 4096, 1_000_000
 #: Fingerprints that are compared with one another; larger buckets are dealt anew.
 CHUNK = 2048
 
@@ -179,172 +176,29 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     return join_hot(rows, _labels(rows, radius), "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, words: int = KEEP_WORDS, seed: int = SEED) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(np.array(shingle_hashes(text or "", words, seed), np.uint64))
-
-
-@lru_cache
-def _draws(seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Factors and summands of the hashes whose minima are taken, and the minima of each key."""
-    rng = np.random.default_rng(seed)
-    parts = rng.integers(0, 1 << 32, (2, MINIMA), np.uint32)
-    return parts[0] | np.uint32(1), parts[1], np.stack([rng.choice(MINIMA, OF_KEY, replace=False) for _ in range(KEYS)])
-
-
-def min_keys(hashes: np.ndarray) -> list[int]:
-    """Signed 64-bit keys: hashes of a key's number and its OF_KEY minima over ``hashes``."""
-    factor, add, chosen = _draws()
-    low = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(low), 1024):
-        mixed = low[i : i + 1024, None] * factor + add
-        least = np.minimum(least, (mixed ^ mixed >> np.uint32(15)).min(0))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least[chosen])], np.uint64).view(np.int64).tolist()
-
-
-def _set_id(hashes: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
-
-
-def _sketches(text: Column, words: int, seed: int) -> Column:
-    """Struct (node, size, keys): the hash of a text's shingle set, how many shingles it has, and its keys."""
-
-    def all_of(texts: pd.Series) -> pd.DataFrame:
-        known: dict = {}
-        for x in texts:
-            if x not in known:
-                hashes = shingle_set(x, words, seed)
-                known[x] = (_set_id(hashes), len(hashes), min_keys(hashes))
-        return pd.DataFrame([known[x] for x in texts], columns=["node", "size", "keys"])
-
-    all_of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(all_of, "node long, size long, keys array<long>")(text)
-
-
-def _sets(text: Column, words: int, seed: int) -> Column:
-    def all_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(x, words, seed).tobytes() for x in texts])
-
-    all_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(all_of, "binary")(text)
-
-
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """A label for each set, equal where links of ``percent`` hundredths of the union or more connect them: exact, in whole numbers.
-
-    A set is compared with all others at once by its shingles' postings. That is left out for the largest group at the end, whose links to
-    the others have been seen from the others' side.
-    """
-    m = len(sets)
-    label, size = np.arange(m), np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(m), size)
-    shingles, ids = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    post, ends = owner[order], np.cumsum(np.bincount(ids, minlength=len(shingles)))
-    own = np.split(ids, np.cumsum(size)[:-1]) if m else []
-    spread = np.bincount(ids, minlength=len(shingles))
-    weight = np.array([spread[x].sum() for x in own])
-    turn, seen = np.argsort(-weight, kind="stable"), np.zeros(m, bool)
-    while True:
-        largest = np.bincount(label, minlength=m).argmax() if seen.any() else -1
-        open_ = turn[~seen[turn] & (label[turn] != largest)]
-        if not len(open_):
-            return label
-        for x in open_[: 1 + len(open_) // 8].tolist():
-            if label[x] == largest:
-                continue
-            seen[x] = True
-            if not size[x]:
-                continue
-            lists = [post[e - n : e] for e, n in zip(ends[own[x]].tolist(), spread[own[x]].tolist(), strict=True)]
-            both = np.bincount(np.concatenate(lists), minlength=m)
-            near = (100 + percent) * both >= percent * (size + size[x])
-            for other in np.unique(label[near]).tolist():
-                if other != label[x]:
-                    label[label == other] = label[x]
-
-
-def _candidates(once: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``once``: (node, keys), a row to a node. Returns (key, node, n) of the keys that n > 1 nodes have, and (node, root) of what shared keys connect."""
-    keys = once.select("node", F.explode("keys").alias("key"))
-    shared = materialise(keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("held", F.col("n")), "shared")
-    buckets = materialise(join_hot(keys, shared, "key", "held", merge=True), "buckets")
-    return buckets.select("key", "node", "n"), components(buckets.select(F.col("node").alias("a"), F.col("first").alias("b")))
-
-
-def _labels_of_sets(sets: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int, most: tuple[int, int]) -> DataFrame:
-    """(node, root) of what links connect. ``sets``: (node, size, shingles); ``groups``: (node, root) of candidates.
-
-    A group within ``most`` sets and shingles is compared by one task. A larger one is cut into its buckets, and a bucket that is too large into
-    pairs of chunks: links of all tasks are then connected.
-    """
-    sized = groups.join(sets.select("node", "size"), "node")
-    sums = materialise(sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("total")), "groups")
-    fits = (F.col("sets") <= most[0]) & (F.col("total") <= most[1])
-    total, too_large = sums.agg(F.sum(F.when(fits, F.col("total"))), F.count(F.when(~fits, 1))).first()
-    dealt = sets.join(groups.join(sums.where(fits).select("root"), "root"), "node").withColumn("g", F.pmod(F.xxhash64("root"), F.lit(1 + (total or 0) // most[1])))
-
-    def labels(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in rows.groupby("root", sort=False):
-            names = own["node"].to_numpy(np.int64)
-            label = linked([np.frombuffer(x, np.uint64) for x in own["shingles"]], percent)
-            out.append(pd.DataFrame({"node": names, "root": names[label]}))
-        return pd.concat(out)
-
-    found = dealt.groupBy("g").applyInPandas(labels, "node long, root long")
-    if not too_large:
-        return found
-    large = join_hot(groups, sums.where(~fits).select("root", "sets"), "root", "sets").select("node")
-    of = buckets.join(large, "node").join(sets.select("node", "size"), "node")
-    cells = of.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1")
-    parts = F.greatest(F.ceil(F.col("sets") / most[0]), F.ceil(F.col("total") / most[1])).cast("int")
-    parted = join_hot(of.select("key", "node"), materialise(cells.select("key", parts.alias("parts"), "n"), "cells"), "key", "n")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    paired = parted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.where("parts = 1 OR own <> other").select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def edges(rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows["node"].to_numpy(np.int64)
-        label = linked([np.frombuffer(x, np.uint64) for x in rows["shingles"]], percent)
-        return pd.DataFrame({"a": names, "b": names[label]})[names != names[label]]
-
-    links = components(paired.join(sets.select("node", "shingles"), "node").groupBy("key", "i", "j").applyInPandas(edges, "a long, b long"))
-    return found.unionByName(links)
-
-
-def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, seed: int = SEED, most: tuple[int, int] = MOST_COMPARED) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, rounds: int = ROUNDS, block: tuple[int, int] = BLOCK) -> DataFrame:
     """The rows of ``docs`` with one kept of each group, that of the smallest doc_id; all columns stay as they are.
 
-    Texts are linked if they share ``percent`` hundredths of their distinct shingles or more, and groups are what links connect. Texts
-    without words are one group; of equal rows one stays; a null id is kept only where a group holds no other.
+    Texts are linked if they share ``percent`` hundredths of their distinct shingles or more, and groups are what links connect; the links are those of the exact join
+    (:mod:`jaccard`), at every size of a table and of a group. Texts without words are one group; of equal rows one stays; a null id is kept only where a group holds no other.
     """
     spark = docs.sparkSession
     text_key = F.md5(F.coalesce("text", F.lit("")))
-    sketched = docs.select("doc_id", text_key.alias("key"), _sketches(F.col("text"), words, seed).alias("s"))
     with bounded_batches(spark):
-        rows = materialise(sketched.select("doc_id", "key", "s.node", "s.size", "s.keys"), "sketches")
-        once = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "keys")).alias("r"))
-        buckets, groups = _candidates(once.select("node", "r.keys"))
-        groups = materialise(groups, "candidates")
-        keyed = docs.select("doc_id", text_key.alias("key"), "text")
-        # by sorting at any size, so that work grows alike from small tables to large ones
-        places = groups.select("node").join(once, "node").select("node", F.col("r.doc_id").alias("own_id"), F.col("r.key").alias("own_key"))
-        found = keyed.join(materialise(places, "places").hint("merge"), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))  # a hot text is dealt by id as well
-        texts = found.groupBy("node").agg(F.max("text").alias("text"))  # repeated rows, and texts whose sets are equal
-        with_sets = texts.select("node", _sets(F.col("text"), words, seed).alias("shingles"))
-        sets = materialise(with_sets.withColumn("size", F.expr("octet_length(shingles) DIV 8")), "sets")
-        roots = materialise(_labels_of_sets(sets, buckets, groups, percent, most), "roots")
+        found = docs.select("doc_id", text_key.alias("key"), set_of(F.col("text"), words).alias("s"))
+        rows = materialise(found.select("doc_id", "key", F.coalesce("s.node", F.lit(0)).alias("node"), "s.size"), "sets")
+    nodes = materialise(rows.where("size > 0").groupBy("node").agg(F.max("size").alias("size")), "nodes")
+    roots = similar_sets(docs, nodes, words, percent, rounds, block)
     texts = rows.groupBy("node", "key").agg(F.min("doc_id").alias("first"))  # copies are few rows before they meet
     firsts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("kept"))
     kept = materialise(least.select(F.col("kept.key").alias("own_key"), F.col("kept.first").alias("own_id")), "kept")
     same = (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-    pairs = materialise(rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")), "pairs")
+    pairs = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
     # out goes what is not kept, and what is kept and repeated, of which one row comes back
     out = pairs.join(kept, same, "left").where("own_key IS NULL OR n > 1")
     out = materialise(out.select(F.col("key").alias("own_key"), F.col("doc_id").alias("own_id"), F.col("own_key").isNotNull().alias("repeated")), "out")
+    discard(rows, nodes, roots, kept)
     marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key.alias("key"))
     once_each = marked.join(out.hint("merge"), same, "left_anti").select("row.*")
     if not out.where("repeated").limit(1).count():
