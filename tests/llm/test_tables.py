@@ -243,7 +243,7 @@ def test_groups_are_those_of_all_pairs(spark):
     rng.shuffle(texts)
     want = kept_by_hand(texts)
     assert 20 < len(want) < len(texts) // 2 and kept(spark, texts) == want
-    assert kept(spark, texts, most=(7, 2000)) == want  # groups that no task holds whole
+    assert kept(spark, texts, rounds=1, block=(7, 2000)) == want  # groups that no task holds whole
 
 
 # --- licences
@@ -263,13 +263,27 @@ def test_whole_licence_headers(spark):
     texts = ["cc by the public license mit. " + grant + " with no more", grant.replace("granted", "given"), grant.replace("free of charge", "free for charge"), None]
     places, rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     found = {(r.doc_id, r.label, r.base, r.start): r.share for r in places.join(rows, "uid").collect()}
-    assert set(found) == {(0, "cc-by", True, 0), (0, "mit", False, 6), (2, "mit", False, 0)} and found[0, "cc-by", True, 0] == 1 and 0.2 < found[0, "mit", False, 6] < 1
+    assert set(found) == {(0, "cc-by", True, 0), (0, "mit", False, 6)} and found[0, "cc-by", True, 0] == 1 and 0.2 < found[0, "mit", False, 6] < 1
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
 
 
 # --- mixing
 
 
+def test_key_phrases_are_verified_word_by_word(spark):
+    """Texts that hold a key phrase's rarer words in place, and others between them, are none of its; each whole phrase is found, alone and at a text's ends."""
+    unlike = ["the redistribution of our open source or binary forms", "permission was hereby granted free from charge said he", "this file accept not file except to compliance by our license"]
+    unlike += ["redistribute them and or modify it under the terms of the gnu general public", "without fee was hereby granted", "subject to all terms of the mozilla public license", "free or unencumbered software", "dedicated all copyright or related and neighboring rights"]
+    said = [" ".join(w.strip("[]") for w in t.split()[[i for i, w in enumerate(t.split()) if w[0] == "["][0] : [i for i, w in enumerate(t.split()) if w[-1] == "]"][0] + 1]) for _, t, _ in licenses.TEMPLATES]
+    assert said == licenses.PHRASES and not any("*" in x for x in said)
+    texts = [*unlike, *said, *(f"so {x} so" for x in said)]
+    places, rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {(r.doc_id, r.template): r.start for r in places.join(rows, "uid").collect()}
+    assert not [k for k in found if k[0] < len(unlike)]
+    for k in range(len(said)):
+        assert found[len(unlike) + k, k] == 0 and found[len(unlike) + len(said) + k, k] == 1
+
+
 def level_by_hand(sizes, weights, share=1.5, most=2.0):
     lo, hi = 0.0, 1e12
     for _ in range(200):
@@ -322,3 +336,16 @@ def test_reruns_agree(spark):
         sums = sized.join(taken.groupBy("uid").agg(F.sum("n_words").alias("taken")), "uid", "left").fillna(0, ["taken"])
         seen.append({r.doc_id: r.taken for r in sums.collect()})
     assert seen[0] == seen[1]
+
+
+def test_mixes_of_rows_without_ids_agree_however_they_are_split(spark):
+    rng = random.Random(12)
+    rows = [(i if rng.random() < 0.5 else None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 200))), rng.choice(["a", "b", None])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for n in (2, 5):
+        split = docs.repartition(n, "text")
+        taken, sized = mixing.mix(split)
+        sums = taken.groupBy("uid").agg(F.sum("n_words").alias("taken"))
+        got.append(sorted((repr(r.doc_id), r["size"], repr(r.source), r.taken or 0) for r in sized.join(sums, "uid", "left").collect()))
+    assert got[0] == got[1]
