@@ -25,6 +25,8 @@ MAX_N, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 HELD = 400_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]")
+#: Bytes of text to a bucket of phrases, and the least number of buckets of a language.
+BUCKET, BUCKETS = 1 << 28, 64
 #: Salts of the ranking's first step.
 SALTS = 64
 
@@ -47,8 +49,7 @@ def gram_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> Data
 
     A null lang is ``und``, a null text empty. Buckets are cut by a phrase's hash, so no language or word meets in one task.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)  # follows the texts, not how many partitions there are
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.string()), ("counts", pa.list_(pa.int64()))])
 
     def flush(held: dict[str, Counter], words: Counter) -> pa.RecordBatch:
