@@ -22,7 +22,7 @@ from .common import bounded_batches, join_hot, materialise, table
 
 MAX_N, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 #: Distinct phrases that a task counts before it hands them on.
-HELD = 400_000
+HELD = 700_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]")
 #: Bytes of text to a bucket of phrases, and the least number of buckets of a language.
@@ -33,14 +33,18 @@ SALTS = 64
 
 def count_grams(texts: list[bytes | None], max_n: int, into: Counter) -> int:
     """Count all runs of 1 to ``max_n`` words within pieces of ``texts``; returns how many words there are."""
-    words = 0
+    words, grams = 0, []
     for text in texts:
         for piece in PIECES.split((text or b"").translate(LOWER)):
             w = piece.split()  # bytes.split takes space and 9-13, and pieces hold no 10-13
             words += len(w)
-            into.update(w)
+            grams += w
             for k in range(2, min(max_n, len(w)) + 1):
-                into.update(map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False)))
+                grams += map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False))
+            if len(grams) > 100_000:
+                into.update(grams)
+                grams = []
+    into.update(grams)
     return words
 
 
@@ -81,7 +85,7 @@ def gram_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> Data
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     packed = rows.mapInArrow(counted, "lang string, bucket int, phrases string, counts array<bigint>").repartition("lang", "bucket")
-    each = packed.select("lang", "bucket", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("f"))).alias("e")).select("lang", "bucket", "e.phrase", "e.f")
+    each = packed.select("lang", "bucket", "counts", F.posexplode(F.split("phrases", "\n")).alias("at", "phrase")).select("lang", "bucket", "phrase", F.get("counts", F.col("at")).alias("f"))
     # rows of a language and bucket are in one partition already, so this moves nothing
     return each.groupBy("lang", "bucket", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == "")).drop("bucket")
 
