@@ -39,8 +39,10 @@ def count_grams(texts: list[bytes | None], max_n: int, into: Counter) -> int:
             w = piece.split()  # bytes.split takes space and 9-13, and pieces hold no 10-13
             words += len(w)
             grams += w
-            for k in range(2, min(max_n, len(w)) + 1):
-                grams += map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False))
+            runs = w
+            for k in range(1, min(max_n, len(w))):
+                runs = [x + b" " + y for x, y in zip(runs, w[k:], strict=False)]  # a run of k words and the word after it
+                grams += runs
             if len(grams) > 100_000:
                 into.update(grams)
                 grams = []
