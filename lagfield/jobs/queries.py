@@ -550,6 +550,25 @@ def paired_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", *(F.round(c, k).alias(c) for c, k in (("mean", 6), ("t", 6), ("p", 8))), "star")
 
 
+_NEIGHBOURS = [("five", "two"), ("two", "price"), ("price", "count"), ("count", "five")]
+
+
+@query(
+    f"""{_MODELS}, ms AS (SELECT band AS model, target, r2 FROM a UNION ALL SELECT 'five', target, r2 FROM ta UNION ALL SELECT 'two', target, r2 FROM tb),
+nb(model, other) AS (VALUES {", ".join(map(str, _NEIGHBOURS))}),
+s AS (SELECT model, other, count(*) AS n, avg(a.r2 - b.r2) AS mean, avg(a.r2 - b.r2) / (stddev_samp(a.r2 - b.r2) / sqrt(count(*))) AS t FROM nb JOIN ms a USING (model) JOIN ms b ON b.model = other AND b.target = a.target GROUP BY 1, 2),
+i AS (SELECT model, other, g.i, s.t * g.i / 4000 AS x, n - 1 AS v, CASE WHEN g.i IN (0, 4000) THEN 1 WHEN g.i % 2 = 1 THEN 4 ELSE 2 END AS w FROM s, range(4001) g(i)),
+p AS (SELECT model, other, 0.5 + sum(w * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * pow(1 + x * x / v, -(v + 1) / 2.0)) * any_value(t) / 12000 AS p FROM i JOIN s USING (model, other) GROUP BY 1, 2)
+SELECT model, other, n, round(mean, 6) AS mean, round(t, 5) AS t, round(p, 7) AS p, p < 0.001 AS star FROM s JOIN p USING (model, other)"""
+)
+def paired_ttests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of five slots, of two, and of each band alone, each tested against its neighbour, in one plan; the oracle integrates the density of t."""
+    five = sc.total_and_ratio(_summary(spark, sf_dir)).select("target", F.explode(F.array(F.struct(F.col("band").alias("model"), "r2"), F.struct(F.lit("five").alias("model"), F.col("total").alias("r2")))).alias("m"))
+    scores = five.select("m.model", "target", "m.r2").unionByName(_totals(spark, sf_dir, 2).withColumn("model", F.lit("two")))
+    tests = sc.paired_ttests(scores, _NEIGHBOURS)
+    return tests.select("model", "other", "n", *(F.round(c, k).alias(c) for c, k in (("mean", 6), ("t", 5), ("p", 7))), "star")
+
+
 @query(f"{_MODELS} SELECT model, round(avg(r2), 6) AS mean, round(stddev_pop(r2) / sqrt(count(r2)), 6) AS error FROM (SELECT 'five' AS model, r2 FROM ta UNION ALL SELECT 'two', r2 FROM tb) GROUP BY 1")
 def model_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _totals(spark, sf_dir, 5).withColumn("model", F.lit("five")).unionByName(_totals(spark, sf_dir, 2).withColumn("model", F.lit("two")))
@@ -700,6 +719,21 @@ def high_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelope_of(_sampled_second(spark, sf_dir), 1000, block_s=1).withColumn("value", F.round("value", 6))
 
 
+@query(
+    f"""WITH {data.SIGNAL}, b AS (SELECT k.b, greatest(0, k.b * 512 - 512) AS start, least({data.N_DAYS}, k.b * 512 + 1024) AS stop FROM range({-(-data.N_DAYS // 512)}) k(b)),
+q AS (SELECT b, start, stop - start AS len, unnest(range(0, (stop - start) // 2)) AS k FROM b), f AS (SELECT *, k * 512.0 / len AS hz FROM q),
+h AS (SELECT * FROM f WHERE hz BETWEEN 70 AND 200 AND abs(hz - 60 * round(hz / 60)) > 2),
+u AS (SELECT h.b, h.k, h.len, start, target, sum(value * cos(2 * pi() * k * (t_idx - start) / len)) AS re, -sum(value * sin(2 * pi() * k * (t_idx - start) / len)) AS im FROM h JOIN y ON y.t_idx >= start AND y.t_idx < start + len GROUP BY 1, 2, 3, 4, 5),
+t AS (SELECT g.t_idx, target, 2.0 / any_value(len) * sqrt(sum(re * cos(2 * pi() * k * (g.t_idx - start) / len) - im * sin(2 * pi() * k * (g.t_idx - start) / len)) ** 2 + sum(re * sin(2 * pi() * k * (g.t_idx - start) / len) + im * cos(2 * pi() * k * (g.t_idx - start) / len)) ** 2) AS v
+    FROM u JOIN (SELECT unnest(range({data.N_DAYS})) AS t_idx) g ON g.t_idx // 512 = b GROUP BY 1, 2),
+c AS (SELECT target, o.k, v, least(5 * t_idx + 5, 128 * o.k + 128) - greatest(5 * t_idx, 128 * o.k) AS w FROM t JOIN range({-(-data.N_DAYS * 5 // 128)}) o(k) ON 5 * t_idx < 128 * o.k + 128 AND 5 * t_idx + 5 > 128 * o.k)
+SELECT 0 AS recording, 'n' || target AS channel, CAST(k AS BIGINT) AS t_idx, round(sum(v * w) / sum(w), 6) AS value FROM c GROUP BY target, k"""
+)
+def high_gamma_512(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """512 samples a second to 20, which is 25.6 to a bin: samples that a border cuts count on both sides by their shares."""
+    return envelope_of(_sampled_second(spark, sf_dir), 512, block_s=1).withColumn("value", F.round("value", 6))
+
+
 # --- readers and writers: what is written reads back ------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,8 +51,12 @@ def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def paired_t(a: DataFrame, b: DataFrame) -> DataFrame:
     """Count, mean and t of the paired differences; t is null for fewer than two pairs or no spread."""
-    d = differences(a, b).agg(F.count("difference").alias("n"), F.avg("difference").alias("mean"), F.stddev_samp("difference").alias("sd"))
-    return d.select("n", "mean", F.when((F.col("n") > 1) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n"))).alias("t"))
+    return _t_of(differences(a, b), [])
+
+
+def _t_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    d = pairs.groupBy(*keys).agg(F.count("difference").alias("n"), F.avg("difference").alias("mean"), F.stddev_samp("difference").alias("sd"))
+    return d.select(*keys, "n", "mean", F.when((F.col("n") > 1) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n"))).alias("t"))
 
 
 def _continued(a: float, b: float, x: float) -> float:
@@ -87,12 +92,40 @@ def t_tail(t: float, df: float, alternative: str) -> float:
     return upper if alternative == "greater" else 1 - upper
 
 
+def t_tails(t: Column, df: Column, alternative: str) -> Column:
+    """:func:`t_tail` of a column of t; null where t is. Its rows are tests, not samples."""
+    t_tail(0.0, 1.0, alternative)  # refuses an unknown alternative before any task
+
+    def tails(ts: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(t) else t_tail(t, d, alternative) for t, d in zip(ts, dfs, strict=True)], dtype="float64")
+
+    tails.__annotations__ = {"ts": pd.Series, "dfs": pd.Series, "return": pd.Series}
+    return F.pandas_udf(tails, "double")(t, df)
+
+
+def _with_p(tests: DataFrame, alternative: str, alpha: float) -> DataFrame:
+    return tests.withColumn("p", t_tails(F.col("t"), (F.col("n") - 1).cast("double"), alternative)).withColumn("star", F.col("p") < alpha)
+
+
 def paired_ttest(a: DataFrame, b: DataFrame, alternative: str = "less", alpha: float = 0.001) -> DataFrame:
-    """As paired_t, with p and whether it is below ``alpha``; p comes from the one row of sums."""
-    spark = a.sparkSession
-    row = paired_t(a, b).first()
-    p = None if row.t is None else t_tail(row.t, row.n - 1, alternative)
-    return spark.createDataFrame([(row.n, row.mean, row.t, p, None if p is None else p < alpha)], "n long, mean double, t double, p double, star boolean")
+    """As paired_t, with p and whether it is below ``alpha``."""
+    return _with_p(paired_t(a, b), alternative, alpha)
+
+
+def paired_ttests(scores: DataFrame, pairs: list[tuple[str, str]], alternative: str = "less", alpha: float = 0.001) -> DataFrame:
+    """(model, other, n, mean, t, p, star) of all ``pairs`` of models in one plan over ``scores`` (model, target, r2): a row to each pair, n 0 and nulls where no target has both.
+
+    Scores meet by target, so that what is shuffled is the scores once, and each target's list of models is as long as there are models. NaN counts as null; a repeated pair gives one row.
+    """
+    wanted = list(dict.fromkeys(pairs))
+    names = list(dict.fromkeys(m for pair in wanted for m in pair))
+    side = scores.where(F.col("model").isin(names)).groupBy("target").pivot("model", names).agg(F.max(F.nanvl("r2", F.lit(None).cast("double"))))
+    at = {m: f"m{i}" for i, m in enumerate(names)}
+    side = side.toDF("target", *at.values())
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("model"), F.lit(b).alias("other"), (F.col(at[a]) - F.col(at[b])).alias("difference")) for a, b in wanted)))
+    tests = _t_of(side.select(each.alias("x")).select("x.*"), ["model", "other"])
+    asked = scores.sparkSession.createDataFrame(wanted, "model string, other string")
+    return _with_p(asked.join(tests, ["model", "other"], "left").withColumn("n", F.coalesce("n", F.lit(0))), alternative, alpha)
 
 
 def model_bars(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ half |Xw - y|^2 plus half the sum over bands of exp(log_lambda) |w_band|^2.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -222,28 +223,86 @@ def banded_ridge(
     return None if full is None else solve_ridge(full, delta, band_of, None, full_basis), delta, losses
 
 
-def tune(train: Stats, val: Stats, band_of: np.ndarray, bands: int, n_iter: int = 100, lr: float = 0.1, optimizer: str = "adam") -> tuple[np.ndarray, list[float]]:
-    """Shared log penalties for one split, started at 0: Adam on them directly, or L-BFGS with backtracking."""
+#: A step is taken if the loss falls by DECREASE of what the slope promises and the slope has fallen to CURVATURE of what it was.
+DECREASE, CURVATURE = 1e-4, 0.9
+
+
+def strong_wolfe(
+    loss_at: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, loss: float, g: np.ndarray, way: np.ndarray, most: int = 30
+) -> tuple[np.ndarray, float, np.ndarray, bool]:
+    """Point, loss and gradient along ``way``, a direction of descent, and whether both strong Wolfe conditions hold there.
+
+    Steps double until an interval must hold such a point, which is then narrowed by the cubic through both ends, or halved where the cubic leaves its middle. After ``most``
+    evaluations the lowest point found is taken, ``x`` itself if none is lower.
+    """
+    slope = float(g @ way)
+    best = (0.0, loss, slope, g)
+
+    def at(step: float) -> tuple[float, float, float, np.ndarray]:
+        nonlocal best
+        f, grad = loss_at(x + step * way)
+        here = (step, f, float(grad @ way), grad)
+        best = here if f < best[1] else best
+        return here
+
+    falls = lambda p: p[1] <= loss + DECREASE * p[0] * slope
+    flat = lambda p: abs(p[2]) <= -CURVATURE * slope
+    low, high, step = (0.0, loss, slope, g), None, 1.0
+    for _ in range(most):
+        p = at(step)
+        if falls(p) and p[1] <= low[1] and flat(p):
+            return x + step * way, p[1], p[3], True
+        if not falls(p) or p[1] > low[1] or not np.isfinite(p[1]):
+            high = p
+        else:
+            if p[2] * ((high[0] if high else np.inf) - low[0]) >= 0:
+                high = low
+            low = p
+        if high is None:
+            step *= 2
+            continue
+        width = high[0] - low[0]
+        bend = low[2] + high[2] - 3 * (high[1] - low[1]) / width if np.isfinite(high[1]) else np.nan
+        root = bend * bend - low[2] * high[2]
+        step = low[0] + width / 2
+        if np.isfinite(root) and root >= 0:
+            turn = np.sign(width) * np.sqrt(root)
+            below = high[2] - low[2] + 2 * turn
+            cubic = high[0] - width * (high[2] + turn - bend) / below if below else np.nan
+            if 0.1 <= (cubic - low[0]) / width <= 0.9:
+                step = cubic
+        if abs(width) < 1e-14:
+            break
+    return x + best[0] * way, best[1], best[3], False
+
+
+def tune(train: Stats, val: Stats, band_of: np.ndarray, bands: int, n_iter: int = 100, lr: float = 0.1, optimizer: str = "adam", accepted: list | None = None) -> tuple[np.ndarray, list[float]]:
+    """Shared log penalties for one split, started at 0: Adam on them directly, or L-BFGS whose steps meet the strong Wolfe conditions.
+
+    A loss for each step taken; L-BFGS ends before ``n_iter`` where no step lowers the loss. ``accepted`` collects (x, way, loss, slope, new x, new loss, new slope, whether both conditions hold) of its steps.
+    """
     delta, losses, opt = np.zeros(bands), [], Adam(lr)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     if optimizer not in ("adam", "lbfgs"):
         raise ValueError(f"unknown optimizer {optimizer!r}")
-    loss, g, _ = holdout_gradient(train, val, delta, band_of)
+    at = lambda d: holdout_gradient(train, val, d, band_of)[:2]
+    loss, g = at(delta)
     for _ in range(n_iter):
         losses.append(loss)
         if optimizer == "adam":
             delta = opt.step(delta, g)
-            loss, g, _ = holdout_gradient(train, val, delta, band_of)
+            loss, g = at(delta)
             continue
-        way, step = _lbfgs_direction(g, pairs), 1.0
-        while True:
-            there = delta + step * way
-            new, g2, _ = holdout_gradient(train, val, there, band_of)
-            if new <= loss + 1e-4 * step * (g @ way) or step < 1e-6:
-                break
-            step /= 2
+        way = _lbfgs_direction(g, pairs)
+        if g @ way >= 0:
+            pairs, way = [], -g
+        there, new, g2, both = strong_wolfe(at, delta, loss, g, way)
+        if new >= loss:
+            break
+        if accepted is not None:
+            accepted.append((delta, way, loss, float(g @ way), there, new, float(g2 @ way), both))
         s, y = there - delta, g2 - g
-        if s @ y > 1e-12:
+        if s @ y > 1e-12 * (y @ y):
             pairs = [*pairs, (s, y)][-10:]
         delta, loss, g = there, new, g2
     return delta, losses

@@ -1,6 +1,9 @@
 """Folds, statistics, ridge and scores against dense numpy."""
 
 from dataclasses import dataclass, replace
+from dataclasses import dataclass, replace
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pandas as pd
@@ -100,6 +103,66 @@ def test_paired_ttest(spark):
     assert row.n == 5 and abs(row.t - d.mean() / (d.std(ddof=1) / 5**0.5)) < 1e-12 and not row.star
 
 
+def test_paired_ttests_of_many_pairs(spark):
+    """One plan, a row a pair: equal to each pair by itself; models without common targets have no t, an unknown name is no error."""
+    rng = np.random.default_rng(3)
+    rows = [(m, t, float(rng.normal() + i)) for i, m in enumerate("abc") for t in range(9)] + [("d", 100, 1.0), ("a", 50, float("nan")), ("b", 50, 1.0)]
+    table = spark.createDataFrame(rows, "model string, target int, r2 double")
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("a", "none"), ("a", "b")]
+    got = {(r.model, r.other): r for r in scores.paired_ttests(table, pairs).collect()}
+    assert len(got) == 5 and got["a", "d"].n == got["a", "none"].n == 0 and got["a", "d"].p is None and got["a", "none"].t is None
+    for a, b in pairs[:3]:
+        one = scores.paired_ttest(table.where(F.col("model") == a), table.where(F.col("model") == b)).first()
+        assert (got[a, b].n, one.n) == (9, 9) and abs(got[a, b].t - one.t) < 1e-9 and abs(got[a, b].p - one.p) < 1e-12 and got[a, b].star == one.star
+    assert scores.paired_ttests(table.limit(0), [("a", "b")]).first().n == 0
+    with pytest.raises(ValueError):
+        scores.paired_ttests(table, pairs, "both")
+
+
+def test_strong_wolfe_steps():
+    """Both conditions at every step of the tuner, on a ragged line too, and a gradient near zero at its end."""
+    x, y, band = problem(3, n=200, targets=3, sizes=(4, 3))
+    train, val = stats(x[:120], y[:120]), stats(x[120:], y[120:])
+    steps: list = []
+    delta, losses = solve.tune(train, val, band, 2, 60, optimizer="lbfgs", accepted=steps)
+    assert steps and all(b < a for a, b in zip(losses, losses[1:]))
+    for before, way, loss, slope, there, new, slope2, both in steps:
+        size = np.linalg.norm(there - before) / np.linalg.norm(way)
+        f, g, _ = solve.holdout_gradient(train, val, there, band)
+        assert abs(f - new) < 1e-12 and abs(g @ way - slope2) < 1e-9
+        if both:
+            assert new <= loss + solve.DECREASE * size * slope + 1e-12 and abs(slope2) <= solve.CURVATURE * abs(slope) + 1e-12
+    assert sum(s[-1] for s in steps) >= len(steps) - 2  # all but steps at the limit of the arithmetic
+    adam = solve.tune(train, val, band, 2, 500, 0.1)[1][-1]
+    assert losses[-1] <= adam + 1e-9
+    for scale in (1e-3, 1.0, 1e3):  # far too short and far too long first steps
+        f = lambda v: (float((v * v).sum() / 2 + np.cos(3 * v).sum()), v - 3 * np.sin(3 * v))
+        at = np.array([4.0, -3.0])
+        loss, g = f(at)
+        there, new, g2, both = solve.strong_wolfe(f, at, loss, g, -scale * g)
+        size = np.linalg.norm(there - at) / np.linalg.norm(scale * g)
+        assert both and new <= loss - solve.DECREASE * size * scale * (g @ g) and abs(g2 @ (-scale * g)) <= solve.CURVATURE * scale * (g @ g)
+
+
+@pytest.mark.parametrize("fs_in, fs_out, n", [(512, 20, 2500), (250, 20, 1300), (499.5, 20, 1700), (1000, 20, 2990), (512, 20, 1)])
+def test_envelope_at_any_ratio_of_rates(spark, fs_in, fs_out, n):
+    """Blocks give what one block of the whole recording gives away from their edges; bins are means by exact shares; gaps count as 0."""
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.normal(size=n)) * 0.01 + np.sin(2 * np.pi * 100 * np.arange(n) / fs_in)
+    raw = spark.createDataFrame([(0, "a", i, float(v)) for i, v in enumerate(x)], "recording int, channel string, t_idx int, value double")
+    y = envelope(x, fs_in)
+    ratio = Fraction(str(fs_in)) / fs_out
+    want = []
+    for k in range(-int(-n // ratio)):
+        lo, hi = k * ratio, min((k + 1) * ratio, n)
+        want.append(sum(y[i] * float(min(i + 1, hi) - max(i, lo)) for i in range(floor(lo), ceil(hi))) / float(hi - lo))
+    whole = high_gamma(raw, fs_in, fs_out, block_s=1000).orderBy("t_idx").collect()
+    assert [r.t_idx for r in whole] == list(range(len(want))) and np.allclose([r.value for r in whole], want, atol=1e-9)
+    blocks = high_gamma(raw.where("t_idx % 7 < 7"), fs_in, fs_out, block_s=1).orderBy("t_idx").collect()
+    assert [r.t_idx for r in blocks] == list(range(len(want)))
+    assert n == 1 or np.median(np.abs(np.array([r.value for r in blocks]) - want)) < 0.01
+
+
 def test_envelope_of_a_carrier_and_block_edges(spark):
     t = np.arange(4000) / 1000
     x = np.sin(2 * np.pi * 100 * t) * (1 + 0.5 * np.sin(2 * np.pi * t)) + np.sin(2 * np.pi * 60 * t)
