@@ -20,7 +20,7 @@ from lagfield.functions.grid import nested_folds
 from lagfield.operators.expand import BUFFERS, Buffer, expand
 from lagfield.operators.gram import Layout, Sums, fold_sums, gram_tiles
 from lagfield.operators.scores import best_alpha
-from lagfield.operators.solve import DIRECT, Stats, banded_ridge, r2_parts, ridge_cv_init
+from lagfield.operators.solve import DIRECT, Stats, banded_ridge, r2_parts, ridge_cv_init, tune
 from lagfield.sources.tables import finished, write_results, written_once
 
 
@@ -66,24 +66,13 @@ def run_encoding(elements: DataFrame | Mapping[str, DataFrame], signal: DataFram
     keep their types; if ``targets`` has time_id, each (time_id, target) is fitted as a target of its own, and all three tables' rows carry it.
     With ``path`` results are written there by fold, what is there already is not fitted again, and all that is there of the model is returned.
     """
-    spark, layout = signal.sparkSession, config.layout()
-    borders, roles = config.folds()
-    keys = [c for c in ("time_id", "target") if c in targets.columns]
-    kept = targets.where("keep").select(*keys).distinct().orderBy(*keys).collect()  # the dimension table of targets
-    size = config.chunk_size if config.chunk_size > 0 else max(len(kept), 1)
-    kinds = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
-    index = spark.createDataFrame([(*r, i, i // size) for i, r in enumerate(kept)], f"{kinds}, nth int, chunk int")
-    chunks = {c: min(size, len(kept) - c * size) for c in range(-(-len(kept) // size))}
+    spark, layout, keys = signal.sparkSession, config.layout(), _keys(targets)
+    index, size, chunks = _numbered(targets, config)
     done = finished(spark, path, config.model) if path else set()
     jobs = [(o, c) for o in range(config.outer) for c in chunks if (o, c) not in done]
 
     if jobs:
-        thin = (lambda df: config.decimation(df, config.decimate)) if config.decimate > 1 else lambda df: df
-        design = thin(expand(elements, config.bands, config.shared_reg))
-        own = thin(signal.join(index, keys).select("recording", "t_idx", F.col("nth").alias("target"), "value"))
-        tiles = gram_tiles(design, own, layout, borders, index.select(F.col("nth").alias("target"), "chunk"), config.rows)
-        sums = written_once(fold_sums(tiles, roles), "fold-sums")
-        factors = written_once(_factors(sums, layout, chunks, config), "factors")
+        factors = _store(elements, signal, index, keys, chunks, config)
         alphas = _alphas(factors, config.alpha_scope == "target")
 
         def result(some: list[tuple[int, int]]) -> DataFrame:
@@ -100,6 +89,61 @@ def run_encoding(elements: DataFrame | Mapping[str, DataFrame], signal: DataFram
     return spark.read.parquet(path).where(F.col("model") == config.model)
 
 
+def holdout_tuning(elements: DataFrame | Mapping[str, DataFrame], signal: DataFrame, targets: DataFrame, config: Config, optimizers: tuple[str, ...] = ("adam", "lbfgs")) -> DataFrame:
+    """Penalties by band that all targets share, tuned on one held-out part: (optimizer, fold, inner, kind, band, iter, value), kinds log_lambda and loss, for every outer and inner fold.
+
+    A task to a fold and its inner part reads the factor store, which is written once for all ``optimizers``: Adam at the rate ``config.lr``, and L-BFGS whose steps meet the strong
+    Wolfe conditions. Without kept targets there are no rows.
+    """
+    index, _, chunks = _numbered(targets, config)
+    layout, steps, lr = config.layout(), config.n_iter, config.lr
+    if not chunks:
+        return signal.sparkSession.createDataFrame([], TUNED)
+    factors = _store(elements, signal, index, _keys(targets), chunks, config).where("inner >= 0 AND name <> 'loss'").drop("nth", "alpha", "loss")
+
+    def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = {n: _matrix(own) for n, own in rows[rows["chunk"] == -1].groupby("name")}
+        by_chunk = {n: [_matrix(part) for _, part in own.groupby("chunk")] for n, own in rows[rows["chunk"] >= 0].groupby("name")}
+        of = lambda role, at: Stats(held[role], np.concatenate(by_chunk[f"{role}_y"], 1), np.concatenate(by_chunk[f"{role}_yy"])[:, 0], float(held["n"][at, 0]))
+        out = []
+        for name in optimizers:
+            delta, losses = tune(of("train", 0), of("val", 1), layout.band_of, len(layout.bands), steps, lr, name)
+            at = (name, int(key[0]), int(key[1]))
+            out += [(*at, "log_lambda", b, None, float(delta[i])) for i, (b, _, _) in enumerate(layout.bands)]
+            out += [(*at, "loss", None, i, float(x)) for i, x in enumerate(losses)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TUNED.split(", ")]).astype({"iter": "Int32"})
+
+    return factors.groupBy("fold", "inner").applyInPandas(each, TUNED)
+
+
+TUNED = "optimizer string, fold int, inner int, kind string, band string, iter int, value double"
+
+
+def _keys(targets: DataFrame) -> list[str]:
+    return [c for c in ("time_id", "target") if c in targets.columns]
+
+
+def _numbered(targets: DataFrame, config: Config) -> tuple[DataFrame, int, dict[int, int]]:
+    """Kept targets with their number and chunk, the size of a chunk, and how many targets each chunk has."""
+    keys = _keys(targets)
+    kept = targets.where("keep").select(*keys).distinct().orderBy(*keys).collect()  # the dimension table of targets
+    size = config.chunk_size if config.chunk_size > 0 else max(len(kept), 1)
+    kinds = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
+    index = targets.sparkSession.createDataFrame([(*r, i, i // size) for i, r in enumerate(kept)], f"{kinds}, nth int, chunk int")
+    return index, size, {c: min(size, len(kept) - c * size) for c in range(-(-len(kept) // size))}
+
+
+def _store(elements: DataFrame | Mapping[str, DataFrame], signal: DataFrame, index: DataFrame, keys: list[str], chunks: dict[int, int], config: Config) -> DataFrame:
+    """The written factor store of all kept targets."""
+    layout, (borders, roles) = config.layout(), config.folds()
+    thin = (lambda df: config.decimation(df, config.decimate)) if config.decimate > 1 else lambda df: df
+    design = thin(expand(elements, config.bands, config.shared_reg))
+    own = thin(signal.join(index, keys).select("recording", "t_idx", F.col("nth").alias("target"), "value"))
+    tiles = gram_tiles(design, own, layout, borders, index.select(F.col("nth").alias("target"), "chunk"), config.rows)
+    sums = written_once(fold_sums(tiles, roles), "fold-sums")
+    return written_once(_factors(sums, layout, chunks, config), "factors")
+
+
 #: Rows of the factor store: matrices in binary blocks of BLOCK rows, those of all targets (chunk -1) and those of a chunk, and the losses of the alpha search.
 FACTORS, BLOCK = "fold int, inner int, chunk int, name string, block int, width int, data binary, nth int, alpha double, loss double", 256
 

@@ -21,6 +21,7 @@ from lagfield.sources import tables as tb
 
 from . import data
 from .encode import Config
+from .encode import holdout_tuning as tuned
 from .encode import model_suite as suite_of
 from .encode import run_encoding as encode
 
@@ -674,6 +675,12 @@ def run_encoding_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), order_config("lbfgs"))
 
 
+@query()
+def holdout_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalties that all targets share, by both tuners, for every outer and inner fold."""
+    return tuned(_order_elements(spark, sf_dir), data.signal(spark, sf_dir), _mask(spark, sf_dir), order_config())
+
+
 @query()
 def model_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four models, written and gathered: total scores by model, band and target."""

@@ -1,6 +1,5 @@
 """Folds, statistics, ridge and scores against dense numpy."""
 
-from dataclasses import dataclass, replace
 from dataclasses import dataclass, replace
 from fractions import Fraction
 from math import ceil, floor
@@ -358,6 +357,39 @@ def test_run_encoding_equals_dense_numpy(spark):
     assert all(abs(first[r.target, r.band, r.slot] - r.value) < 1e-8 for r in again.collect())
 
 
+def test_holdout_tuning_equals_dense_numpy(spark):
+    """Both tuners over the factor store end where the gradient of dense arrays vanishes, or near it; losses are those of dense arrays."""
+    rng = np.random.default_rng(11)
+    n = 83
+    rows = [(0, i, float(rng.uniform(0, n)), "a" if i % 2 else "b", [float(v) for v in rng.normal(size=2)]) for i in range(60)]
+    elements = spark.createDataFrame(rows, "recording int, element_id long, t double, feature string, vec array<double>")
+    signal = spark.createDataFrame([(0, t, k, float(rng.normal() + np.sin(t))) for t in range(n) for k in range(2)], "recording int, t_idx int, target int, value double")
+    targets = spark.createDataFrame([(0, True), (1, True), (2, False)], "target int, keep boolean")
+    b = Buffer(frequency=1, duration=n, dim=2, period=1.0, nb_buffer=2, prediction_end=3.0, buffer_duration=3.0)
+    config = Config("m", {"a": ("sym_tap", b), "b": ("sym_buffer", b)}, n_iter=30, lr=0.1, chunk_size=1, rows=16)
+    out = encode.holdout_tuning(elements, signal, targets, config).collect()
+    z, y, _, test, layout = dense_model(spark, elements, signal, config)
+    z, y = z[~test], y[~test]
+    cuts = fold_cuts(len(z), config.inner)
+    assert {(r.optimizer, r.fold, r.inner) for r in out} == {(o, f, i) for o in ("adam", "lbfgs") for f in range(4) for i in range(5)}
+    for i in range(config.inner):
+        val = np.zeros(len(z), bool)
+        val[cuts[i] : cuts[i + 1]] = True
+        mean, sd = y[~val].mean(0), y[~val].std(0, ddof=1)
+        own = (y - mean) / sd
+        sides = [solve.Stats(z[k].T @ z[k], z[k].T @ own[k], (own[k] ** 2).sum(0), float(k.sum())) for k in (~val, val)]
+        for o in ("adam", "lbfgs"):
+            mine = [r for r in out if (r.optimizer, r.fold, r.inner) == (o, 0, i)]
+            losses = [r.value for r in sorted((r for r in mine if r.kind == "loss"), key=lambda r: r.iter)]
+            delta = np.array([r.value for k in ("a", "b") for r in mine if r.kind == "log_lambda" and r.band == k])
+            w = np.linalg.solve(sides[0].xtx + np.eye(len(z.T)), sides[0].xty)
+            assert abs(losses[0] - ((own[val] - z[val] @ w) ** 2).sum() / (2 * val.sum())) < 1e-8
+            w = np.linalg.solve(sides[0].xtx + np.diag(np.exp(delta)[layout.band_of]), sides[0].xty)
+            assert ((own[val] - z[val] @ w) ** 2).sum() / (2 * val.sum()) <= min(losses) + 1e-6 or o == "adam"
+            assert losses[-1] < losses[0]
+    assert encode.holdout_tuning(elements, signal, targets.where("NOT keep"), config).count() == 0
+
+
 def test_string_keys_latencies_decimation_and_a_band_per_slot(spark, tmp_path):
     """Two recordings and two latency ids under names, every second sample, each slot with a penalty of its own: the written table equals dense numpy."""
     rng = np.random.default_rng(6)
