@@ -88,7 +88,7 @@ def lzw_encode(samples: bytes, root: int = 8) -> bytes:
 
 
 def lzw_decode(data: bytes, root: int, n: int) -> bytes:
-    """At most ``n`` samples out of an LZW code stream; a stream that breaks off gives what it holds."""
+    """At most ``n`` samples out of an LZW code stream; a stream that breaks off gives what it holds, and one with a code that the table does not hold yet, but for the very next one, what comes before it."""
     clear, stop = 1 << root, (1 << root) + 1
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
@@ -108,20 +108,25 @@ def lzw_decode(data: bytes, root: int, n: int) -> bytes:
         upto = int(special[0]) if len(special) else len(codes)
         entries, before, growing = list(roots), b"", MOST_CODES - len(roots)
         now = codes[:upto].tolist()
-        if now:
-            before = entries[now[0]] if now[0] < clear else b""
+        legal = not now or now[0] < clear
+        if now and legal:
+            before = entries[now[0]]
             out.append(before)
-        for code in now[1 : growing + 1]:
-            if code < len(entries):
-                entry = entries[code]
+            for code in now[1 : growing + 1]:
+                if code < len(entries):
+                    entry = entries[code]
+                elif code == len(entries):
+                    entry = before + before[:1]
+                else:
+                    legal = False
+                    break
+                out.append(entry)
+                entries.append(before + entry[:1])
+                before = entry
             else:
-                entry = before + before[:1]
-            out.append(entry)
-            entries.append(before + entry[:1])
-            before = entry
-        out += [entries[code] for code in now[growing + 1 :]]  # the table is full
+                out += [entries[code] for code in now[growing + 1 :]]  # the table is full
         held = sum(map(len, out))
-        if not len(special) or codes[upto] == stop:
+        if not legal or not len(special) or codes[upto] == stop:
             break
         at = int(ends[upto])
     return b"".join(out)[:n]
@@ -272,7 +277,7 @@ def store_gif(text: Column) -> Column:
 
 
 def read_gif(media: Column) -> Column:
-    """Struct FRAMES of a binary column of GIFs: timed frames, colour histograms and the samples read back. Null media, and bytes that are not a GIF, give a row without frames; a cut or damaged GIF gives the whole frames before the damage."""
+    """Struct FRAMES of a binary column of GIFs: timed frames, colour histograms and the samples read back. Null media, and bytes that are not a GIF, give a row without frames; a cut or damaged GIF gives the whole frames before the damage; a canvas of more than MOST_PIXELS counts as damaged and gives no frames."""
     return F.pandas_udf(_read, FRAMES)(media)
 
 

@@ -91,6 +91,24 @@ def test_lzw_round_trips():
             assert gif.lzw_decode(gif.lzw_encode(s), 8, k) == s
 
 
+def test_illegal_lzw_codes_end_a_frame():
+    """Only the very next code may be one that the table does not hold; what follows any other, or a first code that is no sample, is not guessed."""
+    pack = lambda *codes: gif._pack_codes(np.array([256, *codes, 257], np.int64), np.full(len(codes) + 2, 9, np.int64))
+    assert gif.lzw_decode(pack(10, 258, 11), 8, 9) == bytes([10, 10, 10, 11])
+    assert gif.lzw_decode(pack(10, 300, 11), 8, 9) == bytes([10])
+    assert gif.lzw_decode(pack(10, 259, 11), 8, 9) == bytes([10])
+    assert gif.lzw_decode(pack(258, 11), 8, 9) == b""
+    assert gif.lzw_decode(pack(10, 11, 256, 258, 12), 8, 9) == bytes([10, 11])
+    whole = gif.encode_gif(bytes(192 * gif.FRAME_ROWS * 2))
+    assert len(gif.read_frames(whole)[2]) == 2
+    second = whole.index(b"\x21\xf9", whole.index(b"\x21\xf9") + 2)
+    bad = pack(0, 400, *[0] * 40)
+    at = second + 8 + 10
+    assert whole[at] == 8
+    broken = whole[: at + 1] + bytes([len(bad)]) + bad + b"\0\x3b"
+    assert len(gif.read_frames(broken)[2]) == 1
+
+
 def test_stored_texts_read_back(spark):
     texts = [*ODD, "".join(chr(random.Random(2).randrange(32, 2000)) for _ in range(20000))]
     media = docs(spark, texts).select("doc_id", "text", gif.store_gif(F.col("text")).alias("s")).select("*", gif.read_gif(F.col("s.media")).alias("f")).collect()
