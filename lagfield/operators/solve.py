@@ -233,14 +233,17 @@ def strong_wolfe(
     """Point, loss and gradient along ``way``, a direction of descent, and whether both strong Wolfe conditions hold there.
 
     Steps double until an interval must hold such a point, which is then narrowed by the cubic through both ends, or halved where the cubic leaves its middle. After ``most``
-    evaluations the lowest point found is taken, ``x`` itself if none is lower.
+    evaluations the lowest point found is taken, ``x`` itself if none is lower. Points whose loss or gradient is not finite are never taken.
     """
     slope = float(g @ way)
     best = (0.0, loss, slope, g)
 
     def at(step: float) -> tuple[float, float, float, np.ndarray]:
         nonlocal best
-        f, grad = loss_at(x + step * way)
+        with np.errstate(over="ignore", invalid="ignore"):
+            f, grad = loss_at(x + step * way)
+        if not np.isfinite(grad).all():
+            f = np.inf  # beyond what penalties can be: never taken
         here = (step, f, float(grad @ way), grad)
         best = here if f < best[1] else best
         return here

@@ -134,6 +134,9 @@ def test_strong_wolfe_steps():
     assert sum(s[-1] for s in steps) >= len(steps) - 2  # all but steps at the limit of the arithmetic
     adam = solve.tune(train, val, band, 2, 500, 0.1)[1][-1]
     assert losses[-1] <= adam + 1e-9
+    flat = lambda v: (float(np.exp(-v[0])), np.array([-np.exp(-v[0])])) if v[0] < 50 else (0.0, np.array([np.nan]))
+    there, new, g2, _ = solve.strong_wolfe(flat, np.zeros(1), 1.0, np.array([-1.0]), np.array([40.0]))
+    assert new < 1 and np.isfinite(g2).all() and there[0] < 50
     for scale in (1e-3, 1.0, 1e3):  # far too short and far too long first steps
         f = lambda v: (float((v * v).sum() / 2 + np.cos(3 * v).sum()), v - 3 * np.sin(3 * v))
         at = np.array([4.0, -3.0])
