@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,20 +23,30 @@ def sample(time: Column, frequency: float) -> Column:
     return (time * frequency).cast("int")
 
 
-def active_elements(elements: DataFrame, start: float, end: float, frequency: float, n: int) -> DataFrame:
+#: A column of rows that know how many samples their own recording has.
+LENGTH = "n_samples"
+
+
+def lengths(signal: DataFrame) -> DataFrame:
+    """(recording, n_samples): up to the last sample that the signal has; a row to a recording."""
+    return signal.where("t_idx >= 0").groupBy("recording").agg((F.max("t_idx") + 1).cast("int").alias(LENGTH))
+
+
+def active_elements(elements: DataFrame, start: float, end: float, frequency: float, n: int | Column) -> DataFrame:
     """Each element at every sample of its window [t + start, t + end): an interval join without a join.
 
-    A window's first sample is kept within the grid, so an element that starts after the end still meets the last sample.
+    A window's first sample is kept within the grid of ``n`` samples, so an element that starts after the end still meets the last sample.
     """
-    lo = F.greatest(F.lit(0), F.least(sample(F.col("t") + start, frequency), F.lit(n - 1)))
-    hi = F.least(sample(F.col("t") + end, frequency), F.lit(n))
+    n = n if isinstance(n, Column) else F.lit(n)
+    lo = F.greatest(F.lit(0), F.least(sample(F.col("t") + start, frequency), n - 1))
+    hi = F.least(sample(F.col("t") + end, frequency), n)
     return elements.withColumns({"lo": lo, "hi": hi}).where("hi > lo").withColumn("t_idx", F.explode(F.sequence("lo", F.col("hi") - 1))).drop("lo", "hi")
 
 
-def timeshift(series: DataFrame, shifts: list[int], n: int) -> DataFrame:
+def timeshift(series: DataFrame, shifts: list[int], n: int | Column) -> DataFrame:
     """Lags of a series on the grid (recording, t_idx, vec): slot i holds at row t what the series had at t - shifts[i]. Rows without a source are absent."""
     moved = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), (F.col("t_idx") + s).cast("int").alias("t_idx")) for i, s in enumerate(shifts))))
-    return series.withColumn("to", moved).select("recording", "to.t_idx", "to.slot", "vec").where((F.col("t_idx") >= 0) & (F.col("t_idx") < n))
+    return series.withColumn("to", moved).where((F.col("to.t_idx") >= 0) & (F.col("to.t_idx") < n)).select("recording", "to.t_idx", "to.slot", "vec")
 
 
 def slice_time(df: DataFrame, lo: float, hi: float, column: str = "t") -> DataFrame:
@@ -82,6 +93,51 @@ def with_segment(df: DataFrame, borders: list[int]) -> DataFrame:
     return df.withColumn("segment_id", sum(inner, F.lit(0)).cast("int"))
 
 
+def fold_of(t: Column, n: Column, folds: int) -> Column:
+    """The fold that sample ``t`` of ``n`` falls in, with the borders of :func:`fold_cuts`."""
+    small, longer = F.floor(n / folds), n % folds
+    head = longer * (small + 1)
+    return F.when(t < head, F.floor(t / (small + 1))).otherwise(longer + F.floor((t - head) / F.greatest(small, F.lit(1)))).cast("int")
+
+
+@dataclass(frozen=True)
+class Segments:
+    """Nested folds of recordings of any lengths, each cut by its own length: ``lengths`` is (recording, n_samples).
+
+    A segment is all samples that have the same part in every outer fold: -1 where they are its test, else the inner fold that they validate. Its number has a digit for each
+    outer fold, so that the parts can be read off it, and recordings of different lengths share segments.
+    """
+
+    lengths: DataFrame
+    outer: int = 4
+    inner: int = 5
+
+    def __post_init__(self):
+        if (self.inner + 1) ** self.outer >= 1 << 63:
+            raise ValueError(f"{self.outer} outer folds of {self.inner} inner ones are too many")
+
+    @property
+    def count(self) -> int:
+        """How many segments a long recording has."""
+        return len(nested_folds(1 << 20, self.outer, self.inner)[0]) - 1
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """``df`` (recording, t_idx) with segment_id; samples that lie outside of their recording go."""
+        t, n, code = F.col("t_idx"), F.col(LENGTH), F.lit(0).cast("long")
+        own = fold_of(t, n, self.outer)
+        for o in range(self.outer):
+            size = F.floor(n / self.outer) + F.when(n % self.outer > o, 1).otherwise(0)
+            part = F.when(own == o, -1).otherwise(fold_of(F.when(own < o, t).otherwise(t - size), n - size, self.inner))
+            code = code + (part + 1) * F.lit((self.inner + 1) ** o)
+        return df.drop(LENGTH).join(self.lengths, "recording").where((t >= 0) & (t < n)).withColumn("segment_id", code).drop(LENGTH)
+
+    def parts(self, tiles: DataFrame) -> DataFrame:
+        """``tiles`` once for each outer fold, with fold and part."""
+        digit = lambda o: F.expr(f"CAST(segment_id DIV {(self.inner + 1) ** o}L % {self.inner + 1} - 1 AS INT)")
+        roles = F.array(*(F.struct(F.lit(o).alias("fold"), digit(o).alias("part")) for o in range(self.outer)))
+        return tiles.withColumn("role", F.explode(roles)).withColumns({"fold": F.col("role.fold"), "part": F.col("role.part")}).drop("role")
+
+
 def fold_table(spark: SparkSession, n: int, outer: int = 4, inner: int = 5) -> DataFrame:
     """(outer, inner, role, segment_id), a few dozen rows."""
     return spark.createDataFrame(nested_folds(n, outer, inner)[1], "outer int, inner int, role string, segment_id int")

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagfield.functions.grid import decimate as every_kth
-from lagfield.functions.grid import nested_folds
+from lagfield.functions.grid import Segments, lengths
 from lagfield.operators.expand import BUFFERS, Buffer, expand
-from lagfield.operators.gram import Layout, Sums, fold_sums, gram_tiles
+from lagfield.operators.gram import Layout, Sums, fold_sums, gram_tiles, written_slots
 from lagfield.operators.scores import best_alpha
 from lagfield.operators.solve import DIRECT, Stats, banded_ridge, r2_parts, ridge_cv_init, tune
 from lagfield.sources.tables import finished, write_results, written_once
@@ -26,7 +26,7 @@ from lagfield.sources.tables import finished, write_results, written_once
 
 @dataclass(frozen=True)
 class Config:
-    """``bands`` maps a feature to its buffer's name and window; all windows share one frequency."""
+    """``bands`` maps a feature to its buffer's name and window; all windows share one frequency. Slots that no sample has are left out of the fits (``drop_empty``)."""
 
     model: str
     bands: dict[str, tuple[str, Buffer]]
@@ -43,6 +43,7 @@ class Config:
     shared_reg: bool = True
     decimate: int = 1
     decimation: Callable[[DataFrame, int], DataFrame] = every_kth
+    drop_empty: bool = True
 
     def layout(self) -> Layout:
         """Without shared_reg each slot is a band of its own."""
@@ -51,9 +52,18 @@ class Config:
         bands = [(f, BUFFERS[name].slots(b), b.dim) for f, (name, b) in self.bands.items()]
         return Layout(tuple(bands if self.shared_reg else [(f"{f}/{k}", 1, d) for f, n, d in bands for k in range(n)]))
 
-    def folds(self) -> tuple[list[int], list[tuple[int, int, str, int]]]:
-        """Borders and roles of the samples that decimation leaves."""
-        return nested_folds(-(-next(iter(self.bands.values()))[1].n // self.decimate), self.outer, self.inner)
+    def layout_of(self, slots: set[int]) -> Layout:
+        """The layout of these slots alone, counted anew within their feature: past ones come first, so each direction keeps its order."""
+        held = self.layout().only(slots)
+        if self.shared_reg:
+            return held
+        at: dict[str, int] = {}
+        named = []
+        for band, n, d in held.bands:
+            feature = band.rsplit("/", 1)[0]
+            named.append((f"{feature}/{at.setdefault(feature, 0)}", n, d))
+            at[feature] += 1
+        return Layout(tuple(named))
 
 
 RESULT = "fold int, chunk int, kind string, target int, band string, slot int, dim int, iter int, value double"
@@ -63,16 +73,16 @@ def run_encoding(elements: DataFrame | Mapping[str, DataFrame], signal: DataFram
     """Fit and score all kept targets. Long rows (fold, chunk, kind, target, band, slot, dim, iter, value, model): kinds are weight, r2, log_lambda and loss.
 
     ``elements``: as for expand, one table with feature or one for each feature; ``signal``: (recording, t_idx, target, value); ``targets``: (target, keep). Recordings and targets
-    keep their types; if ``targets`` has time_id, each (time_id, target) is fitted as a target of its own, and all three tables' rows carry it.
+    keep their types, and each recording is cut into folds by the length of its own signal, where its grid ends as well; if ``targets`` has time_id, each (time_id, target) is fitted as a target of its own, and all three tables' rows carry it.
     With ``path`` results are written there by fold, what is there already is not fitted again, and all that is there of the model is returned.
     """
-    spark, layout, keys = signal.sparkSession, config.layout(), _keys(targets)
+    spark, keys = signal.sparkSession, _keys(targets)
     index, size, chunks = _numbered(targets, config)
     done = finished(spark, path, config.model) if path else set()
     jobs = [(o, c) for o in range(config.outer) for c in chunks if (o, c) not in done]
 
     if jobs:
-        factors = _store(elements, signal, index, keys, chunks, config)
+        factors, layout = _store(elements, signal, index, keys, chunks, config)
         alphas = _alphas(factors, config.alpha_scope == "target")
 
         def result(some: list[tuple[int, int]]) -> DataFrame:
@@ -96,10 +106,11 @@ def holdout_tuning(elements: DataFrame | Mapping[str, DataFrame], signal: DataFr
     Wolfe conditions. Without kept targets there are no rows.
     """
     index, _, chunks = _numbered(targets, config)
-    layout, steps, lr = config.layout(), config.n_iter, config.lr
+    steps, lr = config.n_iter, config.lr
     if not chunks:
         return signal.sparkSession.createDataFrame([], TUNED)
-    factors = _store(elements, signal, index, _keys(targets), chunks, config).where("inner >= 0 AND name <> 'loss'").drop("nth", "alpha", "loss")
+    factors, layout = _store(elements, signal, index, _keys(targets), chunks, config)
+    factors = factors.where("inner >= 0 AND name <> 'loss'").drop("nth", "alpha", "loss")
 
     def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         held = {n: _matrix(own) for n, own in rows[rows["chunk"] == -1].groupby("name")}
@@ -133,15 +144,19 @@ def _numbered(targets: DataFrame, config: Config) -> tuple[DataFrame, int, dict[
     return index, size, {c: min(size, len(kept) - c * size) for c in range(-(-len(kept) // size))}
 
 
-def _store(elements: DataFrame | Mapping[str, DataFrame], signal: DataFrame, index: DataFrame, keys: list[str], chunks: dict[int, int], config: Config) -> DataFrame:
-    """The written factor store of all kept targets."""
-    layout, (borders, roles) = config.layout(), config.folds()
-    thin = (lambda df: config.decimation(df, config.decimate)) if config.decimate > 1 else lambda df: df
-    design = thin(expand(elements, config.bands, config.shared_reg))
+def _store(elements: DataFrame | Mapping[str, DataFrame], signal: DataFrame, index: DataFrame, keys: list[str], chunks: dict[int, int], config: Config) -> tuple[DataFrame, Layout]:
+    """The written factor store of all kept targets, and the layout of the slots that it has."""
+    layout, thins = config.layout(), config.decimate > 1
+    thin = (lambda df: config.decimation(df, config.decimate)) if thins else lambda df: df
+    grid = written_once(lengths(signal), "lengths")
+    segments = Segments(written_once(lengths(thin(signal)), "thin-lengths") if thins else grid, config.outer, config.inner)
+    design = thin(expand(elements, config.bands, config.shared_reg, grid))
     own = thin(signal.join(index, keys).select("recording", "t_idx", F.col("nth").alias("target"), "value"))
-    tiles = gram_tiles(design, own, layout, borders, index.select(F.col("nth").alias("target"), "chunk"), config.rows)
-    sums = written_once(fold_sums(tiles, roles), "fold-sums")
-    return written_once(_factors(sums, layout, chunks, config), "factors")
+    tiles = gram_tiles(design, own, layout, segments, index.select(F.col("nth").alias("target"), "chunk"), config.rows)
+    sums = written_once(fold_sums(tiles, segments), "fold-sums")
+    every = set(range(len(layout.slots)))
+    slots = (written_slots(sums, layout) if config.drop_empty else every) or every  # a model without any written slot keeps its bands
+    return written_once(_factors(sums, layout, chunks, config, slots), "factors"), config.layout_of(slots)
 
 
 #: Rows of the factor store: matrices in binary blocks of BLOCK rows, those of all targets (chunk -1) and those of a chunk, and the losses of the alpha search.
@@ -158,10 +173,11 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(own["data"]), np.float64).reshape(-1, int(own["width"].iloc[0]))
 
 
-def factored(fold: int, inner: int, rows: pd.DataFrame, layout: Layout, chunks: dict[int, int], folds: int, alphas: tuple[float, ...]) -> list[tuple]:
+def factored(fold: int, inner: int, rows: pd.DataFrame, layout: Layout, chunks: dict[int, int], folds: int, alphas: tuple[float, ...], slots: set[int] | None = None) -> list[tuple]:
     """Rows of the store for an inner fold: its training Gram with the one eigendecomposition that is made of it, its validation Gram, products with the targets by chunk,
     and the losses of all alphas. ``inner`` -1 is the last fit: all training rows, and those held out."""
-    sums, size = Sums(rows, layout, chunks), max(chunks.values())
+    sums, size = Sums(rows, layout, chunks, slots=slots), max(chunks.values())
+    layout = sums.layout
     if inner >= 0:
         train, val = _inner(sums, folds, inner)
     else:
@@ -183,14 +199,14 @@ def factored(fold: int, inner: int, rows: pd.DataFrame, layout: Layout, chunks:
     return out
 
 
-def _factors(sums: DataFrame, layout: Layout, chunks: dict[int, int], config: Config) -> DataFrame:
+def _factors(sums: DataFrame, layout: Layout, chunks: dict[int, int], config: Config, slots: set[int]) -> DataFrame:
     """The factor store: one task to an outer and an inner fold, and one to an outer fold for the last fit. No more than this reads the Gram."""
     folds, alphas = config.inner, config.alphas
     keyed = sums.withColumn("inner", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1)))).where("part >= 0 OR inner = -1")
     names = [c.split()[0] for c in FACTORS.split(", ")]
 
     def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(factored(int(key[0]), int(key[1]), rows, layout, chunks, folds, alphas), columns=names).astype({"nth": "Int32"})
+        return pd.DataFrame(factored(int(key[0]), int(key[1]), rows, layout, chunks, folds, alphas, slots), columns=names).astype({"nth": "Int32"})
 
     return keyed.groupBy("fold", "inner").applyInPandas(each, FACTORS)
 

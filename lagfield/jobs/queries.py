@@ -637,7 +637,7 @@ def gram_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk_of = ch.assign_chunk(_mask(spark, sf_dir), _SMALL.chunk_size)
     y = ch.keep_targets(data.signal(spark, sf_dir), _mask(spark, sf_dir))
     tiles = build_tiles(design, y, _SMALL.layout(), _BORDERS, chunk_of)
-    return tiles.select("segment_id", "ti", "tj", F.posexplode("g").alias("pos", "value")).withColumn("value", F.round(F.col("value") + _NO_TIE, 4))
+    return tiles.select(F.col("segment_id").cast("int").alias("segment_id"), "ti", "tj", F.posexplode("g").alias("pos", "value")).withColumn("value", F.round(F.col("value") + _NO_TIE, 4))
 
 
 _ONE_TAP = ex.Buffer(frequency=1, duration=data.N_DAYS, dim=1, period=1.0, nb_buffer=1)

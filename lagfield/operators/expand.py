@@ -2,7 +2,8 @@
 
 ``elements``: (recording, element_id, t, vec array<double>), with sentence_id and position for the sentence-aware buffers, whose vec
 is an array of arrays indexed [context][dim]. Elements whose vector is null or holds null or NaN are dropped. All return a
-design (recording, t_idx, slot, vec): an absent row is a slot that was not written. Slots count from 0.
+design (recording, t_idx, slot, vec): an absent row is a slot that was not written. Slots count from 0. Where rows have n_samples, the
+grid of their recording ends there, else where the window's duration does.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagfield.functions.grid import active_elements, n_samples, sample, timeshift
+from lagfield.functions.grid import LENGTH, active_elements, n_samples, sample, timeshift
 
 
 @dataclass(frozen=True)
@@ -47,15 +48,20 @@ def whole(elements: DataFrame) -> DataFrame:
     return elements.where("vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x))")
 
 
+def grid_end(rows: DataFrame, b: Buffer) -> Column:
+    """How many samples the grid of a row's recording has."""
+    return F.col(LENGTH) if LENGTH in rows.columns else F.lit(b.n)
+
+
 def _taps(elements: DataFrame, b: Buffer, start: float) -> DataFrame:
     """Bins are summed before their slots are written out, so a crowded sample is expanded once."""
-    bins = whole(elements).groupBy("recording", sample(F.col("t") + start, b.frequency).alias("s0")).agg(vec_sum(b.dim).alias("vec"))
+    bins = whole(elements).groupBy("recording", grid_end(elements, b).alias(LENGTH), sample(F.col("t") + start, b.frequency).alias("s0")).agg(vec_sum(b.dim).alias("vec"))
     at = bins.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(b.nb_buffer - 1))))
     if b.tap == 1:
         placed = at.withColumn("t_idx", F.col("s0") + F.col("slot"))
     else:
         placed = at.withColumn("t_idx", F.explode(F.sequence(F.col("s0") + F.col("slot") * b.tap, F.col("s0") + (F.col("slot") + 1) * b.tap - 1)))
-    placed = placed.where((F.col("t_idx") >= 0) & (F.col("t_idx") < b.n)).select("recording", "t_idx", "slot", "vec")
+    placed = placed.where((F.col("t_idx") >= 0) & (F.col("t_idx") < F.col(LENGTH))).select("recording", "t_idx", "slot", "vec")
     return placed if b.tap == 1 else placed.groupBy("recording", "t_idx", "slot").agg(vec_sum(b.dim).alias("vec"))
 
 
@@ -83,7 +89,7 @@ def _ranked(active: DataFrame, b: Buffer, newest_first: bool) -> DataFrame:
 
 
 def _buffer(elements: DataFrame, b: Buffer, newest_first: bool, shift: float = 0.0) -> DataFrame:
-    active = active_elements(whole(elements), b.prediction_start + shift, b.prediction_end + shift, b.frequency, b.n)
+    active = active_elements(whole(elements), b.prediction_start + shift, b.prediction_end + shift, b.frequency, grid_end(elements, b))
     return _ranked(active, b, newest_first).groupBy("recording", "t_idx", "slot").agg(vec_sum(b.dim).alias("vec"))
 
 
@@ -98,7 +104,7 @@ def queue_buffer(elements: DataFrame, b: Buffer, shift: float = 0.0) -> DataFram
 
 
 def _parse_reset(elements: DataFrame, b: Buffer, newest_first: bool, shift: float = 0.0, legacy_overflow: bool = False) -> DataFrame:
-    active = active_elements(elements.where("vec IS NOT NULL"), b.prediction_start + shift, b.prediction_end + shift, b.frequency, b.n)
+    active = active_elements(elements.where("vec IS NOT NULL"), b.prediction_start + shift, b.prediction_end + shift, b.frequency, grid_end(elements, b))
     key = Window.partitionBy("recording", "t_idx")
     order = key.orderBy("element_id")
     reset = F.when(F.col("sentence_id") != F.lag("sentence_id").over(order), 1).otherwise(0)
@@ -144,17 +150,17 @@ def sym_timeshift(series: DataFrame, b: Buffer, missing_as_zero: bool = False, n
     """Past, then future lags of a series that is on the grid. ``missing_as_zero`` fills rows without a source; ``negated_past`` takes minus the future's shift for the past."""
     future = [int((b.prediction_start + i * b.period) * b.frequency) for i in range(b.nb_buffer)]
     past = [-s for s in future] if negated_past else [int((b.prediction_start - i * b.period) * b.frequency) for i in range(b.nb_buffer)]
-    lags = timeshift(series, past + future, b.n)
+    lags = timeshift(series, past + future, grid_end(series, b))
     if not missing_as_zero:
         return lags
-    grid = series.select("recording").distinct().withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(b.n - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2 * b.nb_buffer - 1))))
+    grid = series.select("recording", grid_end(series, b).alias(LENGTH)).distinct().select("recording", F.explode(F.sequence(F.lit(0), F.col(LENGTH) - 1)).alias("t_idx")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2 * b.nb_buffer - 1))))
     zero = F.array(*[F.lit(0.0)] * b.dim)
     filled = F.transform(F.coalesce("vec", zero), lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
     return grid.join(lags, ["recording", "t_idx", "slot"], "left").withColumn("vec", filled)
 
 
 def identity_band(series: DataFrame, b: Buffer) -> DataFrame:
-    return series.where((F.col("t_idx") >= 0) & (F.col("t_idx") < b.n)).select("recording", "t_idx", F.lit(0).alias("slot"), "vec")
+    return series.where((F.col("t_idx") >= 0) & (F.col("t_idx") < grid_end(series, b))).select("recording", "t_idx", F.lit(0).alias("slot"), "vec")
 
 
 def checked_tap(elements: DataFrame, b: Buffer) -> DataFrame:
@@ -232,15 +238,17 @@ def register(name: str, expand: Callable[[DataFrame, Buffer], DataFrame], slots:
     BUFFERS[name] = Kind(expand, slots, takes, parameters)
 
 
-def expand(elements: DataFrame | Mapping[str, DataFrame], bands: dict[str, tuple[str, Buffer]], shared_reg: bool = True) -> DataFrame:
+def expand(elements: DataFrame | Mapping[str, DataFrame], bands: dict[str, tuple[str, Buffer]], shared_reg: bool = True, lengths: DataFrame | None = None) -> DataFrame:
     """(recording, t_idx, band, slot, vec) of all features: ``bands`` maps a feature to its buffer's name and window. Without shared_reg each slot is a band of its own, whose slot is 0.
 
     ``elements``: a table for each feature, of the columns that its buffer takes; so vectors, vectors by context and series on the grid meet in one model. Or one table with
-    feature, which each band filters; that prunes partitions where it is stored by feature, as read_features expects, and reads other layouts once a band.
+    feature, which each band filters; that prunes partitions where it is stored by feature, as read_features expects, and reads other layouts once a band. ``lengths``
+    (recording, n_samples) ends the grid of each recording; recordings that it lacks have no rows.
     """
     out = None
     for feature, (name, b) in bands.items():
         rows = elements.where(F.col("feature") == feature).drop("feature") if isinstance(elements, DataFrame) else elements[feature]
+        rows = rows if lengths is None else rows.drop(LENGTH).join(lengths, "recording")
         own = BUFFERS[name](rows, b)
         band = F.lit(feature) if shared_reg else F.concat_ws("/", F.lit(feature), "slot")
         own = own.select("recording", "t_idx", band.alias("band"), (F.col("slot") if shared_reg else F.lit(0)).alias("slot"), "vec")

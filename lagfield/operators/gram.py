@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagfield.functions.grid import with_segment
+from lagfield.functions.grid import Segments, with_segment
 
 from .solve import Stats
 
 #: Samples to a dense block, columns to a tile, and partial tiles that one group adds up.
 ROWS, TILE, FAN_IN = 1024, 256, 64
 
-TILES = "segment_id int, ti int, tj int, part long, g array<double>"
+TILES = "segment_id long, ti int, tj int, part long, g array<double>"
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,12 @@ class Layout:
     def slot_of(self) -> np.ndarray:
         return np.concatenate([np.full(d, i) for i, (_, _, d) in enumerate(self.slots)])
 
+    def only(self, slots: set[int]) -> Layout:
+        """The bands and their slots of these numbers; slots are counted anew in their order, and a band without any goes."""
+        first = np.cumsum([0, *(n for _, n, _ in self.bands)]).tolist()
+        held = [(b, sum(k in slots for k in range(lo, lo + n)), d) for lo, (b, n, d) in zip(first, self.bands, strict=False)]
+        return Layout(tuple(x for x in held if x[1]))
+
     def dense(self, design: pd.DataFrame, times: np.ndarray) -> np.ndarray:
         """Rows [x, m, 1] of the sorted ``times``."""
         p, s = len(self.columns), len(self.slots)
@@ -64,20 +70,21 @@ class Layout:
         return out
 
 
-def partial_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS, parts: int | None = None) -> tuple[DataFrame, int]:
+def partial_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int] | Segments, chunk_of: DataFrame, rows: int = ROWS, parts: int | None = None) -> tuple[DataFrame, int]:
     """(segment_id, ti, tj, part, g) for :func:`gram_tiles`, and how many parts a segment has.
 
-    Samples are dealt by segment and by blocks of ``rows`` of a recording into ``parts`` parts, as many as there are shuffle partitions if not given. A task reads its
+    ``borders`` are those of the segments of all recordings, or :class:`Segments` that cut each by its own length. Samples are dealt by segment and by blocks of ``rows`` of a recording into ``parts`` parts, as many as there are shuffle partitions if not given. A task reads its
     blocks in order, holds one of them and one sum, and hands on the sum once for each part: what is handed on grows with the parts and not with the samples.
     """
     targets = [(r.target, r.chunk) for r in chunk_of.select("target", "chunk").orderBy("chunk", "target").collect()]  # the dimension table
     chunks = {c: [t for t, k in targets if k == c] for c in sorted({k for _, k in targets})}
     names, ends = [t for own in chunks.values() for t in own], np.cumsum([0, *(len(own) for own in chunks.values())]).tolist()
     parts = parts or int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    of_segment = max(1, -(-parts // max(len(borders) - 1, 1)))
+    segmented = borders.on if isinstance(borders, Segments) else lambda df: with_segment(df, borders)
+    of_segment = max(1, -(-parts // max(borders.count if isinstance(borders, Segments) else len(borders) - 1, 1)))
     size = len(layout.columns) + len(layout.slots) + 1
     key = ["segment_id", "part", "recording", "block"]
-    placed = lambda df: with_segment(df, borders).withColumn("block", F.expr(f"CAST(t_idx DIV {rows} AS INT)")).withColumn("part", F.pmod(F.xxhash64("recording", "block"), F.lit(of_segment)))
+    placed = lambda df: segmented(df).withColumn("block", F.expr(f"CAST(t_idx DIV {rows} AS INT)")).withColumn("part", F.pmod(F.xxhash64("recording", "block"), F.lit(of_segment)))
     both = placed(design).select(*key, "t_idx", "band", "slot", "vec").unionByName(placed(signal).select(*key, "t_idx", "target", "value"), allowMissingColumns=True)
 
     def accumulated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +136,7 @@ def partial_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders:
     return both.repartition("segment_id", "part").sortWithinPartitions(*key).mapInPandas(accumulated, TILES), of_segment
 
 
-def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int], chunk_of: DataFrame, rows: int = ROWS, parts: int | None = None) -> DataFrame:
+def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: list[int] | Segments, chunk_of: DataFrame, rows: int = ROWS, parts: int | None = None) -> DataFrame:
     """Tiles of the Gram (tj from 0) and of the products with each chunk's targets (tj = -1 - 2 * chunk; the squares of its targets in tj = -2 - 2 * chunk), summed by segment.
 
     ``design``: (recording, t_idx, band, slot, vec); ``signal``: (recording, t_idx, target, value); ``chunk_of``: (target, chunk). Samples
@@ -147,15 +154,28 @@ def gram_tiles(design: DataFrame, signal: DataFrame, layout: Layout, borders: li
             return tiles.drop("part")
 
 
-def fold_sums(tiles: DataFrame, roles: list[tuple[int, int, str, int]]) -> DataFrame:
+def fold_sums(tiles: DataFrame, roles: list[tuple[int, int, str, int]] | Segments) -> DataFrame:
     """``tiles`` by segment to (fold, part, ti, tj, g): part -1 is the outer fold's test, part i its inner validation i. Parts are disjoint, so every training set is a sum of parts."""
-    spark = tiles.sparkSession
-    parts = spark.createDataFrame([(o, -1 if r == "test" else i, s) for o, i, r, s in roles if r in ("test", "validation")], "fold int, part int, segment_id int")
+    if isinstance(roles, Segments):
+        placed = roles.parts(tiles)
+    else:
+        parts = tiles.sparkSession.createDataFrame([(o, -1 if r == "test" else i, s) for o, i, r, s in roles if r in ("test", "validation")], "fold int, part int, segment_id int")
+        placed = tiles.join(F.broadcast(parts), "segment_id")  # a few dozen parts
 
     def added(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"fold": [key[0]], "part": [key[1]], "ti": [key[2]], "tj": [key[3]], "g": [np.sum(np.stack(g["g"].to_numpy()), 0)]})
 
-    return tiles.join(F.broadcast(parts), "segment_id").groupBy("fold", "part", "ti", "tj").applyInPandas(added, "fold int, part int, ti int, tj int, g array<double>")  # a few dozen parts
+    return placed.groupBy("fold", "part", "ti", "tj").applyInPandas(added, "fold int, part int, ti int, tj int, g array<double>")
+
+
+def written_slots(sums: DataFrame, layout: Layout) -> set[int]:
+    """Which slots of the layout any sample has, read off the counts on the diagonal of ``sums`` by fold: the parts of fold 0 are all samples."""
+    p, size = len(layout.columns), len(layout.columns) + len(layout.slots) + 1
+    width = F.least(F.lit(TILE), F.lit(size) - F.col("ti") * TILE)
+    diagonal = F.transform(F.sequence(F.lit(0), width - 1), lambda d: F.element_at("g", (d * width + d + 1).cast("int")))
+    own = sums.where(f"fold = 0 AND ti = tj AND ti >= {p // TILE}").select("ti", F.posexplode(diagonal).alias("d", "count"))
+    held = own.where("count > 0").select((F.col("ti") * TILE + F.col("d") - p).alias("slot")).where(f"slot BETWEEN 0 AND {size - p - 2}").distinct()
+    return {r.slot for r in held.collect()}  # no more than the layout has slots
 
 
 def predict_dense(design: DataFrame, signal: DataFrame, weights: DataFrame, layout: Layout, rows: int = ROWS, most: int = 1 << 26) -> DataFrame:
@@ -188,9 +208,9 @@ def predict_dense(design: DataFrame, signal: DataFrame, weights: DataFrame, layo
 
 
 class Sums:
-    """The assembled sums of one or more chunks' targets by segment or part, and what standardisation makes of them. ``chunks``: how many targets each has."""
+    """The assembled sums of one or more chunks' targets by segment or part, and what standardisation makes of them. ``chunks``: how many targets each has; ``slots``: the only ones that count."""
 
-    def __init__(self, tiles: pd.DataFrame, layout: Layout, chunks: dict[int, int], by: str = "part"):
+    def __init__(self, tiles: pd.DataFrame, layout: Layout, chunks: dict[int, int], by: str = "part", slots: set[int] | None = None):
         self.layout = layout
         targets, at = sum(chunks.values()), dict(zip(chunks, np.cumsum([0, *chunks.values()]).tolist(), strict=False))
         size = len(layout.columns) + len(layout.slots) + 1
@@ -211,9 +231,16 @@ class Sums:
                     self.c[s][rows, own] = np.asarray(g).reshape(-1, chunks[chunk])
                 else:
                     self.yy[s][own] = np.asarray(g)
+        if slots is not None:
+            p = len(layout.columns)
+            kept = np.concatenate([np.flatnonzero(np.isin(layout.slot_of, sorted(slots))), p + np.array(sorted(slots), int), [size - 1]])
+            self.layout = layout.only(slots)
+            self.g, self.c = {s: g[np.ix_(kept, kept)] for s, g in self.g.items()}, {s: c[kept] for s, c in self.c.items()}
 
     def total(self, segments: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held = [s for s in segments if s in self.g]
+        if not held:
+            raise ValueError(f"no sample lies in parts {segments} of a fold: the signal is too short for so many folds")
         return sum(self.g[s] for s in held), sum(self.c[s] for s in held), sum(self.yy[s] for s in held)
 
     def scaling(self, segments: list[int]) -> np.ndarray:

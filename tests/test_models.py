@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lagfield.functions.grid import fold_cuts, nested_folds
+from lagfield.functions.grid import Segments, fold_cuts, nested_folds
 from lagfield.jobs import encode
 from lagfield.jobs.encode import Config, model_suite, run_encoding
 from lagfield.operators import expand as ex
@@ -255,6 +255,70 @@ def test_features_of_different_shapes_and_a_user_s_buffer_in_one_model(spark, mo
         run_encoding(tables, signal, targets, replace(config, bands={"own": ("short", bands["own"][1])})).count()
 
 
+@pytest.mark.parametrize(("outer", "inner"), [(4, 5), (2, 3), (5, 2)])
+def test_segments_by_recording(spark, outer, inner):
+    """Recordings of any lengths, shorter than the folds too: the parts of every sample are those of its own nested folds; samples outside of a recording go."""
+    sizes = {"a": 83, "b": 1, "c": 120, "d": outer * inner + 3}
+    lengths = spark.createDataFrame(list(sizes.items()), "recording string, n_samples int")
+    samples = spark.createDataFrame([(r, t) for r, n in sizes.items() for t in range(-1, n + 1)], "recording string, t_idx int")
+    segments = Segments(lengths, outer, inner)
+    got = {(x.recording, x.fold, x.t_idx): x.part for x in segments.parts(segments.on(samples)).collect()}
+    assert len(got) == outer * sum(sizes.values())
+    for r, n in sizes.items():
+        cuts = fold_cuts(n, outer)
+        for o in range(outer):
+            test = set(range(cuts[o], cuts[o + 1]))
+            rest = [t for t in range(n) if t not in test]
+            within = fold_cuts(len(rest), inner)
+            assert all(got[r, o, t] == -1 for t in test)
+            assert all(got[r, o, t] == i for i in range(inner) for t in rest[within[i] : within[i + 1]])
+    with pytest.raises(ValueError):
+        Segments(lengths, 40, 40)
+
+
+def test_recordings_of_different_lengths(spark):
+    """Each recording is cut by its own length and ends its own grid, whatever duration the windows name; slots that no sample has give no band, weight or penalty."""
+    rng = np.random.default_rng(12)
+    sizes, outer = {"long": 97, "short": 41}, 3
+    rows = [(r, i, float(rng.uniform(0, n - 8)), [float(v) for v in rng.normal(size=2)]) for r, n in sizes.items() for i in range(n // 2)]
+    rows += [("short", 1000, 45.0, [1.0, 2.0]), ("none", 0, 1.0, [1.0, 1.0])]  # one starts after its recording has ended, one has no signal
+    elements = spark.createDataFrame(rows, "recording string, element_id long, t double, vec array<double>")
+    signal = spark.createDataFrame([(r, t, k, float(rng.normal())) for r, n in sizes.items() for t in range(n) for k in range(2)], "recording string, t_idx int, target int, value double")
+    targets = spark.createDataFrame([(0, True), (1, True)], "target int, keep boolean")
+    b = Buffer(frequency=1, duration=60, dim=2, period=1.0, nb_buffer=2, prediction_end=3.0, buffer_duration=3.0)
+    far = replace(b, prediction_start=200.0)  # never on the grid
+    bands = {"tap": ("sym_tap", b), "far": ("tap", far), "buffer": ("sym_buffer", b), "mixed": ("sym_tap", replace(b, prediction_start=95.0, nb_buffer=3))}
+    config = Config("m", bands, outer=outer, inner=2, alphas=(0.1, 10.0), n_iter=2, lr=0.1, chunk_size=1, rows=16)
+    out = run_encoding({f: elements for f in bands}, signal, targets, config).where("fold = 0").collect()
+
+    blocks, kept = [], None
+    for r, n in sizes.items():
+        own = {f: (name, replace(w, duration=n)) for f, (name, w) in bands.items()}
+        x = {(c.t_idx, c.band, c.slot): c.vec for c in expand({f: elements.where(F.col("recording") == r) for f in bands}, own).collect()}
+        blocks.append((n, x))
+    seen = sorted({(band, slot) for _, x in blocks for _, band, slot in x}, key=lambda k: (list(bands).index(k[0]), k[1]))
+    kept = Layout(tuple((f, sum(k[0] == f for k in seen), 2) for f in bands if any(k[0] == f for k in seen)))
+    assert 0 < dict((f, n) for f, n, _ in kept.bands)["mixed"] < 6 and "far" not in [f for f, _, _ in kept.bands]
+    x = np.concatenate([[np.concatenate([at.get((t, *k), [np.nan] * 2) for k in seen]) for t in range(n)] for n, at in blocks])
+    values = {(r.recording, r.t_idx, r.target): r.value for r in signal.collect()}
+    y = np.array([[values[r, t, k] for k in range(2)] for r, n in sizes.items() for t in range(n)])
+    test = np.concatenate([np.arange(n) < fold_cuts(n, outer)[1] for n in sizes.values()])
+    with np.errstate(invalid="ignore"):
+        mean, sd = np.nanmean(x[~test], 0), np.nanstd(x[~test], 0)
+    z = np.nan_to_num((x - mean) / np.where(sd > 0, sd, 1)) * (sd > 0)
+    ym, ys = y[~test].mean(0), y[~test].std(0)
+    check_first_fold(out, z, (y - ym) / ys, (y[test] - y[test].mean(0)) / ys, test, kept, [f for f, _, _ in kept.bands])
+    assert {(r.band, r.slot) for r in out if r.kind == "r2"} == {(f, s) for f, s, _ in kept.slots}
+    assert {r.band for r in out if r.kind == "log_lambda"} == {f for f, _, _ in kept.bands}
+
+    each = run_encoding({f: elements for f in bands}, signal, targets, replace(config, shared_reg=False, n_iter=0))
+    assert {r.band for r in each.where("kind = 'log_lambda'").collect()} == {f"{f}/{s}" for f, s, _ in kept.slots}
+    whole = run_encoding({f: elements for f in bands}, signal, targets, replace(config, drop_empty=False, n_iter=0))
+    assert {r.band for r in whole.where("kind = 'log_lambda'").collect()} == set(bands)
+    with pytest.raises(Exception, match="too short"):
+        run_encoding({f: elements for f in bands}, signal.where("t_idx < 2"), targets, config).count()
+
+
 def test_what_gram_tasks_hand_on_follows_the_parts(spark):
     """Ten times the samples: the same sums by plain arrays, and no more tiles."""
     layout, handed = Layout((("a", 2, 1), ("b", 1, 2))), []
