@@ -91,12 +91,6 @@ def sweep(spark: SparkSession, owner: str, still: DataFrame) -> None:
             _delete(spark, path)
 
 
-def window(text: str, by: Column, chars: int) -> Column:
-    """All of a text of up to ``chars`` characters, and as many of a longer one, from a place that the hash ``by`` chooses: what a bounded sample to learn from holds of it."""
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    return F.substring(F.col(text), F.pmod(by, room).cast("int") + 1, F.lit(chars))
-
-
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

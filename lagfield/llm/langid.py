@@ -15,10 +15,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, window
+from .common import table
 
-#: The bounded sample: texts to a language, and characters to a text; they bound its dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS = 200, 1_600
+#: The bounded sample of a language: whole texts, and characters that they may have before another is taken; they bound its dictionary.
+SAMPLE_TEXTS, SAMPLE_CHARS = 200, 240_000
 #: Bytes to a piece, the compression level, and the run before each piece.
 PIECE, LEVEL, RUN = 4096, 6, b"q" * 64
 #: Below this share of the second-best size a margin is narrow.
@@ -37,15 +37,16 @@ def normalise(text: str) -> bytes:
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
     """(language, dictionary) of each language, the most frequent first, from ``docs`` (doc_id, text, lang).
 
-    Rows with a null text, lang or empty text teach nothing; equal rows count each. The sample is bounded: ``texts`` texts to each language, the first by a hash,
-    of any length, and of one longer than ``chars`` characters as many from a place within it.
+    Rows with a null text, lang or empty text teach nothing; equal rows count each. The sample is bounded in rows, which teach whole: of each language the first by a hash, until
+    ``texts`` are taken or those taken have ``chars`` characters. A text that is longer than that by itself comes after all others, and teaches only where they are too few.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    short = rows.select("lang", window("text", F.col("h"), chars).alias("text"), "h")
+    order = Window.partitionBy("lang").orderBy("large", "h", "text")
+    first = rows.withColumn("large", F.length("text") > chars).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= texts)
+    before = F.coalesce(F.sum(F.length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sample: dict[str, list[bytes]] = {}
-    for r in short.select("lang", "text", nth.alias("nth")).where(F.col("nth") <= texts).orderBy("lang", "nth").collect():
+    for r in first.withColumn("before", before).where(F.col("before") < chars).select("lang", "text", "nth").orderBy("lang", "nth").collect():
         sample.setdefault(r.lang, []).append(normalise(r.text))
     return [(k, b" ".join(sample[k])) for k in sorted(sample, key=lambda k: (-counts[k], k))]
 

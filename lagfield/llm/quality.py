@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, window
+from .common import table
 
-#: Hash dimension; the bounded sample, in graded texts and in characters to a text; passes over it, step and penalty.
-DIM, SAMPLE, SAMPLE_CHARS, PASSES, STEP, RIDGE = 1 << 18, 8000, 20_000, 200, 0.5, 1e-4
+#: Hash dimension; the bounded sample in graded texts, which teach whole; passes over it, step and penalty.
+DIM, SAMPLE, PASSES, STEP, RIDGE = 1 << 18, 8000, 200, 0.5, 1e-4
 #: A feature counts from this share of the graded rows, and this many of them.
 SUPPORT, SUPPORT_ROWS = 1 / 400, 3
 #: Weights of the shape shares and of the words, and the tail probability from which a text is selected.
@@ -118,18 +118,17 @@ def fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray
     return Model(w.astype(np.float32), first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])[:k])
 
 
-def learn(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def learn(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample: the texts in ``docs`` (doc_id, text) of the first ``sample`` ids, by a hash, that ``graded`` (doc_id, grade) grades 0 to n_grades - 1.
 
     Null ids, texts and grades teach nothing. An id teaches once: the higher of two grades counts, and of several texts the
-    least. A text longer than ``chars`` characters teaches by as many from a place within it, so that the sample's features are bounded too.
+    least. Whole texts teach; only their features leave the tasks, no more of a text than it has different words and shapes.
     Without graded rows all texts score alike, and thresholds put all in the middle.
     """
     teach = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     ids = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it can be broadcast
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "grade", window("text", F.xxhash64("text"), chars).alias("text"))
-    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def featured(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([features(x) for x in texts], columns=["i", "v"])
