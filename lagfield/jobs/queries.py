@@ -272,6 +272,23 @@ def kfold_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(folds, "segment_id").groupBy("outer_fold", "inner_fold", "role").agg(*sums)
 
 
+@query(
+    f"""WITH {data.EVENTS}, t AS (SELECT recording, CAST(trunc(t * {data.EVENT_RATE}) AS INTEGER) AS t_idx, count(*) AS events FROM ev GROUP BY 1, 2),
+n AS (SELECT recording, max(t_idx) + 1 AS n FROM t WHERE t_idx >= 0 GROUP BY 1), o AS (SELECT unnest(range(4)) AS fold),
+c AS (SELECT recording, n, fold, fold * (n // 4) + least(fold, n % 4) AS lo, (fold + 1) * (n // 4) + least(fold + 1, n % 4) AS hi FROM n CROSS JOIN o),
+r AS (SELECT c.*, n - (hi - lo) AS rest, t_idx, events, CASE WHEN t_idx < lo THEN t_idx WHEN t_idx >= hi THEN t_idx - (hi - lo) END AS place FROM c JOIN t USING (recording) WHERE t_idx >= 0),
+p AS (SELECT r.*, CASE WHEN place IS NULL THEN -1 ELSE {' + '.join(f'CAST(place >= {k} * (rest // 5) + least({k}, rest % 5) AS INTEGER)' for k in range(1, 5))} END AS part FROM r)
+SELECT CAST(recording AS BIGINT) AS recording, CAST(fold AS INTEGER) AS fold, CAST(part AS INTEGER) AS part, count(*) AS samples, CAST(min(t_idx) AS INTEGER) AS first, CAST(max(t_idx) AS INTEGER) AS last, CAST(sum(events) AS BIGINT) AS events FROM p GROUP BY 1, 2, 3"""
+)
+def segments_by_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with events, and these, of every part of the nested folds of each recording, by its own length."""
+    at = gr.sample(F.col("t"), data.EVENT_RATE).alias("t_idx")
+    rows = data.events(spark, sf_dir).groupBy("recording", at).agg(F.count("*").alias("events"))
+    segments = gr.Segments(gr.lengths(rows))
+    parts = segments.parts(segments.on(rows)).groupBy("recording", "fold", "part")
+    return parts.agg(F.count("*").alias("samples"), F.min("t_idx").alias("first"), F.max("t_idx").alias("last"), F.sum("events").alias("events"))
+
+
 # --- transcripts, channels, targets ---------------------------------------------------------------------------------------
 
 

@@ -178,27 +178,39 @@ def written_slots(sums: DataFrame, layout: Layout) -> set[int]:
     return {r.slot for r in held.collect()}  # no more than the layout has slots
 
 
-def predict_dense(design: DataFrame, signal: DataFrame, weights: DataFrame, layout: Layout, rows: int = ROWS, most: int = 1 << 26) -> DataFrame:
+def predict_dense(design: DataFrame, signal: DataFrame, weights: DataFrame, layout: Layout, rows: int = ROWS, most: int = 1 << 23) -> DataFrame:
     """(recording, t_idx, target, value, yhat): predictions beside the observed ``signal`` of the targets that ``weights`` (target, band, slot, dim, value) have.
 
-    ``design`` holds standardised columns. The weights go to every task, so columns times targets may not exceed ``most``; they do not grow with the rows. A task holds
-    one block of ``rows`` samples of a recording.
+    ``design`` holds standardised columns. Weights go to every task as one dense matrix of at most ``most`` numbers (and no less than a target's), read as Arrow; beyond that targets
+    are predicted group by group, each with a matrix of its own. A task holds one block of ``rows`` samples of a recording. A weight of a column that the layout lacks is an error.
     """
-    at = {c: i for i, c in enumerate(layout.columns)}
-    held = weights.select("target", "band", "slot", "dim", "value").limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} weights: predict by chunks of targets")
-    names = sorted({r.target for r in held})
+    spark, p = signal.sparkSession, len(layout.columns)
+    names = [r.target for r in weights.select("target").where("target IS NOT NULL").distinct().orderBy("target").collect()]  # the dimension table of targets
+    per, kind = max(1, most // max(1, p)), weights.schema["target"].dataType.simpleString()
+    columns = spark.createDataFrame([(*c, i) for i, c in enumerate(layout.columns)], "band string, slot int, dim int, i int")
+    out = None
+    for lo in range(0, max(1, len(names)), per):
+        own = names[lo : lo + per]
+        nth = spark.createDataFrame([(t, j) for j, t in enumerate(own)], f"target {kind}, j int")
+        held = weights.join(F.broadcast(nth), "target").join(F.broadcast(columns), ["band", "slot", "dim"], "left").select("i", "j", "value").toArrow()  # no more than columns times ``per``
+        if held.column("i").null_count:
+            raise ValueError("weights have a column that the layout lacks")
+        w = np.zeros((p, len(own)))
+        w[held.column("i").to_numpy(), held.column("j").to_numpy()] = held.column("value").to_numpy()
+        part = _predicted(design, signal, w, own, layout, rows)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _predicted(design: DataFrame, signal: DataFrame, w: np.ndarray, names: list, layout: Layout, rows: int) -> DataFrame:
+    """Predictions of the targets ``names`` by the weights ``w`` (columns, targets)."""
     place = {t: j for j, t in enumerate(names)}
-    w = np.zeros((len(at), len(names)))
-    for r in held:
-        w[at[r.band, r.slot, r.dim], place[r.target]] = r.value
     block = F.expr(f"CAST(t_idx DIV {rows} AS INT)").alias("block")
 
     def each(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y[y["target"].isin(place)]
         times = np.unique(y["t_idx"].to_numpy())
-        yhat = layout.dense(x[x["t_idx"].isin(times)], times)[:, : len(at)] @ w
+        yhat = layout.dense(x[x["t_idx"].isin(times)], times)[:, : len(w)] @ w
         own = yhat[np.searchsorted(times, y["t_idx"].to_numpy()), y["target"].map(place).to_numpy(int)] if len(y) else np.zeros(0)
         return y[["recording", "t_idx", "target", "value"]].assign(yhat=own)
 

@@ -503,16 +503,20 @@ def test_dense_prediction_beside_the_signal(spark):
     design = [("r", t, b, s, [float(v) for v in rng.normal(size=d)]) for t in range(50) for b, s, d in layout.slots if rng.random() < 0.8]
     weights = [(c, b, s, d, float(rng.normal())) for c in ("x", "y") for b, s, d in layout.columns]
     signal = [("r", t, c, float(t)) for t in range(50) for c in ("x", "y", "z")]
-    got = predict_dense(
+    tables = (
         spark.createDataFrame(design, "recording string, t_idx int, band string, slot int, vec array<double>"),
         spark.createDataFrame(signal, "recording string, t_idx int, target string, value double"),
         spark.createDataFrame(weights, "target string, band string, slot int, dim int, value double"),
         layout,
-        rows=16,
-    ).collect()
+    )
     w = {x[:4]: x[4] for x in weights}
     want = {(t, c): sum(v * w[c, b, s, k] for _, u, b, s, vec in design if u == t for k, v in enumerate(vec)) for t in range(50) for c in ("x", "y")}
-    assert len(got) == 100 and all(r.value == r.t_idx and abs(r.yhat - want[r.t_idx, r.target]) < 1e-9 for r in got)
+    for most in (1 << 20, 5, 1):  # one matrix, and one for each target
+        got = predict_dense(*tables, rows=16, most=most).collect()
+        assert len(got) == 100 and all(r.value == r.t_idx and abs(r.yhat - want[r.t_idx, r.target]) < 1e-9 for r in got)
+    assert predict_dense(tables[0], tables[1], tables[2].limit(0), layout).count() == 0
+    with pytest.raises(ValueError, match="lacks"):
+        predict_dense(*tables[:2], tables[2].withColumn("slot", F.col("slot") + 1), layout)
 
 
 def test_envelope_keeps_the_recording_s_type(spark):
