@@ -78,7 +78,7 @@ def set_of(text: Column, words: int = WORDS) -> Column:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], fragments: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Texts to rows (f, nodes, counts, tokens): the shingles of all sets of a batch within fragment f, set by set."""
+    """Texts to rows (f, nodes, counts, sizes, tokens): the shingles of all sets of a batch within fragment f, set by set, and the sizes of the whole sets."""
     hashes = _Hashes()
     for batch in batches:
         sets = {}
@@ -89,7 +89,8 @@ def _packed(batches: Iterator[pa.RecordBatch], fragments: int, words: int) -> It
         if not sets:
             continue
         nodes, tokens = np.fromiter(sets, np.int64, len(sets)), np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(nodes)), [len(s) for s in sets.values()])
+        sizes = np.array([len(s) for s in sets.values()], np.int32)
+        owner = np.repeat(np.arange(len(nodes)), sizes)
         f = ((tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(f, kind="stable")
         f, owner, tokens = f[order], owner[order], tokens[order]
@@ -97,15 +98,18 @@ def _packed(batches: Iterator[pa.RecordBatch], fragments: int, words: int) -> It
         out = []
         for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             own, counts = np.unique(owner[lo:hi], return_counts=True)
-            out.append((int(f[lo]), nodes[own].tobytes(), counts.astype(np.int32).tobytes(), tokens[lo:hi].tobytes()))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["f", "nodes", "counts", "tokens"])
+            out.append((int(f[lo]), nodes[own].tobytes(), counts.astype(np.int32).tobytes(), sizes[own].tobytes(), tokens[lo:hi].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["f", "nodes", "counts", "sizes", "tokens"])
 
 
 def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A fragment's sets to those of their shingles there that another set has as well, and in how many sets each is."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-    tokens, nodes = read("tokens", np.uint64), np.repeat(read("nodes", np.int64), read("counts", np.int32))
+    tokens, owners = read("tokens", np.uint64), read("nodes", np.int64)
+    nodes = np.repeat(owners, read("counts", np.int32))
+    known, at = np.unique(owners, return_index=True)
+    sizes = read("sizes", np.int32)[at]
     order = np.lexsort((nodes, tokens))
     tokens, nodes = tokens[order], nodes[order]
     once = np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(nodes) != 0)])  # copies of a set come from several batches
@@ -118,10 +122,11 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     tokens, nodes, sets = tokens[order], nodes[order], sets[order]
     borders = np.flatnonzero(np.concatenate([[True], np.diff(nodes) != 0, [True]])) if len(nodes) else np.zeros(1, int)
     cut = list(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True))
-    return pd.DataFrame({"f": key[0], "node": [int(nodes[lo]) for lo, _ in cut], "tokens": [tokens[lo:hi].tobytes() for lo, hi in cut], "sets": [sets[lo:hi].tobytes() for lo, hi in cut]}).astype({"f": "int32", "node": "int64"})
+    own = nodes[borders[:-1]]
+    return pd.DataFrame({"f": key[0], "node": own, "size": sizes[np.searchsorted(known, own)], "tokens": [tokens[lo:hi].tobytes() for lo, hi in cut], "sets": [sets[lo:hi].tobytes() for lo, hi in cut]}).astype({"f": "int32", "node": "int64", "size": "int64"})
 
 
-SHARED = "f int, node long, tokens binary, sets binary"
+SHARED = "f int, node long, size long, tokens binary, sets binary"
 
 
 def _with_prefix(tokens: Column, sets: Column, size: Column, percent: int) -> Column:
@@ -190,18 +195,18 @@ def _viable(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
     """(node, size, shingles, prefix, central) of the sets that can have a partner: at least ``percent`` hundredths of their shingles are in another such set."""
     total = nodes.agg(F.sum("size")).first()[0] or 0
     fragments = max(FRAGMENTS, total // FRAGMENT + 1)  # rows of a set and fragment follow the data, not how many partitions there are
-    packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _packed(b, fragments, words), "f int, nodes binary, counts binary, tokens binary")
+    packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _packed(b, fragments, words), "f int, nodes binary, counts binary, sizes binary, tokens binary")
     found = materialise(packed.repartition(fragments, "f").groupBy("f").applyInPandas(_shared, SHARED), "shared")
     for peel in range(PEELS):
-        held = found.groupBy("node").agg(F.sum(F.expr("octet_length(tokens) DIV 8")).alias("held")).join(nodes.select("node", "size"), "node")
-        left = held.where(100 * F.col("held") >= percent * F.col("size")).select("node", "size")
-        kept = found.join(left, "node")
+        held, enough = F.sum(F.expr("octet_length(tokens) DIV 8")).alias("held"), 100 * F.col("held") >= percent * F.col("size")
         if peel == PEELS - 1:
-            by_set = kept.groupBy("node").agg(F.collect_list("tokens").alias("t"), F.collect_list("sets").alias("d"), F.first("size").alias("size"))
+            by_set = found.groupBy("node").agg(F.collect_list("tokens").alias("t"), F.collect_list("sets").alias("d"), F.first("size").alias("size"), held).where(enough)
             out = materialise(by_set.select("node", "size", _with_prefix(F.col("t"), F.col("d"), F.col("size"), percent).alias("p")).select("node", "size", "p.*"), "viable")
             discard(found)
             return out
-        one = kept.select("f", F.expr("unhex(lpad(hex(node), 16, '0'))").alias("nodes"), F.expr("octet_length(tokens) DIV 8").alias("n"), "tokens")
+        left = found.groupBy("node").agg(F.first("size").alias("size"), held).where(enough).select("node")
+        kept = found.join(left, "node")
+        one = kept.select("f", F.expr("unhex(lpad(hex(node), 16, '0'))").alias("nodes"), F.expr("octet_length(tokens) DIV 8").alias("n"), "size", "tokens")
         again = materialise(one.groupBy("f").applyInPandas(_recount, SHARED), "shared")
         discard(found)
         found = again
@@ -211,7 +216,8 @@ def _viable(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
 def _recount(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     nodes = [int.from_bytes(x, "big", signed=True).to_bytes(8, "little", signed=True) for x in rows["nodes"]]
     counts = [int(n).to_bytes(4, "little") for n in rows["n"]]
-    return _shared(key, pd.DataFrame({"nodes": nodes, "counts": counts, "tokens": rows["tokens"]}))
+    sizes = [int(n).to_bytes(4, "little") for n in rows["size"]]
+    return _shared(key, pd.DataFrame({"nodes": nodes, "counts": counts, "sizes": sizes, "tokens": rows["tokens"]}))
 
 
 def _labelled(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -219,8 +225,28 @@ def _labelled(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
     return frame.withColumn("label", F.col("node")) if roots is None else frame.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def similar_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS, block: tuple[int, int] = BLOCK) -> DataFrame:
-    """(node, root) of the sets that links connect with others. ``docs``: (text); ``nodes``: (node, size) of all distinct sets of shingles."""
+def _size_fits(percent: int) -> Column:
+    return 100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size")
+
+
+def _checked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among ``pairs`` (node, leader, size, leader_size), written before, by all shingles that both sets hold."""
+    # a leader may meet a third of all sets: what it holds is broadcast, where it is met so often
+    of = materialise(pairs.groupBy(F.col("leader")).agg(F.count("*").alias("n")).join(parts.select(F.col("node").alias("leader"), "part", F.col("tokens").alias("theirs")), "leader").select(F.struct("leader", "part").alias("at"), "theirs", "n"), "theirs")
+    mine = pairs.join(parts, "node").withColumn("at", F.struct("leader", "part"))
+    both = join_hot(mine, of, "at", "n").select("node", "leader", "size", "leader_size", _overlap(F.col("tokens"), F.col("theirs")).alias("both"))
+    summed = both.groupBy("node", "leader", "size", "leader_size").agg(F.sum("both").alias("both"))
+    near = summed.where((100 + percent) * F.col("both") >= percent * (F.col("size") + F.col("leader_size")))
+    found = materialise(near.select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
+    discard(of)
+    return found
+
+
+def similar_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS, block: tuple[int, int] = BLOCK, candidates: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the sets that links connect with others. ``docs``: (text); ``nodes``: (node, size) of all distinct sets of shingles.
+
+    ``candidates`` (node, leader, size, leader_size) are pairs that are checked first: the rounds compare only what their links leave apart.
+    """
     spark = docs.sparkSession
     with bounded_batches(spark):
         sets = _viable(docs, nodes, words, percent)
@@ -229,25 +255,24 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
         open_ = materialise(keys.join(many, "key").select("key", "node", "size", "central"), "buckets")
         parts = materialise(sets.select("node", F.posexplode(_parted(F.col("shingles"))).alias("part", "tokens")).where("octet_length(tokens) > 0"), "parts")
         links, roots = None, None
+        if candidates is not None:
+            pairs = materialise(candidates.where(_size_fits(percent)).distinct(), "candidates")
+            links = _checked(pairs, parts, percent)
+            roots = components(links)
+            discard(pairs)
         for _ in range(rounds):
             leaders = open_.groupBy("key").agg(F.max(F.struct("central", "node", "size")).alias("leader"), F.count("*").alias("n"))
             led = materialise(leaders.select("key", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"), "n"), "leaders")
-            pairs = join_hot(open_, led, "key", "n").where((F.col("node") != F.col("leader")) & (100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size")))
+            pairs = join_hot(open_, led, "key", "n").where((F.col("node") != F.col("leader")) & _size_fits(percent))
             pairs = pairs.select("node", "leader", "size", "leader_size").distinct()
             if roots is not None:
                 pairs = _labelled(pairs, roots).join(roots.select(F.col("node").alias("leader"), F.col("root").alias("with")), "leader", "left").where(F.col("label") != F.coalesce("with", "leader")).drop("label", "with")
             pairs = materialise(pairs, "pairs")
-            # a leader may meet a third of all sets: what it holds is broadcast, where it is met so often
-            of = materialise(pairs.groupBy(F.col("leader")).agg(F.count("*").alias("n")).join(parts.select(F.col("node").alias("leader"), "part", F.col("tokens").alias("theirs")), "leader").select(F.struct("leader", "part").alias("at"), "theirs", "n"), "theirs")
-            mine = pairs.join(parts, "node").withColumn("at", F.struct("leader", "part"))
-            both = join_hot(mine, of, "at", "n").select("node", "leader", "size", "leader_size", _overlap(F.col("tokens"), F.col("theirs")).alias("both"))
-            summed = both.groupBy("node", "leader", "size", "leader_size").agg(F.sum("both").alias("both"))
-            near = summed.where((100 + percent) * F.col("both") >= percent * (F.col("size") + F.col("leader_size"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-            found = materialise(near if links is None else near.unionByName(links), "links")
-            discard(pairs, of, *([links] if links is not None else []))
-            links, before = found, roots
-            roots = materialise(components(found), "roots")
-            discard(*([before] if before is not None else []))
+            found, before = _checked(pairs, parts, percent), roots
+            # what is linked already is a star about each root
+            links = found if before is None else found.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = components(links)
+            discard(pairs, found, *([before] if before is not None else []))
             # a leader has met all of its bucket; a bucket whose others have one label is done
             rest = _labelled(join_hot(open_, led, "key", "n").where(F.col("node") != F.col("leader")).select("key", "node", "size", "central"), roots)
             several = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
@@ -256,11 +281,13 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             open_ = left
         last = _open_pairs(open_, sets, roots, percent, block)
         if last is not None:
-            both = materialise(links.unionByName(last), "links")
-            discard(links, roots)
-            roots = materialise(components(both), "roots")
-            links = both
-        discard(links, open_, sets, parts)
+            before = roots
+            roots = components(last if before is None else last.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            if before is not None:
+                discard(before)
+        elif roots is None:
+            roots = components(sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+        discard(open_, sets, parts)
     return roots
 
 
@@ -273,7 +300,7 @@ def _open_pairs(open_: DataFrame, sets: DataFrame, roots: DataFrame, percent: in
         return None
     first = open_.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n"))
     edges = join_hot(open_.select("key", "node"), materialise(first, "firsts"), "key", "n")
-    group = materialise(components(edges.select(F.col("node").alias("a"), F.col("first").alias("b"))), "groups").withColumnRenamed("root", "group")
+    group = components(edges.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "group")
     rows = _labelled(group, roots).join(sets.select("node", "size", "shingles"), "node")
     sums = materialise(rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "group-sums")
     cuts = F.greatest(F.ceil(F.col("n") / block[0]), F.ceil(F.col("total") / block[1])).cast("int")

@@ -207,3 +207,16 @@ def test_components_leave_no_tables(spark):
     found = {r.node: r.root for r in components(edges).collect()}
     assert all(found[n] == (n - 1) // 7 * 7 + 1 for n in found)
     assert len(set(os.listdir(base)) - before) <= 1
+
+
+def test_components_of_stars_take_one_look(spark, monkeypatch):
+    """Stars are seen as such by each node's neighbours, without a round that changes nothing; a chain takes rounds."""
+    from lagfield.llm import components as module
+
+    written, plain = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: written.append(name) or plain(df, name))
+    stars = [(10 * s, 10 * s + i) for s in range(5) for i in range(1, 9)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert found == {n: n // 10 * 10 for s in range(5) for n in range(10 * s, 10 * s + 9)} and written == ["edges", "low"]
+    chain = {r.node: r.root for r in components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()}
+    assert chain == dict.fromkeys(range(10), 0) and len(written) > 4
