@@ -41,7 +41,7 @@ def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near-duplicates."""
+    """Keep the document of the smallest id of each group of near-duplicates: SimHash links, each checked by the texts' shingles, and the exact join's for what SimHash leaves apart."""
     return keep_one(docs)
 
 

@@ -176,19 +176,34 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     return join_hot(rows, _labels(rows, radius), "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, rounds: int = ROUNDS, block: tuple[int, int] = BLOCK) -> DataFrame:
+def print_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (node, leader, size, leader_size) that fingerprints link. ``rows``: (node, size, fp), a set of shingles and the fingerprint of a text that has it.
+
+    The smallest set of each fingerprint stands for it: it leads the others of its fingerprint, and meets those of the fingerprints within ``radius`` bits that :func:`near_edges` joins to its own.
+    """
+    named = materialise(rows.groupBy("fp", "node").agg(F.max("size").alias("size")), "prints")
+    led = materialise(named.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("led"), F.count("*").alias("n")).select("fp", F.col("led.node").alias("leader"), F.col("led.size").alias("leader_size"), "n"), "firsts")
+    pairs = join_hot(named, led.where("n > 1"), "fp", "n").select("node", "leader", "size", "leader_size")
+    # a fingerprint has fewer edges than its buckets hold others, some ten thousand at most
+    edges = near_edges(led.select("fp"), radius).join(led.select(F.col("fp").alias("a"), F.col("leader").alias("node"), F.col("leader_size").alias("size")), "a")
+    near = edges.join(led.select(F.col("fp").alias("b"), "leader", "leader_size"), "b").select("node", "leader", "size", "leader_size")
+    return pairs.unionByName(near).where(F.col("node") != F.col("leader"))
+
+
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCENT, rounds: int = ROUNDS, block: tuple[int, int] = BLOCK, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one kept of each group, that of the smallest doc_id; all columns stay as they are.
 
-    Texts are linked if they share ``percent`` hundredths of their distinct shingles or more, and groups are what links connect; the links are those of the exact join
-    (:mod:`jaccard`), at every size of a table and of a group. Texts without words are one group; of equal rows one stays; a null id is kept only where a group holds no other.
+    Fingerprints within ``radius`` bits link texts first, as in :func:`simhash_components`, and each of these links is checked: texts are linked if they share ``percent`` hundredths
+    of their distinct shingles or more. What is still apart then is compared by the exact join (:mod:`jaccard`), which finds the pairs that fingerprints of this radius miss, at every size of
+    a table and of a group. Groups are what links connect. Texts without words are one group; of equal rows one stays; a null id is kept only where a group holds no other.
     """
     spark = docs.sparkSession
     text_key = F.md5(F.coalesce("text", F.lit("")))
     with bounded_batches(spark):
-        found = docs.select("doc_id", text_key.alias("key"), set_of(F.col("text"), words).alias("s"))
-        rows = materialise(found.select("doc_id", "key", F.coalesce("s.node", F.lit(0)).alias("node"), "s.size"), "sets")
+        found = docs.select("doc_id", text_key.alias("key"), set_of(F.col("text"), words).alias("s"), fingerprints(F.col("text")).alias("fp"))
+        rows = materialise(found.select("doc_id", "key", F.coalesce("s.node", F.lit(0)).alias("node"), "s.size", "fp"), "sets")
     nodes = materialise(rows.where("size > 0").groupBy("node").agg(F.max("size").alias("size")), "nodes")
-    roots = similar_sets(docs, nodes, words, percent, rounds, block)
+    roots = similar_sets(docs, nodes, words, percent, rounds, block, print_pairs(rows.where("size > 0").select("node", "size", "fp"), radius))
     texts = rows.groupBy("node", "key").agg(F.min("doc_id").alias("first"))  # copies are few rows before they meet
     firsts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("kept"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lagfield.llm import licenses, mixing, sharding, simhash, topk
+from lagfield.llm import jaccard, licenses, mixing, sharding, simhash, topk
 from lagfield.llm.components import components
 
 
@@ -246,6 +246,45 @@ def test_groups_are_those_of_all_pairs(spark):
     assert kept(spark, texts, rounds=1, block=(7, 2000)) == want  # groups that no task holds whole
 
 
+def linked_by_prints(spark, monkeypatch, texts, **options):
+    """What keep_one keeps, and the pairs that fingerprints gave and that the rounds compared after them."""
+    seen = {}
+    plain = jaccard.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    return kept(spark, texts, **options), seen.get("candidates", 0), seen.get("pairs", 0)
+
+
+def test_fingerprints_link_near_duplicates_first(spark, monkeypatch):
+    """Long texts with one word changed have prints within four bits: SimHash links them, and the join after it has no pair left to compare."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(4):
+        base = [f"v{rng.randrange(9000)}" for _ in range(3000)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            own = list(base)
+            own[rng.randrange(3000)] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(own))
+    assert all(i // 4 == j // 4 for i, j in itertools.combinations(range(16), 2) if (plain_print(texts[i]) ^ plain_print(texts[j])).bit_count() <= 4)
+    rows, candidates, pairs = linked_by_prints(spark, monkeypatch, texts)
+    assert rows == kept_by_hand(texts) == [0, 4, 8, 12] and candidates >= 12 and pairs == 0
+
+
+def test_links_of_fingerprints_are_checked(spark, monkeypatch):
+    """Texts of one much repeated phrase have one print; with unlike words after it they are candidates, and both stay."""
+    phrase = " ".join([f"u{i}" for i in range(7)] * 200)
+    texts = [phrase + " " + " ".join(f"{c}{i}" for i in range(60)) for c in "yz"]
+    assert (plain_print(texts[0]) ^ plain_print(texts[1])).bit_count() <= 4
+    rows, candidates, _ = linked_by_prints(spark, monkeypatch, texts)
+    assert rows == kept_by_hand(texts) == [0, 1] and candidates == 1
+
+
 # --- licences
 
 
