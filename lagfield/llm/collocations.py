@@ -8,46 +8,45 @@ phrases that mostly stand inside a longer one are removed by an anti-join.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_hot, materialise, table
 
 MAX_N, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-#: Distinct phrases that a task counts before it hands them on.
-HELD = 700_000
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]")
-#: Bytes of text to a bucket of phrases, and the least number of buckets of a language.
-BUCKET, BUCKETS = 1 << 28, 64
+#: Words whose phrases a task counts before it hands them on.
+HELD = 600_000
+#: Lowers A-Z and makes a line feed of whatever ends a piece.
+TABLE = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of text to a bucket of phrases, and the least number of buckets of a language: small ones, so that partitions are even and their sums stay in memory.
+BUCKET, BUCKETS = 1 << 26, 256
 #: Salts of the ranking's first step.
 SALTS = 64
 
 
-def count_grams(texts: list[bytes | None], max_n: int, into: Counter) -> int:
-    """Count all runs of 1 to ``max_n`` words within pieces of ``texts``; returns how many words there are."""
-    words, grams = 0, []
-    for text in texts:
-        for piece in PIECES.split((text or b"").translate(LOWER)):
-            w = piece.split()  # bytes.split takes space and 9-13, and pieces hold no 10-13
-            words += len(w)
-            grams += w
-            runs = w
-            for k in range(1, min(max_n, len(w))):
-                runs = [x + b" " + y for x, y in zip(runs, w[k:], strict=False)]  # a run of k words and the word after it
-                grams += runs
-            if len(grams) > 100_000:
-                into.update(grams)
-                grams = []
-    into.update(grams)
-    return words
+def words_of(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of each piece of ``text`` that holds one."""
+    for piece in (text or b"").translate(TABLE).split(b"\n"):
+        w = piece.split()  # bytes.split takes space and 9-13, and pieces hold no 10-13
+        if w:
+            yield w
+
+
+def count_grams(words: list[bytes], pieces: list[int], max_n: int) -> tuple[pa.Array, np.ndarray]:
+    """All runs of 1 to ``max_n`` of ``words`` that stay within a piece, and how often each occurs; ``pieces`` says how many words each piece holds."""
+    w, piece = pa.array(words, pa.large_binary()), np.repeat(np.arange(len(pieces)), pieces)
+    grams, runs = [w], w
+    for k in range(1, min(max_n, len(words))):
+        runs = pc.binary_join_element_wise(runs[:-1], w[k:], pa.scalar(b" ", pa.large_binary()))  # a run of k words and the word after it
+        grams.append(runs.filter(pa.array(piece[:-k] == piece[k:])))
+    found = pc.value_counts(pa.chunked_array(grams))
+    return found.field("values"), found.field("counts").to_numpy()
 
 
 def gram_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
@@ -58,32 +57,35 @@ def gram_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> Data
     buckets = max(BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)  # follows the texts, not how many partitions there are
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.string()), ("counts", pa.list_(pa.int64()))])
 
-    def flush(held: dict[str, Counter], words: Counter) -> pa.RecordBatch:
-        out = []
-        for lang, own in held.items():
-            if not words[lang]:
-                continue
-            out.append((lang, -1, "", [words[lang]]))
-            phrases, counts = list(own), np.fromiter(own.values(), np.int64, len(own))
-            at = np.fromiter(map(zlib.crc32, phrases), np.uint32, len(own)) % buckets
-            order = np.argsort(at, kind="stable")
-            borders = np.flatnonzero(np.diff(at[order], prepend=-1, append=buckets).astype(bool))
-            for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                some = order[lo:hi]
-                out.append((lang, int(at[some[0]]), b"\n".join([phrases[i] for i in some.tolist()]).decode(), counts[some]))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    def flush(lang: str, words: list[bytes], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"lang": [lang], "bucket": [-1], "phrases": [""], "counts": [[len(words)]]}, schema=schema)
+        phrases, counts = count_grams(words, lengths, max_n)
+        at = np.fromiter(map(zlib.crc32, phrases.to_pylist()), np.uint32, len(phrases)) % buckets
+        order = np.argsort(at.astype(np.uint16) if buckets < 1 << 16 else at, kind="stable")
+        own, starts = np.unique(at[order], return_index=True)
+        offsets = np.append(starts, len(order))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), phrases.take(pa.array(order))), pa.scalar(b"\n", pa.large_binary()))
+        held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(counts[order], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.int32()), lines.cast(pa.large_string()).cast(pa.string()), held], schema=schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = {}, Counter()
+        held, n = {}, 0
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang, text in zip(langs, texts, strict=True):
-                words[lang] += count_grams([text], max_n, held.setdefault(lang, Counter()))
-                if sum(map(len, held.values())) > HELD:
-                    yield flush(held, words)
-                    held, words = {}, Counter()
-        yield flush(held, words)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, lengths = held.setdefault(lang, ([], []))
+                for w in words_of(text):
+                    words += w
+                    lengths.append(len(w))
+                    n += len(w)
+                    if n > HELD:
+                        for known, (own, parts) in held.items():
+                            if own:
+                                yield from flush(known, own, parts)
+                        held, n = {}, 0
+                        words, lengths = held.setdefault(lang, ([], []))
+        for known, (own, parts) in held.items():
+            if own:
+                yield from flush(known, own, parts)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     packed = rows.mapInArrow(counted, "lang string, bucket int, phrases string, counts array<bigint>").repartition("lang", "bucket")

@@ -220,3 +220,14 @@ def test_components_of_stars_take_one_look(spark, monkeypatch):
     assert found == {n: n // 10 * 10 for s in range(5) for n in range(10 * s, 10 * s + 9)} and written == ["edges", "low"]
     chain = {r.node: r.root for r in components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()}
     assert chain == dict.fromkeys(range(10), 0) and len(written) > 4
+
+
+def test_runs_of_words_are_counted_within_pieces():
+    """Against a plain count; buckets are many, so that sums of a partition stay in memory."""
+    pieces = list(collocations.words_of(b"A b,a B\tc; c\n. caf\xc3\xa9 a b c A B c:d"))
+    assert pieces == [[b"a", b"b"], [b"a", b"b", b"c"], [b"c"], [b"caf\xc3\xa9", b"a", b"b", b"c", b"a", b"b", b"c"], [b"d"]] and not list(collocations.words_of(None))
+    for n in (1, 2, 3, 9):
+        want = Counter(b" ".join(p[i : i + k]) for p in pieces for k in range(1, n + 1) for i in range(len(p) - k + 1))
+        phrases, counts = collocations.count_grams([w for p in pieces for w in p], [len(p) for p in pieces], n)
+        assert dict(zip(phrases.to_pylist(), counts.tolist(), strict=True)) == want
+    assert collocations.BUCKETS >= 256 and collocations.BUCKET <= 1 << 26
