@@ -27,6 +27,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FRAGMENT, FRAGMENTS, PARTS = 2_000_000, 64, 8
 #: Rounds of leaders, and sets and shingles that one block compares after them.
 ROUNDS, BLOCK = 2, (1024, 500_000)
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 #: Times an index has been counted anew among the sets that are left.
 PEELS = 2
 
@@ -35,7 +37,7 @@ class _Hashes(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -60,6 +62,12 @@ def _set_id(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
 
 
+def set_key(text: bytes | None, hashes: _Hashes, words: int = WORDS) -> tuple[int | None, int]:
+    """The hash of a text's shingle set, None without words, and how many shingles it has."""
+    s = shingle_set(text, hashes, words)
+    return (_set_id(s) if len(s) else None), len(s)
+
+
 def set_of(text: Column, words: int = WORDS) -> Column:
     """Struct (node, size): the hash of a text's shingle set, null without words, and how many shingles it has."""
 
@@ -69,8 +77,7 @@ def set_of(text: Column, words: int = WORDS) -> Column:
             known: dict = {}
             for x in texts:
                 if x not in known:
-                    s = shingle_set(x, hashes, words)
-                    known[x] = (_set_id(s) if len(s) else None, len(s))
+                    known[x] = set_key(x, hashes, words)
             yield pd.DataFrame({"node": pd.array([known[x][0] for x in texts], "Int64"), "size": [known[x][1] for x in texts]})
 
     each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -103,27 +110,57 @@ def _packed(batches: Iterator[pa.RecordBatch], fragments: int, words: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["f", "nodes", "counts", "sizes", "tokens"])
 
 
-def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """A fragment's sets to those of their shingles there that another set has as well, and in how many sets each is."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-    tokens, owners = read("tokens", np.uint64), read("nodes", np.int64)
-    nodes = np.repeat(owners, read("counts", np.int32))
-    known, at = np.unique(owners, return_index=True)
-    sizes = read("sizes", np.int32)[at]
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """What a binary column holds, end to end, as numbers; no value becomes an object of its own."""
+    out = [np.zeros(0, kind)]
+    for x in column.chunks:
+        ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1] if len(x) else [0]
+        if ends[-1] > ends[0]:
+            out.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(out)
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``values`` cut at ``ends``, from 0, as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _counted(f: int, tokens: np.ndarray, owners: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """Of fragment ``f``, the sets to those of their shingles there that another set has as well, and in how many sets each is.
+
+    ``tokens`` are the shingles of the sets ``owners``, ``counts`` of each; ``sizes`` are those of the whole sets.
+    """
+    known, at, own = np.unique(owners, return_index=True, return_inverse=True)
+    nodes = np.repeat(own.astype(np.int32), counts)
     order = np.lexsort((nodes, tokens))
     tokens, nodes = tokens[order], nodes[order]
-    once = np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(nodes) != 0)])  # copies of a set come from several batches
+    once = np.ones(len(tokens), bool)  # copies of a set come from several batches
+    once[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
     tokens, nodes = tokens[once], nodes[once]
-    borders = np.flatnonzero(np.concatenate([[True], np.diff(tokens) != 0, [True]]))
-    sets = np.repeat(np.diff(borders), np.diff(borders))
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    lengths = np.diff(np.append(np.flatnonzero(first), len(tokens))).astype(np.int32)
+    sets = np.repeat(lengths, lengths)
     some = sets > 1
-    tokens, nodes, sets = tokens[some], nodes[some], sets[some].astype(np.int32)
+    tokens, nodes, sets = tokens[some], nodes[some], sets[some]
     order = np.argsort(nodes, kind="stable")
-    tokens, nodes, sets = tokens[order], nodes[order], sets[order]
-    borders = np.flatnonzero(np.concatenate([[True], np.diff(nodes) != 0, [True]])) if len(nodes) else np.zeros(1, int)
-    cut = list(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True))
-    own = nodes[borders[:-1]]
-    return pd.DataFrame({"f": key[0], "node": own, "size": sizes[np.searchsorted(known, own)], "tokens": [tokens[lo:hi].tobytes() for lo, hi in cut], "sets": [sets[lo:hi].tobytes() for lo, hi in cut]}).astype({"f": "int32", "node": "int64", "size": "int64"})
+    held = np.bincount(nodes, minlength=len(known))
+    has = np.flatnonzero(held)
+    ends = np.concatenate([[0], np.cumsum(held[has])])
+    return pa.table(
+        {"f": np.full(len(has), f, np.int32), "node": known[has], "size": sizes[at[has]].astype(np.int64), "tokens": _cut(tokens[order], ends), "sets": _cut(sets[order], ends)}
+    )
+
+
+def _shared(key: tuple, rows: pa.Table) -> pa.Table:
+    """The rows of :func:`_packed` of a fragment, counted."""
+    return _counted(key[0].as_py(), _flat(rows["tokens"], np.uint64), _flat(rows["nodes"], np.int64), _flat(rows["counts"], np.int32), _flat(rows["sizes"], np.int32))
+
+
+def _recount(key: tuple, rows: pa.Table) -> pa.Table:
+    """Rows (node, n, size, tokens) of a fragment, a set each, counted anew among themselves."""
+    node, n, size = (rows[c].to_numpy() for c in ("node", "n", "size"))
+    return _counted(key[0].as_py(), _flat(rows["tokens"], np.uint64), node, n, size)
 
 
 SHARED = "f int, node long, size long, tokens binary, sets binary"
@@ -196,7 +233,7 @@ def _viable(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
     total = nodes.agg(F.sum("size")).first()[0] or 0
     fragments = max(FRAGMENTS, total // FRAGMENT + 1)  # rows of a set and fragment follow the data, not how many partitions there are
     packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _packed(b, fragments, words), "f int, nodes binary, counts binary, sizes binary, tokens binary")
-    found = materialise(packed.repartition(fragments, "f").groupBy("f").applyInPandas(_shared, SHARED), "shared")
+    found = materialise(packed.repartition(fragments, "f").groupBy("f").applyInArrow(_shared, SHARED), "shared")
     for peel in range(PEELS):
         held, enough = F.sum(F.expr("octet_length(tokens) DIV 8")).alias("held"), 100 * F.col("held") >= percent * F.col("size")
         if peel == PEELS - 1:
@@ -206,20 +243,13 @@ def _viable(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
             return out
         left = found.groupBy("node").agg(F.first("size").alias("size"), held).where(enough).select("node")
         kept = found.join(left, "node")
-        one = kept.select("f", F.expr("unhex(lpad(hex(node), 16, '0'))").alias("nodes"), F.expr("octet_length(tokens) DIV 8").alias("n"), "size", "tokens")
-        again = materialise(one.groupBy("f").applyInPandas(_recount, SHARED), "shared")
+        one = kept.select("f", "node", F.expr("octet_length(tokens) DIV 8").alias("n"), "size", "tokens")
+        again = materialise(one.groupBy("f").applyInArrow(_recount, SHARED), "shared")
         discard(found)
         found = again
     raise AssertionError
 
 
-def _recount(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    nodes = [int.from_bytes(x, "big", signed=True).to_bytes(8, "little", signed=True) for x in rows["nodes"]]
-    counts = [int(n).to_bytes(4, "little") for n in rows["n"]]
-    sizes = [int(n).to_bytes(4, "little") for n in rows["size"]]
-    return _shared(key, pd.DataFrame({"nodes": nodes, "counts": counts, "sizes": sizes, "tokens": rows["tokens"]}))
-
-
 def _labelled(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``frame`` with the label of each node."""
     return frame.withColumn("label", F.col("node")) if roots is None else frame.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))

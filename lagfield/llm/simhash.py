@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, join_hot, materialise, table
 from .components import components
-from .jaccard import BLOCK, ROUNDS, set_of, similar_sets
+from .jaccard import BLOCK, ROUNDS, _Hashes, set_key, similar_sets
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingle words, seed of their hash and radius in bits.
@@ -30,8 +30,8 @@ KEEP_WORDS, KEEP_PERCENT = 5, 80
 CHUNK = 2048
 
 
-def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]:
-    found = text.encode().translate(LOWER).split()  # bytes.split takes exactly space and 9-13
+def shingle_hashes(text: str | bytes, words: int = WORDS, seed: int = SEED) -> list[int]:
+    found = (text.encode() if isinstance(text, str) else text).translate(LOWER).split()  # bytes.split takes exactly space and 9-13
     line, ends, at = b" ".join(found), [], -1
     for w in found:
         at += len(w) + 1
@@ -43,7 +43,7 @@ def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]
     return [h(line[s:e], seed) for s, e in zip(starts, ends[words - 1 :], strict=True)]
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+def fingerprint(text: str | bytes | None, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
     """Bits set in over half of the shingle hashes, as a signed 64-bit integer; zero for a text without words. ``distinct`` counts repeated shingles once."""
     found = shingle_hashes(text or "", words, seed)
     hashes = np.array(list(set(found)) if distinct else found, np.uint64)
@@ -66,6 +66,23 @@ def fingerprints(text: Column, words: int = WORDS, seed: int = SEED, distinct: b
     return F.pandas_udf(all_of, "long")(text)
 
 
+def sets_and_prints(text: Column, words: int) -> Column:
+    """Struct (node, size, fp): what :func:`jaccard.set_of` and :func:`fingerprints` give. Two functions of unlike kinds are two workers to a task; this is one."""
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for texts in batches:
+            known: dict = {}
+            for x in texts:
+                if x not in known:
+                    known[x] = (*set_key(x, hashes, words), fingerprint(x))
+            node, size, fp = ([known[x][i] for x in texts] for i in range(3))
+            yield pd.DataFrame({"node": pd.array(node, "Int64"), "size": size, "fp": fp})
+
+    each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(each, "node long, size long, fp long")(text.cast("binary"))
+
+
 @lru_cache
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 20) -> tuple[int, ...]:
     """The signed masks of the covering code; vectors are dealt evenly over the positions before they are shuffled."""
@@ -200,8 +217,8 @@ def keep_one(docs: DataFrame, words: int = KEEP_WORDS, percent: int = KEEP_PERCE
     spark = docs.sparkSession
     text_key = F.md5(F.coalesce("text", F.lit("")))
     with bounded_batches(spark):
-        found = docs.select("doc_id", text_key.alias("key"), set_of(F.col("text"), words).alias("s"), fingerprints(F.col("text")).alias("fp"))
-        rows = materialise(found.select("doc_id", "key", F.coalesce("s.node", F.lit(0)).alias("node"), "s.size", "fp"), "sets")
+        found = docs.select("doc_id", text_key.alias("key"), sets_and_prints(F.col("text"), words).alias("s"))
+        rows = materialise(found.select("doc_id", "key", F.coalesce("s.node", F.lit(0)).alias("node"), "s.size", "s.fp"), "sets")
     nodes = materialise(rows.where("size > 0").groupBy("node").agg(F.max("size").alias("size")), "nodes")
     roots = similar_sets(docs, nodes, words, percent, rounds, block, print_pairs(rows.where("size > 0").select("node", "size", "fp"), radius))
     texts = rows.groupBy("node", "key").agg(F.min("doc_id").alias("first"))  # copies are few rows before they meet

@@ -231,3 +231,32 @@ def test_runs_of_words_are_counted_within_pieces():
         phrases, counts = collocations.count_grams([w for p in pieces for w in p], [len(p) for p in pieces], n)
         assert dict(zip(phrases.to_pylist(), counts.tolist(), strict=True)) == want
     assert collocations.BUCKETS >= 256 and collocations.BUCKET <= 1 << 26
+
+
+def test_fragments_are_counted_in_a_few_times_their_bytes():
+    """Sets of a fragment in several batches, copies among them: the shingles that two sets hold, as by hand, in less than 8 times the bytes of its shingles."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = {int(n): np.unique(rng.integers(0, 400_000, rng.integers(1, 12)).astype(np.uint64)) for n in rng.integers(-(1 << 62), 1 << 62, 60_000)}
+    names = list(sets)
+    batches = [names[i : i + 6000] for i in range(0, len(names), 6000)] + [names[:500]]
+    columns = {"nodes": [np.array(b, np.int64) for b in batches], "counts": [np.array([len(sets[n]) for n in b], np.int32) for b in batches]}
+    columns |= {"sizes": [3 * c for c in columns["counts"]], "tokens": [np.concatenate([sets[n] for n in b]) for b in batches]}
+    chunks = [pa.table({"f": pa.array([5, 5], pa.int32())} | {k: pa.array([x.tobytes() for x in v[lo : lo + 2]], pa.binary()) for k, v in columns.items()}) for lo in range(0, 10, 2)]
+    last = pa.table({"f": pa.array([4, 5], pa.int32())} | {k: pa.array([b"12345678", v[10].tobytes()], pa.binary()) for k, v in columns.items()}).slice(1)
+    rows = pa.concat_tables([*chunks, last])
+    tracemalloc.start()
+    out = jaccard._shared((pa.scalar(5, pa.int32()),), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(x.nbytes for x in columns["tokens"])
+    spread = Counter(t for s in sets.values() for t in s.tolist())
+    want = {n: (3 * len(s), [(t, spread[t]) for t in s.tolist() if spread[t] > 1]) for n, s in sets.items()}
+    read = lambda r: list(zip(np.frombuffer(r["tokens"], np.uint64).tolist(), np.frombuffer(r["sets"], np.int32).tolist(), strict=True))
+    assert {r["node"]: (r["size"], read(r)) for r in out.to_pylist()} == {n: w for n, w in want.items() if w[1]}
+    again = out.append_column("n", pa.array([len(x) // 8 for x in out["tokens"].to_pylist()], pa.int64()))
+    assert jaccard._recount((pa.scalar(5, pa.int32()),), again).equals(out)
+    assert jaccard._recount((pa.scalar(5, pa.int32()),), again.slice(0, 1)).num_rows == 0

@@ -285,6 +285,22 @@ def test_links_of_fingerprints_are_checked(spark, monkeypatch):
     assert rows == kept_by_hand(texts) == [0, 1] and candidates == 1
 
 
+def test_a_task_reads_texts_with_one_worker(spark, monkeypatch):
+    """Sets and fingerprints come from one pass over the texts, not from two Python workers beside each other in every task."""
+    plans, plain = {}, simhash.materialise
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", planned)
+    texts = ["One two three four five six", None, "", " \t", "one TWO three four five six", "\xa0 x\u20ac"]
+    assert kept(spark, texts) == kept_by_hand(texts) and plans["sets"].count("ArrowEvalPython") == 1
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, two = simhash.sets_and_prints(F.col("text"), 5).alias("s"), jaccard.set_of(F.col("text"), 5).alias("s")
+    assert docs.select(one).select("s.*").collect() == docs.select(two, simhash.fingerprints(F.col("text")).alias("fp")).select("s.*", "fp").collect()
+
+
 # --- licences
 
 
