@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, join_hot, materialise, table
+from .common import bounded_batches, discard, join_hot, lean, materialise, table
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -232,7 +232,7 @@ def _viable(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
     """(node, size, shingles, prefix, central) of the sets that can have a partner: at least ``percent`` hundredths of their shingles are in another such set."""
     total = nodes.agg(F.sum("size")).first()[0] or 0
     fragments = max(FRAGMENTS, total // FRAGMENT + 1)  # rows of a set and fragment follow the data, not how many partitions there are
-    packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _packed(b, fragments, words), "f int, nodes binary, counts binary, sizes binary, tokens binary")
+    packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(lambda b: _packed(b, fragments, words)), "f int, nodes binary, counts binary, sizes binary, tokens binary")
     found = materialise(packed.repartition(fragments, "f").groupBy("f").applyInArrow(_shared, SHARED), "shared")
     for peel in range(PEELS):
         held, enough = F.sum(F.expr("octet_length(tokens) DIV 8")).alias("held"), 100 * F.col("held") >= percent * F.col("size")

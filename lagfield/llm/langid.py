@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_by_workers, table
 
 #: The bounded sample of a language: whole texts, and characters that they may have before another is taken; they bound its dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 240_000
@@ -61,6 +61,9 @@ def _encoders(model: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompre
     return found
 
 
+kept_by_workers(_encoders.cache_clear)
+
+
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...], narrow: float = NARROW) -> tuple[str, float, bool]:
     """Language, margin as a share of the second-best size, and whether the margin is wide enough. Ties go to the more frequent language."""
     if not text or not any(map(str.isalpha, text)) or not model:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialise, table
+from .common import kept_by_workers, lean, materialise, table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKENS, END = 2048, 0
@@ -28,8 +28,8 @@ TOKENS, END = 2048, 0
 DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 #: Pieces packed together by one task.
 GROUP = 4096
-#: Words that a worker or a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_200_000, 40
+#: Words and parts that a worker remembers, those that a task remembers by itself, and the longest of them.
+REMEMBERED, BY_TASK, LONGEST = 1_200_000, 200_000, 40
 
 #: The split pattern of this vocabulary file, fixed by it.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -61,7 +61,8 @@ class Words:
     That holds for a file that normalises, splits and decodes as the default one does; texts go whole to the library for any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.by_word = _settings(path) == _settings(public_tokenizers.path(TOKENIZER))
@@ -89,7 +90,7 @@ class Words:
             ids = b"".join(map(self._part, _PARTS.findall(unicodedata.normalize("NFC", word).lower())))
         else:
             ids = self._library(word)
-        if len(self.words) + len(self.parts) >= REMEMBERED:
+        if len(self.words) + len(self.parts) >= self.remembered:
             self.words.clear()
             self.parts.clear()
         if len(word) <= LONGEST:
@@ -113,12 +114,16 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+kept_by_workers(_words.cache_clear)
+
+
 def pieces(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), by_task: bool = False) -> DataFrame:
-    """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone; repeated rows and null ids stay. ``path`` names another tokenizer file. ``by_task`` forgets words after a task, which takes more time and leaves workers less to hold."""
+    """``keep`` columns of ``docs`` with piece, start, length, ids_crc32: the ids of each whole text and an end id, cut every ``tokens`` ids. A null text is an empty one, which has the end id alone; repeated rows and null ids stay. ``path`` names another tokenizer file. ``by_task`` remembers fewer words, and none after a task, which takes more time and leaves workers less to hold."""
     name = path or TOKENIZER
 
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = (Words if by_task else _words)(name if "/" in name else public_tokenizers.path(name))
+        file = name if "/" in name else public_tokenizers.path(name)
+        words = Words(file, BY_TASK) if by_task else _words(file)
         for texts in batches:
             out = []
             for text in texts:
@@ -126,8 +131,9 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, keep:
                 out.append((len(ids) // 4, [zlib.crc32(ids[i : i + 4 * tokens]) for i in range(0, len(ids), 4 * tokens)]))
             yield pd.DataFrame(out, columns=["n", "crc"])
 
-    cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = docs.select(*keep, F.pandas_udf(cut, "n long, crc array<long>")(F.col("text")).alias("t"))
+    made_by = lean(cut) if by_task else cut
+    made_by.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    made = docs.select(*keep, F.pandas_udf(made_by, "n long, crc array<long>")(F.col("text")).alias("t"))
     each = made.select(*keep, F.col("t.n").alias("n"), F.posexplode("t.crc").alias("piece", "ids_crc32"))
     start = F.col("piece").cast("long") * tokens
     return each.select(*keep, "piece", start.alias("start"), F.least(F.lit(tokens), F.col("n") - start).alias("length"), "ids_crc32")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_by_workers, table
 
 #: Hash dimension; the bounded sample in graded texts, which teach whole; passes over it, step and penalty.
 DIM, SAMPLE, PASSES, STEP, RIDGE = 1 << 18, 8000, 200, 0.5, 1e-4
@@ -31,6 +31,7 @@ REMEMBERED = 100_000
 SCHEMA = "expected_grade double, tail_probability double, selected boolean"
 _LETTERS = re.compile(r"[\W\d_]+")
 _known: dict[str, tuple[int, int]] = {}
+kept_by_workers(_known.clear)
 
 
 def _word(word: str) -> tuple[int, int]:

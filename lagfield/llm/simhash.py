@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, join_hot, materialise, table
+from .common import bounded_batches, discard, join_hot, lean, materialise, table
 from .components import components
 from .jaccard import BLOCK, ROUNDS, _Hashes, set_key, similar_sets
 
@@ -69,6 +69,7 @@ def fingerprints(text: Column, words: int = WORDS, seed: int = SEED, distinct: b
 def sets_and_prints(text: Column, words: int) -> Column:
     """Struct (node, size, fp): what :func:`jaccard.set_of` and :func:`fingerprints` give. Two functions of unlike kinds are two workers to a task; this is one."""
 
+    @lean
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for texts in batches:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import subprocess
+import sys
 import time
 import zlib
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lagfield.llm import gif, html_text, langid, packing, quality
+from lagfield.llm import common, gif, html_text, langid, packing, quality
 
 ODD = [None, "", " \n\t ", "a", "x " * 3000, "É" * 500, "same text here", "same text here"]
 
@@ -269,3 +271,69 @@ def test_best_fit_keeps_every_capacity(rule):
 def test_sha_of_media_is_of_the_stored_form(spark):
     one = docs(spark, ["abc"]).select(gif.store_gif(F.col("text")).alias("s")).select("s.media", F.sha2("s.media", 256).alias("h")).first()
     assert hashlib.sha256(bytes(one.media)).hexdigest() == one.h
+
+
+def test_words_by_task_are_bounded():
+    """What a task remembers by itself stays within its bound, and ids do not depend on it."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    few, many = packing.Words(path, 50), packing.Words(path)
+    rng = random.Random(8)
+    for _ in range(40):
+        text = " ".join(f"{rng.choice('abcxyz')}{rng.randrange(300)}, Word{rng.randrange(9)}" for _ in range(30))
+        assert few.ids(text) == many.ids(text)
+    assert len(few.words) + len(few.parts) <= 52 < len(many.words) + len(many.parts)
+
+
+# --- workers
+
+
+def test_lean_tasks_leave_caches_empty():
+    """Whatever other stages' tasks remember in a worker is gone before a lean task and after it, one that fails too."""
+    seen = []
+
+    def task(batches):
+        for x in batches:
+            seen.append(len(quality._known) + langid._encoders.cache_info().currsize)
+            quality.features(x)
+            yield x
+
+    quality.features("some words")
+    langid.classify("some words", (("en", b"some words here"), ("de", b"einige worte hier")))
+    assert list(common.lean(task)(iter(["a b", "c d"]))) == ["a b", "c d"]
+    assert seen[0] == 0 < seen[1] and not quality._known and not langid._encoders.cache_info().currsize
+    quality.features("some words")
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(lambda batches: (1 // 0 for _ in batches))(iter([1])))
+    assert not quality._known
+
+
+HELD = """
+import random, re
+import pyarrow as pa
+from lagfield.llm import common, jaccard, quality
+def mb():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+def batches():
+    rng = random.Random(5)
+    for _ in range(6):
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(f"word{rng.randrange(10**6)}" for _ in range(300)).encode() for _ in range(400)])], ["text"])
+def run(lean):
+    task = lambda b: jaccard._packed(b, 64, 5)
+    for x in batches():
+        quality.features(" ".join(t.decode() for t in x.column(0).to_pylist()[:300]))
+    return sum(len(x) for x in (common.lean(task) if lean else task)(batches()))
+run(True)
+before = mb()
+rows = run(True)
+lean = mb()
+assert run(False) == rows > 0
+print(lean - before, mb() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="memory is read from /proc")
+def test_lean_tasks_give_memory_back():
+    """A worker that ran other stages is no larger after a lean task; without it, caches and freed memory stay in the worker."""
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, timeout=120, check=True).stdout
+    lean, plain = map(float, out.split())
+    assert lean < 12 and plain > lean + 20
