@@ -32,14 +32,18 @@ def lengths(signal: DataFrame) -> DataFrame:
     return signal.where("t_idx >= 0").groupBy("recording").agg((F.max("t_idx") + 1).cast("int").alias(LENGTH))
 
 
-def active_elements(elements: DataFrame, start: float, end: float, frequency: float, n: int | Column) -> DataFrame:
-    """Each element at every sample of its window [t + start, t + end): an interval join without a join.
+def active_window(start: float, end: float, frequency: float, n: int | Column) -> tuple[Column, Column]:
+    """The samples [lo, hi) of an element's window [t + start, t + end); none where hi <= lo.
 
     A window's first sample is kept within the grid of ``n`` samples, so an element that starts after the end still meets the last sample.
     """
     n = n if isinstance(n, Column) else F.lit(n)
-    lo = F.greatest(F.lit(0), F.least(sample(F.col("t") + start, frequency), n - 1))
-    hi = F.least(sample(F.col("t") + end, frequency), n)
+    return F.greatest(F.lit(0), F.least(sample(F.col("t") + start, frequency), n - 1)), F.least(sample(F.col("t") + end, frequency), n)
+
+
+def active_elements(elements: DataFrame, start: float, end: float, frequency: float, n: int | Column) -> DataFrame:
+    """Each element at every sample of its :func:`active_window`: an interval join without a join."""
+    lo, hi = active_window(start, end, frequency, n)
     return elements.withColumns({"lo": lo, "hi": hi}).where("hi > lo").withColumn("t_idx", F.explode(F.sequence("lo", F.col("hi") - 1))).drop("lo", "hi")
 
 

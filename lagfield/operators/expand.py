@@ -1,7 +1,8 @@
 """Events onto the time grid: taps, stacks, queues, sentence-aware buffers and lags.
 
 ``elements``: (recording, element_id, t, vec array<double>), with sentence_id and position for the sentence-aware buffers, whose vec
-is an array of arrays indexed [context][dim]. Elements whose vector is null or holds null or NaN are dropped. All return a
+is an array of arrays indexed [context][dim], or whatever the window's ``in_context`` makes a context's vector of. Elements whose vector
+is null or holds null or NaN are dropped. All return a
 design (recording, t_idx, slot, vec): an absent row is a slot that was not written. Slots count from 0. Where rows have n_samples, the
 grid of their recording ends there, else where the window's duration does.
 """
@@ -15,12 +16,21 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagfield.functions.grid import LENGTH, active_elements, n_samples, sample, timeshift
+from lagfield.functions.grid import LENGTH, active_elements, active_window, n_samples, sample, timeshift
+
+
+def stored_context(vec: Column, context: Column) -> Column:
+    """The vector that an array of vectors has for a context; null where it has none."""
+    return F.try_element_at(vec, (context + 1).cast("int"))
 
 
 @dataclass(frozen=True)
 class Buffer:
-    """A band's window. ``dim`` is the length of its vectors."""
+    """A band's window. ``dim`` is the length of its vectors.
+
+    ``in_context`` (vec, context) gives an element's vector in a context to the sentence-aware buffers. Where it can be computed, no row needs to carry
+    those of all contexts, which are as many as a sentence has elements.
+    """
 
     frequency: float
     duration: float
@@ -30,6 +40,7 @@ class Buffer:
     period: float = 0.05
     nb_buffer: int = 40
     buffer_duration: float = 2.0
+    in_context: Callable[[Column, Column], Column] = stored_context
 
     @property
     def n(self) -> int:
@@ -103,29 +114,45 @@ def queue_buffer(elements: DataFrame, b: Buffer, shift: float = 0.0) -> DataFram
     return _buffer(elements, b, False, shift)
 
 
-def _parse_reset(elements: DataFrame, b: Buffer, newest_first: bool, shift: float = 0.0, legacy_overflow: bool = False) -> DataFrame:
-    active = active_elements(elements.where("vec IS NOT NULL"), b.prediction_start + shift, b.prediction_end + shift, b.frequency, grid_end(elements, b))
-    key = Window.partitionBy("recording", "t_idx")
-    order = key.orderBy("element_id")
-    reset = F.when(F.col("sentence_id") != F.lag("sentence_id").over(order), 1).otherwise(0)
-    runs = active.withColumn("reset", reset).withColumn("run", F.sum("reset").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = runs.withColumn("last", F.max("run").over(key)).where("run = last").withColumns({"context": F.max("position").over(key), "held": F.count("*").over(key)})
-    ranked = _ranked(kept, b, newest_first)
-    if legacy_overflow:
-        rank = F.row_number().over(key.orderBy("element_id")) - 1
-        ranked = ranked.withColumn("context", F.when(rank >= b.nb_buffer, F.col("held") - 1).otherwise(F.col("context")))
-    at = F.try_element_at("vec", (F.col("context") + 1).cast("int"))
-    return whole(ranked.withColumn("vec", at)).groupBy("recording", "t_idx", "slot").agg(vec_sum(b.dim).alias("vec"))
+def _near(elements: DataFrame, windows: list[tuple[Column, Column]], block: int) -> DataFrame:
+    """Elements dealt by recording and block of samples, once to each block that their windows meet."""
+    none = F.array().cast("array<int>")
+    met = (F.coalesce(F.when(hi > lo, F.sequence(F.floor(lo / block).cast("int"), F.floor((hi - 1) / block).cast("int"))), none) for lo, hi in windows)
+    return elements.withColumn("block", F.explode(F.array_distinct(F.concat(*met)))).repartition("recording", "block")
+
+
+def _parse_reset(elements: DataFrame, b: Buffer, sides: list[tuple[bool, float]], legacy_overflow: bool = False) -> DataFrame:
+    """``sides``: for each whether the newest comes first, and the shift of its window; the slots of one follow those of the one before.
+
+    Elements are shuffled once to a block, not once to a sample, and meet their samples there.
+    """
+    windows = [active_window(b.prediction_start + shift, b.prediction_end + shift, b.frequency, grid_end(elements, b)) for _, shift in sides]
+    block = 4 * max(1, ceil((b.prediction_end - b.prediction_start) * b.frequency))
+    first = F.col("block") * block
+    spans = F.array(*(F.struct(F.lit(i).alias("side"), F.greatest(lo, first).alias("lo"), F.least(hi, first + block).alias("hi")) for i, (lo, hi) in enumerate(windows)))
+    active = _near(elements.where("vec IS NOT NULL"), windows, block).withColumn("span", F.explode(spans)).where("span.hi > span.lo")
+    active = active.withColumns({"side": F.col("span.side"), "t_idx": F.explode(F.sequence("span.lo", F.col("span.hi") - 1))}).drop("span")
+    key = Window.partitionBy("t_idx", "side", "recording", "block")
+    newest = key.orderBy(F.desc("element_id"))
+    turn = F.when(F.col("sentence_id") != F.lag("sentence_id").over(newest), 1).otherwise(0)
+    kept = active.withColumn("turn", turn).withColumn("turns", F.sum("turn").over(newest.rowsBetween(Window.unboundedPreceding, 0))).where("turns = 0")
+    kept = kept.withColumns({"context": F.max("position").over(key), "held": F.count("*").over(key), "rank": F.row_number().over(newest) - 1})
+    age = F.col("held") - 1 - F.col("rank")
+    rank = F.when(F.element_at(F.array(*(F.lit(n) for n, _ in sides)), F.col("side") + 1), F.col("rank")).otherwise(age)
+    slot = F.col("side") * b.nb_buffer + F.least(rank, F.lit(b.nb_buffer - 1))
+    context = F.when(age >= b.nb_buffer, F.col("held") - 1).otherwise(F.col("context")) if legacy_overflow else F.col("context")
+    at = kept.select("recording", "block", "t_idx", slot.cast("int").alias("slot"), b.in_context(F.col("vec"), context).alias("vec"))
+    return whole(at).groupBy("recording", "block", "t_idx", "slot").agg(vec_sum(b.dim).alias("vec")).drop("block")
 
 
 def stack_parse_reset(elements: DataFrame, b: Buffer) -> DataFrame:
     """As the stack, but an element of another sentence than the one before clears it: the last run of one sentence stays. Vectors are those of the largest kept position."""
-    return _parse_reset(elements, b, True)
+    return _parse_reset(elements, b, [(True, 0.0)])
 
 
 def queue_parse_reset(elements: DataFrame, b: Buffer, shift: float = 0.0, legacy_overflow: bool = False) -> DataFrame:
     """The same, oldest first; with ``legacy_overflow`` what is added into the last slot takes the context numbered by how many are kept."""
-    return _parse_reset(elements, b, False, shift, legacy_overflow)
+    return _parse_reset(elements, b, [(False, shift)], legacy_overflow)
 
 
 def _both(past: DataFrame, future: DataFrame, b: Buffer) -> DataFrame:
