@@ -170,7 +170,8 @@ def sym_buffer(elements: DataFrame, b: Buffer) -> DataFrame:
 
 
 def sym_parse_reset(elements: DataFrame, b: Buffer) -> DataFrame:
-    return _both(queue_parse_reset(elements, b, -b.buffer_duration), stack_parse_reset(elements, b), b)
+    """The queue over the window buffer_duration earlier, then the stack, both out of one shuffle."""
+    return _parse_reset(elements, b, [(False, -b.buffer_duration), (True, 0.0)])
 
 
 def sym_timeshift(series: DataFrame, b: Buffer, missing_as_zero: bool = False, negated_past: bool = False) -> DataFrame:

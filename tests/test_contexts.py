@@ -38,7 +38,7 @@ def shuffled(spark) -> int:
     return sum(tasks.apply(i).totalShuffleWrite() for i in range(tasks.size()))
 
 
-@pytest.mark.parametrize("name", ["mixed_design", "queue_parse_reset", "queue_parse_reset_legacy", "stack_parse_reset"])
+@pytest.mark.parametrize("name", ["mixed_design", "queue_parse_reset", "queue_parse_reset_legacy", "stack_parse_reset", "sym_parse_reset"])
 def test_rows_do_not_grow_with_their_sentence(spark, crowded, name):
     """Shuffled bytes are in proportion to the events, of which a sentence has hundreds."""
     df, before = entry.queries()[name](spark, crowded), shuffled(spark)
