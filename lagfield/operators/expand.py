@@ -115,10 +115,14 @@ def queue_buffer(elements: DataFrame, b: Buffer, shift: float = 0.0) -> DataFram
 
 
 def _near(elements: DataFrame, windows: list[tuple[Column, Column]], block: int) -> DataFrame:
-    """Elements dealt by recording and block of samples, once to each block that their windows meet."""
+    """Elements dealt by recording and block of samples, once to each block that their windows meet.
+
+    Rows grow after this shuffle, by the samples of every window, so partitions are not left to be merged by what is shuffled.
+    """
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")) * len(windows)
     none = F.array().cast("array<int>")
     met = (F.coalesce(F.when(hi > lo, F.sequence(F.floor(lo / block).cast("int"), F.floor((hi - 1) / block).cast("int"))), none) for lo, hi in windows)
-    return elements.withColumn("block", F.explode(F.array_distinct(F.concat(*met)))).repartition("recording", "block")
+    return elements.withColumn("block", F.explode(F.array_distinct(F.concat(*met)))).repartition(parts, "recording", "block")
 
 
 def _parse_reset(elements: DataFrame, b: Buffer, sides: list[tuple[bool, float]], legacy_overflow: bool = False) -> DataFrame:
